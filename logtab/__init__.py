@@ -22,12 +22,12 @@ from logtab.operators.tabularize import (TooManyColumns, discover_headers, disti
                                          tabularize, wide_columns)
 from logtab.plans.tabulate import ParseResult, narrow_records, parse_logs
 from logtab.sinks.tsv import read_tsv, write_lines, write_parquet, write_tsv
-from logtab.sources.lines import ORDER_COLS, in_order, lines, natural_key, read_lines
+from logtab.sources.lines import ORDER_COLS, in_order, lines, natural_key, number_lines, read_lines
 
 __all__ = [
     "CP", "DEFAULT_PARSERS", "HW", "ORDER_COLS", "REJECT", "CpParser", "HwParser", "LogParser",
     "ParseResult", "PythonLogParser", "RegexParser", "TooManyColumns", "UnparsableLogError", "discover_headers",
     "distinct_keys", "headers", "in_order", "lines", "narrow_records", "natural_key", "parse",
-    "parse_logs", "read_lines", "read_tsv", "record_map", "records", "rejects", "stamp_fields",
+    "number_lines", "parse_logs", "read_lines", "read_tsv", "record_map", "records", "rejects", "stamp_fields",
     "strip", "tabularize", "wide_columns", "write_lines", "write_parquet", "write_tsv",
 ]
