@@ -14,14 +14,14 @@ import calendar
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from logtab.functions.text import DIGIT, ascii_digits
+from logtab.functions.text import DIGIT, FLAGS, ascii_digits
 
 # English month abbreviations, in calendar order.
 MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
 
 # Accepted spellings of day and time fields (the strptime directive ranges).
 DAY_TIME_FORM = (
-    rf"^(?:3[01]|[12]{DIGIT}|0[1-9]|[1-9]) "
+    rf"{FLAGS}^(?:3[01]|[12]{DIGIT}|0[1-9]|[1-9]) "
     rf"(?:2[0-3]|[01]{DIGIT}):[0-5]{DIGIT}:[0-5]{DIGIT}$"
 )
 

@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from logtab.functions.dates import stamp_fields
 from logtab.functions.kv import pairs
-from logtab.functions.text import DIGIT, NON_SPACE, WORD, WS, strip
+from logtab.functions.text import DIGIT, FLAGS, NON_SPACE, WORD, WS, strip
 
 # Marks a successful one-pass header scan; a matching line starts with a word
 # character, so it can never start with this itself.
@@ -115,12 +115,12 @@ class _HeaderRegexParser(LogParser):
 # patterns with Python's \w, \d, \s, \S classes replaced by their exact Java
 # equivalents from ``logtab.functions.text``, named groups replaced by numbered
 # ones, the leading stamp split into month/day/hour/minute/second groups, and
-# the UNIX_LINES flag (?d) so '.' and '$' treat only '\n' as a line end.
+# ``FLAGS`` (UNIX_LINES, UNICODE_CHARACTER_CLASS) in front.
 _STAMP = rf"({WORD}+) [ ]?({DIGIT}+) ({DIGIT}{DIGIT}):({DIGIT}{DIGIT}):({DIGIT}{DIGIT})"
 _D = DIGIT
 
 HW_HEADER = (
-    rf"(?d)^{_STAMP} "
+    rf"{FLAGS}^{_STAMP} "
     rf"(?:([{_D}.]+) )?"
     rf"(?:{_D}{_D}{_D}{_D}-{_D}{_D}-{_D}{_D} {_D}{_D}:{_D}{_D}:{_D}{_D} )?"
     rf"({NON_SPACE}+) "
@@ -131,17 +131,17 @@ HW_HEADER = (
     rf":"
     rf"(.*)$\n?"
 )
-HW_EQ_PAIRS = rf'(?d)((?:(?<=, )|(?<=,)|(?<=\())[^{WS}()&,]+?)="?(.*?)"?(?:,|\.$|\)$)'
-HW_COLON_PAIRS = r'(?d)(?:(?:(?<=; )|(?<=;)|(?<=\())(?:\[.*\])?([^()&,]+?)):"?(.*?)"?;'
+HW_EQ_PAIRS = rf'{FLAGS}((?:(?<=, )|(?<=,)|(?<=\())[^{WS}()&,]+?)="?(.*?)"?(?:,|\.$|\)$)'
+HW_COLON_PAIRS = FLAGS + r'(?:(?:(?<=; )|(?<=;)|(?<=\())(?:\[.*\])?([^()&,]+?)):"?(.*?)"?;'
 
 CP_HEADER = (
-    rf"(?d)^{_STAMP} "
+    rf"{FLAGS}^{_STAMP} "
     rf"([{_D}.]+) "
     rf"(?:[+\-]{_D}{_D}:{_D}{_D}) "
     rf"([{_D}.]+) "
     rf"(.*)$\n?"
 )
-CP_PAIRS = r'(?d)((?<=" ).*?):?="(.*?)"'
+CP_PAIRS = FLAGS + r'((?<=" ).*?):?="(.*?)"'
 
 
 class HwParser(_HeaderRegexParser):

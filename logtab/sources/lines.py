@@ -72,7 +72,7 @@ def in_order(df: DataFrame, order: Sequence[str] = ORDER_COLS) -> DataFrame:
     """Sort by the order key (a range-partitioned shuffle: part files come out
     in key order, each sorted) and drop the key columns."""
     order = [c for c in order if c in df.columns]
-    return df.orderBy(*order).drop(*order)
+    return df.orderBy(*order).drop(*order) if order else df
 
 
 def number_lines(df: DataFrame, order: Sequence[str] = ORDER_COLS, out: str = "line_no") -> DataFrame:
