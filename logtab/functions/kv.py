@@ -13,8 +13,8 @@ re-keyed by ``str.strip()``:
 
 Both steps are built from array functions only, so they stay in the JVM and
 need no session configuration (``mapKeyDedupPolicy``).  ``record_map`` is the
-single-expression form; ``with_record_map`` materialises the intermediate
-arrays in their own projections so that no array is rebuilt per element.
+exact single-expression form; ``with_record_maps`` adds a generated-code fast
+path for rows whose keys need no dedupe.
 """
 
 from __future__ import annotations
@@ -22,7 +22,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logtab.functions.text import strip
+from logtab.functions.text import FLAGS, WS, strip
+
+# Joins keys for the one-regex strip; a key holding it only sends the row
+# down the exact (slow) path.
+_SEP = "\u0001"
 
 
 def pairs(text: Column, pattern: str) -> tuple[Column, Column]:
@@ -58,32 +62,63 @@ def record_map(keys: Column, vals: Column, base_names: list[str] | None = None)
     return F.map_filter(m, lambda k, v: v.isNotNull()) if base_names else m
 
 
-def with_record_map(df: DataFrame, out: str, keys: Column, vals: Column,
-                    base_names: list[str] | None = None) -> DataFrame:
-    """``record_map`` as a chain of projections adding column ``out``.
+def stripped_keys(keys: Column) -> Column:
+    """``transform(keys, strip)`` without a lambda: one regex over the keys
+    joined by ``_SEP``.  A key holding ``_SEP`` itself yields extra elements,
+    which ``with_record_map`` detects by size."""
+    joined = F.concat(F.lit(_SEP), F.array_join(keys, _SEP), F.lit(_SEP))
+    trimmed = F.regexp_replace(joined, f"{FLAGS}(?<={_SEP})[{WS}]+|[{WS}]+(?={_SEP})", "")
+    inner = F.substring(trimmed, F.lit(2), F.length(trimmed) - 2)
+    return F.when(F.size(keys) == 0, keys).otherwise(F.split(inner, _SEP))
+
 
-    Each intermediate array is computed once per row; the per-element lambdas
-    only read materialised columns.
+def with_record_maps(df: DataFrame, specs: dict[str, tuple[Column, Column, list[str] | None]]) -> DataFrame:
+    """Add one ``record_map`` column per ``{out: (keys, vals, base_names)}``.
+
+    When the stripped keys are distinct and name no base field (the common
+    case) the map is simply ``map_from_arrays(stripped keys, values)``, all in
+    generated code.  Only other rows feed the exact dedupe, whose arrays are
+    materialised by generated-code projections so that the two lambda steps
+    only read columns (no array is rebuilt per element).
     """
-    t = f"{out}__"
-    keys, vals = _with_base(keys, vals, base_names)
-    df = df.withColumns({t + "k": keys, t + "v": vals})
-    df = df.withColumns({
-        t + "dk": F.array_distinct(F.col(t + "k")),
-        t + "rk": F.reverse(F.col(t + "k")),
-        t + "rv": F.reverse(F.col(t + "v")),
-    })
-    df = df.withColumns({
-        t + "dv": _pick_last(F.col(t + "dk"), F.col(t + "rk"), F.col(t + "rv")),
-        t + "sk": F.transform(F.col(t + "dk"), strip),
-    })
-    df = df.withColumns({
-        t + "dsk": F.array_distinct(F.col(t + "sk")),
-        t + "rsk": F.reverse(F.col(t + "sk")),
-        t + "rdv": F.reverse(F.col(t + "dv")),
-    })
-    m = F.map_from_arrays(F.col(t + "dsk"), _pick_last(F.col(t + "dsk"), F.col(t + "rsk"), F.col(t + "rdv")))
-    if base_names:
-        m = F.map_filter(m, lambda k, v: v.isNotNull())
-    df = df.withColumn(out, m)
-    return df.drop(*[t + s for s in ("k", "v", "dk", "rk", "rv", "dv", "sk", "dsk", "rsk", "rdv")])
+    t = {out: f"{out}__" for out in specs}
+    base = {out: spec[2] for out, spec in specs.items()}
+    df = df.withColumns({t[o] + n: c for o, (k, v, _) in specs.items() for n, c in (("k0", k), ("v0", v))})
+    df = df.withColumns({t[o] + "s0": stripped_keys(F.col(t[o] + "k0")) for o in specs})
+
+    def simple(o: str) -> Column:
+        k0, s0 = F.col(t[o] + "k0"), F.col(t[o] + "s0")
+        ok = (F.size(s0) == F.size(k0)) & (F.size(F.array_distinct(s0)) == F.size(k0))
+        if base[o]:
+            ok = ok & ~F.arrays_overlap(s0, F.array(*[F.lit(n) for n in base[o]]))
+        return F.coalesce(ok, F.lit(True))  # null keys (rows of another grammar) count as simple
+
+    df = df.withColumns({t[o] + "ok": simple(o) for o in specs})
+    cols = {}
+    for o in specs:
+        slow = ~F.col(t[o] + "ok")
+        kb, vb = _with_base(F.when(slow, F.col(t[o] + "k0")), F.when(slow, F.col(t[o] + "v0")), base[o])
+        cols.update({t[o] + "kb": kb, t[o] + "vb": vb})
+    df = df.withColumns(cols)
+    df = df.withColumns({t[o] + n: c for o in specs for n, c in (
+        ("dk", F.array_distinct(F.col(t[o] + "kb"))),
+        ("rk", F.reverse(F.col(t[o] + "kb"))),
+        ("rv", F.reverse(F.col(t[o] + "vb"))))})
+    df = df.withColumns({t[o] + n: c for o in specs for n, c in (
+        ("dv", _pick_last(F.col(t[o] + "dk"), F.col(t[o] + "rk"), F.col(t[o] + "rv"))),
+        ("sk", F.transform(F.col(t[o] + "dk"), strip)))})
+    df = df.withColumns({t[o] + n: c for o in specs for n, c in (
+        ("dsk", F.array_distinct(F.col(t[o] + "sk"))),
+        ("rsk", F.reverse(F.col(t[o] + "sk"))),
+        ("rdv", F.reverse(F.col(t[o] + "dv"))))})
+    maps = {}
+    for o in specs:
+        dsk = F.col(t[o] + "dsk")
+        m = F.map_from_arrays(dsk, _pick_last(dsk, F.col(t[o] + "rsk"), F.col(t[o] + "rdv")))
+        if base[o]:
+            m = F.map_filter(m, lambda k, v: v.isNotNull())
+        fast = F.map_from_arrays(F.col(t[o] + "s0"), F.col(t[o] + "v0"))
+        maps[o] = F.when(F.col(t[o] + "ok"), fast).otherwise(m)
+    df = df.withColumns(maps)
+    return df.drop(*[t[o] + n for o in specs for n in (
+        "k0", "v0", "s0", "ok", "kb", "vb", "dk", "rk", "rv", "dv", "sk", "dsk", "rsk", "rdv")])

@@ -45,8 +45,10 @@ def strip(c: Column | str) -> Column:
 
 
 def ascii_digits(c: Column | str) -> Column:
-    """Map decimal digits of any script to ASCII '0'-'9'."""
-    return F.translate(_col(c), DIGITS_FROM, DIGITS_TO)
+    """Map decimal digits of any script to ASCII '0'-'9' (pure-ASCII input,
+    the usual case, is passed through without the table lookup)."""
+    c = _col(c)
+    return F.when(F.octet_length(c) == F.length(c), c).otherwise(F.translate(c, DIGITS_FROM, DIGITS_TO))
 
 
 def _col(c: Column | str) -> Column:

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from logtab.functions.dates import BAD_DATE_MODES
-from logtab.functions.kv import with_record_map
+from logtab.functions.kv import with_record_maps
 from logtab.functions.text import strip
 from logtab.operators.parsers import DEFAULT_PARSERS, LogParser
 
@@ -43,8 +43,26 @@ def check_parsers(parsers: Sequence[LogParser]) -> list[LogParser]:
     return list(parsers)
 
 
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin ``df`` over ``min_partitions`` (default: the cluster's
+    default parallelism) when it has fewer partitions than that.
+
+    Parsing is CPU-bound per line, so an input arriving in a few partitions
+    (one small file, a gzip log, which cannot be split) would leave most
+    cores idle.  A large input already has many splits and is left alone, so
+    at scale this adds no shuffle.
+    """
+    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    try:
+        have = df.rdd.getNumPartitions()
+    except Exception:  # e.g. Spark Connect: no RDD view; leave the input as it is
+        return df
+    return df.repartition(want) if have < want else df
+
+
 def parse(df: DataFrame, col: str = "value", parsers: Sequence[LogParser] = DEFAULT_PARSERS,
-          year: int = 2020, on_bad_date: str = "fail", observation: Observation | None = None) -> DataFrame:
+          year: int = 2020, on_bad_date: str = "fail", observation: Observation | None = None,
+          min_partitions: int | None = None) -> DataFrame:
     """Route and parse the lines in ``df[col]`` (see module doc).
 
     ``on_bad_date``: a header that matches but names an impossible date
@@ -56,6 +74,9 @@ def parse(df: DataFrame, col: str = "value", parsers: Sequence[LogParser] = DEFA
     them from ``observation.get`` after an action).  It also keeps Catalyst
     from pushing filters on ``parser`` below the parse, which would inline
     and re-run every grammar's regexes inside the filter.
+
+    Inputs with fewer partitions than ``min_partitions`` are spread first
+    (see ``spread``); pass ``min_partitions=1`` to never shuffle.
     """
     parsers = check_parsers(parsers)
     if on_bad_date not in BAD_DATE_MODES:
@@ -65,6 +86,7 @@ def parse(df: DataFrame, col: str = "value", parsers: Sequence[LogParser] = DEFA
     if clash:
         raise ValueError(f"input already has columns {sorted(clash)}")
     keep = list(df.columns)
+    df = spread(df, min_partitions)
     line = F.col(col)
     route = F.col("__route")
 
@@ -78,6 +100,8 @@ def parse(df: DataFrame, col: str = "value", parsers: Sequence[LogParser] = DEFA
         df = df.withColumn(f, p.fields(line, F.col(s))).drop(s)
         d_ok, compact, iso = p.date(F.col(f), year)
         df = df.withColumn(ok, F.when(F.col(f).isNotNull(), d_ok))
+        if compact is not None:
+            compact, iso = F.when(F.col(ok), compact), F.when(F.col(ok), iso)
         dates.append((compact, iso))
         # each step reads the previous route once, so inlining stays linear
         hit = F.col(f).isNotNull()
@@ -94,14 +118,16 @@ def parse(df: DataFrame, col: str = "value", parsers: Sequence[LogParser] = DEFA
     df = df.withColumn("parser", F.element_at(names, F.coalesce(route, F.lit(len(parsers))) + 1))
 
     out = keep + ["parser"]
+    specs = {}
+    for i, p in enumerate(parsers):
+        keys, vals = p.pairs(F.col(f"__f{i}"))
+        mine = route == i
+        specs[f"__m{i}"] = (F.when(mine, keys), F.when(mine, vals), p.base_names)
+    df = with_record_maps(df, specs)
     for i, p in enumerate(parsers):
         f = F.col(f"__f{i}")
         mine = route == i
-        keys, vals = p.pairs(f)
-        df = with_record_map(df, f"__m{i}", F.when(mine, keys), F.when(mine, vals), p.base_names)
         compact, iso = dates[i]
-        if compact is not None:
-            compact, iso = F.when(F.col(f"__ok{i}"), compact), F.when(F.col(f"__ok{i}"), iso)
         values = p.base(f, compact, iso)
         struct = F.struct(*[v.cast(t).alias(n) for v, (n, t) in zip(values, p.base_fields)],
                           F.col(f"__m{i}").alias("params"))

@@ -21,6 +21,7 @@ empty) and ``<out>/<base>.na<ext>/`` for the rejects; ``<out>`` defaults to
 
 from __future__ import annotations
 
+import contextlib
 import datetime
 import os
 import posixpath
@@ -82,6 +83,39 @@ def parse_logs(spark: SparkSession, src: str | Sequence[str], out: str | None =
     if storage.exists(spark, out):
         raise FileExistsError(f"output directory already exists: {out}")
 
+    with codegen_method_limit(spark):
+        return _run(spark, srcs, out, base, ext, parsers, year, on_bad_date, writer, keep_records,
+                    preserve_order, single_file, natural_order, max_columns)
+
+
+# HotSpot does not JIT-compile methods over 8000 bytes of bytecode; the
+# parse stage fuses enough expressions to pass that, and would then run in
+# the bytecode interpreter (~2.5x slower).  Spark's documented remedy is to
+# cap whole-stage codegen methods at that size.
+HUGE_METHOD_LIMIT = "8000"
+
+
+@contextlib.contextmanager
+def codegen_method_limit(spark: SparkSession):
+    """Set ``spark.sql.codegen.hugeMethodLimit`` to 8000 for the duration,
+    unless the session already sets it."""
+    key = "spark.sql.codegen.hugeMethodLimit"
+    if spark.conf.get(key, None) not in (None, "65535"):
+        yield
+        return
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, HUGE_METHOD_LIMIT)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
+def _run(spark, srcs, out, base, ext, parsers, year, on_bad_date, writer, keep_records,
+         preserve_order, single_file, natural_order, max_columns) -> ParseResult:
     lines = read_lines(spark, srcs, natural_order=natural_order)
     obs = Observation("logtab_parse")
     narrow = parse(lines, parsers=parsers, year=year, on_bad_date=on_bad_date, observation=obs)
