@@ -52,6 +52,8 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     cores idle.  A large input already has many splits and is left alone, so
     at scale this adds no shuffle.
     """
+    if df.isStreaming:
+        return df
     want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
     try:
         have = df.rdd.getNumPartitions()
@@ -135,9 +137,10 @@ def parse(df: DataFrame, col: str = "value", parsers: Sequence[LogParser] = DEFA
         out.append(p.name)
     df = df.withColumn("reject", F.when(route.isNull(), strip(line)))
     df = df.select(*out, "reject")
-    obs = observation or Observation(f"logtab_routes_{next(_ids)}")
     counts = [F.count_if(F.col("parser") == n).alias(n) for n in [p.name for p in parsers] + [REJECT]]
-    return df.observe(obs, *counts)
+    if df.isStreaming and observation is None:  # an Observation object cannot watch a stream
+        return df.observe(f"logtab_routes_{next(_ids)}", *counts)
+    return df.observe(observation or Observation(f"logtab_routes_{next(_ids)}"), *counts)
 
 
 def records(narrow: DataFrame, parser: LogParser | str, keep: Sequence[str] = ()) -> DataFrame:

@@ -171,4 +171,9 @@ SELECT parser, CAST(sum(n) AS BIGINT) AS n FROM (
   UNION ALL
   SELECT 'na', sum(len(regexp_split_to_array(text, '\\r\\n|\\r|\\n'))) FROM documents
 ) GROUP BY parser""",
+
+    "stream_route_counts": f"WITH {E} SELECT {ROUTE} AS parser, count(*) AS n FROM e GROUP BY 1",
+
+    "stream_cp_table": f"""WITH {E}
+SELECT {CP_WIDE_COLS} FROM e WHERE shape IN (7, 8)""",
 }

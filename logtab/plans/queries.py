@@ -194,6 +194,40 @@ def mixed_route_counts(spark, sf_dir):
     return parse(events.unionByName(docs)).groupBy("parser").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _stream_source(spark, sf_dir) -> tuple[str, str]:
+    """Rendered lines written as several text files for a file stream."""
+    root = storage.scratch_dir(spark, "logtab-stream")
+    src = posixpath.join(root, "src")
+    write_lines(render_lines(table(spark, sf_dir, "events")).repartition(4), src)
+    return root, src
+
+
+def stream_route_counts(spark, sf_dir):
+    """Parse a file stream into a narrow records store, then count routes."""
+    from logtab.streaming.stream import parse_stream, start_records_sink
+
+    root, src = _stream_source(spark, sf_dir)
+    store = posixpath.join(root, "records")
+    q = start_records_sink(parse_stream(spark, src), store, checkpoint=posixpath.join(root, "ckpt"),
+                           trigger={"availableNow": True})
+    q.awaitTermination()
+    return spark.read.parquet(store).groupBy("parser").agg(F.count(F.lit(1)).alias("n"))
+
+
+def stream_cp_table(spark, sf_dir):
+    """Wide cp rows written per micro-batch with a header discovered up front."""
+    from logtab.operators.tabularize import headers
+    from logtab.streaming.stream import parse_stream, start_table_sink
+
+    hdrs = headers(_narrow(spark, sf_dir), [HW, CP])
+    root, src = _stream_source(spark, sf_dir)
+    out = posixpath.join(root, "tables")
+    q = start_table_sink(parse_stream(spark, src), out, hdrs, base="s", checkpoint=posixpath.join(root, "ckpt"),
+                         trigger={"availableNow": True})
+    q.awaitTermination()
+    return read_tsv(spark, posixpath.join(out, "s.cp.tsv")).drop("batch")
+
+
 QUERIES: dict[str, Query] = {
     "route_counts": route_counts,
     "cp_header": cp_header,
@@ -217,4 +251,6 @@ QUERIES: dict[str, Query] = {
     "union_sources": union_sources,
     "multi_parser_precedence": multi_parser_precedence,
     "mixed_route_counts": mixed_route_counts,
+    "stream_route_counts": stream_route_counts,
+    "stream_cp_table": stream_cp_table,
 }

@@ -123,15 +123,31 @@ def _run(spark, srcs, out, base, ext, parsers, year, on_bad_date, writer, keep_r
     staging = posixpath.join(out, ".records") if keep_records else storage.scratch_dir(spark, "logtab-stage")
     narrow.write.mode("errorifexists").parquet(staging)
     counts = {k: int(v) for k, v in obs.get.items()}
-    staged = spark.read.parquet(staging)
+    res = tabulate_records(spark, spark.read.parquet(staging), out, base, ext, parsers, writer,
+                           keep_keys=keep_records, preserve_order=preserve_order, single_file=single_file,
+                           max_columns=max_columns)
+    res.counts = counts
+    if keep_records:
+        res.records = staging
+    else:
+        storage.delete(spark, staging)
+    return res
+
 
+def tabulate_records(spark: SparkSession, staged: DataFrame, out: str, base: str, ext: str = ".log",
+                     parsers: Sequence[LogParser] = DEFAULT_PARSERS, writer: Writer = write_tsv,
+                     keep_keys: bool = False, preserve_order: bool = True, single_file: bool = False,
+                     max_columns: int = DEFAULT_MAX_COLUMNS) -> ParseResult:
+    """Stages 2-4 over narrow records already stored (by ``parse_logs`` or a
+    streaming sink): discover headers, write one table per grammar and the
+    rejects under ``out``."""
     hdrs = headers(staged, parsers, max_columns)
-    if keep_records:
+    if keep_keys:
         keys = [(p, i, k) for p, ks in hdrs.items() for i, k in enumerate(ks, start=1)]
         (spark.createDataFrame(keys, "parser string, position int, key string")
          .coalesce(1).write.parquet(posixpath.join(out, ".keys")))
 
-    order = ORDER_COLS if preserve_order else []
+    order = [c for c in ORDER_COLS if c in staged.columns] if preserve_order else []
     tables = {}
     for p in parsers:
         wide = tabularize(staged, p, hdrs[p.name], keep=order)
@@ -142,10 +158,7 @@ def _run(spark, srcs, out, base, ext, parsers, year, on_bad_date, writer, keep_r
 
     na_path = posixpath.join(out, f"{base}.{REJECT}{ext}")
     write_lines(in_order(rejects(staged, keep=order), order), na_path, single_file=single_file)
-
-    if not keep_records:
-        storage.delete(spark, staging)
-    return ParseResult(out, tables, na_path, hdrs, counts, staging if keep_records else None)
+    return ParseResult(out, tables, na_path, hdrs)
 
 
 def narrow_records(spark: SparkSession, src: str | Sequence[str], **kw) -> DataFrame:
