@@ -17,17 +17,17 @@ from logtab.functions.kv import record_map
 from logtab.functions.text import strip
 from logtab.operators.parsers import (CP, DEFAULT_PARSERS, HW, CpParser, HwParser, LogParser,
                                       PythonLogParser, RegexParser, UnparsableLogError)
-from logtab.operators.route import REJECT, parse, records, rejects
+from logtab.operators.route import REJECT, parse, parse_one, records, rejects
 from logtab.operators.tabularize import (TooManyColumns, discover_headers, distinct_keys, headers,
                                          tabularize, wide_columns)
 from logtab.plans.tabulate import ParseResult, narrow_records, parse_logs
-from logtab.sinks.tsv import read_tsv, write_lines, write_parquet, write_tsv
+from logtab.sinks.tsv import PANDAS_NA_VALUES, read_tsv, write_lines, write_parquet, write_tsv
 from logtab.sources.lines import ORDER_COLS, in_order, lines, natural_key, number_lines, read_lines
 
 __all__ = [
-    "CP", "DEFAULT_PARSERS", "HW", "ORDER_COLS", "REJECT", "CpParser", "HwParser", "LogParser",
+    "CP", "DEFAULT_PARSERS", "PANDAS_NA_VALUES", "HW", "ORDER_COLS", "REJECT", "CpParser", "HwParser", "LogParser",
     "ParseResult", "PythonLogParser", "RegexParser", "TooManyColumns", "UnparsableLogError", "discover_headers",
     "distinct_keys", "headers", "in_order", "lines", "narrow_records", "natural_key", "parse",
-    "number_lines", "parse_logs", "read_lines", "read_tsv", "record_map", "records", "rejects", "stamp_fields",
+    "number_lines", "parse_logs", "parse_one", "read_lines", "read_tsv", "record_map", "records", "rejects", "stamp_fields",
     "strip", "tabularize", "wide_columns", "write_lines", "write_parquet", "write_tsv",
 ]

@@ -152,3 +152,13 @@ def records(narrow: DataFrame, parser: LogParser | str, keep: Sequence[str] = ()
 def rejects(narrow: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Unrecognised lines, stripped, as column ``value``."""
     return narrow.where(F.col("parser") == REJECT).select(*keep, F.col("reject").alias("value"))
+
+
+def parse_one(spark, line: str, parsers: Sequence[LogParser] = DEFAULT_PARSERS, **kw) -> tuple[str, dict]:
+    """Parse a single line (interactive use and tests): ``(parser, record)``
+    where the record holds the base fields plus the params map, or
+    ``('na', {'value': stripped line})``."""
+    r = parse(spark.createDataFrame([(line,)], "value string"), parsers=parsers, min_partitions=1, **kw).first()
+    if r.parser == REJECT:
+        return REJECT, {"value": r.reject}
+    return r.parser, r[r.parser].asDict()

@@ -25,6 +25,11 @@ def arg_parser() -> argparse.ArgumentParser:
                     help="output directory (must not exist yet)")
     ap.add_argument("-c", "--chunk-size", type=int, default=None, metavar="<bytes>",
                     help="bytes per read task (spark.sql.files.maxPartitionBytes)")
+    ap.add_argument("-p", "--max-processes", type=int, default=None, metavar="<num>",
+                    help="local runs only: worker slots (with -t: slots = p * t); on a cluster the "
+                         "executors decide")
+    ap.add_argument("-t", "--max-threads", type=int, default=1, metavar="<num>",
+                    help="local runs only: multiplies -p")
     ap.add_argument("-i", "--preserve-intermediate-results", action="store_true",
                     help="keep the narrow records and key lists under <out>/.records and <out>/.keys")
     ap.add_argument("--year", type=int, default=2020, help="year for stamps that carry none")
@@ -39,6 +44,11 @@ def arg_parser() -> argparse.ArgumentParser:
 def main(argv: list[str] | None = None) -> int:
     args = arg_parser().parse_args(sys.argv[1:] if argv is None else argv)
     builder = SparkSession.builder.appName("logtab")
+    if args.max_processes and not SparkSession.getActiveSession():
+        from pyspark import SparkConf
+
+        if not SparkConf().contains("spark.master"):  # not launched by spark-submit with a master
+            builder = builder.master(f"local[{max(1, args.max_processes * max(1, args.max_threads))}]")
     if args.chunk_size:
         builder = builder.config("spark.sql.files.maxPartitionBytes", str(args.chunk_size))
     spark = builder.getOrCreate()

@@ -39,6 +39,12 @@ TSV_READ_OPTIONS = {
     "enforceSchema": "false",
 }
 
+# Tokens pandas.read_csv reads as missing by default (its documented
+# ``na_values`` list); pass ``na_values=PANDAS_NA_VALUES`` to read_tsv for
+# the same behaviour.
+PANDAS_NA_VALUES = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
+                    "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
+
 Writer = Callable[[DataFrame, str], None]
 
 
