@@ -72,8 +72,10 @@ def stripped_keys(keys: Column) -> Column:
     return F.when(F.size(keys) == 0, keys).otherwise(F.split(inner, _SEP))
 
 
-def with_record_maps(df: DataFrame, specs: dict[str, tuple[Column, Column, list[str] | None]]) -> DataFrame:
-    """Add one ``record_map`` column per ``{out: (keys, vals, base_names)}``.
+def record_map_stages(specs: dict[str, tuple[Column, Column, list[str] | None]]
+                      ) -> tuple[list[dict[str, Column]], list[str]]:
+    """Projections adding one ``record_map`` column per
+    ``{out: (keys, vals, base_names)}``, and the helper columns to drop after.
 
     When the stripped keys are distinct and name no base field (the common
     case) the map is simply ``map_from_arrays(stripped keys, values)``, all in
@@ -83,8 +85,8 @@ def with_record_maps(df: DataFrame, specs: dict[str, tuple[Column, Column, list[
     """
     t = {out: f"{out}__" for out in specs}
     base = {out: spec[2] for out, spec in specs.items()}
-    df = df.withColumns({t[o] + n: c for o, (k, v, _) in specs.items() for n, c in (("k0", k), ("v0", v))})
-    df = df.withColumns({t[o] + "s0": stripped_keys(F.col(t[o] + "k0")) for o in specs})
+    stages = [{t[o] + n: c for o, (k, v, _) in specs.items() for n, c in (("k0", k), ("v0", v))},
+              {t[o] + "s0": stripped_keys(F.col(t[o] + "k0")) for o in specs}]
 
     def simple(o: str) -> Column:
         k0, s0 = F.col(t[o] + "k0"), F.col(t[o] + "s0")
@@ -93,21 +95,21 @@ def with_record_maps(df: DataFrame, specs: dict[str, tuple[Column, Column, list[
             ok = ok & ~F.arrays_overlap(s0, F.array(*[F.lit(n) for n in base[o]]))
         return F.coalesce(ok, F.lit(True))  # null keys (rows of another grammar) count as simple
 
-    df = df.withColumns({t[o] + "ok": simple(o) for o in specs})
+    stages.append({t[o] + "ok": simple(o) for o in specs})
     cols = {}
     for o in specs:
         slow = ~F.col(t[o] + "ok")
         kb, vb = _with_base(F.when(slow, F.col(t[o] + "k0")), F.when(slow, F.col(t[o] + "v0")), base[o])
         cols.update({t[o] + "kb": kb, t[o] + "vb": vb})
-    df = df.withColumns(cols)
-    df = df.withColumns({t[o] + n: c for o in specs for n, c in (
+    stages.append(cols)
+    stages.append({t[o] + n: c for o in specs for n, c in (
         ("dk", F.array_distinct(F.col(t[o] + "kb"))),
         ("rk", F.reverse(F.col(t[o] + "kb"))),
         ("rv", F.reverse(F.col(t[o] + "vb"))))})
-    df = df.withColumns({t[o] + n: c for o in specs for n, c in (
+    stages.append({t[o] + n: c for o in specs for n, c in (
         ("dv", _pick_last(F.col(t[o] + "dk"), F.col(t[o] + "rk"), F.col(t[o] + "rv"))),
         ("sk", F.transform(F.col(t[o] + "dk"), strip)))})
-    df = df.withColumns({t[o] + n: c for o in specs for n, c in (
+    stages.append({t[o] + n: c for o in specs for n, c in (
         ("dsk", F.array_distinct(F.col(t[o] + "sk"))),
         ("rsk", F.reverse(F.col(t[o] + "sk"))),
         ("rdv", F.reverse(F.col(t[o] + "dv"))))})
@@ -119,6 +121,15 @@ def with_record_maps(df: DataFrame, specs: dict[str, tuple[Column, Column, list[
             m = F.map_filter(m, lambda k, v: v.isNotNull())
         fast = F.map_from_arrays(F.col(t[o] + "s0"), F.col(t[o] + "v0"))
         maps[o] = F.when(F.col(t[o] + "ok"), fast).otherwise(m)
-    df = df.withColumns(maps)
-    return df.drop(*[t[o] + n for o in specs for n in (
-        "k0", "v0", "s0", "ok", "kb", "vb", "dk", "rk", "rv", "dv", "sk", "dsk", "rsk", "rdv")])
+    stages.append(maps)
+    drop = [t[o] + n for o in specs for n in (
+        "k0", "v0", "s0", "ok", "kb", "vb", "dk", "rk", "rv", "dv", "sk", "dsk", "rsk", "rdv")]
+    return stages, drop
+
+
+def with_record_maps(df: DataFrame, specs: dict[str, tuple[Column, Column, list[str] | None]]) -> DataFrame:
+    """Apply ``record_map_stages`` to ``df``."""
+    stages, drop = record_map_stages(specs)
+    for cols in stages:
+        df = df.withColumns(cols)
+    return df.drop(*drop)

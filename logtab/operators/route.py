@@ -17,13 +17,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import functools
 import itertools
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from logtab.functions.dates import BAD_DATE_MODES
-from logtab.functions.kv import with_record_maps
+from logtab.functions.kv import record_map_stages
 from logtab.functions.text import strip
 from logtab.operators.parsers import DEFAULT_PARSERS, LogParser
 
@@ -89,19 +90,39 @@ def parse(df: DataFrame, col: str = "value", parsers: Sequence[LogParser] = DEFA
         raise ValueError(f"input already has columns {sorted(clash)}")
     keep = list(df.columns)
     df = spread(df, min_partitions)
+    app = df.sparkSession.sparkContext.applicationId
+    for stage in _stages(tuple(parsers), col, year, on_bad_date, app):
+        df = df.withColumns(stage) if isinstance(stage, dict) else df.drop(*stage)
+    df = df.select(*keep, "parser", *[p.name for p in parsers], "reject")
+    counts = [F.count_if(F.col("parser") == n).alias(n) for n in [p.name for p in parsers] + [REJECT]]
+    if df.isStreaming and observation is None:  # an Observation object cannot watch a stream
+        return df.observe(f"logtab_routes_{next(_ids)}", *counts)
+    return df.observe(observation or Observation(f"logtab_routes_{next(_ids)}"), *counts)
+
+
+@functools.lru_cache(maxsize=64)
+def _stages(parsers: tuple[LogParser, ...], col: str, year: int, on_bad_date: str,
+            app: str) -> list[dict[str, Column] | list[str]]:
+    """The projection chain of ``parse``: a list of ``{name: Column}`` to add
+    (each one projection) or lists of names to drop.
+
+    Column expressions are unresolved and reusable, so the chain is built
+    once per grammar list and settings (per application) rather than with
+    thousands of JVM calls on every ``parse``.
+    """
     line = F.col(col)
     route = F.col("__route")
-
-    df = df.withColumn("__route", F.lit(None).cast("int"))
+    stages: list[dict[str, Column] | list[str]] = [{"__route": F.lit(None).cast("int")}]
     dates: list[tuple[Column, Column]] = []
     for i, p in enumerate(parsers):
         s, f, ok = f"__s{i}", f"__f{i}", f"__ok{i}"
         # the scan sees null for lines an earlier grammar took (cheap for
         # regexes, and keeps Python parsers from doing the work at all)
-        df = df.withColumn(s, p.scan(F.when(route.isNull(), line)))
-        df = df.withColumn(f, p.fields(line, F.col(s))).drop(s)
+        stages.append({s: p.scan(F.when(route.isNull(), line))})
+        stages.append({f: p.fields(line, F.col(s))})
+        stages.append([s])
         d_ok, compact, iso = p.date(F.col(f), year)
-        df = df.withColumn(ok, F.when(F.col(f).isNotNull(), d_ok))
+        stages.append({ok: F.when(F.col(f).isNotNull(), d_ok)})
         if compact is not None:
             compact, iso = F.when(F.col(ok), compact), F.when(F.col(ok), iso)
         dates.append((compact, iso))
@@ -114,33 +135,28 @@ def parse(df: DataFrame, col: str = "value", parsers: Sequence[LogParser] = DEFA
             step = F.when(hit & F.col(ok), F.lit(i))
         else:
             step = F.when(hit, F.lit(i))
-        df = df.withColumn("__route", F.coalesce(route, step))
+        stages.append({"__route": F.coalesce(route, step)})
 
     names = F.array(*[F.lit(p.name) for p in parsers], F.lit(REJECT))
-    df = df.withColumn("parser", F.element_at(names, F.coalesce(route, F.lit(len(parsers))) + 1))
+    stages.append({"parser": F.element_at(names, F.coalesce(route, F.lit(len(parsers))) + 1)})
 
-    out = keep + ["parser"]
     specs = {}
     for i, p in enumerate(parsers):
         keys, vals = p.pairs(F.col(f"__f{i}"))
         mine = route == i
         specs[f"__m{i}"] = (F.when(mine, keys), F.when(mine, vals), p.base_names)
-    df = with_record_maps(df, specs)
+    map_stages, drop = record_map_stages(specs)
+    stages += map_stages + [drop]
+    structs = {}
     for i, p in enumerate(parsers):
-        f = F.col(f"__f{i}")
-        mine = route == i
         compact, iso = dates[i]
-        values = p.base(f, compact, iso)
+        values = p.base(F.col(f"__f{i}"), compact, iso)
         struct = F.struct(*[v.cast(t).alias(n) for v, (n, t) in zip(values, p.base_fields)],
                           F.col(f"__m{i}").alias("params"))
-        df = df.withColumn(p.name, F.when(mine, struct))
-        out.append(p.name)
-    df = df.withColumn("reject", F.when(route.isNull(), strip(line)))
-    df = df.select(*out, "reject")
-    counts = [F.count_if(F.col("parser") == n).alias(n) for n in [p.name for p in parsers] + [REJECT]]
-    if df.isStreaming and observation is None:  # an Observation object cannot watch a stream
-        return df.observe(f"logtab_routes_{next(_ids)}", *counts)
-    return df.observe(observation or Observation(f"logtab_routes_{next(_ids)}"), *counts)
+        structs[p.name] = F.when(route == i, struct)
+    structs["reject"] = F.when(route.isNull(), strip(line))
+    stages.append(structs)
+    return stages
 
 
 def records(narrow: DataFrame, parser: LogParser | str, keep: Sequence[str] = ()) -> DataFrame:

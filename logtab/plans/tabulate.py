@@ -121,7 +121,8 @@ def _run(spark, srcs, out, base, ext, parsers, year, on_bad_date, writer, keep_r
     narrow = parse(lines, parsers=parsers, year=year, on_bad_date=on_bad_date, observation=obs)
 
     staging = posixpath.join(out, ".records") if keep_records else storage.scratch_dir(spark, "logtab-stage")
-    narrow.write.mode("errorifexists").parquet(staging)
+    # the raw line is not staged: rejects carry their stripped text already
+    narrow.drop("value").write.mode("errorifexists").parquet(staging)
     counts = {k: int(v) for k, v in obs.get.items()}
     res = tabulate_records(spark, spark.read.parquet(staging), out, base, ext, parsers, writer,
                            keep_keys=keep_records, preserve_order=preserve_order, single_file=single_file,
