@@ -8,7 +8,8 @@ raw key so the order is deterministic).
 Discovery is one small aggregation: keys are exploded and made distinct
 with a map-side partial aggregate, so each task ships only its distinct
 (parser, key) pairs; only the final key list (capped by ``max_columns``,
-beyond which the job stops with an error) reaches the driver.  The wide
+beyond which the job stops with an error) reaches the driver, where the
+keys are ordered with Python's own string rules.  The wide
 table is then a single projection of the map, one column per key, with no
 shuffle (``groupBy().pivot()`` would shuffle every row).
 """
@@ -17,7 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logtab.operators.parsers import DEFAULT_PARSERS, LogParser
@@ -43,38 +44,44 @@ def distinct_keys(narrow: DataFrame, parsers: Sequence[LogParser] = DEFAULT_PARS
             .distinct())
 
 
-def discover_headers(narrow: DataFrame, parsers: Sequence[LogParser] = DEFAULT_PARSERS) -> DataFrame:
-    """Schema summary ``(parser, position, key)``, position from 1 (G1).
-
-    Every grammar gets its base fields even when it matched no line, so an
-    empty table still has a header.
-    """
-    spark = narrow.sparkSession
-    base = spark.createDataFrame(
-        [(p.name, n) for p in parsers for n in p.base_names] or [("", "")], "parser string, key string")
-    if not any(p.base_names for p in parsers):
-        base = base.limit(0)
-    keys = distinct_keys(narrow, parsers).unionByName(base).distinct()
-    order = Window.partitionBy("parser").orderBy(
-        (~F.col("key").startswith("_")).cast("int"), F.lower("key"), F.col("key"))
-    return keys.select("parser", F.row_number().over(order).alias("position"), "key")
+def header_order(keys) -> list[str]:
+    """Order keys as the original tool does: ``_``-prefixed keys first, then
+    case-insensitively (Python ``str.lower``, code-point order); ties broken
+    by the raw key so the order is deterministic."""
+    return sorted(keys, key=lambda k: (not k.startswith("_"), k.lower(), k))
 
 
 def headers(narrow: DataFrame, parsers: Sequence[LogParser] = DEFAULT_PARSERS,
             max_columns: int = DEFAULT_MAX_COLUMNS) -> dict[str, list[str]]:
-    """Ordered header per grammar, collected to the driver (key names only)."""
-    rows = (discover_headers(narrow, parsers)
-            .where(F.col("position") <= max_columns + 1)
-            .orderBy("parser", "position").collect())
-    out: dict[str, list[str]] = {p.name: [] for p in parsers}
+    """Ordered header per grammar: base fields (always, so an empty table
+    still has a header) plus every non-empty parameter key seen.
+
+    Only key names reach the driver, and never more than
+    ``len(parsers) * max_columns + 1`` of them: the distinct-key job is
+    capped there, and reaching the cap means some grammar has more than
+    ``max_columns`` keys, which stops the job with ``TooManyColumns``.
+    No task ever holds more than that many keys either.
+    """
+    cap = len(parsers) * max_columns + 1
+    rows = distinct_keys(narrow, parsers).limit(cap).collect()
+    found: dict[str, set[str]] = {p.name: set(p.base_names) for p in parsers}
     for r in rows:
-        out[r.parser].append(r.key)
-    for name, keys in out.items():
-        if len(keys) > max_columns:
-            raise TooManyColumns(
-                f"{name}: more than {max_columns} distinct keys; raise max_columns or use "
-                f"the narrow records (parser struct with a params map) instead of a wide table")
-    return out
+        found[r.parser].add(r.key)
+    over = [n for n, ks in found.items() if len(ks) > max_columns]
+    if len(rows) >= cap or over:
+        raise TooManyColumns(
+            f"{over or 'a grammar'}: more than {max_columns} distinct keys; raise max_columns or use "
+            f"the narrow records (parser struct with a params map) instead of a wide table")
+    return {name: header_order(ks) for name, ks in found.items()}
+
+
+def discover_headers(narrow: DataFrame, parsers: Sequence[LogParser] = DEFAULT_PARSERS,
+                     max_columns: int = DEFAULT_MAX_COLUMNS) -> DataFrame:
+    """Schema summary ``(parser, position, key)``, position from 1 (G1), as
+    a small DataFrame built from ``headers``."""
+    rows = [(name, i, k) for name, ks in headers(narrow, parsers, max_columns).items()
+            for i, k in enumerate(ks, start=1)]
+    return narrow.sparkSession.createDataFrame(rows, "parser string, position int, key string")
 
 
 def wide_columns(parser: LogParser, header: Sequence[str], record: str = "") -> list[Column]:

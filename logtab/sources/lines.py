@@ -84,21 +84,25 @@ def number_lines(df: DataFrame, order: Sequence[str] = ORDER_COLS, out: str = "l
     inside each.  One small job counts rows per partition - one number per
     partition reaches the driver, like ``RDD.zipWithIndex`` - and each row's
     number is its partition's offset plus its index inside the partition.
-    The order-key columns are dropped.
+    The offsets (one row per partition: a size bound known before the join)
+    are broadcast.  The order-key columns are dropped.
     """
     from logtab.plans.storage import scratch_dir
 
+    spark = df.sparkSession
     order = [c for c in order if c in df.columns]
-    scratch_dir(df.sparkSession)  # makes sure a checkpoint directory is set
+    scratch_dir(spark)  # makes sure a checkpoint directory is set
     fixed = df.orderBy(*order).drop(*order).checkpoint(eager=True)
     counts = dict(fixed.groupBy(F.spark_partition_id().alias("p")).count().collect())
     offsets, total = [], 0
     for p in range(max(counts, default=-1) + 1):
-        offsets.append(total)
+        offsets.append((p, total))
         total += counts.get(p, 0)
-    if not offsets:
-        return fixed.withColumn(out, F.lit(None).cast("bigint"))
+    table = spark.createDataFrame(offsets or [(0, 0)], "__pid int, __base bigint")
     pid = F.spark_partition_id()
-    index = F.monotonically_increasing_id() - pid.cast("bigint") * (1 << 33)
-    base = F.element_at(F.array(*[F.lit(o).cast("bigint") for o in offsets]), pid + 1)
-    return fixed.withColumn(out, base + index + 1)
+    tagged = fixed.select("*", pid.alias("__pid"),
+                          (F.monotonically_increasing_id() - pid.cast("bigint") * (1 << 33)).alias("__idx"))
+    # broadcast hash join: the big side keeps its partitions and row order
+    return (tagged.join(F.broadcast(table), "__pid")
+            .withColumn(out, F.col("__base") + F.col("__idx") + 1)
+            .drop("__pid", "__idx", "__base"))

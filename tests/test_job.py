@@ -177,3 +177,21 @@ def test_cli(spark, tmp_dir):
     out = os.path.join(tmp_dir, "cli_out")
     assert main([src, "-o", out, "--single-file"]) == 0
     assert sorted(os.listdir(out)) == ["central.cp.tsv", "central.hw.tsv", "central.na.log"]
+
+
+def test_number_lines_many_partitions(spark, tmp_dir):
+    from logtab import number_lines, read_lines
+
+    path = os.path.join(tmp_dir, "n.log")
+    with open(path, "w") as f:
+        for i in range(5000):
+            f.write(f"line {i} " + "x" * (i % 37) + "\n")
+    prev = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8192")
+    try:
+        rows = number_lines(read_lines(spark, path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", prev)
+    got = sorted((r.line_no, r.value) for r in rows)
+    assert [n for n, _ in got] == list(range(1, 5001))
+    assert all(v.startswith(f"line {n - 1} ") for n, v in got)
