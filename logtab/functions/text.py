@@ -40,8 +40,16 @@ DIGITS_TO = "".join(str(unicodedata.digit(c)) for c in _ND)
 
 
 def strip(c: Column | str) -> Column:
-    """``str.strip()``: remove Python whitespace from both ends."""
-    return F.btrim(_col(c), F.lit(WHITESPACE_CHARS))
+    """``str.strip()``: remove Python whitespace from both ends.
+
+    Spark's trim with a character set walks (and allocates for) the whole
+    string, so it only runs when an end character is whitespace - rarely,
+    for log text.
+    """
+    c = _col(c)
+    ws = F.lit(WHITESPACE_CHARS)
+    padded = (F.instr(ws, F.left(c, F.lit(1))) > 0) | (F.instr(ws, F.right(c, F.lit(1))) > 0)
+    return F.when(padded, F.btrim(c, ws)).otherwise(c)
 
 
 def ascii_digits(c: Column | str) -> Column:

@@ -138,7 +138,10 @@ def _stages(parsers: tuple[LogParser, ...], col: str, year: int, on_bad_date: st
         stages.append({"__route": F.coalesce(route, step)})
 
     names = F.array(*[F.lit(p.name) for p in parsers], F.lit(REJECT))
-    stages.append({"parser": F.element_at(names, F.coalesce(route, F.lit(len(parsers))) + 1)})
+    # the reject text is taken here so that, when the caller drops the raw
+    # line, Catalyst can prune it from every later projection
+    stages.append({"parser": F.element_at(names, F.coalesce(route, F.lit(len(parsers))) + 1),
+                   "reject": F.when(route.isNull(), strip(line))})
 
     specs = {}
     for i, p in enumerate(parsers):
@@ -154,7 +157,6 @@ def _stages(parsers: tuple[LogParser, ...], col: str, year: int, on_bad_date: st
         struct = F.struct(*[v.cast(t).alias(n) for v, (n, t) in zip(values, p.base_fields)],
                           F.col(f"__m{i}").alias("params"))
         structs[p.name] = F.when(route == i, struct)
-    structs["reject"] = F.when(route.isNull(), strip(line))
     stages.append(structs)
     return stages
 
