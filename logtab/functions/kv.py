@@ -73,15 +73,19 @@ def stripped_keys(keys: Column) -> Column:
 
 
 def record_map_stages(specs: dict[str, tuple[Column, Column, list[str] | None]]
-                      ) -> tuple[list[dict[str, Column]], list[str]]:
-    """Projections adding one ``record_map`` column per
-    ``{out: (keys, vals, base_names)}``, and the helper columns to drop after.
+                      ) -> tuple[list[dict[str, Column]], dict[str, Column], list[str]]:
+    """Build one ``record_map`` per ``{out: (keys, vals, base_names)}``.
+
+    Returns the projections that materialise the inputs, the final map
+    expression per ``out`` (to be used in a later projection, e.g. inside a
+    struct), and the helper columns to drop afterwards.
 
     When the stripped keys are distinct and name no base field (the common
     case) the map is simply ``map_from_arrays(stripped keys, values)``, all in
     generated code.  Only other rows feed the exact dedupe, whose arrays are
-    materialised by generated-code projections so that the two lambda steps
-    only read columns (no array is rebuilt per element).
+    materialised by generated-code projections (computed for those rows
+    only) so that the two lambda steps only read columns and no array is
+    rebuilt per element.
     """
     t = {out: f"{out}__" for out in specs}
     base = {out: spec[2] for out, spec in specs.items()}
@@ -99,13 +103,11 @@ def record_map_stages(specs: dict[str, tuple[Column, Column, list[str] | None]]
     cols = {}
     for o in specs:
         slow = ~F.col(t[o] + "ok")
-        kb, vb = _with_base(F.when(slow, F.col(t[o] + "k0")), F.when(slow, F.col(t[o] + "v0")), base[o])
-        cols.update({t[o] + "kb": kb, t[o] + "vb": vb})
+        kb, vb = _with_base(F.col(t[o] + "k0"), F.col(t[o] + "v0"), base[o])
+        cols.update({t[o] + "dk": F.when(slow, F.array_distinct(kb)),
+                     t[o] + "rk": F.when(slow, F.reverse(kb)),
+                     t[o] + "rv": F.when(slow, F.reverse(vb))})
     stages.append(cols)
-    stages.append({t[o] + n: c for o in specs for n, c in (
-        ("dk", F.array_distinct(F.col(t[o] + "kb"))),
-        ("rk", F.reverse(F.col(t[o] + "kb"))),
-        ("rv", F.reverse(F.col(t[o] + "vb"))))})
     stages.append({t[o] + n: c for o in specs for n, c in (
         ("dv", _pick_last(F.col(t[o] + "dk"), F.col(t[o] + "rk"), F.col(t[o] + "rv"))),
         ("sk", F.transform(F.col(t[o] + "dk"), strip)))})
@@ -121,15 +123,14 @@ def record_map_stages(specs: dict[str, tuple[Column, Column, list[str] | None]]
             m = F.map_filter(m, lambda k, v: v.isNotNull())
         fast = F.map_from_arrays(F.col(t[o] + "s0"), F.col(t[o] + "v0"))
         maps[o] = F.when(F.col(t[o] + "ok"), fast).otherwise(m)
-    stages.append(maps)
     drop = [t[o] + n for o in specs for n in (
-        "k0", "v0", "s0", "ok", "kb", "vb", "dk", "rk", "rv", "dv", "sk", "dsk", "rsk", "rdv")]
-    return stages, drop
+        "k0", "v0", "s0", "ok", "dk", "rk", "rv", "dv", "sk", "dsk", "rsk", "rdv")]
+    return stages, maps, drop
 
 
 def with_record_maps(df: DataFrame, specs: dict[str, tuple[Column, Column, list[str] | None]]) -> DataFrame:
-    """Apply ``record_map_stages`` to ``df``."""
-    stages, drop = record_map_stages(specs)
+    """Apply ``record_map_stages`` to ``df``, adding one map column per spec."""
+    stages, maps, drop = record_map_stages(specs)
     for cols in stages:
         df = df.withColumns(cols)
-    return df.drop(*drop)
+    return df.withColumns(maps).drop(*drop)

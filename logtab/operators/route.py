@@ -112,13 +112,15 @@ def _stages(parsers: tuple[LogParser, ...], col: str, year: int, on_bad_date: st
     """
     line = F.col(col)
     route = F.col("__route")
-    stages: list[dict[str, Column] | list[str]] = [{"__route": F.lit(None).cast("int")}]
+    stages: list[dict[str, Column] | list[str]] = []
     dates: list[tuple[Column, Column]] = []
+    steps: list[Column] = []
+    taken: Column | None = None  # true once an earlier grammar took the line
     for i, p in enumerate(parsers):
         s, f, ok = f"__s{i}", f"__f{i}", f"__ok{i}"
         # the scan sees null for lines an earlier grammar took (cheap for
         # regexes, and keeps Python parsers from doing the work at all)
-        stages.append({s: p.scan(F.when(route.isNull(), line))})
+        stages.append({s: p.scan(line if taken is None else F.when(~taken, line))})
         stages.append({f: p.fields(line, F.col(s))})
         stages.append([s])
         d_ok, compact, iso = p.date(F.col(f), year)
@@ -126,38 +128,42 @@ def _stages(parsers: tuple[LogParser, ...], col: str, year: int, on_bad_date: st
         if compact is not None:
             compact, iso = F.when(F.col(ok), compact), F.when(F.col(ok), iso)
         dates.append((compact, iso))
-        # each step reads the previous route once, so inlining stays linear
         hit = F.col(f).isNotNull()
         if on_bad_date == "fail":
             msg = F.concat(F.lit(f"{p.name}: impossible date in line: "), line)
-            step = F.when(hit & ~F.col(ok), F.raise_error(msg).cast("int")).when(hit, F.lit(i))
+            steps.append(F.when(hit & ~F.col(ok), F.raise_error(msg).cast("int")).when(hit, F.lit(i)))
         elif on_bad_date == "reject":
-            step = F.when(hit & F.col(ok), F.lit(i))
+            hit = hit & F.col(ok)
+            steps.append(F.when(hit, F.lit(i)))
         else:
-            step = F.when(hit, F.lit(i))
-        stages.append({"__route": F.coalesce(route, step)})
+            steps.append(F.when(hit, F.lit(i)))
+        taken = hit if taken is None else (taken | hit)
 
+    # one projection decides the route and derives parser and reject from
+    # it; the reject text is taken here so that, when the caller drops the
+    # raw line, Catalyst can prune it from every later projection
+    decided = F.coalesce(*steps) if len(steps) > 1 else steps[0]
     names = F.array(*[F.lit(p.name) for p in parsers], F.lit(REJECT))
-    # the reject text is taken here so that, when the caller drops the raw
-    # line, Catalyst can prune it from every later projection
-    stages.append({"parser": F.element_at(names, F.coalesce(route, F.lit(len(parsers))) + 1),
-                   "reject": F.when(route.isNull(), strip(line))})
+    stages.append({"__route": decided,
+                   "parser": F.element_at(names, F.coalesce(decided, F.lit(len(parsers))) + 1),
+                   "reject": F.when(decided.isNull(), strip(line))})
 
     specs = {}
     for i, p in enumerate(parsers):
         keys, vals = p.pairs(F.col(f"__f{i}"))
         mine = route == i
         specs[f"__m{i}"] = (F.when(mine, keys), F.when(mine, vals), p.base_names)
-    map_stages, drop = record_map_stages(specs)
-    stages += map_stages + [drop]
+    map_stages, maps, drop = record_map_stages(specs)
+    stages += map_stages
     structs = {}
     for i, p in enumerate(parsers):
         compact, iso = dates[i]
         values = p.base(F.col(f"__f{i}"), compact, iso)
         struct = F.struct(*[v.cast(t).alias(n) for v, (n, t) in zip(values, p.base_fields)],
-                          F.col(f"__m{i}").alias("params"))
+                          maps[f"__m{i}"].alias("params"))
         structs[p.name] = F.when(route == i, struct)
     stages.append(structs)
+    stages.append(drop)
     return stages
 
 
