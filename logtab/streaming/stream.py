@@ -88,12 +88,18 @@ def start_table_sink(narrow: DataFrame, out: str, headers: dict[str, list[str]],
     opts = dict(TSV_WRITE_OPTIONS)
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        for p in parsers:
-            wide = tabularize(batch, p, headers[p.name])
-            (wide.write.mode("overwrite").options(**opts)
-             .csv(posixpath.join(out, f"{base}.{p.name}.tsv", f"batch={batch_id}")))
-        (rejects(batch).select("value").write.mode("overwrite")
-         .text(posixpath.join(out, f"{base}.{REJECT}", f"batch={batch_id}")))
+        # three outputs read the batch: parse it once (bounded by the trigger
+        # size; a lost block is recomputed from the batch's source files)
+        batch.persist()
+        try:
+            for p in parsers:
+                wide = tabularize(batch, p, headers[p.name])
+                (wide.write.mode("overwrite").options(**opts)
+                 .csv(posixpath.join(out, f"{base}.{p.name}.tsv", f"batch={batch_id}")))
+            (rejects(batch).select("value").write.mode("overwrite")
+             .text(posixpath.join(out, f"{base}.{REJECT}", f"batch={batch_id}")))
+        finally:
+            batch.unpersist()
 
     w = (narrow.writeStream.foreachBatch(write_batch)
          .option("checkpointLocation", _checkpoint(spark, checkpoint, "tables-ckpt"))

@@ -135,3 +135,32 @@ def test_tabulate_records_from_store(spark, tmp_dir):
     res = tabulate_records(spark, spark.read.parquet(store), os.path.join(tmp_dir, "out"), "s")
     assert res.headers["cp"][-3:] == ["Action", "Note", "UserId"]
     assert spark.read.text(res.rejects).count() == 100
+
+
+def test_parse_one(spark):
+    from logtab import parse_one
+
+    p, rec = parse_one(spark, CP_LINE + 'a="1"')
+    assert p == "cp" and rec["params"] == {"a": "1"} and rec["_c_interface_1"] == "10.0.0.1"
+    assert parse_one(spark, "  nope ") == ("na", {"value": "nope"})
+
+
+def test_read_tsv_pandas_na_tokens(spark, tmp_dir):
+    from logtab import PANDAS_NA_VALUES, read_tsv, write_tsv
+
+    df = spark.createDataFrame([("NA", "x"), ("null", "n/a"), ("ok", "")], "a string, b string")
+    path = os.path.join(tmp_dir, "na.tsv")
+    write_tsv(df, path)
+    got = {tuple(r) for r in read_tsv(spark, path, na_values=PANDAS_NA_VALUES).collect()}
+    assert got == {(None, "x"), (None, None), ("ok", None)}
+
+
+def test_cli_accepts_process_flags(spark, tmp_dir):
+    from logtab.plans.cli import main
+
+    src = os.path.join(tmp_dir, "a.log")
+    with open(src, "w") as f:
+        f.write('Nov 28 11:39:51 10.0.0.1 +01:00 10.0.0.2 a="1"\n')
+    out = os.path.join(tmp_dir, "o")
+    assert main([src, "-o", out, "-p", "2", "-t", "1", "-c", "1048576", "--no-order"]) == 0
+    assert sorted(os.listdir(out)) == ["a.cp.tsv", "a.hw.tsv", "a.na.log"]
