@@ -162,6 +162,21 @@ def tabulate_records(spark: SparkSession, staged: DataFrame, out: str, base: str
     return ParseResult(out, tables, na_path, hdrs)
 
 
+def stage(narrow: DataFrame, path: str | None = None) -> DataFrame:
+    """Write narrow records once as Parquet (default: a new folder under the
+    session's checkpoint directory) and return them read back.
+
+    Use before running several jobs over the same records (header discovery,
+    then wide tables): each then reads Parquet instead of re-parsing, and a
+    lost executor costs a re-read rather than a re-parse.  The raw line is
+    not staged (rejects keep their stripped text).
+    """
+    spark = narrow.sparkSession
+    path = path or storage.scratch_dir(spark, "logtab-stage")
+    narrow.drop("value").write.mode("errorifexists").parquet(path)
+    return spark.read.parquet(path)
+
+
 def narrow_records(spark: SparkSession, src: str | Sequence[str], **kw) -> DataFrame:
     """The narrow form straight from files, for ad-hoc analysis without writing."""
     natural = kw.pop("natural_order", False)

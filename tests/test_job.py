@@ -195,3 +195,26 @@ def test_number_lines_many_partitions(spark, tmp_dir):
     got = sorted((r.line_no, r.value) for r in rows)
     assert [n for n, _ in got] == list(range(1, 5001))
     assert all(v.startswith(f"line {n - 1} ") for n, v in got)
+
+
+def test_unicode_separators_stay_inside_a_line(spark, tmp_dir):
+    from logtab import parse, read_lines
+
+    path = os.path.join(tmp_dir, "u.log")
+    with open(path, "w", encoding="utf-8", newline="") as f:
+        f.write('Nov 28 11:39:51 10.0.0.1 +01:00 10.0.0.2 a="x y" b="\u0085"\n')
+        f.write("Nov 28 11:39:51 FW %%01X:k=v w.\n")
+    rows = parse(read_lines(spark, path)).orderBy("_src_row").collect()
+    assert [r.parser for r in rows] == ["cp", "hw"]
+    assert rows[0].cp.params == {"a": "x y", "b": "\u0085"}
+    assert rows[1].hw.params == {"k": "v w"}
+
+
+def test_stage_then_tabulate(spark, tmp_dir):
+    from logtab import CP, headers, parse, read_lines, stage, tabularize
+
+    src, rows = _log_file(spark, tmp_dir)
+    staged = stage(parse(read_lines(spark, src)))
+    assert "value" not in staged.columns
+    h = headers(staged)
+    assert tabularize(staged, CP, h["cp"]).count() == sum(1 for r in rows if r.eid % 10 in (7, 8))
