@@ -164,3 +164,19 @@ def test_cli_accepts_process_flags(spark, tmp_dir):
     out = os.path.join(tmp_dir, "o")
     assert main([src, "-o", out, "-p", "2", "-t", "1", "-c", "1048576", "--no-order"]) == 0
     assert sorted(os.listdir(out)) == ["a.cp.tsv", "a.hw.tsv", "a.na.log"]
+
+
+def test_wide_table_exact_keys_and_values(spark):
+    from logtab import CP, headers, parse, tabularize
+
+    pairs = ['Src="1"', 'src="2"', 'a.b="dot"', 'q\\"k="3"', 'sp ace="4"', 'ü="ß"', 'bs\\x="back\\slash"',
+             'uni=" x\u0001"', '="empty"']
+    line = CP_LINE + " ".join(pairs)
+    n = parse(_df(spark, [line, CP_LINE + 'Src="only"']), parsers=[CP])
+    h = headers(n, [CP])["cp"]
+    assert "" not in h and {"Src", "src", "a.b", 'q\\"k', "sp ace", "ü", "bs\\x", "uni"} <= set(h)
+    rows = {r.id: r for r in tabularize(n, CP, h, keep=["id"]).collect()}
+    r0, r1 = rows[0].asDict(), rows[1].asDict()
+    assert (r0["Src"], r0["src"], r0["a.b"], r0['q\\"k'], r0["sp ace"]) == ("1", "2", "dot", "3", "4")
+    assert (r0["ü"], r0["bs\\x"], r0["uni"]) == ("ß", "back\\slash", " x\u0001")
+    assert r1["Src"] == "only" and r1["src"] is None and r1["a.b"] is None
