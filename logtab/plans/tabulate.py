@@ -49,9 +49,19 @@ class ParseResult:
     records: str | None = None
 
 
+# Suffixes Spark's text source decompresses transparently; they are not part
+# of the name the outputs are named after (``app.log.gz`` → ``app``, ``.log``).
+COMPRESSION_SUFFIXES = (".gz", ".bz2", ".zst", ".lz4", ".snappy", ".deflate")
+
+
 def split_path(path: str) -> tuple[str, str, str]:
-    """``dir/base.ext`` → ``(dir, base, ext)`` (F7)."""
+    """``dir/base.ext`` → ``(dir, base, ext)`` (F7), ignoring a compression
+    suffix."""
     d, name = posixpath.split(path.rstrip("/"))
+    for suffix in COMPRESSION_SUFFIXES:
+        if name.endswith(suffix) and len(name) > len(suffix):
+            name = name[: -len(suffix)]
+            break
     base, ext = os.path.splitext(name)
     return d, base, ext
 

@@ -218,3 +218,20 @@ def test_stage_then_tabulate(spark, tmp_dir):
     assert "value" not in staged.columns
     h = headers(staged)
     assert tabularize(staged, CP, h["cp"]).count() == sum(1 for r in rows if r.eid % 10 in (7, 8))
+
+
+def test_gzip_source(spark, tmp_dir):
+    import gzip
+
+    from logtab import parse_logs
+
+    _, rows = _log_file(spark, tmp_dir)
+    src = os.path.join(tmp_dir, "central.log.gz")
+    with gzip.open(src, "wt", newline="") as f:
+        for r in rows:
+            f.write(r.value + "\n")
+    res = parse_logs(spark, src, out=os.path.join(tmp_dir, "gz"))
+    assert sorted(os.listdir(res.out_dir)) == ["central.cp.tsv", "central.hw.tsv", "central.na.log"]
+    assert res.counts["cp"] == sum(1 for r in rows if r.eid % 10 in (7, 8))
+    na = "".join(_read_parts(res.rejects)).splitlines()
+    assert na == [r.value.strip() for r in rows if r.eid % 10 == 9]
