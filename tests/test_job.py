@@ -235,3 +235,26 @@ def test_gzip_source(spark, tmp_dir):
     assert res.counts["cp"] == sum(1 for r in rows if r.eid % 10 in (7, 8))
     na = "".join(_read_parts(res.rejects)).splitlines()
     assert na == [r.value.strip() for r in rows if r.eid % 10 == 9]
+
+
+def test_empty_grammar_header_multi_part(spark, tmp_dir):
+    from logtab import parse_logs
+
+    src = os.path.join(tmp_dir, "only_na.log")
+    with open(src, "w") as f:
+        f.write("nothing to see\n")
+    res = parse_logs(spark, src, out=os.path.join(tmp_dir, "o"))
+    for name in ("hw", "cp"):
+        header, rows = _tsv_rows(res.tables[name])
+        assert header[:2] == ["_a_timestamp", "_b_datetime"] and rows == []
+
+
+def test_case_twin_keys_written_to_tsv(spark, tmp_dir):
+    from logtab import parse_logs
+
+    src = os.path.join(tmp_dir, "twins.log")
+    with open(src, "w") as f:
+        f.write('Nov 28 11:39:51 10.0.0.1 +01:00 10.0.0.2 Src="1" src="2"\n')
+    res = parse_logs(spark, src, out=os.path.join(tmp_dir, "o"))
+    header, rows = _tsv_rows(res.tables["cp"])
+    assert header[-2:] == ["Src", "src"] and rows[0][-2:] == ["1", "2"]
