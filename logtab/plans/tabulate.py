@@ -29,7 +29,6 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Observation, SparkSession
-from pyspark.sql import functions as F
 
 from logtab.operators.parsers import DEFAULT_PARSERS, LogParser
 from logtab.operators.route import REJECT, check_parsers, parse, rejects
