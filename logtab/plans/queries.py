@@ -18,6 +18,7 @@ from logtab.operators.route import parse, records, rejects
 from logtab.operators.tabularize import discover_headers, tabularize
 from logtab.plans import storage
 from logtab.plans.fixtures import document_lines, render_lines, table
+from logtab.plans.tabulate import stage
 from logtab.sinks.tsv import read_tsv, write_lines, write_tsv
 from logtab.sources.lines import number_lines, read_lines
 
@@ -66,10 +67,10 @@ def cp_params_lastwins(spark, sf_dir):
 
 
 def params_long(spark, sf_dir):
-    n = _narrow(spark, sf_dir)
-    parts = [records(n, p, ["eid"]).select(F.lit(p.name).alias("parser"), "eid",
-                                           F.explode("params").alias("key", "val")) for p in (HW, CP)]
-    return parts[0].unionByName(parts[1])
+    """Every (key, value) of every parsed line, one pass over the input."""
+    n = _narrow(spark, sf_dir).where(F.col("parser") != "na")
+    params = F.coalesce(F.col("hw.params"), F.col("cp.params"))
+    return n.select("parser", "eid", F.explode(params).alias("key", "val"))
 
 
 def header_keys(spark, sf_dir):
@@ -77,11 +78,12 @@ def header_keys(spark, sf_dir):
 
 
 def hw_wide(spark, sf_dir):
-    return tabularize(_narrow(spark, sf_dir), HW, keep=["eid"])
+    """Parse once into staged records, discover the header, project wide."""
+    return tabularize(stage(_narrow(spark, sf_dir)), HW, keep=["eid"])
 
 
 def cp_wide(spark, sf_dir):
-    return tabularize(_narrow(spark, sf_dir), CP, keep=["eid"])
+    return tabularize(stage(_narrow(spark, sf_dir)), CP, keep=["eid"])
 
 
 def rejected_lines(spark, sf_dir):
