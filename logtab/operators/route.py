@@ -46,12 +46,14 @@ def check_parsers(parsers: Sequence[LogParser]) -> list[LogParser]:
 
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """Round-robin ``df`` over ``min_partitions`` (default: the cluster's
-    default parallelism) when it has fewer partitions than that.
-
-    Parsing is CPU-bound per line, so an input arriving in a few partitions
-    (one small file, a gzip log, which cannot be split) would leave most
-    cores idle.  A large input already has many splits and is left alone, so
-    at scale this adds no shuffle.
+    default parallelism) when fewer than a quarter of that many partitions
+    would otherwise carry the work.
+
+    Parsing is CPU-bound per line, so an input arriving in very few
+    partitions (one small file, a gzip log, which cannot be split) would
+    leave most cores idle.  An input that already keeps a good share of the
+    cores busy is left alone: there the shuffle would cost more than the
+    extra parallelism gains, and large inputs never trigger it.
     """
     if df.isStreaming:
         return df
@@ -60,7 +62,7 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
         have = df.rdd.getNumPartitions()
     except Exception:  # e.g. Spark Connect: no RDD view; leave the input as it is
         return df
-    return df.repartition(want) if have < want else df
+    return df.repartition(want) if have * 4 <= want else df
 
 
 def parse(df: DataFrame, col: str = "value", parsers: Sequence[LogParser] = DEFAULT_PARSERS,

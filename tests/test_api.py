@@ -86,8 +86,9 @@ def test_spread_only_small_inputs(spark):
 
     one = spark.range(100).coalesce(1)
     assert spread(one, 4).rdd.getNumPartitions() == 4
-    many = spark.range(100).repartition(6)
-    assert spread(many, 4).rdd.getNumPartitions() == 6
+    some = spark.range(100).repartition(3)
+    assert spread(some, 8).rdd.getNumPartitions() == 3  # 3 of 8 cores busy: not worth a shuffle
+    assert spread(some, 16).rdd.getNumPartitions() == 16
 
 
 def test_filter_on_parser_not_pushed_into_regexes(spark):
