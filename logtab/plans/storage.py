@@ -25,6 +25,12 @@ def delete(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
+def size_of(spark: SparkSession, path: str) -> int:
+    """Total bytes under ``path`` (metadata only)."""
+    fs, p = _fs_path(spark, path)
+    return int(fs.getContentSummary(p).getLength())
+
+
 def list_names(spark: SparkSession, path: str) -> list[str]:
     fs, p = _fs_path(spark, path)
     return sorted(str(s.getPath().getName()) for s in fs.listStatus(p))

@@ -133,9 +133,10 @@ def _run(spark, srcs, out, base, ext, parsers, year, on_bad_date, writer, keep_r
     # the raw line is not staged: rejects carry their stripped text already
     narrow.drop("value").write.mode("errorifexists").parquet(staging)
     counts = {k: int(v) for k, v in obs.get.items()}
+    parts = sort_partitions(spark, storage.size_of(spark, staging), counts) if preserve_order else {}
     res = tabulate_records(spark, spark.read.parquet(staging), out, base, ext, parsers, writer,
                            keep_keys=keep_records, preserve_order=preserve_order, single_file=single_file,
-                           max_columns=max_columns)
+                           max_columns=max_columns, partitions=parts)
     res.counts = counts
     if keep_records:
         res.records = staging
@@ -144,13 +145,34 @@ def _run(spark, srcs, out, base, ext, parsers, year, on_bad_date, writer, keep_r
     return res
 
 
+# Staged (compressed Parquet) bytes per sort partition; the text each
+# partition writes is a few times larger.
+SORT_PARTITION_BYTES = 64 * 1024 * 1024
+
+
+def sort_partitions(spark: SparkSession, staged_bytes: int | None, counts: dict[str, int] | None
+                    ) -> dict[str, int]:
+    """Sort partitions per output: the output's share of the staged bytes
+    (by its line count) over ``SORT_PARTITION_BYTES``, and never fewer than
+    ``spark.sql.shuffle.partitions``.  Empty when the size is unknown."""
+    if not staged_bytes or not counts:
+        return {}
+    floor = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    total = max(1, sum(counts.values()))
+    return {name: max(floor, -(-staged_bytes * n // total) // SORT_PARTITION_BYTES)
+            for name, n in counts.items()}
+
+
 def tabulate_records(spark: SparkSession, staged: DataFrame, out: str, base: str, ext: str = ".log",
                      parsers: Sequence[LogParser] = DEFAULT_PARSERS, writer: Writer = write_tsv,
                      keep_keys: bool = False, preserve_order: bool = True, single_file: bool = False,
-                     max_columns: int = DEFAULT_MAX_COLUMNS) -> ParseResult:
+                     max_columns: int = DEFAULT_MAX_COLUMNS, partitions: dict[str, int] | None = None
+                     ) -> ParseResult:
     """Stages 2-4 over narrow records already stored (by ``parse_logs`` or a
     streaming sink): discover headers, write one table per grammar and the
-    rejects under ``out``."""
+    rejects under ``out``.  ``partitions`` gives the sort partitions per
+    output (see ``sort_partitions``)."""
+    partitions = partitions or {}
     hdrs = headers(staged, parsers, max_columns)
     if keep_keys:
         keys = [(p, i, k) for p, ks in hdrs.items() for i, k in enumerate(ks, start=1)]
@@ -162,12 +184,13 @@ def tabulate_records(spark: SparkSession, staged: DataFrame, out: str, base: str
     for p in parsers:
         wide = tabularize(staged, p, hdrs[p.name], keep=order)
         path = posixpath.join(out, f"{base}.{p.name}.tsv")
-        table = in_order(wide, order)
+        table = in_order(wide, order, partitions.get(p.name))
         writer(table.coalesce(1) if single_file else table, path)
         tables[p.name] = path
 
     na_path = posixpath.join(out, f"{base}.{REJECT}{ext}")
-    write_lines(in_order(rejects(staged, keep=order), order), na_path, single_file=single_file)
+    write_lines(in_order(rejects(staged, keep=order), order, partitions.get(REJECT)), na_path,
+                single_file=single_file)
     return ParseResult(out, tables, na_path, hdrs)
 
 

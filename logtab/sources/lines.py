@@ -68,11 +68,20 @@ def lines(df: DataFrame, col: str, order_by: Sequence[str] = ()) -> DataFrame:
     return df.select(F.col(col).alias("value"), *[c for c in order_by if c != col])
 
 
-def in_order(df: DataFrame, order: Sequence[str] = ORDER_COLS) -> DataFrame:
+def in_order(df: DataFrame, order: Sequence[str] = ORDER_COLS, partitions: int | None = None) -> DataFrame:
     """Sort by the order key (a range-partitioned shuffle: part files come out
-    in key order, each sorted) and drop the key columns."""
+    in key order, each sorted) and drop the key columns.
+
+    ``partitions`` sets the number of sort partitions (default
+    ``spark.sql.shuffle.partitions``); size it to the data, since adaptive
+    execution can merge range partitions but not split them.
+    """
     order = [c for c in order if c in df.columns]
-    return df.orderBy(*order).drop(*order) if order else df
+    if not order:
+        return df
+    if partitions:
+        return df.repartitionByRange(partitions, *order).sortWithinPartitions(*order).drop(*order)
+    return df.orderBy(*order).drop(*order)
 
 
 def number_lines(df: DataFrame, order: Sequence[str] = ORDER_COLS, out: str = "line_no") -> DataFrame:

@@ -258,3 +258,13 @@ def test_case_twin_keys_written_to_tsv(spark, tmp_dir):
     res = parse_logs(spark, src, out=os.path.join(tmp_dir, "o"))
     header, rows = _tsv_rows(res.tables["cp"])
     assert header[-2:] == ["Src", "src"] and rows[0][-2:] == ["1", "2"]
+
+
+def test_sort_partitions_scale_with_data(spark):
+    from logtab.plans.tabulate import SORT_PARTITION_BYTES, sort_partitions
+
+    floor = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    small = sort_partitions(spark, 10_000, {"hw": 7, "cp": 2, "na": 1})
+    assert small == {"hw": floor, "cp": floor, "na": floor}
+    big = sort_partitions(spark, 1000 * SORT_PARTITION_BYTES, {"hw": 700, "cp": 200, "na": 100})
+    assert big == {"hw": 700, "cp": 200, "na": 100}
