@@ -27,6 +27,9 @@ from pyspark.sql import functions as F
 
 ORDER_COLS = ["_src_seq", "_src_file", "_src_block", "_src_row"]
 
+# Above this many partitions number_lines joins its offsets without a broadcast.
+MAX_BROADCAST_PARTITIONS = 2_000_000
+
 # A file name ends in an integer id, optionally followed by an extension.
 NUMBERED_NAME = r"^.*?(\d+)(?:\.[^.]*)?$"
 
@@ -108,10 +111,13 @@ def number_lines(df: DataFrame, order: Sequence[str] = ORDER_COLS, out: str = "l
         offsets.append((p, total))
         total += counts.get(p, 0)
     table = spark.createDataFrame(offsets or [(0, 0)], "__pid int, __base bigint")
+    if len(offsets) <= MAX_BROADCAST_PARTITIONS:
+        table = F.broadcast(table)  # 12 bytes a row: at most ~24 MB
     pid = F.spark_partition_id()
     tagged = fixed.select("*", pid.alias("__pid"),
                           (F.monotonically_increasing_id() - pid.cast("bigint") * (1 << 33)).alias("__idx"))
-    # broadcast hash join: the big side keeps its partitions and row order
-    return (tagged.join(F.broadcast(table), "__pid")
+    # each row's index is fixed before the join, so any join strategy gives
+    # the same numbers; the broadcast one just avoids moving the rows
+    return (tagged.join(table, "__pid")
             .withColumn(out, F.col("__base") + F.col("__idx") + 1)
             .drop("__pid", "__idx", "__base"))
