@@ -93,20 +93,28 @@ def parse(df: DataFrame, col: str = "value", parsers: Sequence[LogParser] = DEFA
     keep = list(df.columns)
     df = spread(df, min_partitions)
     app = df.sparkSession.sparkContext.applicationId
-    for stage in _stages(tuple(parsers), col, year, on_bad_date, app):
+    routing, records_ = _stages(tuple(parsers), col, year, on_bad_date, app)
+    for stage in routing:
         df = df.withColumns(stage) if isinstance(stage, dict) else df.drop(*stage)
-    df = df.select(*keep, "parser", *[p.name for p in parsers], "reject")
+    # The observe node sits right after the route is decided: a filter on
+    # ``parser`` stops here (on the computed column, before any map is
+    # built) and whole-stage code generation is split in two smaller units.
     counts = [F.count_if(F.col("parser") == n).alias(n) for n in [p.name for p in parsers] + [REJECT]]
     if df.isStreaming and observation is None:  # an Observation object cannot watch a stream
-        return df.observe(f"logtab_routes_{next(_ids)}", *counts)
-    return df.observe(observation or Observation(f"logtab_routes_{next(_ids)}"), *counts)
+        df = df.observe(f"logtab_routes_{next(_ids)}", *counts)
+    else:
+        df = df.observe(observation or Observation(f"logtab_routes_{next(_ids)}"), *counts)
+    for stage in records_:
+        df = df.withColumns(stage) if isinstance(stage, dict) else df.drop(*stage)
+    return df.select(*keep, "parser", *[p.name for p in parsers], "reject")
 
 
 @functools.lru_cache(maxsize=64)
 def _stages(parsers: tuple[LogParser, ...], col: str, year: int, on_bad_date: str,
-            app: str) -> list[dict[str, Column] | list[str]]:
-    """The projection chain of ``parse``: a list of ``{name: Column}`` to add
-    (each one projection) or lists of names to drop.
+            app: str) -> tuple[list[dict[str, Column] | list[str]], list[dict[str, Column] | list[str]]]:
+    """The projection chain of ``parse`` in two parts (routing, then
+    records): lists of ``{name: Column}`` to add (each one projection) or of
+    names to drop.
 
     Column expressions are unresolved and reusable, so the chain is built
     once per grammar list and settings (per application) rather than with
@@ -149,6 +157,7 @@ def _stages(parsers: tuple[LogParser, ...], col: str, year: int, on_bad_date: st
     stages.append({"__route": decided,
                    "parser": F.element_at(names, F.coalesce(decided, F.lit(len(parsers))) + 1),
                    "reject": F.when(decided.isNull(), strip(line))})
+    routing, stages = stages, []
 
     specs = {}
     for i, p in enumerate(parsers):
@@ -166,7 +175,7 @@ def _stages(parsers: tuple[LogParser, ...], col: str, year: int, on_bad_date: st
         structs[p.name] = F.when(route == i, struct)
     stages.append(structs)
     stages.append(drop)
-    return stages
+    return routing, stages
 
 
 def records(narrow: DataFrame, parser: LogParser | str, keep: Sequence[str] = ()) -> DataFrame:
