@@ -8,17 +8,17 @@ column is kept, plus
   a ``params`` map (null on rows of other grammars);
 * ``reject``  - the stripped line on ``'na'`` rows, else null.
 
-The plan is a single chain of projections: no shuffle, no Python worker for
-the built-in grammars.  A grammar's expensive scan only runs on lines no
-earlier grammar took, and each scan result is materialised once.
+The plan is a single chain of projections with no Python worker for the
+built-in grammars, and no shuffle unless the input is badly
+under-partitioned (see ``spread``).  A grammar's expensive scan only runs
+on lines no earlier grammar took, and each scan result is materialised once.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 import functools
 import itertools
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
@@ -93,7 +93,7 @@ def parse(df: DataFrame, col: str = "value", parsers: Sequence[LogParser] = DEFA
     keep = list(df.columns)
     df = spread(df, min_partitions)
     app = df.sparkSession.sparkContext.applicationId
-    routing, records_ = _stages(tuple(parsers), col, year, on_bad_date, app)
+    routing, building = _stages(tuple(parsers), col, year, on_bad_date, app)
     for stage in routing:
         df = df.withColumns(stage) if isinstance(stage, dict) else df.drop(*stage)
     # The observe node sits right after the route is decided: a filter on
@@ -104,7 +104,7 @@ def parse(df: DataFrame, col: str = "value", parsers: Sequence[LogParser] = DEFA
         df = df.observe(f"logtab_routes_{next(_ids)}", *counts)
     else:
         df = df.observe(observation or Observation(f"logtab_routes_{next(_ids)}"), *counts)
-    for stage in records_:
+    for stage in building:
         df = df.withColumns(stage) if isinstance(stage, dict) else df.drop(*stage)
     return df.select(*keep, "parser", *[p.name for p in parsers], "reject")
 
