@@ -65,7 +65,7 @@ def record_map(keys: Column, vals: Column, base_names: list[str] | None = None)
 def stripped_keys(keys: Column) -> Column:
     """``transform(keys, strip)`` without a lambda: one regex over the keys
     joined by ``_SEP``.  A key holding ``_SEP`` itself yields extra elements,
-    which ``with_record_map`` detects by size."""
+    which ``record_map_stages`` detects by size."""
     joined = F.concat(F.lit(_SEP), F.array_join(keys, _SEP), F.lit(_SEP))
     trimmed = F.regexp_replace(joined, f"{FLAGS}(?<={_SEP})[{WS}]+|[{WS}]+(?={_SEP})", "")
     inner = F.substring(trimmed, F.lit(2), F.length(trimmed) - 2)
