@@ -94,19 +94,16 @@ def parse(df: DataFrame, col: str = "value", parsers: Sequence[LogParser] = DEFA
     df = spread(df, min_partitions)
     app = df.sparkSession.sparkContext.applicationId
     routing, building = _stages(tuple(parsers), col, year, on_bad_date, app)
-    for stage in routing:
+    for stage in routing + building:
         df = df.withColumns(stage) if isinstance(stage, dict) else df.drop(*stage)
-    # The observe node sits right after the route is decided: a filter on
-    # ``parser`` stops here (on the computed column, before any map is
-    # built) and whole-stage code generation is split in two smaller units.
+    df = df.select(*keep, "parser", *[p.name for p in parsers], "reject")
+    # The observe node closes the parse: any filter a caller puts on the
+    # result (on ``parser`` or on record fields) stops here instead of being
+    # pushed down with every regex and map expression inlined into it.
     counts = [F.count_if(F.col("parser") == n).alias(n) for n in [p.name for p in parsers] + [REJECT]]
     if df.isStreaming and observation is None:  # an Observation object cannot watch a stream
-        df = df.observe(f"logtab_routes_{next(_ids)}", *counts)
-    else:
-        df = df.observe(observation or Observation(f"logtab_routes_{next(_ids)}"), *counts)
-    for stage in building:
-        df = df.withColumns(stage) if isinstance(stage, dict) else df.drop(*stage)
-    return df.select(*keep, "parser", *[p.name for p in parsers], "reject")
+        return df.observe(f"logtab_routes_{next(_ids)}", *counts)
+    return df.observe(observation or Observation(f"logtab_routes_{next(_ids)}"), *counts)
 
 
 @functools.lru_cache(maxsize=64)
