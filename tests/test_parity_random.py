@@ -1,0 +1,164 @@
+"""Randomised parity: Spark's Java-regex parse against a pure-Python
+evaluation of the same grammars on thousands of generated lines.
+
+The Python side uses the ``regex`` module (which understands ``\\p{..}``)
+with the library's own patterns, minus the Java-only flag prefix, plus
+Python dict semantics and ``datetime.strptime``.  Lines are built from
+grammar fragments mixed with awkward characters, so they exercise optional
+groups, lazy/greedy backtracking, look-behinds, Unicode spaces and digits.
+"""
+
+import datetime
+import random
+
+import regex
+
+from logtab.functions.text import FLAGS
+from logtab.operators.parsers import CP, CP_HEADER, CP_PAIRS, HW, HW_COLON_PAIRS, HW_EQ_PAIRS, HW_HEADER
+
+N_LINES = 6000
+
+
+def _py(pattern: str):
+    return regex.compile(pattern.replace(FLAGS, "", 1).replace(r"$\n?", "$"), regex.VERSION0)
+
+
+PY_HW, PY_CP = _py(HW_HEADER), _py(CP_HEADER)
+PY_EQ, PY_COLON, PY_CPP = _py(HW_EQ_PAIRS), _py(HW_COLON_PAIRS), _py(CP_PAIRS)
+
+
+def _pairs(pattern, text):
+    return [(m.group(1), m.group(2)) for m in pattern.finditer(text)]
+
+
+def _date(mon, day, hh, mi, ss):
+    try:
+        dt = datetime.datetime.strptime(f"2020  {mon} {day} {hh}:{mi}:{ss}", "%Y %b %d %H:%M:%S")
+    except ValueError:
+        return None
+    return dt.strftime("%Y-%m-%d %H:%M:%S")
+
+
+def expected(line: str):
+    """(parser, date, params) the grammars define for ``line``, or None for a
+    matching header with an impossible date (the job would fail)."""
+    m = PY_HW.match(line)
+    if m:
+        d = _date(*m.group(1, 2, 3, 4, 5))
+        if d is None:
+            return None
+        text = m.group(11).strip()
+        pairs = _pairs(PY_EQ, "," + text) + _pairs(PY_COLON, ";" + text)
+        return "hw", d, _params(HW.base_names, pairs)
+    m = PY_CP.match(line)
+    if m:
+        d = _date(*m.group(1, 2, 3, 4, 5))
+        if d is None:
+            return None
+        return "cp", d, _params(CP.base_names, _pairs(PY_CPP, '" ' + m.group(8).strip()))
+    return "na", None, None
+
+
+def _params(base_names, pairs):
+    # dict semantics: base fields first, then each pair assigned in order;
+    # keys re-keyed by strip(), the later position winning; entries whose
+    # final value is still the base field's are not parameters
+    order, values = [], {}
+    for n in base_names:
+        order.append(n)
+        values[n] = None
+    for k, v in pairs:
+        if k not in values:
+            order.append(k)
+        values[k] = v
+    final = {}
+    for k in order:
+        final[k.strip()] = values[k]
+    return {k: v for k, v in final.items() if v is not None}
+
+
+SPACES = [" ", " ", " ", "  ", "\t", " ", " ", "\x1c"]
+ODD = ["(", ")", "[", "]", "%", "%%", ":", ";", ",", "=", '"', "&", ".", "\u0085", " ", "_", "-", "+"]
+WORDS = ["Nov", "nov", "FEB", "Feb", "Sept", "Xyz", "a", "b", "key", "Src IP", "Key", "_c_interface_1",
+         "x.y", "10.0.0.1", "1.2", "FW-A", "01SEC/4/X", "٣", "7"]
+
+
+def _rand_text(rnd, n):
+    parts = []
+    for _ in range(n):
+        r = rnd.random()
+        parts.append(rnd.choice(SPACES) if r < 0.25 else rnd.choice(ODD) if r < 0.6 else rnd.choice(WORDS))
+    return "".join(parts)
+
+
+def _stamp(rnd):
+    if rnd.random() < 0.75:  # mostly valid stamps, in varied spellings
+        mon = rnd.choice(["Nov", "feb", "FEB", "Dec"])
+        day = rnd.choice(["8", " 8", "08", "28", "29", "1٢"])
+        t = rnd.choice(["11:39:51", "00:00:00", "23:59:59"])
+    else:
+        mon = rnd.choice(["Nov", "feb", "Sept", "Foo"])
+        day = rnd.choice(["30", "31", "0", "008", "28"])
+        t = rnd.choice(["24:00:00", "11:60:00", "11:39:60", "11:39:51"])
+    return f"{mon} {day} {t}"
+
+
+def _hw_params(rnd):
+    items = []
+    for _ in range(rnd.randint(0, 5)):
+        k = rnd.choice(["a", "b", " a", "Src IP", "[x]K", "_c_interface_1", "k(", ""])
+        v = rnd.choice(["1", '"q"', '"x,y"', "=c", "1.5", "v w", ""])
+        sep = rnd.choice(["=", ":"])
+        end = rnd.choice([", ", ",", "; ", ";", ".", ")", ""])
+        items.append(f"{k}{sep}{v}{end}")
+    return "".join(items) + (_rand_text(rnd, rnd.randint(0, 3)) if rnd.random() < 0.3 else "")
+
+
+def _cp_params(rnd):
+    items = []
+    for _ in range(rnd.randint(0, 5)):
+        k = rnd.choice(["a", "b", " a", "a b", "", "_c_interface_1", "k:"])
+        v = rnd.choice(["1", "", "x y", " "])
+        items.append(f'{k}{rnd.choice(["=", ":="])}"{v}"')
+    return rnd.choice([" ", "  "]).join(items)
+
+
+def _line(rnd):
+    kind = rnd.random()
+    if kind < 0.4:
+        opt1 = rnd.choice(["", "10.0.0.1 ", "1.2 "])
+        opt2 = rnd.choice(["", "2020-11-28 11:39:50 "])
+        name = rnd.choice(["01X", "01SEC/4/PERMIT", "X(l)", "A[b]"])
+        br = rnd.choice(["", "(l)", "[1]", "(l)[2]", "(l) [3]", "(a)[b]:c(d)"])
+        sp = rnd.choice([" ", " ", "  "])
+        return f"{_stamp(rnd)} {opt1}{opt2}FW{sp}%%{name}{br}:{_hw_params(rnd)}"
+    if kind < 0.75:
+        off = rnd.choice(["+01:00", "-05:30", "+1:00"])
+        return f"{_stamp(rnd)} 10.0.0.1 {off} 10.0.0.2 {_cp_params(rnd)}"
+    return _rand_text(rnd, rnd.randint(0, 12))
+
+
+def test_random_lines_match_python_semantics(spark):
+    from logtab import parse
+
+    rnd = random.Random(20201128)
+    lines = [_line(rnd) for _ in range(N_LINES)]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(lines)], "id int, value string")
+    got = {r.id: r for r in parse(df, on_bad_date="null").collect()}
+    checked = {"hw": 0, "cp": 0, "na": 0}
+    for i, line in enumerate(lines):
+        exp = expected(line)
+        r = got[i]
+        if exp is None:  # matching header, impossible date
+            assert r.parser in ("hw", "cp") and r[r.parser]["_b_datetime"] is None, line
+            continue
+        parser, date, params = exp
+        assert r.parser == parser, (line, r.parser)
+        checked[parser] += 1
+        if parser == "na":
+            assert r.reject == line.strip(), line
+            continue
+        rec = r[parser]
+        assert rec["_b_datetime"] == date, line
+        assert dict(rec["params"]) == params, (line, rec["params"], params)
+    assert min(checked.values()) > 100, checked
