@@ -87,8 +87,11 @@ def parse_logs(spark: SparkSession, src: str | Sequence[str], out: str | None =
     srcs = [src] if isinstance(src, str) else list(src)
     if not srcs:
         raise ValueError("no source given")
-    _, base, ext = split_path(srcs[0])
-    out = out or default_out_dir(srcs[0])
+    d, base, ext = split_path(srcs[0])
+    if len(srcs) > 1 or any(c in base + ext for c in "*?[]{}"):
+        # several sources or a glob: the outputs get a neutral name
+        base, ext = "logs", ext if not any(c in ext for c in "*?[]{}") else ".log"
+    out = out or posixpath.join(d, f"{base}_{datetime.datetime.now().strftime('%Y%m%d_%H%M%S')}")
     if storage.exists(spark, out):
         raise FileExistsError(f"output directory already exists: {out}")
 

@@ -268,3 +268,17 @@ def test_sort_partitions_scale_with_data(spark):
     assert small == {"hw": floor, "cp": floor, "na": floor}
     big = sort_partitions(spark, 1000 * SORT_PARTITION_BYTES, {"hw": 700, "cp": 200, "na": 100})
     assert big == {"hw": 700, "cp": 200, "na": 100}
+
+
+def test_glob_source_gets_neutral_names(spark, tmp_dir):
+    from logtab import parse_logs
+
+    d = os.path.join(tmp_dir, "many")
+    os.makedirs(d)
+    for n in (1, 2):
+        with open(os.path.join(d, f"fw{n}.log"), "w") as f:
+            f.write(f'Nov 28 11:39:5{n} 10.0.0.1 +01:00 10.0.0.2 a="{n}"\n')
+    res = parse_logs(spark, os.path.join(d, "*.log"))
+    assert os.path.basename(res.out_dir).startswith("logs_") and os.path.dirname(res.out_dir) == d
+    assert sorted(os.listdir(res.out_dir)) == ["logs.cp.tsv", "logs.hw.tsv", "logs.na.log"]
+    assert res.counts["cp"] == 2
