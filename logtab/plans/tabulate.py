@@ -65,8 +65,23 @@ def split_path(path: str) -> tuple[str, str, str]:
     return d, base, ext
 
 
-def default_out_dir(src: str, now: datetime.datetime | None = None) -> str:
-    d, base, _ = split_path(src)
+GLOB_CHARS = "*?[]{}"
+
+
+def output_names(srcs: Sequence[str]) -> tuple[str, str, str]:
+    """``(dir, base, ext)`` the outputs are named after: the source file's,
+    or a neutral ``logs`` for several sources or a glob."""
+    d, base, ext = split_path(srcs[0])
+    if len(srcs) > 1 or any(c in base for c in GLOB_CHARS):
+        base = "logs"
+    if any(c in ext for c in GLOB_CHARS):
+        ext = ".log"
+    return d, base, ext
+
+
+def default_out_dir(srcs: Sequence[str], now: datetime.datetime | None = None) -> str:
+    """``<source dir>/<base>_<YYYYmmdd_HHMMSS>``."""
+    d, base, _ = output_names(srcs)
     stamp = (now or datetime.datetime.now()).strftime("%Y%m%d_%H%M%S")
     return posixpath.join(d, f"{base}_{stamp}")
 
@@ -87,11 +102,8 @@ def parse_logs(spark: SparkSession, src: str | Sequence[str], out: str | None =
     srcs = [src] if isinstance(src, str) else list(src)
     if not srcs:
         raise ValueError("no source given")
-    d, base, ext = split_path(srcs[0])
-    if len(srcs) > 1 or any(c in base + ext for c in "*?[]{}"):
-        # several sources or a glob: the outputs get a neutral name
-        base, ext = "logs", ext if not any(c in ext for c in "*?[]{}") else ".log"
-    out = out or posixpath.join(d, f"{base}_{datetime.datetime.now().strftime('%Y%m%d_%H%M%S')}")
+    _, base, ext = output_names(srcs)
+    out = out or default_out_dir(srcs)
     if storage.exists(spark, out):
         raise FileExistsError(f"output directory already exists: {out}")
 
