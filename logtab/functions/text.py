@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 # Every character Python's str.isspace() accepts (all lie below U+3001).
 WHITESPACE_CHARS = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 
+# Hex codes of the ASCII characters among them.
+ASCII_SPACE_HEX = [f"{ord(ch):02X}" for ch in WHITESPACE_CHARS if ord(ch) < 0x80]
+
 # Flags every grammar pattern starts with: UNIX_LINES, so '.' and '$' treat
 # only '\n' as a line end (as Python does), and UNICODE_CHARACTER_CLASS, so
 # \s is Unicode White_Space.
@@ -48,8 +51,12 @@ def strip(c: Column | str) -> Column:
     """
     c = _col(c)
     ws = F.lit(WHITESPACE_CHARS)
-    padded = (F.instr(ws, F.left(c, F.lit(1))) > 0) | (F.instr(ws, F.right(c, F.lit(1))) > 0)
-    return F.when(padded, F.btrim(c, ws)).otherwise(c)
+    first = F.instr(ws, F.left(c, F.lit(1))) > 0  # left(c, 1) reads one character
+    # the last byte, without counting characters: an ASCII whitespace byte,
+    # or any byte of a multi-byte character (which may be Unicode space)
+    last = F.hex(F.substring(c.cast("binary"), -1, 1))
+    maybe_last = last.isin(*ASCII_SPACE_HEX) | (last >= F.lit("80"))
+    return F.when(first | maybe_last, F.btrim(c, ws)).otherwise(c)
 
 
 def ascii_digits(c: Column | str) -> Column:

@@ -97,11 +97,13 @@ class _HeaderRegexParser(LogParser):
 
     def fields(self, line: Column, scanned: Column) -> Column:
         hit = scanned.startswith(SENTINEL) & ~line.startswith(SENTINEL)
-        return F.when(hit, F.split(F.substring(scanned, 2, 1 << 30), SEP, self.n_groups))
+        # the sentinel stays on the first group (stripped in ``g``), which is
+        # short; cutting it off the whole line would walk every character
+        return F.when(hit, F.split(scanned, SEP, self.n_groups))
 
     @staticmethod
     def g(f: Column, i: int) -> Column:
-        return f.getItem(i - 1)
+        return F.substring(f.getItem(0), 2, 1 << 30) if i == 1 else f.getItem(i - 1)
 
     @classmethod
     def opt(cls, f: Column, i: int) -> Column:

@@ -28,3 +28,14 @@ def test_word_class(spark):
     # assigned since, which Python's newer tables already call word characters
     for c in _mismatches(spark, WORD, r"\w"):
         assert unicodedata.category(c).startswith("L") and re.match(r"\w", c), hex(ord(c))
+
+
+def test_strip_matches_python(spark):
+    from logtab.functions.text import WHITESPACE_CHARS, strip
+
+    samples = ["", "a", " a", "a ", "\ta\r", "x　", " x", "x\xa0", "\x85x\x85", "é", "aé", "é ",
+               "\x1cx\x1f", "a b", "   ", "ü ", "end" + "x" * 500 + " "]
+    samples += [ch + "k" + ch for ch in WHITESPACE_CHARS]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(samples)] + [(len(samples), None)], "i int, v string")
+    got = {r.i: r.s for r in df.select("i", strip("v").alias("s")).collect()}
+    assert got == {**{i: v.strip() for i, v in enumerate(samples)}, len(samples): None}
