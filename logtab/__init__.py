@@ -20,14 +20,15 @@ from logtab.operators.parsers import (CP, DEFAULT_PARSERS, HW, CpParser, HwParse
 from logtab.operators.route import REJECT, parse, parse_one, records, rejects
 from logtab.operators.tabularize import (TooManyColumns, discover_headers, distinct_keys, headers,
                                          tabularize, wide_columns)
-from logtab.plans.tabulate import ParseResult, narrow_records, parse_logs, stage, tabulate_records
+from logtab.plans.tabulate import (ParseResult, configure, narrow_records, parse_logs, stage,
+                                   tabulate_records)
 from logtab.sinks.tsv import PANDAS_NA_VALUES, read_tsv, write_lines, write_parquet, write_tsv
 from logtab.sources.lines import ORDER_COLS, in_order, lines, natural_key, number_lines, read_lines
 
 __all__ = [
     "CP", "CpParser", "DEFAULT_PARSERS", "HW", "HwParser", "LogParser", "ORDER_COLS",
     "PANDAS_NA_VALUES", "ParseResult", "PythonLogParser", "REJECT", "RegexParser", "TooManyColumns",
-    "UnparsableLogError", "discover_headers", "distinct_keys", "headers", "in_order", "lines",
+    "UnparsableLogError", "configure", "discover_headers", "distinct_keys", "headers", "in_order", "lines",
     "narrow_records", "natural_key", "number_lines", "parse", "parse_logs", "parse_one",
     "read_lines", "read_tsv", "record_map", "records", "rejects", "stage", "stamp_fields", "strip",
     "tabularize", "tabulate_records", "wide_columns", "write_lines", "write_parquet", "write_tsv",

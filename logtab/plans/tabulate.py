@@ -119,6 +119,17 @@ def parse_logs(spark: SparkSession, src: str | Sequence[str], out: str | None =
 HUGE_METHOD_LIMIT = "8000"
 
 
+def configure(spark: SparkSession) -> None:
+    """Apply the session settings this library's plans want, where the
+    session has not chosen otherwise: currently the HotSpot-friendly
+    whole-stage codegen method limit (see ``HUGE_METHOD_LIMIT``).
+    ``parse_logs`` does this for its own jobs; call it once when using
+    ``parse`` directly."""
+    key = "spark.sql.codegen.hugeMethodLimit"
+    if spark.conf.get(key, None) in (None, "65535"):
+        spark.conf.set(key, HUGE_METHOD_LIMIT)
+
+
 @contextlib.contextmanager
 def codegen_method_limit(spark: SparkSession):
     """Set ``spark.sql.codegen.hugeMethodLimit`` to 8000 for the duration,

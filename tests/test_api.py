@@ -183,3 +183,21 @@ def test_wide_table_exact_keys_and_values(spark):
     assert (r0["Src"], r0["src"], r0["a.b"], r0['q\\"k'], r0["sp ace"]) == ("1", "2", "dot", "3", "4")
     assert (r0["ü"], r0["bs\\x"], r0["uni"]) == ("ß", "back\\slash", " x\u0001")
     assert r1["Src"] == "only" and r1["src"] is None and r1["a.b"] is None
+
+
+def test_configure_respects_user_setting(spark):
+    from logtab import configure
+
+    key = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(key, None)
+    try:
+        spark.conf.set(key, "12345")
+        configure(spark)
+        assert spark.conf.get(key) == "12345"
+        spark.conf.unset(key)
+        configure(spark)
+        assert spark.conf.get(key) == "8000"
+    finally:
+        spark.conf.unset(key)
+        if before is not None:
+            spark.conf.set(key, before)
