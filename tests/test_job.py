@@ -282,3 +282,18 @@ def test_glob_source_gets_neutral_names(spark, tmp_dir):
     assert os.path.basename(res.out_dir).startswith("logs_") and os.path.dirname(res.out_dir) == d
     assert sorted(os.listdir(res.out_dir)) == ["logs.cp.tsv", "logs.hw.tsv", "logs.na.log"]
     assert res.counts["cp"] == 2
+
+
+def test_bad_date_fails_the_job(spark, tmp_dir):
+    from logtab import parse_logs
+
+    src = os.path.join(tmp_dir, "bad.log")
+    with open(src, "w") as f:
+        f.write('Nov 28 11:39:51 10.0.0.1 +01:00 10.0.0.2 a="1"\n')
+        f.write('Feb 30 00:00:00 10.0.0.1 +01:00 10.0.0.2 a="2"\n')
+    out = os.path.join(tmp_dir, "o")
+    with pytest.raises(Exception, match="impossible date"):
+        parse_logs(spark, src, out=out)
+    assert not os.path.exists(os.path.join(out, "bad.cp.tsv"))
+    res = parse_logs(spark, src, out=os.path.join(tmp_dir, "o2"), on_bad_date="reject")
+    assert res.counts == {"hw": 0, "cp": 1, "na": 1}
