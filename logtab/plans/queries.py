@@ -107,7 +107,7 @@ def year_override(spark, sf_dir):
 
 def tsv_roundtrip(spark, sf_dir):
     path = posixpath.join(storage.scratch_dir(spark, "logtab-q"), "cp.tsv")
-    write_tsv(tabularize(_narrow(spark, sf_dir), CP, keep=["eid"]), path)
+    write_tsv(tabularize(stage(_narrow(spark, sf_dir)), CP, keep=["eid"]), path)
     return read_tsv(spark, path)
 
 
@@ -168,8 +168,9 @@ def union_sources(spark, sf_dir):
     """Two sources with different key sets, tabulated separately and united
     with null fill: ``=``-pair lines in one, ``:``-pair lines in the other."""
     lines = render_lines(table(spark, sf_dir, "events"))
-    a = parse(lines.where(F.col("eid") % 10 < 5))
-    b = parse(lines.where(F.col("eid") % 10 >= 5))
+    # complementary halves: together they are the whole table
+    a = stage(parse(lines.where(F.col("eid") % 10 < 5)))
+    b = stage(parse(lines.where(F.col("eid") % 10 >= 5)))
     return (tabularize(a, HW, keep=["eid"])
             .unionByName(tabularize(b, HW, keep=["eid"]), allowMissingColumns=True))
 
