@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import functools
 import itertools
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Observation
@@ -41,6 +42,9 @@ def check_parsers(parsers: Sequence[LogParser]) -> list[LogParser]:
         raise ValueError(f"duplicate parser names: {sorted(dup)}")
     if REJECT in names:
         raise ValueError(f"parser name {REJECT!r} is reserved for unrecognised lines")
+    bad = [n for n in names if not re.fullmatch(r"[A-Za-z_][A-Za-z0-9_]*", n) or n.startswith("__")]
+    if bad:
+        raise ValueError(f"parser names must be identifiers (they name columns): {bad}")
     return list(parsers)
 
 

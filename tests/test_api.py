@@ -44,6 +44,9 @@ def test_duplicate_parser_names_rejected(spark):
 
     with pytest.raises(ValueError, match="duplicate"):
         parse(_df(spark, ["x"]), parsers=[HW, HW])
+    from logtab import PythonLogParser
+    with pytest.raises(ValueError, match="identifiers"):
+        parse(_df(spark, ["x"]), parsers=[PythonLogParser("a.b", lambda s: {})])
 
 
 def test_headers_exclude_empty_key_and_sort(spark):
