@@ -297,3 +297,13 @@ def test_bad_date_fails_the_job(spark, tmp_dir):
     assert not os.path.exists(os.path.join(out, "bad.cp.tsv"))
     res = parse_logs(spark, src, out=os.path.join(tmp_dir, "o2"), on_bad_date="reject")
     assert res.counts == {"hw": 0, "cp": 1, "na": 1}
+
+
+def test_utf8_bom_is_skipped(spark, tmp_dir):
+    from logtab import parse, read_lines
+
+    path = os.path.join(tmp_dir, "bom.log")
+    with open(path, "wb") as f:
+        f.write(b'\xef\xbb\xbfNov 28 11:39:51 10.0.0.1 +01:00 10.0.0.2 a="1"\nx\n')
+    rows = parse(read_lines(spark, path)).orderBy("_src_row").collect()
+    assert [r.parser for r in rows] == ["cp", "na"]
