@@ -80,9 +80,10 @@ def start_table_sink(narrow: DataFrame, out: str, headers: dict[str, list[str]],
     """Write each micro-batch as wide TSV with fixed ``headers`` (one
     dataset per grammar under ``out``) plus the rejects as text.
 
-    Each batch's files are first written to a folder named after the batch
-    id, so a batch replayed after a failure replaces its own output instead
-    of duplicating it.
+    Each batch's files are written to a folder named after the batch id
+    (``batch=<id>``), so a batch replayed after a failure replaces its own
+    output instead of duplicating it.  Reading a table back with
+    ``read_tsv`` therefore adds a ``batch`` partition column.
     """
     spark = narrow.sparkSession
     opts = dict(TSV_WRITE_OPTIONS)
