@@ -71,7 +71,7 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
 
 def parse(df: DataFrame, col: str = "value", parsers: Sequence[LogParser] = DEFAULT_PARSERS,
           year: int = 2020, on_bad_date: str = "fail", observation: Observation | None = None,
-          min_partitions: int | None = None) -> DataFrame:
+          min_partitions: int | None = None, params: bool = True) -> DataFrame:
     """Route and parse the lines in ``df[col]`` (see module doc).
 
     ``on_bad_date``: a header that matches but names an impossible date
@@ -86,6 +86,10 @@ def parse(df: DataFrame, col: str = "value", parsers: Sequence[LogParser] = DEFA
 
     Inputs with fewer partitions than ``min_partitions`` are spread first
     (see ``spread``); pass ``min_partitions=1`` to never shuffle.
+
+    ``params=False`` skips parameter extraction (each record's ``params`` is
+    null): for callers that only need routes and header fields, since the
+    observe node keeps Catalyst from pruning unused struct fields.
     """
     parsers = check_parsers(parsers)
     if on_bad_date not in BAD_DATE_MODES:
@@ -97,7 +101,7 @@ def parse(df: DataFrame, col: str = "value", parsers: Sequence[LogParser] = DEFA
     keep = list(df.columns)
     df = spread(df, min_partitions)
     app = df.sparkSession.sparkContext.applicationId
-    routing, building = _stages(tuple(parsers), col, year, on_bad_date, app)
+    routing, building = _stages(tuple(parsers), col, year, on_bad_date, app, params)
     for stage in routing + building:
         df = df.withColumns(stage) if isinstance(stage, dict) else df.drop(*stage)
     df = df.select(*keep, "parser", *[p.name for p in parsers], "reject")
@@ -112,7 +116,7 @@ def parse(df: DataFrame, col: str = "value", parsers: Sequence[LogParser] = DEFA
 
 @functools.lru_cache(maxsize=64)
 def _stages(parsers: tuple[LogParser, ...], col: str, year: int, on_bad_date: str,
-            app: str) -> tuple[list[dict[str, Column] | list[str]], list[dict[str, Column] | list[str]]]:
+            app: str, with_params: bool = True) -> tuple[list[dict[str, Column] | list[str]], list[dict[str, Column] | list[str]]]:
     """The projection chain of ``parse`` in two parts (routing, then
     records): lists of ``{name: Column}`` to add (each one projection) or of
     names to drop.
@@ -160,13 +164,17 @@ def _stages(parsers: tuple[LogParser, ...], col: str, year: int, on_bad_date: st
                    "reject": F.when(decided.isNull(), strip(line))})
     routing, stages = stages, []
 
-    specs = {}
-    for i, p in enumerate(parsers):
-        keys, vals = p.pairs(F.col(f"__f{i}"))
-        mine = route == i
-        specs[f"__m{i}"] = (F.when(mine, keys), F.when(mine, vals), p.base_names)
-    map_stages, maps, drop = record_map_stages(specs)
-    stages += map_stages
+    if with_params:
+        specs = {}
+        for i, p in enumerate(parsers):
+            keys, vals = p.pairs(F.col(f"__f{i}"))
+            mine = route == i
+            specs[f"__m{i}"] = (F.when(mine, keys), F.when(mine, vals), p.base_names)
+        map_stages, maps, drop = record_map_stages(specs)
+        stages += map_stages
+    else:
+        maps = {f"__m{i}": F.lit(None).cast("map<string,string>") for i in range(len(parsers))}
+        drop = []
     structs = {}
     for i, p in enumerate(parsers):
         compact, iso = dates[i]

@@ -35,13 +35,13 @@ def route_counts(spark, sf_dir):
 
 
 def cp_header(spark, sf_dir):
-    return records(_narrow(spark, sf_dir), CP, ["eid"]).select(
+    return records(_narrow(spark, sf_dir, params=False), CP, ["eid"]).select(
         "eid", F.col("_a_timestamp").alias("a_timestamp"), F.col("_b_datetime").alias("b_datetime"),
         F.col("_c_interface_1").alias("if1"), F.col("_d_interface_2").alias("if2"))
 
 
 def hw_header(spark, sf_dir):
-    return records(_narrow(spark, sf_dir), HW, ["eid"]).select(
+    return records(_narrow(spark, sf_dir, params=False), HW, ["eid"]).select(
         "eid", F.col("_a_timestamp").alias("a_timestamp"), F.col("_b_datetime").alias("b_datetime"),
         F.col("_c_interface_1").alias("if1"), F.col("_d_interface_2").alias("if2"),
         F.col("_e_event_name").alias("name"), F.col("_f_event_brace_round").alias("round"),
@@ -91,17 +91,17 @@ def rejected_lines(spark, sf_dir):
 
 
 def bad_date_null(spark, sf_dir):
-    n = _narrow(spark, sf_dir, bad_dates=True, on_bad_date="null")
+    n = _narrow(spark, sf_dir, bad_dates=True, on_bad_date="null", params=False)
     return records(n, CP, ["eid"]).select("eid", F.col("_b_datetime").alias("b_datetime"))
 
 
 def bad_date_reject(spark, sf_dir):
-    n = _narrow(spark, sf_dir, bad_dates=True, on_bad_date="reject")
+    n = _narrow(spark, sf_dir, bad_dates=True, on_bad_date="reject", params=False)
     return n.groupBy("parser").agg(F.count(F.lit(1)).alias("n"))
 
 
 def year_override(spark, sf_dir):
-    n = _narrow(spark, sf_dir, year=2024)
+    n = _narrow(spark, sf_dir, year=2024, params=False)
     return records(n, HW, ["eid"]).select("eid", F.col("_b_datetime").alias("b_datetime"))
 
 

@@ -204,3 +204,14 @@ def test_configure_respects_user_setting(spark):
         spark.conf.unset(key)
         if before is not None:
             spark.conf.set(key, before)
+
+
+def test_parse_without_params(spark):
+    from logtab import CP, parse, records
+
+    n = parse(_df(spark, [CP_LINE + 'a="1"', "junk"]), params=False)
+    plan = records(n, CP)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan
+    r = records(n, CP).collect()[0]
+    assert r._c_interface_1 == "10.0.0.1" and r.params is None
+    assert [x.parser for x in n.orderBy("id").collect()] == ["cp", "na"]
