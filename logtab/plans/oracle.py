@@ -176,4 +176,8 @@ SELECT parser, CAST(sum(n) AS BIGINT) AS n FROM (
 
     "stream_cp_table": f"""WITH {E}
 SELECT {CP_WIDE_COLS} FROM e WHERE shape IN (7, 8)""",
+
+    "job_hw_table": f"WITH {E} SELECT {HW_WIDE_COLS} FROM e WHERE shape < 7",
+
+    "job_rejects": f"WITH {E} SELECT concat('junk ', eid, ' ', event_type) AS value FROM e WHERE shape = 9",
 }

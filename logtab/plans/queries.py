@@ -231,6 +231,25 @@ def stream_cp_table(spark, sf_dir):
     return read_tsv(spark, posixpath.join(out, "s.cp.tsv")).drop("batch")
 
 
+def _job_output(spark, sf_dir):
+    """Run the whole file job on the rendered lines (one text log under the
+    scratch folder) and return its result."""
+    from logtab.plans.tabulate import parse_logs
+
+    path = _rendered_file(spark, sf_dir, ["eid"])
+    return parse_logs(spark, path, out=posixpath.join(storage.scratch_dir(spark, "logtab-q"), "out"))
+
+
+def job_hw_table(spark, sf_dir):
+    """The hw TSV written by ``parse_logs``, read back (all strings)."""
+    return read_tsv(spark, _job_output(spark, sf_dir).tables["hw"])
+
+
+def job_rejects(spark, sf_dir):
+    """The reject file written by ``parse_logs``, read back."""
+    return spark.read.text(_job_output(spark, sf_dir).rejects)
+
+
 QUERIES: dict[str, Query] = {
     "route_counts": route_counts,
     "cp_header": cp_header,
@@ -256,4 +275,6 @@ QUERIES: dict[str, Query] = {
     "mixed_route_counts": mixed_route_counts,
     "stream_route_counts": stream_route_counts,
     "stream_cp_table": stream_cp_table,
+    "job_hw_table": job_hw_table,
+    "job_rejects": job_rejects,
 }
