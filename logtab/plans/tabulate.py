@@ -156,18 +156,19 @@ def _run(spark, srcs, out, base, ext, parsers, year, on_bad_date, writer, keep_r
     narrow = parse(lines, parsers=parsers, year=year, on_bad_date=on_bad_date, observation=obs)
 
     staging = posixpath.join(out, ".records") if keep_records else storage.scratch_dir(spark, "logtab-stage")
-    # the raw line is not staged: rejects carry their stripped text already
-    narrow.drop("value").write.mode("errorifexists").parquet(staging)
-    counts = {k: int(v) for k, v in obs.get.items()}
-    parts = sort_partitions(spark, storage.size_of(spark, staging), counts) if preserve_order else {}
-    res = tabulate_records(spark, spark.read.parquet(staging), out, base, ext, parsers, writer,
-                           keep_keys=keep_records, preserve_order=preserve_order, single_file=single_file,
-                           max_columns=max_columns, partitions=parts)
+    try:
+        # the raw line is not staged: rejects carry their stripped text already
+        narrow.drop("value").write.mode("errorifexists").parquet(staging)
+        counts = {k: int(v) for k, v in obs.get.items()}
+        parts = sort_partitions(spark, storage.size_of(spark, staging), counts) if preserve_order else {}
+        res = tabulate_records(spark, spark.read.parquet(staging), out, base, ext, parsers, writer,
+                               keep_keys=keep_records, preserve_order=preserve_order, single_file=single_file,
+                               max_columns=max_columns, partitions=parts)
+    finally:
+        if not keep_records:  # scratch records never outlive the job, failed or not
+            storage.delete(spark, staging)
     res.counts = counts
-    if keep_records:
-        res.records = staging
-    else:
-        storage.delete(spark, staging)
+    res.records = staging if keep_records else None
     return res
 
 
