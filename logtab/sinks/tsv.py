@@ -75,8 +75,12 @@ def read_tsv(spark: SparkSession, path: str | Sequence[str], infer_schema: bool
     df = spark.read.options(**opts).csv(path)
     if na_values:
         na = list(na_values)
-        df = df.select(*[F.when(F.col(f"`{c}`").isin(na), None).otherwise(F.col(f"`{c}`")).alias(c)
-                         for c in df.columns])
+        names = df.columns
+        # positional names, so any header (backticks, case twins) is safe
+        slots = [f"c{i}" for i in range(len(names))]
+        df = (df.toDF(*slots)
+              .select(*[F.when(F.col(c).isin(na), None).otherwise(F.col(c)).alias(c) for c in slots])
+              .toDF(*names))
     return df
 
 

@@ -215,3 +215,13 @@ def test_parse_without_params(spark):
     r = records(n, CP).collect()[0]
     assert r._c_interface_1 == "10.0.0.1" and r.params is None
     assert [x.parser for x in n.orderBy("id").collect()] == ["cp", "na"]
+
+
+def test_read_tsv_na_tokens_odd_names(spark, tmp_dir):
+    from logtab import PANDAS_NA_VALUES, read_tsv, write_tsv
+
+    df = spark.createDataFrame([("NA", "x")], "`we``ird` string, `a.b` string")
+    path = os.path.join(tmp_dir, "odd.tsv")
+    write_tsv(df, path)
+    back = read_tsv(spark, path, na_values=PANDAS_NA_VALUES)
+    assert back.columns == ["we`ird", "a.b"] and [tuple(r) for r in back.collect()] == [(None, "x")]
