@@ -206,7 +206,14 @@ def tabulate_records(spark: SparkSession, staged: DataFrame, out: str, base: str
         (spark.createDataFrame(keys, "parser string, position int, key string")
          .coalesce(1).write.parquet(posixpath.join(out, ".keys")))
 
-    order = [c for c in ORDER_COLS if c in staged.columns] if preserve_order else []
+    order = []
+    if preserve_order:
+        # reserved names, so a log key such as ``_src_row`` cannot collide
+        # with the order key in the wide table
+        present = [c for c in ORDER_COLS if c in staged.columns]
+        order = [f"__logtab{c}" for c in present]
+        for c, o in zip(present, order):
+            staged = staged.withColumnRenamed(c, o)
     tables = {}
     for p in parsers:
         wide = tabularize(staged, p, hdrs[p.name], keep=order)

@@ -307,3 +307,14 @@ def test_utf8_bom_is_skipped(spark, tmp_dir):
         f.write(b'\xef\xbb\xbfNov 28 11:39:51 10.0.0.1 +01:00 10.0.0.2 a="1"\nx\n')
     rows = parse(read_lines(spark, path)).orderBy("_src_row").collect()
     assert [r.parser for r in rows] == ["cp", "na"]
+
+
+def test_log_key_named_like_order_column(spark, tmp_dir):
+    from logtab import parse_logs
+
+    src = os.path.join(tmp_dir, "k.log")
+    with open(src, "w") as f:
+        f.write('Nov 28 11:39:51 10.0.0.1 +01:00 10.0.0.2 _src_row="7" _src_file="x"\n')
+    res = parse_logs(spark, src, out=os.path.join(tmp_dir, "o"))
+    header, rows = _tsv_rows(res.tables["cp"])
+    assert "_src_row" in header and rows[0][header.index("_src_row")] == "7"
