@@ -34,10 +34,15 @@ MAX_BROADCAST_PARTITIONS = 2_000_000
 NUMBERED_NAME = r"^.*?(\d+)(?:\.[^.]*)?$"
 
 
+# Compression suffixes Spark's text source reads through; not part of a name.
+COMPRESSED = r"\.(?:gz|bz2|zst|lz4|snappy|deflate)$"
+
+
 def natural_key(name: Column) -> Column:
-    """Integer id at the end of a file name (before its extension); fails the
-    job on a name without one, since such a name has no place in the order."""
-    digits = F.regexp_extract(name, NUMBERED_NAME, 1)
+    """Integer id at the end of a file name (before its extension and any
+    compression suffix); fails the job on a name without one, since such a
+    name has no place in the order."""
+    digits = F.regexp_extract(F.regexp_replace(name, COMPRESSED, ""), NUMBERED_NAME, 1)
     return F.when(digits != "", digits.cast("bigint")).otherwise(
         F.raise_error(F.concat(F.lit("file name has no numeric id: "), name)).cast("bigint"))
 

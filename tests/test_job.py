@@ -318,3 +318,14 @@ def test_log_key_named_like_order_column(spark, tmp_dir):
     res = parse_logs(spark, src, out=os.path.join(tmp_dir, "o"))
     header, rows = _tsv_rows(res.tables["cp"])
     assert "_src_row" in header and rows[0][header.index("_src_row")] == "7"
+
+
+def test_natural_key_with_compression_suffix(spark):
+    from pyspark.sql import functions as F
+
+    from logtab import natural_key
+
+    names = ["chunk_1.log", "chunk_12.log.gz", "app.log.3.bz2", "x7", "fw_10.log.zst"]
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    got = [r.k for r in df.select(natural_key(F.col("n")).alias("k")).collect()]
+    assert got == [1, 12, 3, 7, 10]
