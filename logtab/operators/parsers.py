@@ -69,10 +69,6 @@ class LogParser(ABC):
     def base_names(self) -> list[str]:
         return [n for n, _ in self.base_fields]
 
-    def record_type(self) -> T.StructType:
-        fields = [T.StructField(n, T._parse_datatype_string(t)) for n, t in self.base_fields]
-        return T.StructType(fields + [T.StructField("params", T.MapType(T.StringType(), T.StringType()))])
-
     def __repr__(self) -> str:
         return f"{type(self).__name__}({self.name!r})"
 
