@@ -144,3 +144,9 @@ def test_leap_day_depends_on_year(spark):
 def test_unicode_digits_in_stamp(spark):
     p, r = one(spark, 'Nov 2٨ 11:39:51 10.0.0.1 +01:00 10.0.0.2 a="1"')
     assert p == "cp" and r["_b_datetime"] == "2020-11-28 11:39:51"
+
+
+def test_key_holding_the_internal_separator(spark):
+    # the fast strip joins keys with U+0001; such a key must take the exact path
+    p, r = one(spark, H + 'a\x01b="1" c="2"  a\x01b="3"')
+    assert p == "cp" and r["params"] == {"a\x01b": "3", "c": "2"}
