@@ -33,15 +33,36 @@ class TooManyColumns(ValueError):
     pass
 
 
-def _params(narrow: DataFrame, parsers: Sequence[LogParser]) -> Column:
-    present = [p for p in parsers if p.name in narrow.columns]
-    return F.coalesce(*[F.col(p.name).getField("params") for p in present])
+def _params(narrow: DataFrame, parsers: Sequence[LogParser | str]) -> Column:
+    names = [p if isinstance(p, str) else p.name for p in parsers]
+    present = [n for n in names if n in narrow.columns]
+    return F.coalesce(*[F.col(n).getField("params") for n in present])
+
+
+def grammar_columns(narrow: DataFrame) -> list[str]:
+    """Names of the per-grammar record columns (structs with a params map)."""
+    return [f.name for f in narrow.schema.fields
+            if isinstance(f.dataType, T.StructType) and "params" in f.dataType.fieldNames()]
+
+
+# Staged records carry each row's parameter keys in this column too, so key
+# discovery reads a small, dictionary-encoded array instead of whole maps
+# (Parquet cannot read a map's keys without its values).
+KEYS = "_param_keys"
+
+
+def param_keys(narrow: DataFrame) -> Column:
+    """The row's parameter keys (``map_keys`` of its grammar's params), for
+    every grammar column present."""
+    return F.map_keys(_params(narrow, grammar_columns(narrow)))
 
 
 def distinct_keys(narrow: DataFrame, parsers: Sequence[LogParser] = DEFAULT_PARSERS) -> DataFrame:
     """``(parser, key)`` for every non-empty parameter key, distinct (A1/A2)."""
-    return (narrow.where(F.col("parser") != REJECT)
-            .select("parser", F.explode(F.map_keys(_params(narrow, parsers))).alias("key"))
+    names = [p.name for p in parsers]
+    keys = F.col(KEYS) if KEYS in narrow.columns else F.map_keys(_params(narrow, parsers))
+    return (narrow.where(F.col("parser").isin(names))
+            .select("parser", F.explode(keys).alias("key"))
             .where(F.col("key") != "")
             .distinct())
 

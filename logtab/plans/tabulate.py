@@ -32,7 +32,8 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 
 from logtab.operators.parsers import DEFAULT_PARSERS, LogParser
 from logtab.operators.route import REJECT, check_parsers, parse, rejects
-from logtab.operators.tabularize import DEFAULT_MAX_COLUMNS, headers, tabularize
+from logtab.operators.tabularize import (DEFAULT_MAX_COLUMNS, KEYS, grammar_columns, headers, param_keys,
+                                         tabularize)
 from logtab.plans import storage
 from logtab.sinks.tsv import Writer, write_lines, write_tsv
 from logtab.sources.lines import ORDER_COLS, in_order, read_lines
@@ -157,8 +158,10 @@ def _run(spark, srcs, out, base, ext, parsers, year, on_bad_date, writer, keep_r
 
     staging = posixpath.join(out, ".records") if keep_records else storage.scratch_dir(spark, "logtab-stage")
     try:
-        # the raw line is not staged: rejects carry their stripped text already
-        narrow.drop("value").write.mode("errorifexists").parquet(staging)
+        # the raw line is not staged (rejects carry their stripped text); the
+        # key list is, for a cheap key discovery
+        (narrow.drop("value").withColumn(KEYS, param_keys(narrow))
+         .write.mode("errorifexists").parquet(staging))
         counts = {k: int(v) for k, v in obs.get.items()}
         parts = sort_partitions(spark, storage.size_of(spark, staging), counts) if preserve_order else {}
         res = tabulate_records(spark, spark.read.parquet(staging), out, base, ext, parsers, writer,
@@ -239,6 +242,8 @@ def stage(narrow: DataFrame, path: str | None = None) -> DataFrame:
     """
     spark = narrow.sparkSession
     path = path or storage.scratch_dir(spark, "logtab-stage")
+    if grammar_columns(narrow):
+        narrow = narrow.withColumn(KEYS, param_keys(narrow))
     narrow.drop("value").write.mode("errorifexists").parquet(path)
     return spark.read.parquet(path)
 

@@ -225,3 +225,19 @@ def test_read_tsv_na_tokens_odd_names(spark, tmp_dir):
     write_tsv(df, path)
     back = read_tsv(spark, path, na_values=PANDAS_NA_VALUES)
     assert back.columns == ["we`ird", "a.b"] and [tuple(r) for r in back.collect()] == [(None, "x")]
+
+
+def test_staged_keys_cover_custom_grammars(spark):
+    from logtab import CP, HW, PythonLogParser, headers, parse, stage
+
+    def kv(line):
+        return dict(p.split("=", 1) for p in line[3:].split()) if line.startswith("kv ") else None
+
+    junk = PythonLogParser("kv", kv)
+    n = parse(_df(spark, ["kv z=1 y=2", CP_LINE + 'a="1"']), parsers=[HW, CP, junk])
+    staged = stage(n)
+    assert "_param_keys" in staged.columns
+    h = headers(staged, [HW, CP, junk])
+    assert h["kv"] == ["y", "z"] and h["cp"][-1] == "a"
+    plan = staged.select("parser", "_param_keys")._jdf.queryExecution().optimizedPlan().toString()
+    assert "params" not in plan

@@ -15,7 +15,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from pyspark.sql import SparkSession  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
-from logtab import CP, HW, headers, parse, read_lines, rejects, tabularize  # noqa: E402
+from logtab import CP, HW, headers, parse, read_lines, rejects, stage, tabularize  # noqa: E402
 from logtab.plans.fixtures import render_lines, table  # noqa: E402
 from logtab.sources.lines import ORDER_COLS, in_order  # noqa: E402
 
@@ -46,10 +46,9 @@ def main() -> None:
     narrow = parse(read_lines(spark, f"{tmp}/src"))
     print("# Physical plans of the end-to-end job (`tools/show_plans.py`)\n")
     show(spark, "1. parse and stage (text scan → projections → Parquet)", narrow.drop("value"))
-    narrow.drop("value").write.parquet(f"{tmp}/staged")
-    staged = spark.read.parquet(f"{tmp}/staged")
+    staged = stage(narrow, f"{tmp}/staged")
     from logtab.operators.tabularize import distinct_keys
-    show(spark, "2. key discovery (partial distinct; only parser + params maps read)",
+    show(spark, "2. key discovery (partial distinct; only parser + the staged key arrays read)",
          distinct_keys(staged))
     hdr = headers(staged)
     show(spark, "3a. wide hw table in source order (filter pushed, one struct read)",
