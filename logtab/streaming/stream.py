@@ -29,7 +29,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from logtab.operators.parsers import DEFAULT_PARSERS, LogParser
 from logtab.operators.route import REJECT, parse, rejects
-from logtab.operators.tabularize import tabularize
+from logtab.operators.tabularize import KEYS, grammar_columns, param_keys, tabularize
 from logtab.plans import storage
 from logtab.sinks.tsv import TSV_WRITE_OPTIONS
 
@@ -64,8 +64,11 @@ def _checkpoint(spark: SparkSession, given: str | None, label: str) -> str:
 
 def start_records_sink(narrow: DataFrame, path: str, checkpoint: str | None = None,
                        trigger: dict | None = None) -> StreamingQuery:
-    """Append narrow records to a Parquet store at ``path``."""
+    """Append narrow records to a Parquet store at ``path`` (with each row's
+    key list, for a cheap key discovery by ``tabulate_records``)."""
     spark = narrow.sparkSession
+    if grammar_columns(narrow):
+        narrow = narrow.withColumn(KEYS, param_keys(narrow))
     w = (narrow.writeStream.format("parquet").outputMode("append")
          .option("checkpointLocation", _checkpoint(spark, checkpoint, "records-ckpt"))
          .queryName(f"logtab_records_{next(_ids)}"))
