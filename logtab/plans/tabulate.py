@@ -238,7 +238,9 @@ def stage(narrow: DataFrame, path: str | None = None) -> DataFrame:
     Use before running several jobs over the same records (header discovery,
     then wide tables): each then reads Parquet instead of re-parsing, and a
     lost executor costs a re-read rather than a re-parse.  The raw line is
-    not staged (rejects keep their stripped text).
+    not staged (rejects keep their stripped text); a ``_param_keys`` column
+    with each row's parameter keys is added, which ``headers`` reads instead
+    of the maps.
     """
     spark = narrow.sparkSession
     path = path or storage.scratch_dir(spark, "logtab-stage")
