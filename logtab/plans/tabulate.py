@@ -182,15 +182,17 @@ SORT_PARTITION_BYTES = 64 * 1024 * 1024
 
 def sort_partitions(spark: SparkSession, staged_bytes: int | None, counts: dict[str, int] | None
                     ) -> dict[str, int]:
-    """Sort partitions per output: the output's share of the staged bytes
-    (by its line count) over ``SORT_PARTITION_BYTES``, and never fewer than
-    ``spark.sql.shuffle.partitions``.  Empty when the size is unknown."""
+    """Sort partitions for outputs too big for ``spark.sql.shuffle.partitions``:
+    the output's share of the staged bytes (by its line count) over
+    ``SORT_PARTITION_BYTES``.  Outputs that fit are left out, so their sort
+    keeps the session default, which adaptive execution may coalesce for
+    small data (an explicit count would not be)."""
     if not staged_bytes or not counts:
         return {}
     floor = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     total = max(1, sum(counts.values()))
-    return {name: max(floor, -(-staged_bytes * n // total) // SORT_PARTITION_BYTES)
-            for name, n in counts.items()}
+    need = {name: -(-staged_bytes * n // total) // SORT_PARTITION_BYTES for name, n in counts.items()}
+    return {name: n for name, n in need.items() if n > floor}
 
 
 def tabulate_records(spark: SparkSession, staged: DataFrame, out: str, base: str, ext: str = ".log",
