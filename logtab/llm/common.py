@@ -52,3 +52,35 @@ def same(*pairs: tuple[Column, Column]) -> Column:
 def row_key(text: Column) -> Column:
     """Tells rows that share an id but not a text apart."""
     return F.xxhash64(F.coalesce(text, F.lit("")), text.isNull())
+
+
+SIEVE_BITS = 24
+
+
+def sieve(rows: DataFrame, value: Column, wanted: DataFrame, bits: int = SIEVE_BITS) -> tuple[DataFrame, Column]:
+    """Mark rows whose 64-bit ``value`` may be among ``wanted`` (one bigint
+    column): never misses one, lets others through by chance.
+
+    The wanted values' lowest bits are drawn into a bitmap of ``2^bits``
+    bits, at most 2 MB by default whatever the input, which is broadcast.
+    Returns the rows with the bitmap joined on and the test; callers follow
+    it by an exact join, so the bitmap only saves shuffling.
+    """
+    page, cell = 15, (1 << 15) - 1  # bitmap_construct_agg draws pages of 32,768 bits
+
+    def place(v: Column) -> tuple[Column, Column]:
+        low = v.bitwiseAND(F.lit((1 << bits) - 1))
+        return F.shiftright(low, page).cast("int"), low.bitwiseAND(F.lit(cell))
+
+    at, bit = place(F.col(wanted.columns[0]))
+    drawn = (wanted.select(at.alias("__page"), bit.alias("__bit")).distinct()
+             .groupBy("__page").agg(F.bitmap_construct_agg("__bit").alias("__bitmap")))
+    at, bit = place(value)
+    marked = rows.withColumn("__at", at).withColumn("__cell", bit)
+    marked = marked.join(F.broadcast(drawn), F.col("__at") == F.col("__page"), "left")
+    byte = F.conv(F.hex(F.expr("substring(__bitmap, cast(shiftright(__cell, 3) as int) + 1, 1)")), 16, 10).cast("int")
+    hit = F.expr("shiftleft(1, cast(__cell & 7 as int))").bitwiseAND(byte) != 0
+    return marked.drop("__at", "__page"), F.coalesce(hit, F.lit(False))
+
+
+SIEVE_COLUMNS = ("__cell", "__bitmap")
