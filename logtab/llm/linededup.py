@@ -93,6 +93,11 @@ def common_run(a: Column, b: Column, most: Column, from_end: bool) -> Column:
     return F.aggregate(steps, F.lit(0), descend)
 
 
+def bind(value: Column, body) -> Column:
+    """A let-binding: evaluates ``value`` once for all its uses in ``body``."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def banded_distance(a: Column, b: Column, edits: int) -> Column:
     """Edit distance of two arrays of characters whose sizes differ by at
     most ``edits``: exact up to ``edits``, some larger number beyond.
@@ -129,10 +134,6 @@ def banded_distance(a: Column, b: Column, edits: int) -> Column:
                 .otherwise((s["hp"].bitwiseAND(row) != 0).cast("int") - (s["hn"].bitwiseAND(row) != 0).cast("int")))
         return F.struct(vp.alias("vp"), vn.alias("vn"), (s["score"] + step).alias("score"))
 
-    def bind(value: Column, body) -> Column:
-        """A let-binding: evaluates ``value`` once for all its uses."""
-        return F.get(F.transform(F.array(value), body), F.lit(0))
-
     start = F.struct(F.lit(((1 << (edits + 1)) - 1) << edits).alias("vp"), F.lit(0).alias("vn"),
                      F.least(n_a, F.lit(edits)).alias("score"))
     columns = F.when(F.size(b) > 0, F.sequence(F.lit(1), F.size(b))).otherwise(F.array().cast("array<int>"))
@@ -152,8 +153,9 @@ def with_distance(pairs: DataFrame, a: str, b: str, edits: int, name: str) -> Da
     na, nb = F.char_length("__ma"), F.char_length("__mb")
     chars = [F.when(F.char_length(m) > 0, F.regexp_extract_all(m, F.lit("(?s)."), 0)).otherwise(F.array().cast("array<string>"))
              for m in ("__ma", "__mb")]
-    d = F.when(F.abs(na - nb) <= edits, banded_distance(*chars, edits))
-    return cut.withColumn(name, F.when(d <= edits, d)).drop("__pre", "__suf", "__ma", "__mb")
+    walked = bind(F.struct(chars[0].alias("a"), chars[1].alias("b")), lambda s: banded_distance(s["a"], s["b"], edits))
+    d = F.when(F.abs(na - nb) <= edits, walked)
+    return cut.withColumn(name, bind(d, lambda v: F.when(v <= edits, v))).drop("__pre", "__suf", "__ma", "__mb")
 
 
 # --- the operator --------------------------------------------------------------
