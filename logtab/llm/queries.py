@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logtab.llm.common import materialise
 from logtab.llm.linededup import dedup_lines
+from logtab.llm.mixing import mixed, profile
+from logtab.llm.packing import pack, text_cluster, word_count
 from logtab.llm.quality import judged
 from logtab.llm.simhash import simhash_groups
 
@@ -26,6 +29,17 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         "base_failed", "kept", "distance")
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pack(docs, "doc_id", word_count(F.col("text")), F.col("source"), text_cluster(F.col("text")))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's topic, probability and draw."""
+    rows = materialise(profile(table(spark, sf_dir, "documents")), "mix-profile")
+    return mixed(rows).withColumnRenamed("id", "doc_id").drop("key")
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its remaining text and its counts."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -35,6 +49,8 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash": op3_simhash,
     "op4_quality": op4_quality,
+    "op5_packing": op5_packing,
+    "op7_mixing": op7_mixing,
     "op9_line_dedup": op9_line_dedup,
 }
 
