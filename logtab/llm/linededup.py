@@ -5,6 +5,8 @@ DataFrame functions only; no Python runs on the executors.
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -105,7 +107,8 @@ def banded_distance(a: Column, b: Column, edits: int) -> Column:
     Bit-parallel over a diagonal band: bit ``o`` of a word stands for row
     ``j - edits + o`` of column ``j``; ``vp`` and ``vn`` hold the rises and
     falls down a column.  The score follows the band's lower edge until the
-    last row and that row from there on.
+    last row and that row from there on.  Once the whole column is beyond
+    ``edits`` the walk stands still.
     """
     width = 2 * edits + 1
     full = (1 << width) - 1
@@ -136,14 +139,32 @@ def banded_distance(a: Column, b: Column, edits: int) -> Column:
 
     start = F.struct(F.lit(((1 << (edits + 1)) - 1) << edits).alias("vp"), F.lit(0).alias("vn"),
                      F.least(n_a, F.lit(edits)).alias("score"))
+    def step_on(acc: Column, j: Column) -> Column:
+        # no cell of the column is below score - rises, and cells only grow along a path
+        alive = acc["score"] - F.bit_count(acc["vp"]) <= edits
+        return F.when(alive, bind(bind(column(acc, j), rises), settle)).otherwise(acc)
+
     columns = F.when(F.size(b) > 0, F.sequence(F.lit(1), F.size(b))).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(columns, start, lambda acc, j: bind(bind(column(acc, j), rises), settle), lambda acc: acc["score"])
+    return F.aggregate(columns, start, step_on, lambda acc: acc["score"])
+
+
+def letters_apart(a: Column, b: Column) -> Column:
+    """Sum over a-z of how often each letter stands more in one string than
+    in the other: at most twice the edit distance."""
+    def times(s: Column, letter: str) -> Column:
+        return F.char_length(s) - F.char_length(F.replace(s, F.lit(letter), F.lit("")))
+
+    total = F.lit(0)
+    for letter in string.ascii_lowercase:
+        total = total + F.abs(times(a, letter) - times(b, letter))
+    return total
 
 
 def with_distance(pairs: DataFrame, a: str, b: str, edits: int, name: str) -> DataFrame:
     """Add ``name``: the edit distance of columns ``a`` and ``b`` up to
     ``edits`` (beyond: null).  Common ends are cut off first, which leaves
-    the distance as it is; only what lies between them is walked."""
+    the distance as it is; what lies between them is walked unless its
+    letter counts alone are too far apart."""
     la, lb = F.char_length(a), F.char_length(b)
     cut = pairs.withColumn("__pre", common_run(F.col(a), F.col(b), F.least(la, lb), False))
     cut = cut.withColumn("__suf", common_run(F.col(a), F.col(b), F.least(la, lb) - F.col("__pre"), True))
@@ -154,7 +175,7 @@ def with_distance(pairs: DataFrame, a: str, b: str, edits: int, name: str) -> Da
     chars = [F.when(F.char_length(m) > 0, F.regexp_extract_all(m, F.lit("(?s)."), 0)).otherwise(F.array().cast("array<string>"))
              for m in ("__ma", "__mb")]
     walked = bind(F.struct(chars[0].alias("a"), chars[1].alias("b")), lambda s: banded_distance(s["a"], s["b"], edits))
-    d = F.when(F.abs(na - nb) <= edits, walked)
+    d = F.when((F.abs(na - nb) <= edits) & (letters_apart(F.col("__ma"), F.col("__mb")) <= 2 * edits), walked)
     return cut.withColumn(name, bind(d, lambda v: F.when(v <= edits, v))).drop("__pre", "__suf", "__ma", "__mb")
 
 

@@ -7,18 +7,32 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logtab.llm import pii, secrets
+from logtab.llm.chat import perspectives
 from logtab.llm.common import materialise
+from logtab.llm.embeddings import near_vectors
 from logtab.llm.linededup import dedup_lines
 from logtab.llm.mixing import mixed, profile
 from logtab.llm.packing import pack, text_cluster, word_count
 from logtab.llm.quality import judged
+from logtab.llm.oracle import SQL
 from logtab.llm.simhash import simhash_groups
+from logtab.llm.spans import digest
+from logtab.llm.urls import filter_urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(secrets.find_secrets(table(spark, sf_dir, "documents")), "doc_id", secrets.BASE)
+
+
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(pii.find_personal_data(table(spark, sf_dir, "documents")), "doc_id", pii.BASE)
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
@@ -34,24 +48,35 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(docs, "doc_id", word_count(F.col("text")), F.col("source"), text_cluster(F.col("text")))
 
 
+def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(table(spark, sf_dir, "pages")).drop("n_candidates")
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's topic, probability and draw."""
     rows = materialise(profile(table(spark, sf_dir, "documents")), "mix-profile")
     return mixed(rows).withColumnRenamed("id", "doc_id").drop("key")
 
 
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every perspective; the trained stretches as text."""
+    spans = F.transform("spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string")))
+    return perspectives(table(spark, sf_dir, "conversations")).withColumn("spans", F.array_join(spans, ","))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its remaining text and its counts."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return dedup_lines(docs, counts=True)
 
 
+def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op3_simhash": op3_simhash,
-    "op4_quality": op4_quality,
-    "op5_packing": op5_packing,
-    "op7_mixing": op7_mixing,
-    "op9_line_dedup": op9_line_dedup,
+    f.__name__: f for f in (op1_secrets, op2_pii, op3_simhash, op4_quality, op5_packing, op6_urls, op7_mixing, op8_chat,
+                            op9_line_dedup, op10_embeddings)
 }
 
-SQL: dict[str, str] = {}
+__all__ = ["QUERIES", "SQL"]

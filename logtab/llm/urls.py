@@ -80,8 +80,8 @@ def pattern_regex(pattern: str) -> str:
     body = pattern.lower()
     start, end = body.startswith("|"), body.endswith("|") and len(body) > 1
     body = body[start:len(body) - end]
-    parts = {"*": r"[\s\S]*", "^": rf"(?:[^{WORD_CHARS}_.%-]|$)"}
-    return "^" * start + "".join(parts.get(c, re.escape(c)) for c in body) + "$" * end
+    parts = {"*": r"[\s\S]*", "^": rf"(?:[^{WORD_CHARS}_.%-]|\z)"}
+    return "^" * start + "".join(parts.get(c, re.escape(c)) for c in body) + r"\z" * end
 
 
 def pattern_tokens(pattern: str) -> list[str]:
