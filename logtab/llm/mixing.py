@@ -86,17 +86,17 @@ def rake(rows: DataFrame, targets: Mapping[str, DataFrame], tokens: str = "token
             raise ValueError(f"no positive target for any category of {d}")
         goals[d] = goals[d].withColumn("target", F.col("target") * F.lit(total / (scale or 1.0)))
     for _ in range(max_sweeps):
-        worst = 0.0
+        cells = cells.withColumn("off", F.lit(0.0))
         for d in dims:
-            now = cells.groupBy(F.col(d).alias("__value")).agg(F.sum(F.col("tokens") * F.col("weight")).alias("now"))
-            factor = now.alias("n").join(goals[d].alias("t"), same((F.col("n.__value"), F.col("t.__value"))), "left").select(
-                F.col("n.__value").alias("__value"), "now",
+            now = cells.groupBy(F.col(d).alias("__now")).agg(F.sum(F.col("tokens") * F.col("weight")).alias("now"))
+            factor = now.join(goals[d], same((F.col("__now"), F.col("__value"))), "left").select(
+                F.col("__now").alias("__value"),
                 F.when(F.col("now") > 0, F.coalesce("target", F.lit(0.0)) / F.col("now")).otherwise(0.0).alias("factor"))
-            factor = materialise(factor, "mix-factor")
-            off = factor.where("factor > 0").agg(F.max(F.abs(1 / F.col("factor") - 1))).first()[0]
-            worst = max(worst, off or 0.0)
-            cells = materialise(cells.join(factor, same((F.col(d), F.col("__value"))))
-                                .select(*dims, "tokens", (F.col("weight") * F.col("factor")).alias("weight")), "mix-cells")
+            off = F.when(F.col("factor") > 0, F.abs(1 / F.col("factor") - 1)).otherwise(0.0)
+            cells = materialise(cells.join(factor, same((F.col(d), F.col("__value")))).select(
+                *dims, "tokens", (F.col("weight") * F.col("factor")).alias("weight"), F.greatest("off", off).alias("off")), "mix-cells")
+        worst = cells.agg(F.max("off")).first()[0] or 0.0
+        cells = cells.drop("off")
         if worst <= tolerance:
             break
     return cells

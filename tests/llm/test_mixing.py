@@ -42,19 +42,19 @@ def test_rake_and_draw(spark):
     rows, df = make(spark)
     cells, w = slow_rake(rows, [0.7, 0.7, 0.5])
     targets = {d: mx.tempered(df, d, e) for d, e in mx.EXPONENTS.items()}
-    got = {(r.source, r.lang, r.topic): r for r in mx.rake(df, targets, tolerance=1e-9).collect()}
+    got = {(r.source, r.lang, r.topic): r for r in mx.rake(df, targets, tolerance=1e-5).collect()}
     assert got.keys() == cells.keys()
     for k, r in got.items():
-        assert r.tokens == cells[k] and abs(r.weight - w[k]) < 1e-6 * w[k]
-    out = mx.mixed(df, keep=0.8, tolerance=1e-9)
+        assert r.tokens == cells[k] and abs(r.weight - w[k]) < 1e-3 * w[k]
+    out = mx.mixed(df, keep=0.8, tolerance=1e-5)
     drawn = out.collect()
     assert out.columns == [*df.columns, "probability", "kept"] and len(drawn) == len(rows)
     expected = sum(r.probability * r.tokens for r in drawn)
     assert abs(expected - 0.8 * sum(cells.values())) < 1e-6 * expected
     free = [(r.probability / w[r.source, r.lang, r.topic]) for r in drawn if r.tokens and r.probability < 1]
-    assert np.ptp(free) < 1e-6 * free[0]  # one factor for all that is not certain
-    assert all(w[r.source, r.lang, r.topic] * free[0] > 0.999999 for r in drawn if r.tokens and r.probability == 1)
-    again = {r.id: r.kept for r in mx.mixed(df.repartition(7), keep=0.8, tolerance=1e-9).collect()}
+    assert np.ptp(free) < 1e-3 * free[0]  # one factor for all that is not certain
+    assert all(w[r.source, r.lang, r.topic] * free[0] > 0.999 for r in drawn if r.tokens and r.probability == 1)
+    again = {r.id: r.kept for r in mx.mixed(df.repartition(7), keep=0.8, tolerance=1e-5).collect()}
     assert again == {r.id: r.kept for r in drawn}
     assert abs(np.mean([r.kept for r in drawn]) - np.mean([r.probability for r in drawn])) < 0.06
 
