@@ -161,22 +161,27 @@ def letters_apart(a: Column, b: Column) -> Column:
 
 
 def with_distance(pairs: DataFrame, a: str, b: str, edits: int, name: str) -> DataFrame:
-    """Add ``name``: the edit distance of columns ``a`` and ``b`` up to
-    ``edits`` (beyond: null).  Common ends are cut off first, which leaves
-    the distance as it is; what lies between them is walked unless its
-    letter counts alone are too far apart."""
+    """Rows of ``pairs`` within ``edits``, with their edit distance as
+    ``name`` in place of the two strings.
+
+    Common ends are cut off first, which leaves the distance as it is; what
+    lies between them is walked unless its letter counts alone are too far
+    apart.  Each step is written before the next: a filter on a computed
+    column would otherwise be pushed below and compute it again for each use.
+    """
     la, lb = F.char_length(a), F.char_length(b)
     cut = pairs.withColumn("__pre", common_run(F.col(a), F.col(b), F.least(la, lb), False))
     cut = cut.withColumn("__suf", common_run(F.col(a), F.col(b), F.least(la, lb) - F.col("__pre"), True))
     for s, mid in ((a, "__ma"), (b, "__mb")):
         n = F.char_length(s) - F.col("__pre") - F.col("__suf")
         cut = cut.withColumn(mid, F.col(s).substr(F.col("__pre") + 1, n))
+    cut = materialise(cut.drop("__pre", "__suf", a, b), "line-cuts")
     na, nb = F.char_length("__ma"), F.char_length("__mb")
+    close = cut.where((F.abs(na - nb) <= edits) & (letters_apart(F.col("__ma"), F.col("__mb")) <= 2 * edits))
     chars = [F.when(F.char_length(m) > 0, F.regexp_extract_all(m, F.lit("(?s)."), 0)).otherwise(F.array().cast("array<string>"))
              for m in ("__ma", "__mb")]
     walked = bind(F.struct(chars[0].alias("a"), chars[1].alias("b")), lambda s: banded_distance(s["a"], s["b"], edits))
-    d = F.when((F.abs(na - nb) <= edits) & (letters_apart(F.col("__ma"), F.col("__mb")) <= 2 * edits), walked)
-    return cut.withColumn(name, bind(d, lambda v: F.when(v <= edits, v))).drop("__pre", "__suf", "__ma", "__mb")
+    return materialise(close.withColumn(name, walked).drop("__ma", "__mb"), "line-distances").where(F.col(name) <= edits)
 
 
 # --- the operator --------------------------------------------------------------
@@ -225,9 +230,8 @@ def near_lines(docs: DataFrame, repeated: DataFrame, id_col: str = "doc_id", tex
     checked = with_distance(pairs.join(side("l", "a"), "a").join(side("r", "b"), "b"), "l_line", "r_line", max_edits, "distance")
     left, right = [F.struct(F.col(f"{s}_first").alias("first"), F.col(h).alias("h1"), F.col(f"{s}_h2").alias("h2"))
                    for s, h in (("l", "a"), ("r", "b"))]
-    return (checked.where("distance is not null")
-            .select(F.greatest(left, right).alias("late"), F.least(left, right).alias("early"), "distance")
-            .select("late.h1", "late.h2", F.col("early.h1").alias("to_h1"), F.col("early.h2").alias("to_h2"), "distance"))
+    return (checked.select(F.greatest(left, right).alias("late"), F.least(left, right).alias("early"), "distance")
+                   .select("late.h1", "late.h2", F.col("early.h1").alias("to_h1"), F.col("early.h2").alias("to_h2"), "distance"))
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",

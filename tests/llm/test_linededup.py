@@ -40,10 +40,11 @@ def test_distance(spark, edits):
         a = "".join(rng.choices("abé😀", k=rng.choice([1, 2, 3, 5, 9, 30])))
         pairs.append((a, mutate(rng, a, rng.randrange(6))))
         pairs.append((a, "".join(rng.choices("abé😀", k=len(a)))))
-    df = spark.createDataFrame(pairs, "a string, b string")
-    for r in ld.with_distance(df, "a", "b", edits, "d").collect():
-        d = edit(r.a, r.b)
-        assert r.d == (d if d <= edits else None), (r.a, r.b, d)
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, a string, b string")
+    got = {r.i: r.d for r in ld.with_distance(df, "a", "b", edits, "d").collect()}
+    for i, (a, b) in enumerate(pairs):
+        d = edit(a, b)
+        assert got.get(i) == (d if d <= edits else None), (a, b, d)
 
 
 def test_distance_walks_whole_strings(spark):
