@@ -72,9 +72,10 @@ def stripped_keys(keys: Column) -> Column:
     return F.when(F.size(keys) == 0, keys).otherwise(F.split(inner, _SEP))
 
 
-def record_map_stages(specs: dict[str, tuple[Column, Column, list[str] | None]]
+def record_map_stages(specs: dict[str, tuple[Column, Column, list[str] | None]], raw: frozenset[str] = frozenset()
                       ) -> tuple[list[dict[str, Column]], dict[str, Column], list[str]]:
-    """Build one ``record_map`` per ``{out: (keys, vals, base_names)}``.
+    """Build one ``record_map`` per ``{out: (keys, vals, base_names)}``; the
+    outs in ``raw`` keep their keys as they are.
 
     Returns the projections that materialise the inputs, the final map
     expression per ``out`` (to be used in a later projection, e.g. inside a
@@ -90,7 +91,7 @@ def record_map_stages(specs: dict[str, tuple[Column, Column, list[str] | None]]
     t = {out: f"{out}__" for out in specs}
     base = {out: spec[2] for out, spec in specs.items()}
     stages = [{t[o] + n: c for o, (k, v, _) in specs.items() for n, c in (("k0", k), ("v0", v))},
-              {t[o] + "s0": stripped_keys(F.col(t[o] + "k0")) for o in specs}]
+              {t[o] + "s0": F.col(t[o] + "k0") if o in raw else stripped_keys(F.col(t[o] + "k0")) for o in specs}]
 
     def simple(o: str) -> Column:
         k0, s0 = F.col(t[o] + "k0"), F.col(t[o] + "s0")
@@ -110,7 +111,7 @@ def record_map_stages(specs: dict[str, tuple[Column, Column, list[str] | None]]
     stages.append(cols)
     stages.append({t[o] + n: c for o in specs for n, c in (
         ("dv", _pick_last(F.col(t[o] + "dk"), F.col(t[o] + "rk"), F.col(t[o] + "rv"))),
-        ("sk", F.transform(F.col(t[o] + "dk"), strip)))})
+        ("sk", F.col(t[o] + "dk") if o in raw else F.transform(F.col(t[o] + "dk"), strip)))})
     stages.append({t[o] + n: c for o in specs for n, c in (
         ("dsk", F.array_distinct(F.col(t[o] + "sk"))),
         ("rsk", F.reverse(F.col(t[o] + "sk"))),

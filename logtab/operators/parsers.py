@@ -44,6 +44,8 @@ class LogParser(ABC):
 
     name: str
     base_fields: Sequence[tuple[str, str]] = ()
+    # whether parameter keys lose the white space around them
+    strip_keys: bool = True
 
     def scan(self, line: Column) -> Column:
         """The one expensive pass over a candidate line (materialised once)."""
@@ -99,7 +101,8 @@ class _HeaderRegexParser(LogParser):
 
     @staticmethod
     def g(f: Column, i: int) -> Column:
-        return F.substring(f.getItem(0), 2, 1 << 30) if i == 1 else f.getItem(i - 1)
+        first = f.getItem(0)
+        return first.substr(F.lit(2), F.char_length(first)) if i == 1 else f.getItem(i - 1)
 
     @classmethod
     def opt(cls, f: Column, i: int) -> Column:
@@ -109,8 +112,8 @@ class _HeaderRegexParser(LogParser):
         return stamp_fields(*(self.g(f, i) for i in range(1, 6)), year=year)
 
 
-# The two vendor grammars.  They are the original tool's
-# patterns with Python's \w, \d, \s, \S classes replaced by their exact Java
+# The two vendor grammars.  They must accept exactly what the
+# original tool accepts, so they have its patterns with Python's \w, \d, \s, \S classes replaced by their exact Java
 # equivalents from ``logtab.functions.text``, named groups replaced by numbered
 # ones, the leading stamp split into month/day/hour/minute/second groups, and
 # ``FLAGS`` (UNIX_LINES, UNICODE_CHARACTER_CLASS) in front.
@@ -201,8 +204,8 @@ class PythonLogParser(LogParser):
     to decline) into a parser.
 
     The function runs in Arrow batches through a pandas UDF; its record
-    becomes the parameter map (values rendered with ``str``), so the grammar
-    has no typed base fields.  Use it only for grammars the Column API cannot
+    becomes the parameter map (keys as returned, values rendered with
+    ``str``), so the grammar has no typed base fields.  Use it only for grammars the Column API cannot
     express: every line reaching it crosses into Python.
     """
 
@@ -210,6 +213,7 @@ class PythonLogParser(LogParser):
         self.name = name
         self.fn = fn
         self.base_fields = ()
+        self.strip_keys = False
 
     def scan(self, line: Column) -> Column:
         fn = self.fn
@@ -251,13 +255,15 @@ class RegexParser(_HeaderRegexParser):
     after ``str.strip()`` and prefixing with ``pair_prefix``.  Groups must not
     be able to contain a newline.  A ``date_groups`` 5-tuple (month, day,
     hour, minute, second group numbers) adds ``_a_timestamp`` and
-    ``_b_datetime`` from a syslog stamp.
+    ``_b_datetime`` from a syslog stamp.  ``strip_keys=False`` keeps the
+    white space around parameter keys.
     """
 
     def __init__(self, name: str, header: str, fields: Sequence[str], pair_pattern: str | None = None,
                  pair_prefix: str = "", params_group: int | None = None, prefilter: str | None = None,
-                 date_groups: tuple[int, int, int, int, int] | None = None):
+                 date_groups: tuple[int, int, int, int, int] | None = None, strip_keys: bool = True):
         self.name = name
+        self.strip_keys = strip_keys
         self.header_pattern = header
         self.prefilter = prefilter
         self.date_groups = date_groups

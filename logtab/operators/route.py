@@ -9,8 +9,8 @@ column is kept, plus
 * ``reject``  - the stripped line on ``'na'`` rows, else null.
 
 The plan is a single chain of projections with no Python worker for the
-built-in grammars, and no shuffle unless the input is badly
-under-partitioned (see ``spread``).  A grammar's expensive scan only runs
+built-in grammars, and no shuffle unless the caller asks for one
+(``min_partitions``); building it starts no job.  A grammar's expensive scan only runs
 on lines no earlier grammar took, and each scan result is materialised once.
 """
 
@@ -48,30 +48,9 @@ def check_parsers(parsers: Sequence[LogParser]) -> list[LogParser]:
     return list(parsers)
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin ``df`` over ``min_partitions`` (default: the cluster's
-    default parallelism) when fewer than a quarter of that many partitions
-    would otherwise carry the work.
-
-    Parsing is CPU-bound per line, so an input arriving in very few
-    partitions (one small file, a gzip log, which cannot be split) would
-    leave most cores idle.  An input that already keeps a good share of the
-    cores busy is left alone: there the shuffle would cost more than the
-    extra parallelism gains, and large inputs never trigger it.
-    """
-    if df.isStreaming:
-        return df
-    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    try:
-        have = df.rdd.getNumPartitions()
-    except Exception:  # e.g. Spark Connect: no RDD view; leave the input as it is
-        return df
-    return df.repartition(want) if have * 4 <= want else df
-
-
 def parse(df: DataFrame, col: str = "value", parsers: Sequence[LogParser] = DEFAULT_PARSERS,
           year: int = 2020, on_bad_date: str = "fail", observation: Observation | None = None,
-          min_partitions: int | None = None, params: bool = True) -> DataFrame:
+          min_partitions: int | None = None, params: bool | Sequence[LogParser | str] = True) -> DataFrame:
     """Route and parse the lines in ``df[col]`` (see module doc).
 
     ``on_bad_date``: a header that matches but names an impossible date
@@ -84,12 +63,15 @@ def parse(df: DataFrame, col: str = "value", parsers: Sequence[LogParser] = DEFA
     from pushing filters on ``parser`` below the parse, which would inline
     and re-run every grammar's regexes inside the filter.
 
-    Inputs with fewer partitions than ``min_partitions`` are spread first
-    (see ``spread``); pass ``min_partitions=1`` to never shuffle.
+    Parsing is CPU-bound per line.  For an input that arrives in few
+    partitions (a gzip log cannot be split, a small file is one partition)
+    pass ``min_partitions`` to deal the lines round-robin over that many
+    first; by default nothing is shuffled.
 
-    ``params=False`` skips parameter extraction (each record's ``params`` is
-    null): for callers that only need routes and header fields, since the
-    observe node keeps Catalyst from pruning unused struct fields.
+    ``params`` names the grammars whose parameters are extracted (``False``:
+    none, ``True``: all); the others' ``params`` are null.  Callers that need
+    only routes and header fields, or one grammar, save the others' pair
+    regexes: the observe node keeps Catalyst from pruning them by itself.
     """
     parsers = check_parsers(parsers)
     if on_bad_date not in BAD_DATE_MODES:
@@ -99,9 +81,14 @@ def parse(df: DataFrame, col: str = "value", parsers: Sequence[LogParser] = DEFA
     if clash:
         raise ValueError(f"input already has columns {sorted(clash)}")
     keep = list(df.columns)
-    df = spread(df, min_partitions)
+    if min_partitions and not df.isStreaming:
+        df = df.repartition(min_partitions)
+    named = {p.name for p in parsers} if params is True else {p if isinstance(p, str) else p.name for p in params or ()}
+    unknown = named - {p.name for p in parsers}
+    if unknown:
+        raise ValueError(f"params of grammars that are not parsed: {sorted(unknown)}")
     app = df.sparkSession.sparkContext.applicationId
-    routing, building = _stages(tuple(parsers), col, year, on_bad_date, app, params)
+    routing, building = _stages(tuple(parsers), col, year, on_bad_date, app, frozenset(named))
     for stage in routing + building:
         df = df.withColumns(stage) if isinstance(stage, dict) else df.drop(*stage)
     df = df.select(*keep, "parser", *[p.name for p in parsers], "reject")
@@ -116,7 +103,7 @@ def parse(df: DataFrame, col: str = "value", parsers: Sequence[LogParser] = DEFA
 
 @functools.lru_cache(maxsize=64)
 def _stages(parsers: tuple[LogParser, ...], col: str, year: int, on_bad_date: str,
-            app: str, with_params: bool = True) -> tuple[list[dict[str, Column] | list[str]], list[dict[str, Column] | list[str]]]:
+            app: str, with_params: frozenset[str]) -> tuple[list[dict[str, Column] | list[str]], list[dict[str, Column] | list[str]]]:
     """The projection chain of ``parse`` in two parts (routing, then
     records): lists of ``{name: Column}`` to add (each one projection) or of
     names to drop.
@@ -164,17 +151,20 @@ def _stages(parsers: tuple[LogParser, ...], col: str, year: int, on_bad_date: st
                    "reject": F.when(decided.isNull(), strip(line))})
     routing, stages = stages, []
 
-    if with_params:
-        specs = {}
-        for i, p in enumerate(parsers):
+    specs, raw = {}, set()
+    for i, p in enumerate(parsers):
+        if p.name in with_params:
             keys, vals = p.pairs(F.col(f"__f{i}"))
             mine = route == i
             specs[f"__m{i}"] = (F.when(mine, keys), F.when(mine, vals), p.base_names)
-        map_stages, maps, drop = record_map_stages(specs)
+            if not p.strip_keys:
+                raw.add(f"__m{i}")
+    maps = {f"__m{i}": F.lit(None).cast("map<string,string>") for i in range(len(parsers))}
+    drop: list[str] = []
+    if specs:
+        map_stages, made, drop = record_map_stages(specs, frozenset(raw))
         stages += map_stages
-    else:
-        maps = {f"__m{i}": F.lit(None).cast("map<string,string>") for i in range(len(parsers))}
-        drop = []
+        maps |= made
     structs = {}
     for i, p in enumerate(parsers):
         compact, iso = dates[i]
@@ -202,7 +192,7 @@ def parse_one(spark, line: str, parsers: Sequence[LogParser] = DEFAULT_PARSERS,
     """Parse a single line (interactive use and tests): ``(parser, record)``
     where the record holds the base fields plus the params map, or
     ``('na', {'value': stripped line})``."""
-    r = parse(spark.createDataFrame([(line,)], "value string"), parsers=parsers, min_partitions=1, **kw).first()
+    r = parse(spark.createDataFrame([(line,)], "value string"), parsers=parsers, **kw).first()
     if r.parser == REJECT:
         return REJECT, {"value": r.reject}
     return r.parser, r[r.parser].asDict()

@@ -7,8 +7,8 @@ raw key so the order is deterministic).
 
 Discovery is one small aggregation: keys are exploded and made distinct
 with a map-side partial aggregate, so each task ships only its distinct
-(parser, key) pairs; only the final key list (capped by ``max_columns``,
-beyond which the job stops with an error) reaches the driver, where the
+(parser, key) pairs; only the final key list reaches the driver (with
+``max_columns``, the job stops with an error beyond that many), where the
 keys are ordered with Python's own string rules.  The wide
 table is then a single projection of the map, one column per key, with no
 shuffle (``groupBy().pivot()`` would shuffle every row).
@@ -16,17 +16,23 @@ shuffle (``groupBy().pivot()`` would shuffle every row).
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from logtab.operators.parsers import DEFAULT_PARSERS, LogParser
 from logtab.operators.route import REJECT
 
-DEFAULT_MAX_COLUMNS = 10_000
 WIDE = "__wide"
+EXTRA = "_extra"
+NEW_KEY_MODES = ("fail", "keep", "ignore")
+
+# from_json must never null a row quietly: any fault fails the job, no field
+# name counts as the reader's own, and strings may have any length.
+FILL_OPTIONS = {"mode": "FAILFAST", "columnNameOfCorruptRecord": "__corrupt", "maxStringLen": str(2**31 - 1)}
 
 
 class TooManyColumns(ValueError):
@@ -75,23 +81,23 @@ def header_order(keys) -> list[str]:
 
 
 def headers(narrow: DataFrame, parsers: Sequence[LogParser] = DEFAULT_PARSERS,
-            max_columns: int = DEFAULT_MAX_COLUMNS) -> dict[str, list[str]]:
+            max_columns: int | None = None) -> dict[str, list[str]]:
     """Ordered header per grammar: base fields (always, so an empty table
     still has a header) plus every non-empty parameter key seen.
 
-    Only key names reach the driver, and never more than
-    ``len(parsers) * max_columns + 1`` of them: the distinct-key job is
-    capped there, and reaching the cap means some grammar has more than
-    ``max_columns`` keys, which stops the job with ``TooManyColumns``.
-    No task ever holds more than that many keys either.
+    Only key names reach the driver: as many as the tables have columns.
+    ``max_columns`` guards against data that was no log: the distinct-key job
+    then stops at ``len(parsers) * max_columns + 1`` names, which means that
+    some grammar has more, and raises ``TooManyColumns``.
     """
-    cap = len(parsers) * max_columns + 1
-    rows = distinct_keys(narrow, parsers).limit(cap).collect()
+    keys = distinct_keys(narrow, parsers)
+    cap = None if max_columns is None else len(parsers) * max_columns + 1
+    rows = (keys if cap is None else keys.limit(cap)).collect()
     found: dict[str, set[str]] = {p.name: set(p.base_names) for p in parsers}
     for r in rows:
         found[r.parser].add(r.key)
-    over = [n for n, ks in found.items() if len(ks) > max_columns]
-    if len(rows) >= cap or over:
+    over = [n for n, ks in found.items() if cap is not None and len(ks) > max_columns]
+    if over or (cap is not None and len(rows) >= cap):
         raise TooManyColumns(
             f"{over or 'a grammar'}: more than {max_columns} distinct keys; raise max_columns or use "
             f"the narrow records (parser struct with a params map) instead of a wide table")
@@ -99,7 +105,7 @@ def headers(narrow: DataFrame, parsers: Sequence[LogParser] = DEFAULT_PARSERS,
 
 
 def discover_headers(narrow: DataFrame, parsers: Sequence[LogParser] = DEFAULT_PARSERS,
-                     max_columns: int = DEFAULT_MAX_COLUMNS) -> DataFrame:
+                     max_columns: int | None = None) -> DataFrame:
     """Schema summary ``(parser, position, key)``, position from 1 (G1), as
     a small DataFrame built from ``headers``."""
     rows = [(name, i, k) for name, ks in headers(narrow, parsers, max_columns).items()
@@ -107,7 +113,21 @@ def discover_headers(narrow: DataFrame, parsers: Sequence[LogParser] = DEFAULT_P
     return narrow.sparkSession.createDataFrame(rows, "parser string, position int, key string")
 
 
-def wide_columns(parser: LogParser, header: Sequence[str], record: str = ""
+def slot_name(key: Column) -> Column:
+    """Short name of a key inside the fill: its hash and length, so log text
+    never becomes a JSON field name."""
+    return F.concat(F.hex(F.xxhash64(key)), F.lit("_"), F.char_length(key).cast("string"))
+
+
+def slot_names(spark: SparkSession, keys: Sequence[str]) -> list[str]:
+    """``slot_name`` of each key, by Spark itself."""
+    if not keys:
+        return []
+    rows = spark.createDataFrame(list(enumerate(keys)), "i int, key string").select("i", slot_name(F.col("key")).alias("s")).collect()
+    return [s for _, s in sorted(rows)]
+
+
+def wide_columns(parser: LogParser, header: Sequence[str], slots: Sequence[str], record: str = ""
                  ) -> tuple[list[Column], Column | None]:
     """One string column per header key over the flat record columns
     (base fields + ``params``), ``record`` optionally naming the struct
@@ -116,45 +136,70 @@ def wide_columns(parser: LogParser, header: Sequence[str], record: str = ""
     Returns the columns and the expression they read from: parameter
     columns are filled in one pass, by serialising the row's (small) map
     once with ``to_json`` and parsing it with ``from_json`` into a struct of
-    all header keys - a hash lookup per key present in the row.  Looking
-    every header key up in the map instead scans the map once per column,
-    which dominates for wide headers (measured, 200k rows: 3,000 keys 24.5 s
-    vs 4.9 s; 20 keys 1.2 s vs 0.5 s).  Field names match exactly, so keys
-    differing only in case stay apart.  Materialise the expression as
-    column ``WIDE`` before selecting the columns.
+    all header keys - a hash lookup per key present in the row, where looking
+    every header key up in the map would scan the map once per column.
+    Field names are the keys' ``slots`` (see ``slot_name``), values may have
+    any length, and a row that cannot be read fails the job.  Keys whose
+    slots coincide are looked up in the map instead.  Materialise the
+    expression as column ``WIDE`` before selecting the columns.
     """
     def c(name: str) -> Column:
         return F.col(record).getField(name) if record else F.col(name)
 
     params = c("params")
     base = set(parser.base_names)
-    extra = [k for k in header if k not in base]
+    slot_of = dict(zip(header, slots))
+    shared = {s for s, n in Counter(slots).items() if n > 1}
+    extra = [k for k in header if k not in base and slot_of[k] not in shared]
     filled = None
     if extra:
-        schema = T.StructType([T.StructField(k, T.StringType()) for k in extra])
-        # a struct-to-struct cast renames fields by position, so each column
-        # is then read unambiguously even when keys differ only in case
-        slots = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(extra))])
-        filled = F.from_json(F.to_json(params), schema).cast(slots)
-    slot = {k: i for i, k in enumerate(extra)}
+        schema = T.StructType([T.StructField(slot_of[k], T.StringType()) for k in extra])
+        # a struct-to-struct cast renames fields by position
+        places = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(extra))])
+        named = F.transform_keys(params, lambda k, _: slot_name(k))
+        if shared:  # colliding names would not make a map
+            named = F.transform_keys(F.map_filter(params, lambda k, _: ~slot_name(k).isin(*shared)), lambda k, _: slot_name(k))
+        filled = F.from_json(F.to_json(named), schema, FILL_OPTIONS).cast(places)
+    place = {k: i for i, k in enumerate(extra)}
     cols = []
     for k in header:
         if k in base:
             v = F.when(F.map_contains_key(params, F.lit(k)), params[F.lit(k)]).otherwise(c(k).cast("string"))
+        elif k in place:
+            v = F.col(WIDE).getField(f"c{place[k]}")
         else:
-            v = F.col(WIDE).getField(f"c{slot[k]}")
+            v = params[F.lit(k)]
         cols.append(v.alias(k))
     return cols, filled
 
 
 def tabularize(narrow: DataFrame, parser: LogParser, header: Sequence[str] | None = None,
-               keep: Sequence[str] = (), max_columns: int = DEFAULT_MAX_COLUMNS) -> DataFrame:
+               keep: Sequence[str] = (), max_columns: int | None = None, new_keys: str = "ignore") -> DataFrame:
     """Wide table of one grammar: ``keep`` columns, then one string column
-    per header key, null where a record lacks the key (T1/T2, K7, K9)."""
+    per header key, null where a record lacks the key (T1/T2, K7, K9).
+
+    ``new_keys`` tells what becomes of non-empty keys outside a given
+    ``header``: the job fails (``fail``), they go to a last column ``_extra``
+    as a JSON object (``keep``), or the caller wants those columns only
+    (``ignore``)."""
+    if new_keys not in NEW_KEY_MODES:
+        raise ValueError(f"new_keys must be one of {NEW_KEY_MODES}")
     if header is None:
         header = headers(narrow, [parser], max_columns)[parser.name]
+    if new_keys == "keep" and EXTRA in header:
+        raise ValueError(f"the header has a column {EXTRA!r} of its own")
     rows = narrow.where(F.col("parser") == parser.name)
-    cols, filled = wide_columns(parser, header, record=parser.name)
+    cols, filled = wide_columns(parser, header, slot_names(narrow.sparkSession, header), record=parser.name)
+    if new_keys != "ignore":
+        params = F.col(parser.name).getField("params")
+        known = F.array(*[F.lit(k) for k in ["", *header]])
+        new = F.array_except(F.map_keys(params), known)
+        if new_keys == "fail":
+            message = F.concat(F.lit(f"{parser.name}: keys outside the header: "), F.array_join(new, ", "))
+            rows = rows.where(F.when(F.size(new) > 0, F.raise_error(message).cast("boolean")).otherwise(F.lit(True)))
+        else:
+            rest = F.map_filter(params, lambda k, _: F.array_contains(new, k))
+            cols.append(F.when(F.size(new) > 0, F.to_json(rest)).alias(EXTRA))
     if filled is not None:
         # materialised once; each column then reads one struct field
         rows = rows.withColumn(WIDE, filled)

@@ -18,11 +18,10 @@ from logtab.plans.tabulate import parse_logs
 
 def arg_parser() -> argparse.ArgumentParser:
     ap = argparse.ArgumentParser(prog="logtab", description=(
-        "Parse log file(s) and save one tab-separated table per log grammar plus the "
-        "unrecognised lines, in a directory named after the source (with a timestamp)."))
+        "Turn firewall logs into one TSV table per grammar and a text file of rejected lines."))
     ap.add_argument("src", nargs="+", metavar="<path>", help="log file(s) or glob")
     ap.add_argument("-o", "--out-dir-path", default=None, metavar="<dir>",
-                    help="output directory (must not exist yet)")
+                    help="where the tables go; a directory that is not there yet")
     ap.add_argument("-c", "--chunk-size", type=int, default=None, metavar="<bytes>",
                     help="bytes per read task (spark.sql.files.maxPartitionBytes)")
     ap.add_argument("-p", "--max-processes", type=int, default=None, metavar="<num>",
@@ -36,6 +35,10 @@ def arg_parser() -> argparse.ArgumentParser:
     ap.add_argument("--on-bad-date", choices=["fail", "reject", "null"], default="fail")
     ap.add_argument("--no-order", action="store_true", help="skip the sort back into source order")
     ap.add_argument("--single-file", action="store_true", help="one part file per output (small data)")
+    ap.add_argument("--max-columns", type=int, default=None, metavar="<num>",
+                    help="stop if a table would get more columns (default: no limit)")
+    ap.add_argument("--min-partitions", type=int, default=None, metavar="<num>",
+                    help="deal the lines over so many tasks before parsing (gzip logs, small files)")
     ap.add_argument("--natural-order", action="store_true",
                     help="order several sources by the number at the end of their names")
     return ap
@@ -55,7 +58,8 @@ def main(argv: list[str] | None = None) -> int:
     res = parse_logs(spark, args.src, out=args.out_dir_path, parsers=DEFAULT_PARSERS, year=args.year,
                      on_bad_date=args.on_bad_date, keep_records=args.preserve_intermediate_results,
                      preserve_order=not args.no_order, single_file=args.single_file,
-                     natural_order=args.natural_order)
+                     natural_order=args.natural_order, max_columns=args.max_columns,
+                     min_partitions=args.min_partitions)
     print(f"output: {res.out_dir}")
     for name, n in res.counts.items():
         print(f"  {name}: {n} lines")

@@ -56,6 +56,41 @@ def render_lines(events: DataFrame, bad_dates: bool = False) -> DataFrame:
     return events.select(eid.alias("eid"), line.alias("value"))
 
 
+def render_mixed_pairs(events: DataFrame) -> DataFrame:
+    """``(eid, value)``: one hw line per event with both pair kinds; ``mix``
+    occurs as either, and one parameter is named like a base field."""
+    eid, uid, kind = _s(F.col("event_id")), _s(F.col("user_id")), F.col("event_type")
+    return events.select(F.col("event_id").alias("eid"), F.concat(
+        stamp(F.col("ts")), F.lit(" FW-A %%01SEC/4/X:user="), uid, F.lit(", mix="), kind, F.lit(", _d_interface_2=over"), eid,
+        F.lit(", end=1, ; mix:"), eid, F.lit(";")).alias("value"))
+
+
+def render_empty_keys(events: DataFrame) -> DataFrame:
+    """``(eid, value)``: one cp line per event whose first parameter has no
+    name, and whose others differ only in case."""
+    eid, kind = _s(F.col("event_id")), F.col("event_type")
+    return events.select(F.col("event_id").alias("eid"), F.concat(
+        stamp(F.col("ts")), F.lit(' 10.1.0.1 +01:00 192.168.0.1 ="'), eid, F.lit('" Src="'), kind, F.lit('" src="'), eid, F.lit('"')).alias("value"))
+
+
+def render_many_keys(events: DataFrame, keys: int) -> DataFrame:
+    """``(eid, value)``: one cp line per event with two of ``keys`` names."""
+    eid = F.col("event_id")
+    at = _s(eid % (keys // 2))
+    return events.select(eid.alias("eid"), F.concat(
+        stamp(F.col("ts")), F.lit(" 10.1.0.1 +01:00 192.168.0.1 key"), at, F.lit('="'), _s(eid), F.lit('" alt'), at, F.lit('="'), _s(eid),
+        F.lit('"')).alias("value"))
+
+
+def render_hostile_keys(events: DataFrame, length: int) -> DataFrame:
+    """``(eid, value)``: one cp line per event with a key of ``length``
+    characters and one with a name that JSON readers give a meaning."""
+    eid = _s(F.col("event_id"))
+    return events.select(F.col("event_id").alias("eid"), F.concat(
+        stamp(F.col("ts")), F.lit(' 10.1.0.1 +01:00 192.168.0.1 a="'), eid, F.lit('" _corrupt_record="c'), eid, F.lit('" '),
+        F.repeat(F.lit("k"), length), F.lit('="v'), eid, F.lit('"')).alias("value"))
+
+
 def document_lines(documents: DataFrame) -> DataFrame:
     """``(doc_id, value)``: the prose of ``documents`` broken into lines the way
     a text file is (``\\r\\n``, ``\\r`` or ``\\n``) - realistic non-log noise."""

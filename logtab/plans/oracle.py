@@ -33,6 +33,7 @@ r AS (SELECT eid, CASE
   ELSE concat('   junk ', eid, ' ', event_type, chr(9)) END AS value
   FROM p)"""
 
+# Base fields of the two grammars.
 HW_BASE = ["_a_timestamp", "_b_datetime", "_c_interface_1", "_d_interface_2", "_e_event_name",
            "_f_event_brace_round", "_g_event_brace_square"]
 CP_BASE = ["_a_timestamp", "_b_datetime", "_c_interface_1", "_d_interface_2"]
@@ -62,6 +63,9 @@ CP_WIDE_COLS = """
   CAST(user_id AS VARCHAR) AS "UserId"
 """
 
+REJECTS_IN_ORDER = """
+SELECT row_number() OVER (ORDER BY eid) AS pos, concat('junk ', eid, ' ', event_type) AS value FROM e WHERE shape = 9"""
+
 ROUTE = "CASE WHEN shape < 7 THEN 'hw' WHEN shape < 9 THEN 'cp' ELSE 'na' END"
 
 
@@ -149,7 +153,7 @@ SELECT CAST(eid AS VARCHAR) AS eid, {CP_WIDE_COLS} FROM e WHERE shape IN (7, 8)"
 
     "line_order": f"WITH {RENDERED} SELECT row_number() OVER (ORDER BY eid) AS pos, value FROM r",
 
-    "natural_order": f"WITH {RENDERED} SELECT row_number() OVER (ORDER BY eid % 12, eid) AS pos, value FROM r",
+    "natural_order": f"WITH {RENDERED} SELECT row_number() OVER (ORDER BY eid % 997, eid) AS pos, value FROM r",
 
     "python_parser": f"""WITH {E}
 SELECT CASE WHEN shape < 7 THEN 'hw' WHEN shape < 9 THEN 'cp' ELSE 'junk' END AS parser, count(*) AS n
@@ -180,4 +184,61 @@ SELECT {CP_WIDE_COLS} FROM e WHERE shape IN (7, 8)""",
     "job_hw_table": f"WITH {E} SELECT {HW_WIDE_COLS} FROM e WHERE shape < 7",
 
     "job_rejects": f"WITH {E} SELECT concat('junk ', eid, ' ', event_type) AS value FROM e WHERE shape = 9",
+
+    "job_rejects_in_order": f"WITH {E} {REJECTS_IN_ORDER}",
+
+    "stream_ordered_rejects": f"WITH {E} {REJECTS_IN_ORDER}",
+
+    "kept_records": f"WITH {E} SELECT CAST(user_id AS VARCHAR) AS userid, 'k ' || k AS note FROM e WHERE shape IN (7, 8)",
+
+    "parquet_tables": f"WITH {E} SELECT {CP_WIDE_COLS} FROM e WHERE shape IN (7, 8)",
+
+    "cli_table": f"WITH {E} SELECT {CP_WIDE_COLS} FROM e WHERE shape IN (7, 8)",
+
+    "pair_kinds_merge": f"""WITH {E}
+SELECT eid, CAST(user_id AS VARCHAR) AS "user", CAST(eid AS VARCHAR) AS mix, '1' AS "end" FROM e""",
+
+    "param_overrides_base": f"""WITH {E}
+SELECT eid, 'over' || eid AS "_d_interface_2", '01SEC/4/X' AS "_e_event_name", CAST(eid AS VARCHAR) AS mix FROM e""",
+
+    "empty_keys": f"""WITH {E}
+SELECT eid, a_ts AS "1__a_timestamp", b_dt AS "2__b_datetime", '10.1.0.1' AS "3__c_interface_1",
+       '192.168.0.1' AS "4__d_interface_2", event_type AS "5_Src", CAST(eid AS VARCHAR) AS "6_src",
+       CAST(eid AS VARCHAR) AS nameless
+FROM e""",
+
+    "wide_many_columns": f"""WITH {E}
+SELECT eid, CAST(5 + 2 * (SELECT count(DISTINCT eid % 5250) FROM e) AS INTEGER) AS n_columns,
+       CASE WHEN eid % 5250 = 0 THEN CAST(eid AS VARCHAR) END AS "first",
+       CASE WHEN eid % 5250 = 999 THEN CAST(eid AS VARCHAR) END AS other
+FROM e""",
+
+    "wide_hostile_keys": f"""WITH {E}
+SELECT eid, CAST(eid AS VARCHAR) AS a, 'c' || eid AS "_corrupt_record", 'v' || eid AS long_key FROM e""",
+
+    "python_parser_raw_keys": f"""WITH {E}
+SELECT eid, ' id' AS key, CAST(eid AS VARCHAR) AS val FROM e WHERE shape = 9
+UNION ALL SELECT eid, 'id', event_type FROM e WHERE shape = 9
+UNION ALL SELECT eid, ' both ', NULL FROM e WHERE shape = 9""",
+
+    "tsv_linebreaks": """
+SELECT CAST(event_id AS VARCHAR) AS eid, event_type || chr(10) || '"x"' || chr(9) || event_type AS lf,
+       event_type || chr(13) || chr(10) || 'y' || chr(13) AS cr
+FROM events""",
+
+    "tsv_infer_na": """
+SELECT event_id AS eid, CASE WHEN event_id % 3 <> 0 THEN event_id END AS whole,
+       CASE WHEN event_id % 5 <> 0 THEN event_id / 2.0 END::DOUBLE AS half,
+       CASE WHEN event_id % 7 <> 0 THEN event_type END AS kind
+FROM events""",
+
+    "tsv_case_twins": 'SELECT CAST(event_id AS VARCHAR) AS "c0_Src", event_type AS "c1_src" FROM events',
+
+    "stream_new_keys": f"""WITH {E}
+SELECT a_ts AS "_a_timestamp", b_dt AS "_b_datetime", concat('10.1.', user_id, '.1') AS "_c_interface_1",
+       concat('192.168.0.', eid % 256) AS "_d_interface_2",
+       CASE WHEN eid % 20 = 7 THEN 'final' ELSE event_type END AS "Action", CAST(user_id AS VARCHAR) AS "UserId",
+       '{{"Note":"k ' || k || '"}}' AS "_extra"
+FROM e WHERE shape IN (7, 8)""",
 }
+SQL["kept_keys"] = SQL["header_keys"]

@@ -17,21 +17,34 @@ from logtab.operators.parsers import CP, HW, PythonLogParser, RegexParser, Unpar
 from logtab.operators.route import parse, records, rejects
 from logtab.operators.tabularize import discover_headers, tabularize
 from logtab.plans import storage
-from logtab.plans.fixtures import document_lines, render_lines, table
+from logtab.plans.fixtures import (document_lines, render_empty_keys, render_hostile_keys, render_lines, render_many_keys,
+                                   render_mixed_pairs, table)
 from logtab.plans.tabulate import stage
-from logtab.sinks.tsv import read_tsv, write_lines, write_tsv
-from logtab.sources.lines import number_lines, read_lines
+from logtab.sinks.tsv import PANDAS_NA_VALUES, read_tsv, write_lines, write_parquet, write_tsv
+from logtab.sources.lines import natural_key, number_lines, read_lines
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _narrow(spark: SparkSession, sf_dir: str, **kw) -> DataFrame:
     bad = kw.pop("bad_dates", False)
-    return parse(render_lines(table(spark, sf_dir, "events"), bad_dates=bad), **kw)
+    return parse(render_lines(_events(spark, sf_dir), bad_dates=bad), **kw)
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events, dealt over all cores: the table is one small file, and
+    rendering and parsing are work for each row."""
+    return table(spark, sf_dir, "events").repartition(spark.sparkContext.defaultParallelism)
+
+
+def _staged(spark: SparkSession, sf_dir: str, parser, lines: DataFrame | None = None) -> DataFrame:
+    """One grammar's records, parsed once and stored."""
+    lines = render_lines(_events(spark, sf_dir)) if lines is None else lines
+    return stage(parse(lines, params=[parser]).where(F.col("parser") == parser.name))
 
 
 def route_counts(spark, sf_dir):
-    return _narrow(spark, sf_dir).groupBy("parser").agg(F.count(F.lit(1)).alias("n"))
+    return _narrow(spark, sf_dir, params=False).groupBy("parser").agg(F.count(F.lit(1)).alias("n"))
 
 
 def cp_header(spark, sf_dir):
@@ -53,17 +66,17 @@ def _params(df: DataFrame, **cols: str) -> DataFrame:
 
 
 def hw_params_eq(spark, sf_dir):
-    hw = records(_narrow(spark, sf_dir), HW, ["eid"]).where(F.map_contains_key("params", F.lit("vsys")))
+    hw = records(_narrow(spark, sf_dir, params=[HW]), HW, ["eid"]).where(F.map_contains_key("params", F.lit("vsys")))
     return _params(hw, vsys="vsys", user="user", value="value", evt="evt")
 
 
 def hw_params_colon(spark, sf_dir):
-    hw = records(_narrow(spark, sf_dir), HW, ["eid"]).where(F.map_contains_key("params", F.lit("Policy")))
+    hw = records(_narrow(spark, sf_dir, params=[HW]), HW, ["eid"]).where(F.map_contains_key("params", F.lit("Policy")))
     return _params(hw, policy="Policy", src_user="Src User", kind="Kind")
 
 
 def cp_params_lastwins(spark, sf_dir):
-    return _params(records(_narrow(spark, sf_dir), CP, ["eid"]), action="Action", userid="UserId", note="Note")
+    return _params(records(_narrow(spark, sf_dir, params=[CP]), CP, ["eid"]), action="Action", userid="UserId", note="Note")
 
 
 def params_long(spark, sf_dir):
@@ -79,15 +92,15 @@ def header_keys(spark, sf_dir):
 
 def hw_wide(spark, sf_dir):
     """Parse once into staged records, discover the header, project wide."""
-    return tabularize(stage(_narrow(spark, sf_dir)), HW, keep=["eid"])
+    return tabularize(_staged(spark, sf_dir, HW), HW, keep=["eid"])
 
 
 def cp_wide(spark, sf_dir):
-    return tabularize(stage(_narrow(spark, sf_dir)), CP, keep=["eid"])
+    return tabularize(_staged(spark, sf_dir, CP), CP, keep=["eid"])
 
 
 def rejected_lines(spark, sf_dir):
-    return rejects(_narrow(spark, sf_dir), ["eid"])
+    return rejects(_narrow(spark, sf_dir, params=False), ["eid"])
 
 
 def bad_date_null(spark, sf_dir):
@@ -107,7 +120,7 @@ def year_override(spark, sf_dir):
 
 def tsv_roundtrip(spark, sf_dir):
     path = posixpath.join(storage.scratch_dir(spark, "logtab-q"), "cp.tsv")
-    write_tsv(tabularize(stage(_narrow(spark, sf_dir)), CP, keep=["eid"]), path)
+    write_tsv(tabularize(_staged(spark, sf_dir, CP), CP, keep=["eid"]), path)
     return read_tsv(spark, path)
 
 
@@ -125,25 +138,13 @@ def line_order(spark, sf_dir):
 
 
 def natural_order(spark, sf_dir):
-    """Rendered lines spread over files ``chunk_1.log`` ... ``chunk_12.log``
-    (event ``e`` goes to ``chunk_<e % 12 + 1>``); read back in natural name
-    order, which puts ``chunk_2`` before ``chunk_10``."""
-    root = storage.scratch_dir(spark, "logtab-q")
-    staged = posixpath.join(root, "by_chunk")
-    (render_lines(table(spark, sf_dir, "events")).withColumn("chunk", F.col("eid") % 12 + 1)
-     .repartition("chunk").sortWithinPartitions("eid").select("chunk", "value")
-     .write.partitionBy("chunk").text(staged))
-    files = posixpath.join(root, "chunks")
-    storage.mkdirs(spark, files)
-    for d in storage.list_names(spark, staged):
-        if d.startswith("chunk="):
-            parts = [n for n in storage.list_names(spark, posixpath.join(staged, d)) if n.startswith("part-")]
-            for j, part in enumerate(parts):  # one part per chunk after repartition
-                suffix = "" if j == 0 else f".{j}"
-                storage.rename(spark, posixpath.join(staged, d, part),
-                               posixpath.join(files, f"chunk_{d[6:]}{suffix}.log"))
-    df = read_lines(spark, posixpath.join(files, "chunk_*.log"), natural_order=True)
-    return number_lines(df).select(F.col("line_no").alias("pos"), "value")
+    """Rendered lines as if they stood in files ``chunk_1.hw.log`` to
+    ``chunk_997.hw.log`` (event ``e`` in ``chunk_<e % 997 + 1>``), in the
+    natural order of the names, which puts ``chunk_2`` before ``chunk_10``."""
+    name = F.concat(F.lit("chunk_"), (F.col("eid") % 997 + 1).cast("string"), F.lit(".hw.log"))
+    named = render_lines(table(spark, sf_dir, "events")).select(
+        "value", natural_key(name).alias("_src_seq"), name.alias("_src_file"), F.col("eid").alias("_src_row"))
+    return number_lines(named).select(F.col("line_no").alias("pos"), "value")
 
 
 def _junk(line: str) -> dict:
@@ -154,12 +155,12 @@ def _junk(line: str) -> dict:
 
 
 def python_parser(spark, sf_dir):
-    n = _narrow(spark, sf_dir, parsers=[HW, CP, PythonLogParser("junk", _junk)])
+    n = _narrow(spark, sf_dir, parsers=[HW, CP, PythonLogParser("junk", _junk)], params=False)
     return n.groupBy("parser").agg(F.count(F.lit(1)).alias("n"))
 
 
 def python_parser_records(spark, sf_dir):
-    n = _narrow(spark, sf_dir, parsers=[HW, CP, PythonLogParser("junk", _junk)])
+    n = _narrow(spark, sf_dir, parsers=[HW, CP, PythonLogParser("junk", _junk)], params=["junk"])
     return records(n, "junk", ["eid"]).select(
         "eid", F.col("params")["id"].alias("id"), F.col("params")["type"].alias("type"))
 
@@ -167,10 +168,10 @@ def python_parser_records(spark, sf_dir):
 def union_sources(spark, sf_dir):
     """Two sources with different key sets, tabulated separately and united
     with null fill: ``=``-pair lines in one, ``:``-pair lines in the other."""
-    lines = render_lines(table(spark, sf_dir, "events"))
+    lines = render_lines(_events(spark, sf_dir))
     # complementary halves: together they are the whole table
-    a = stage(parse(lines.where(F.col("eid") % 10 < 5)))
-    b = stage(parse(lines.where(F.col("eid") % 10 >= 5)))
+    a = _staged(spark, sf_dir, HW, lines.where(F.col("eid") % 10 < 5))
+    b = _staged(spark, sf_dir, HW, lines.where(F.col("eid") % 10 >= 5))
     return (tabularize(a, HW, keep=["eid"])
             .unionByName(tabularize(b, HW, keep=["eid"]), allowMissingColumns=True))
 
@@ -186,7 +187,7 @@ FWB = RegexParser(
 
 
 def multi_parser_precedence(spark, sf_dir):
-    n = _narrow(spark, sf_dir, parsers=[FWB, HW, CP])
+    n = _narrow(spark, sf_dir, parsers=[FWB, HW, CP], params=False)
     return n.groupBy("parser").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -194,7 +195,7 @@ def mixed_route_counts(spark, sf_dir):
     """Log lines mixed with the ``documents`` prose split into lines."""
     events = render_lines(table(spark, sf_dir, "events")).select("value")
     docs = document_lines(table(spark, sf_dir, "documents")).select("value")
-    return parse(events.unionByName(docs)).groupBy("parser").agg(F.count(F.lit(1)).alias("n"))
+    return parse(events.unionByName(docs), params=False).groupBy("parser").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _stream_source(spark, sf_dir) -> tuple[str, str]:
@@ -222,22 +223,168 @@ def stream_cp_table(spark, sf_dir):
     from logtab.operators.tabularize import headers
     from logtab.streaming.stream import parse_stream, start_table_sink
 
-    hdrs = headers(_narrow(spark, sf_dir), [HW, CP])
     root, src = _stream_source(spark, sf_dir)
+    # the header of an earlier run's store (here: this table's own lines)
+    hdrs = {"hw": list(HW.base_names), "cp": headers(_staged(spark, sf_dir, CP), [CP])["cp"]}
     out = posixpath.join(root, "tables")
-    q = start_table_sink(parse_stream(spark, src), out, hdrs, base="s", checkpoint=posixpath.join(root, "ckpt"),
+    q = start_table_sink(parse_stream(spark, src), out, hdrs, base="s", parsers=[CP], checkpoint=posixpath.join(root, "ckpt"),
                          trigger={"availableNow": True})
     q.awaitTermination()
     return read_tsv(spark, posixpath.join(out, "s.cp.tsv")).drop("batch")
 
 
-def _job_output(spark, sf_dir):
+def stream_new_keys(spark, sf_dir):
+    """Streamed cp rows under a header that lacks a key: it is kept apart."""
+    from logtab.streaming.stream import parse_stream, start_table_sink
+
+    root, src = _stream_source(spark, sf_dir)
+    out = posixpath.join(root, "tables")
+    header = [*CP.base_names, "Action", "UserId"]
+    start_table_sink(parse_stream(spark, src), out, {"cp": header}, base="s", parsers=[CP], new_keys="keep",
+                     checkpoint=posixpath.join(root, "ckpt"), trigger={"availableNow": True}).awaitTermination()
+    return read_tsv(spark, posixpath.join(out, "s.cp.tsv")).drop("batch")
+
+
+def stream_ordered_rejects(spark, sf_dir):
+    """Rejects of a stream's records store, in source order with positions."""
+    from logtab.plans.tabulate import tabulate_records
+    from logtab.streaming.stream import parse_stream, start_records_sink
+
+    root = storage.scratch_dir(spark, "logtab-stream")
+    src, store = _rendered_file(spark, sf_dir, ["eid"]), posixpath.join(root, "records")
+    start_records_sink(parse_stream(spark, src), store, checkpoint=posixpath.join(root, "ckpt"),
+                       trigger={"availableNow": True}).awaitTermination()
+    res = tabulate_records(spark, spark.read.parquet(store), posixpath.join(root, "out"), "s")
+    return _positions(spark, res.rejects)
+
+
+def _positions(spark, path):
+    return number_lines(read_lines(spark, path)).select(F.col("line_no").alias("pos"), "value")
+
+
+def _job_output(spark, sf_dir, **options):
     """Run the whole file job on the rendered lines (one text log under the
     scratch folder) and return its result."""
     from logtab.plans.tabulate import parse_logs
 
     path = _rendered_file(spark, sf_dir, ["eid"])
-    return parse_logs(spark, path, out=posixpath.join(storage.scratch_dir(spark, "logtab-q"), "out"))
+    return parse_logs(spark, path, out=posixpath.join(storage.scratch_dir(spark, "logtab-q"), "out"), **options)
+
+
+def job_rejects_in_order(spark, sf_dir):
+    """The reject file's lines with their positions."""
+    return _positions(spark, _job_output(spark, sf_dir).rejects)
+
+
+def kept_records(spark, sf_dir):
+    """Narrow records kept by a job, read back."""
+    kept = spark.read.parquet(_job_output(spark, sf_dir, keep_records=True).records)
+    return kept.where("parser = 'cp'").select(
+        F.col("cp.params")["UserId"].alias("userid"), F.col("cp.params")["Note"].alias("note"))
+
+
+def kept_keys(spark, sf_dir):
+    """Key lists kept by a job, read back."""
+    return spark.read.parquet(posixpath.join(_job_output(spark, sf_dir, keep_records=True).out_dir, ".keys"))
+
+
+def parquet_tables(spark, sf_dir):
+    """The cp table of a job with another writer."""
+    return spark.read.parquet(_job_output(spark, sf_dir, writer=write_parquet).tables["cp"])
+
+
+def cli_table(spark, sf_dir):
+    """The cp table written by the command-line entry point."""
+    from logtab.plans.cli import main
+
+    out = posixpath.join(storage.scratch_dir(spark, "logtab-q"), "out")
+    src = _rendered_file(spark, sf_dir, ["eid"])
+    main([src, "-o", out, "--max-columns", "100"])
+    return read_tsv(spark, posixpath.join(out, f"{posixpath.basename(src)}.cp.tsv"))
+
+
+def pair_kinds_merge(spark, sf_dir):
+    """Both pair kinds on one line: the later kind wins a shared key."""
+    n = parse(render_mixed_pairs(_events(spark, sf_dir)), params=[HW])
+    return _params(records(n, HW, ["eid"]), user="user", mix="mix", end="end")
+
+
+def param_overrides_base(spark, sf_dir):
+    """A parameter named like a base field takes its column."""
+    wide = tabularize(_staged(spark, sf_dir, HW, render_mixed_pairs(_events(spark, sf_dir))), HW, keep=["eid"])
+    return wide.select("eid", "_d_interface_2", "_e_event_name", "mix")
+
+
+def empty_keys(spark, sf_dir):
+    """A nameless parameter stays in the map, without a column; keys that
+    differ only in case stay apart."""
+    staged = _staged(spark, sf_dir, CP, render_empty_keys(_events(spark, sf_dir)))
+    wide = tabularize(staged, CP, keep=["eid"])
+    named = wide.toDF(*[f"{i}_{c}" for i, c in enumerate(wide.columns)])
+    nameless = records(staged, CP, ["eid"]).select("eid", F.col("params")[""].alias("nameless"))
+    return named.join(nameless, named["0_eid"] == nameless["eid"]).drop("0_eid")
+
+
+MANY_KEYS = 10_500
+LONG_KEY = 60_000
+
+
+def wide_many_columns(spark, sf_dir):
+    """A header without a limit: how many columns, and two of them."""
+    staged = _staged(spark, sf_dir, CP, render_many_keys(_events(spark, sf_dir), MANY_KEYS))
+    wide = tabularize(staged, CP, keep=["eid"])
+    return wide.select("eid", F.lit(len(wide.columns)).alias("n_columns"), F.col("key0").alias("first"), F.col("alt999").alias("other"))
+
+
+def wide_hostile_keys(spark, sf_dir):
+    """A key of 60,000 characters, and one that JSON readers use themselves."""
+    staged = _staged(spark, sf_dir, CP, render_hostile_keys(_events(spark, sf_dir), LONG_KEY))
+    return tabularize(staged, CP, keep=["eid"]).select("eid", "a", "_corrupt_record", F.col("k" * LONG_KEY).alias("long_key"))
+
+
+def _padded(line: str) -> dict:
+    words = line.split()
+    if len(words) != 3 or words[0] != "junk":
+        raise UnparsableLogError(line)
+    return {" id": words[1], "id": words[2], " both ": None}
+
+
+def python_parser_raw_keys(spark, sf_dir):
+    """A Python grammar's keys stay as returned, blanks included."""
+    n = _narrow(spark, sf_dir, parsers=[HW, CP, PythonLogParser("junk", _padded)], params=["junk"])
+    return records(n, "junk", ["eid"]).select("eid", F.explode("params").alias("key", "val"))
+
+
+def _tsv_of(spark, df):
+    path = posixpath.join(storage.scratch_dir(spark, "logtab-q"), "t.tsv")
+    write_tsv(df, path)
+    return path
+
+
+def tsv_linebreaks(spark, sf_dir):
+    """Values with line breaks, quotes and tabs come back whole."""
+    e = _events(spark, sf_dir)
+    kind = F.col("event_type")
+    return read_tsv(spark, _tsv_of(spark, e.select(
+        F.col("event_id").cast("string").alias("eid"), F.concat(kind, F.lit('\n"x"\t'), kind).alias("lf"),
+        F.concat(kind, F.lit("\r\ny\r")).alias("cr"))))
+
+
+def tsv_infer_na(spark, sf_dir):
+    """Missing-value tokens do not change a column's type."""
+    e = _events(spark, sf_dir)
+    eid = F.col("event_id")
+    return read_tsv(spark, _tsv_of(spark, e.select(
+        eid.alias("eid"), F.when(eid % 3 == 0, "NA").otherwise(eid.cast("string")).alias("whole"),
+        F.when(eid % 5 == 0, "n/a").otherwise((eid / 2).cast("string")).alias("half"),
+        F.when(eid % 7 == 0, "null").otherwise(F.col("event_type")).alias("kind"))), infer_schema=True, na_values=PANDAS_NA_VALUES)
+
+
+def tsv_case_twins(spark, sf_dir):
+    """Columns that differ only in case keep their names and places."""
+    e = _events(spark, sf_dir)
+    back = read_tsv(spark, _tsv_of(spark, e.select(F.col("event_id").cast("string").alias("Src"), F.col("event_type").alias("src"))))
+    return back.toDF(*[f"c{i}_{c}" for i, c in enumerate(back.columns)])
 
 
 def job_hw_table(spark, sf_dir):
@@ -277,4 +424,7 @@ QUERIES: dict[str, Query] = {
     "stream_cp_table": stream_cp_table,
     "job_hw_table": job_hw_table,
     "job_rejects": job_rejects,
-}
+} | {f.__name__: f for f in (
+    job_rejects_in_order, kept_records, kept_keys, parquet_tables, cli_table, pair_kinds_merge, param_overrides_base,
+    empty_keys, wide_many_columns, wide_hostile_keys, python_parser_raw_keys, tsv_linebreaks, tsv_infer_na, tsv_case_twins,
+    stream_new_keys, stream_ordered_rejects)}

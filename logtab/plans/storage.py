@@ -40,16 +40,32 @@ def scratch_dir(spark: SparkSession, label: str = "logtab") -> str:
     """A fresh directory under the cluster's shared checkpoint folder.
 
     The folder comes from the session (``spark.checkpoint.dir`` or a
-    checkpoint directory already set on the context).  Only when neither is
-    set - local runs and tests - a temporary folder is created and installed
-    as the checkpoint directory.
+    checkpoint directory already set on the context).  Where neither is set,
+    a local run gets a temporary folder, installed as the checkpoint
+    directory; on a cluster that would be a folder of the driver's own, so
+    it is an error there.  ``release`` deletes what this session was given.
     """
     root = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="logtab-ckpt-")
         spark.sparkContext.setCheckpointDir(root)
         root = spark.sparkContext.getCheckpointDir() or root
-    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    _given.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+_given: dict[str, list[str]] = {}
+
+
+def release(spark: SparkSession) -> None:
+    """Delete every scratch directory handed out in this application.  Call
+    it once no DataFrame that reads them is needed any more."""
+    for path in _given.pop(spark.sparkContext.applicationId, []):
+        if exists(spark, path):
+            delete(spark, path)
 
 
 def mkdirs(spark: SparkSession, path: str) -> None:

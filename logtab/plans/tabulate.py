@@ -9,9 +9,11 @@ Stages (each a Spark job; only key names ever reach the driver):
    re-read Parquet instead of re-running the regexes.
 2. **keys** - distinct parameter keys per grammar from the staged records
    (map-side partial aggregate; reads only ``parser`` and the params maps).
-3. **tables** - per grammar, one projection of the params map into the
-   ordered header, sorted back into source order (range-partitioned, so the
-   part files concatenate in input order), written with ``writer``.
+3. **tables** - per grammar, the narrow records sorted back into source
+   order (range-partitioned, so the part files concatenate in input order)
+   and only then projected into the ordered header, so the shuffle carries
+   each record's own entries whatever the header's width; written with
+   ``writer``.
 4. **rejects** - unrecognised lines, stripped, in source order, as text.
 
 Output layout: ``<out>/<base>.<parser>.tsv/`` per grammar (always, even when
@@ -29,11 +31,11 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from logtab.operators.parsers import DEFAULT_PARSERS, LogParser
 from logtab.operators.route import REJECT, check_parsers, parse, rejects
-from logtab.operators.tabularize import (DEFAULT_MAX_COLUMNS, KEYS, grammar_columns, headers, param_keys,
-                                         tabularize)
+from logtab.operators.tabularize import KEYS, TooManyColumns, grammar_columns, headers, param_keys, tabularize
 from logtab.plans import storage
 from logtab.sinks.tsv import Writer, write_lines, write_tsv
 from logtab.sources.lines import ORDER_COLS, in_order, read_lines
@@ -91,13 +93,21 @@ def parse_logs(spark: SparkSession, src: str | Sequence[str], out: str | None =
                parsers: Sequence[LogParser] = DEFAULT_PARSERS, year: int = 2020,
                on_bad_date: str = "fail", writer: Writer = write_tsv, keep_records: bool = False,
                preserve_order: bool = True, single_file: bool = False, natural_order: bool = False,
-               max_columns: int = DEFAULT_MAX_COLUMNS) -> ParseResult:
+               max_columns: int | None = None, min_partitions: int | None = None,
+               sort_partitions: int | None = None) -> ParseResult:
     """Run the whole job (see module doc) and return where everything went.
 
     ``src`` may be one file, a glob, or several files (rotated logs: set
     ``natural_order`` to order them by the number in their names).
     ``keep_records`` keeps the staged narrow records (Parquet, with the
     discovered keys beside them) under ``<out>/.records``.
+
+    ``max_columns`` stops a job whose tables would get more columns
+    (``TooManyColumns``); the parsed records are kept then, and the error
+    says where.  ``min_partitions`` deals the lines over that many tasks
+    before parsing (for gzip logs and other inputs in few splits);
+    ``sort_partitions`` sets the range partitions of the ordered outputs
+    (default: ``spark.sql.shuffle.partitions``).
     """
     parsers = check_parsers(parsers)
     srcs = [src] if isinstance(src, str) else list(src)
@@ -110,7 +120,7 @@ def parse_logs(spark: SparkSession, src: str | Sequence[str], out: str | None =
 
     with codegen_method_limit(spark):
         return _run(spark, srcs, out, base, ext, parsers, year, on_bad_date, writer, keep_records,
-                    preserve_order, single_file, natural_order, max_columns)
+                    preserve_order, single_file, natural_order, max_columns, min_partitions, sort_partitions)
 
 
 # HotSpot does not JIT-compile methods over 8000 bytes of bytecode; the
@@ -151,60 +161,43 @@ def codegen_method_limit(spark: SparkSession):
 
 
 def _run(spark, srcs, out, base, ext, parsers, year, on_bad_date, writer, keep_records,
-         preserve_order, single_file, natural_order, max_columns) -> ParseResult:
+         preserve_order, single_file, natural_order, max_columns, min_partitions, sort_partitions) -> ParseResult:
     lines = read_lines(spark, srcs, natural_order=natural_order)
     obs = Observation("logtab_parse")
-    narrow = parse(lines, parsers=parsers, year=year, on_bad_date=on_bad_date, observation=obs)
+    narrow = parse(lines, parsers=parsers, year=year, on_bad_date=on_bad_date, observation=obs, min_partitions=min_partitions)
 
     staging = posixpath.join(out, ".records") if keep_records else storage.scratch_dir(spark, "logtab-stage")
+    keep = keep_records
     try:
         # the raw line is not staged (rejects carry their stripped text); the
         # key list is, for a cheap key discovery
         (narrow.drop("value").withColumn(KEYS, param_keys(narrow))
          .write.mode("errorifexists").parquet(staging))
         counts = {k: int(v) for k, v in obs.get.items()}
-        parts = sort_partitions(spark, storage.size_of(spark, staging), counts) if preserve_order else {}
         res = tabulate_records(spark, spark.read.parquet(staging), out, base, ext, parsers, writer,
                                keep_keys=keep_records, preserve_order=preserve_order, single_file=single_file,
-                               max_columns=max_columns, partitions=parts)
+                               max_columns=max_columns, sort_partitions=sort_partitions)
+    except TooManyColumns as e:
+        keep = True
+        raise TooManyColumns(f"{e}; the parsed records are kept at {staging} (see tabulate_records)") from e
     finally:
-        if not keep_records:  # scratch records never outlive the job, failed or not
+        if not keep:  # scratch records do not outlive the job
             storage.delete(spark, staging)
     res.counts = counts
     res.records = staging if keep_records else None
     return res
 
 
-# Staged (compressed Parquet) bytes per sort partition; the text each
-# partition writes is a few times larger.
-SORT_PARTITION_BYTES = 64 * 1024 * 1024
-
-
-def sort_partitions(spark: SparkSession, staged_bytes: int | None, counts: dict[str, int] | None
-                    ) -> dict[str, int]:
-    """Sort partitions for outputs too big for ``spark.sql.shuffle.partitions``:
-    the output's share of the staged bytes (by its line count) over
-    ``SORT_PARTITION_BYTES``.  Outputs that fit are left out, so their sort
-    keeps the session default, which adaptive execution may coalesce for
-    small data (an explicit count would not be)."""
-    if not staged_bytes or not counts:
-        return {}
-    floor = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    total = max(1, sum(counts.values()))
-    need = {name: -(-staged_bytes * n // total) // SORT_PARTITION_BYTES for name, n in counts.items()}
-    return {name: n for name, n in need.items() if n > floor}
-
-
 def tabulate_records(spark: SparkSession, staged: DataFrame, out: str, base: str, ext: str = ".log",
                      parsers: Sequence[LogParser] = DEFAULT_PARSERS, writer: Writer = write_tsv,
                      keep_keys: bool = False, preserve_order: bool = True, single_file: bool = False,
-                     max_columns: int = DEFAULT_MAX_COLUMNS, partitions: dict[str, int] | None = None
-                     ) -> ParseResult:
+                     max_columns: int | None = None, sort_partitions: int | None = None) -> ParseResult:
     """Stages 2-4 over narrow records already stored (by ``parse_logs`` or a
     streaming sink): discover headers, write one table per grammar and the
-    rejects under ``out``.  ``partitions`` gives the sort partitions per
-    output (see ``sort_partitions``)."""
-    partitions = partitions or {}
+    rejects under ``out``.  ``preserve_order`` needs the rows' whole order
+    key, which both stores have."""
+    if preserve_order and "_src_row" not in staged.columns:
+        raise ValueError("the records have no order within a split (_src_row): pass preserve_order=False")
     hdrs = headers(staged, parsers, max_columns)
     if keep_keys:
         keys = [(p, i, k) for p, ks in hdrs.items() for i, k in enumerate(ks, start=1)]
@@ -221,14 +214,15 @@ def tabulate_records(spark: SparkSession, staged: DataFrame, out: str, base: str
             staged = staged.withColumnRenamed(c, o)
     tables = {}
     for p in parsers:
-        wide = tabularize(staged, p, hdrs[p.name], keep=order)
+        # sorted while narrow: the wide projection stands above the shuffle
+        rows = in_order(staged.where(F.col("parser") == p.name).select(*order, "parser", p.name), order, sort_partitions)
         path = posixpath.join(out, f"{base}.{p.name}.tsv")
-        table = in_order(wide, order, partitions.get(p.name))
+        table = tabularize(rows, p, hdrs[p.name])
         writer(table.coalesce(1) if single_file else table, path)
         tables[p.name] = path
 
     na_path = posixpath.join(out, f"{base}.{REJECT}{ext}")
-    write_lines(in_order(rejects(staged, keep=order), order, partitions.get(REJECT)), na_path,
+    write_lines(in_order(rejects(staged, keep=order), order, sort_partitions), na_path,
                 single_file=single_file)
     return ParseResult(out, tables, na_path, hdrs)
 
@@ -242,7 +236,7 @@ def stage(narrow: DataFrame, path: str | None = None) -> DataFrame:
     lost executor costs a re-read rather than a re-parse.  The raw line is
     not staged (rejects keep their stripped text); a ``_param_keys`` column
     with each row's parameter keys is added, which ``headers`` reads instead
-    of the maps.
+    of the maps.  The copy stays until ``storage.release``.
     """
     spark = narrow.sparkSession
     path = path or storage.scratch_dir(spark, "logtab-stage")

@@ -32,19 +32,20 @@ TSV_READ_OPTIONS = {
     "header": "true",
     "quote": '"',
     "escape": '"',
-    "multiLine": "false",
     "encoding": "UTF-8",
     "ignoreLeadingWhiteSpace": "false",
     "ignoreTrailingWhiteSpace": "false",
-    "enforceSchema": "false",
 }
 
-# Tokens pandas.read_csv reads as missing by default (its documented
+# Tokens pandas.read_csv reads as missing by default (its documented
 # ``na_values`` list); pass ``na_values=PANDAS_NA_VALUES`` to read_tsv for
 # the same behaviour.
 PANDAS_NA_VALUES = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
                     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 
+# The reader's own limit (20,480 columns) would refuse wider tables.
+MAX_COLUMNS = 1 << 20
+
 Writer = Callable[[DataFrame, str], None]
 
 
@@ -65,23 +66,59 @@ def write_tsv(df: DataFrame, path: str, mode: str = "errorifexists", single_file
 
 
 def read_tsv(spark: SparkSession, path: str | Sequence[str], infer_schema: bool = False,
-             na_values: Sequence[str] = (), max_columns: int | None = None, **options: str) -> DataFrame:
+             na_values: Sequence[str] = (), max_columns: int = MAX_COLUMNS, multi_line: bool = True,
+             **options: str) -> DataFrame:
     """Read TSV written by ``write_tsv``; all columns are strings unless
-    ``infer_schema``.  ``""`` reads back as null.  ``na_values`` lists extra
-    tokens to read as null."""
-    opts = {**TSV_READ_OPTIONS, "inferSchema": str(bool(infer_schema)).lower(), **options}
-    if max_columns:
-        opts["maxColumns"] = str(max_columns)
+    ``infer_schema``.  ``""`` reads back as null.
+
+    ``na_values`` lists extra tokens to read as null; types are inferred
+    after that, so one ``NA`` does not make a numeric column text.  Column
+    names are the header's, by position, also where they differ only in
+    case.  ``multi_line=False`` lets one file be read by several tasks, for
+    tables whose values hold no line breaks.
+    """
+    opts = {**TSV_READ_OPTIONS, "multiLine": str(bool(multi_line)).lower(), "maxColumns": str(max_columns), **options}
     df = spark.read.options(**opts).csv(path)
+    slots = [f"c{i}" for i in range(len(df.columns))]
+    named = df.columns
+    if str(opts.get("header")).lower() == "true":
+        head = spark.read.options(**{**opts, "header": "false"}).csv(path).first()
+        # partition columns (``batch=...``) follow the file's own
+        own = len(df.columns) if head is None else len([f for f in df.columns if f not in _partitions(df)])
+        if head is not None:
+            named = ["" if n is None else n for n in head[:own]] + df.columns[own:]
+    rows = df.toDF(*slots)  # positional names, so any header (backticks, case twins) is safe
     if na_values:
-        na = list(na_values)
-        names = df.columns
-        # positional names, so any header (backticks, case twins) is safe
-        slots = [f"c{i}" for i in range(len(names))]
-        df = (df.toDF(*slots)
-              .select(*[F.when(F.col(c).isin(na), None).otherwise(F.col(c)).alias(c) for c in slots])
-              .toDF(*names))
-    return df
+        text = {f.name for f in rows.schema.fields if f.dataType.simpleString() == "string"}
+        rows = rows.select(*[F.when(~F.col(c).isin(list(na_values)), F.col(c)).alias(c) if c in text else c for c in slots])
+    if infer_schema:
+        rows = _inferred(rows)
+    return rows.toDF(*named)
+
+
+def _partitions(df: DataFrame) -> set[str]:
+    """Names of columns that come from ``name=value`` folders."""
+    files = df.inputFiles()[:1]
+    return {part.partition("=")[0] for f in files for part in f.split("/")[:-1] if "=" in part}
+
+
+def _inferred(rows: DataFrame) -> DataFrame:
+    """String columns cast to bigint, double or boolean where every value
+    can be, in one aggregation over the table."""
+    kinds = ("bigint", "double", "boolean")
+    texts = [f.name for f in rows.schema.fields if f.dataType.simpleString() == "string"]
+    if not texts:
+        return rows
+    tests = [F.count(c).alias(f"{c}_n") for c in texts]
+    tests += [F.count(F.col(c).try_cast(k)).alias(f"{c}_{k}") for c in texts for k in kinds]
+    found = rows.agg(*tests).first()
+
+    def kind(c: str) -> str:
+        if not found[f"{c}_n"]:
+            return "string"
+        return next((k for k in kinds if found[f"{c}_{k}"] == found[f"{c}_n"]), "string")
+
+    return rows.select(*[F.col(c).cast(kind(c)).alias(c) if c in texts else F.col(c) for c in rows.columns])
 
 
 def write_parquet(df: DataFrame, path: str, mode: str = "errorifexists", single_file: bool = False) -> None:

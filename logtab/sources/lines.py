@@ -27,22 +27,14 @@ from pyspark.sql import functions as F
 
 ORDER_COLS = ["_src_seq", "_src_file", "_src_block", "_src_row"]
 
-# Above this many partitions number_lines joins its offsets without a broadcast.
-MAX_BROADCAST_PARTITIONS = 2_000_000
-
-# A file name ends in an integer id, optionally followed by an extension.
-NUMBERED_NAME = r"^.*?(\d+)(?:\.[^.]*)?$"
-
-
-# Compression suffixes Spark's text source reads through; not part of a name.
-COMPRESSED = r"\.(?:gz|bz2|zst|lz4|snappy|deflate)$"
+# A file name ends in an integer id, optionally followed by extensions.
+NUMBERED_NAME = r"^.*?(\d+)(?:\..*)?$"
 
 
 def natural_key(name: Column) -> Column:
-    """Integer id at the end of a file name (before its extension and any
-    compression suffix); fails the job on a name without one, since such a
+    """Integer id at the end of a file name (before its extensions); fails the job on a name without one, since such a
     name has no place in the order."""
-    digits = F.regexp_extract(F.regexp_replace(name, COMPRESSED, ""), NUMBERED_NAME, 1)
+    digits = F.regexp_extract(name, NUMBERED_NAME, 1)
     return F.when(digits != "", digits.cast("bigint")).otherwise(
         F.raise_error(F.concat(F.lit("file name has no numeric id: "), name)).cast("bigint"))
 
@@ -101,8 +93,9 @@ def number_lines(df: DataFrame, order: Sequence[str] = ORDER_COLS, out: str = "l
     inside each.  One small job counts rows per partition - one number per
     partition reaches the driver, like ``RDD.zipWithIndex`` - and each row's
     number is its partition's offset plus its index inside the partition.
-    The offsets (one row per partition: a size bound known before the join)
-    are broadcast.  The order-key columns are dropped.
+    The order-key columns are dropped.  The sorted copy stays under the
+    checkpoint directory while the result is in use (Spark removes it with
+    ``spark.cleaner.referenceTracking.cleanCheckpoints``).
     """
     from logtab.plans.storage import scratch_dir
 
@@ -116,13 +109,11 @@ def number_lines(df: DataFrame, order: Sequence[str] = ORDER_COLS, out: str = "l
         offsets.append((p, total))
         total += counts.get(p, 0)
     table = spark.createDataFrame(offsets or [(0, 0)], "__pid int, __base bigint")
-    if len(offsets) <= MAX_BROADCAST_PARTITIONS:
-        table = F.broadcast(table)  # 12 bytes a row: at most ~24 MB
     pid = F.spark_partition_id()
     tagged = fixed.select("*", pid.alias("__pid"),
                           (F.monotonically_increasing_id() - pid.cast("bigint") * (1 << 33)).alias("__idx"))
     # each row's index is fixed before the join, so any join strategy gives
-    # the same numbers; the broadcast one just avoids moving the rows
+    # the same numbers
     return (tagged.join(table, "__pid")
             .withColumn(out, F.col("__base") + F.col("__idx") + 1)
             .drop("__pid", "__idx", "__base"))

@@ -8,10 +8,11 @@ the whole dataset and are handled differently on a stream:
   narrow records (a struct per grammar with a params map - no fixed column
   list needed) to a Parquet store; ``tabulate_records`` later turns the
   store into wide tables in one batch job.  When the header is known up
-  front, ``start_table_sink`` writes wide TSV per micro-batch with it
-  (keys outside the header stay in the records store only).
+  front, ``start_table_sink`` writes wide TSV per micro-batch with it;
+  keys outside the header stop the query or go to a column of their own.
 * **source order** relies on ``monotonically_increasing_id``, which streams
-  refuse; streamed rows carry the file path and split start only.
+  refuse; the records store adds it per micro-batch, where it still rises
+  along each split.
 
 Both sinks are exactly-once through the checkpoint location, which defaults
 to a folder under the session's ``spark.checkpoint.dir``.
@@ -64,31 +65,47 @@ def _checkpoint(spark: SparkSession, given: str | None, label: str) -> str:
 
 def start_records_sink(narrow: DataFrame, path: str, checkpoint: str | None = None,
                        trigger: dict | None = None) -> StreamingQuery:
-    """Append narrow records to a Parquet store at ``path`` (with each row's
-    key list, for a cheap key discovery by ``tabulate_records``)."""
+    """Append narrow records to a Parquet store at ``path``, with each row's
+    key list (for a cheap key discovery by ``tabulate_records``) and its
+    order within its split (``_src_row``).
+
+    Each micro-batch is written to a folder of its own (``batch=<id>``), so
+    a batch replayed after a failure replaces its output.
+    """
     spark = narrow.sparkSession
     if grammar_columns(narrow):
         narrow = narrow.withColumn(KEYS, param_keys(narrow))
-    w = (narrow.writeStream.format("parquet").outputMode("append")
+
+    def write_batch(batch: DataFrame, batch_id: int) -> None:
+        # nothing between the scan and here moves rows, so ids rise with the lines of a split
+        (batch.withColumn("_src_row", F.monotonically_increasing_id())
+         .write.mode("overwrite").parquet(posixpath.join(path, f"batch={batch_id}")))
+
+    w = (narrow.writeStream.foreachBatch(write_batch)
          .option("checkpointLocation", _checkpoint(spark, checkpoint, "records-ckpt"))
          .queryName(f"logtab_records_{next(_ids)}"))
     if trigger:
         w = w.trigger(**trigger)
-    return w.start(path)
+    return w.start()
 
 
 def start_table_sink(narrow: DataFrame, out: str, headers: dict[str, list[str]], base: str = "stream",
                      parsers: Sequence[LogParser] = DEFAULT_PARSERS, checkpoint: str | None = None,
-                     trigger: dict | None = None) -> StreamingQuery:
+                     trigger: dict | None = None, new_keys: str = "fail") -> StreamingQuery:
     """Write each micro-batch as wide TSV with fixed ``headers`` (one
     dataset per grammar under ``out``) plus the rejects as text.
 
+    A key outside the headers stops the query (``new_keys="fail"``) or goes
+    to a last column ``_extra``, a JSON object (``"keep"``).
+
     Each batch's files are written to a folder named after the batch id
     (``batch=<id>``), so a batch replayed after a failure replaces its own
     output instead of duplicating it.  Reading a table back with
     ``read_tsv`` therefore adds a ``batch`` partition column.
     """
     spark = narrow.sparkSession
+    if new_keys not in ("fail", "keep"):
+        raise ValueError("new_keys must be 'fail' or 'keep'")
     opts = dict(TSV_WRITE_OPTIONS)
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
@@ -97,7 +114,7 @@ def start_table_sink(narrow: DataFrame, out: str, headers: dict[str, list[str]],
         batch.persist()
         try:
             for p in parsers:
-                wide = tabularize(batch, p, headers[p.name])
+                wide = tabularize(batch, p, headers[p.name], new_keys=new_keys)
                 (wide.write.mode("overwrite").options(**opts)
                  .csv(posixpath.join(out, f"{base}.{p.name}.tsv", f"batch={batch_id}")))
             (rejects(batch).select("value").write.mode("overwrite")

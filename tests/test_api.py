@@ -85,14 +85,103 @@ def test_observation_counts(spark):
     assert obs.get == {"hw": 0, "cp": 1, "na": 2}
 
 
-def test_spread_only_small_inputs(spark):
-    from logtab.operators.route import spread
-
-    one = spark.range(100).coalesce(1)
-    assert spread(one, 4).rdd.getNumPartitions() == 4
-    some = spark.range(100).repartition(3)
-    assert spread(some, 8).rdd.getNumPartitions() == 3  # 3 of 8 cores busy: not worth a shuffle
-    assert spread(some, 16).rdd.getNumPartitions() == 16
+def test_parse_starts_no_job(spark):
+    from logtab import parse
+
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("quiet", "")
+    lines = _df(spark, ["x"]).repartition(3).orderBy("value")
+    parse(lines)
+    assert not tracker.getJobIdsForGroup("quiet")
+    assert parse(_df(spark, ["x"]).coalesce(1), min_partitions=4).rdd.getNumPartitions() == 4
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_params_of_named_grammars(spark):
+    from logtab import CP, HW, parse
+
+    lines = _df(spark, [CP_LINE + 'a="1"'])
+    plan = parse(lines, params=False)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan
+    assert parse(lines, params=[CP]).first().cp.params == {"a": "1"}
+    assert parse(lines, params=["hw"]).first().cp.params is None
+    with pytest.raises(ValueError):
+        parse(lines, parsers=[CP], params=[HW])
+
+
+def test_wide_fill_loses_nothing(spark):
+    from logtab import CP, parse, tabularize
+
+    long_key, long_value = "k" * 60_000, "v" * 21_000_000
+    line = CP_LINE + f'{long_key}="1" _corrupt_record="2" a="3" A="4" big="{long_value}"'
+    n = parse(_df(spark, [line]), parsers=[CP])
+    row = tabularize(n, CP, header=[*CP.base_names, long_key, "_corrupt_record", "a", "A", "big"]).first()
+    assert row[long_key] == "1" and row["_corrupt_record"] == "2" and row["a"] == "3" and row["A"] == "4"
+    assert row["big"] == long_value
+
+
+def test_shared_slots_are_looked_up(spark):
+    from logtab import CP, parse
+    from logtab.operators import tabularize as tb
+
+    n = parse(_df(spark, [CP_LINE + 'a="1" b="2" c="3"']), parsers=[CP])
+    cols, filled = tb.wide_columns(CP, ["a", "b", "c"], ["x", "x", *tb.slot_names(spark, ["c"])], record="cp")
+    assert list(n.withColumn(tb.WIDE, filled).select(*cols).first()) == ["1", "2", "3"]
+
+
+def test_new_keys(spark):
+    from logtab import CP, parse, tabularize
+
+    n = parse(_df(spark, [CP_LINE + 'a="1" n="2"', CP_LINE + 'a="3"']), parsers=[CP])
+    header = [*CP.base_names, "a"]
+    with pytest.raises(Exception, match="keys outside the header: n"):
+        tabularize(n, CP, header, new_keys="fail").collect()
+    rows = tabularize(n, CP, header, new_keys="keep").collect()
+    assert sorted((r.a, r._extra) for r in rows) == [("1", '{"n":"2"}'), ("3", None)]
+    assert "_extra" not in tabularize(n, CP, header).columns
+
+
+def test_python_keys_stay_as_returned(spark):
+    from logtab import PythonLogParser, parse
+
+    raw = PythonLogParser("raw", lambda line: {" a": "1", "a": "2", " b ": "3"})
+    assert parse(_df(spark, ["x"]), parsers=[raw]).first().raw.params == {" a": "1", "a": "2", " b ": "3"}
+
+
+def test_scratch_needs_a_shared_folder(spark, monkeypatch):
+    from logtab.plans import storage
+
+    class Context:
+        master, applicationId = "spark://host:7077", "app"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Session:
+        sparkContext, conf = Context(), Conf()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        storage.scratch_dir(Session())
+
+
+def test_order_of_records_without_rows_is_refused(spark, tmp_dir):
+    from logtab import parse
+    from logtab.plans.tabulate import tabulate_records
+
+    n = parse(_df(spark, ["junk"])).withColumn("_src_file", F.lit("f"))
+    with pytest.raises(ValueError, match="preserve_order"):
+        tabulate_records(spark, n, os.path.join(tmp_dir, "o"), "s")
+
+
+def test_natural_key(spark):
+    from logtab.sources.lines import natural_key
+
+    names = ["chunk_3.hw.log", "chunk_12", "a7.log.gz", "x_2.tar.gz"]
+    assert [r[0] for r in spark.createDataFrame([(n,) for n in names], "n string").select(natural_key(F.col("n"))).collect()] == [3, 12, 7, 2]
 
 
 def test_filter_on_parser_not_pushed_into_regexes(spark):

@@ -260,14 +260,34 @@ def test_case_twin_keys_written_to_tsv(spark, tmp_dir):
     assert header[-2:] == ["Src", "src"] and rows[0][-2:] == ["1", "2"]
 
 
-def test_sort_partitions_scale_with_data(spark):
-    from logtab.plans.tabulate import SORT_PARTITION_BYTES, sort_partitions
-
-    assert int(spark.conf.get("spark.sql.shuffle.partitions")) == 8
-    small = sort_partitions(spark, 10_000, {"hw": 7, "cp": 2, "na": 1})
-    assert small == {}  # session default, coalescible by adaptive execution
-    big = sort_partitions(spark, 1000 * SORT_PARTITION_BYTES, {"hw": 700, "cp": 295, "na": 5})
-    assert big == {"hw": 700, "cp": 295}  # na (5 partitions' worth) keeps the default
+def test_sorted_narrow_then_widened(spark, tmp_dir):
+    from logtab import parse_logs
+
+    src = os.path.join(tmp_dir, "w.log")
+    with open(src, "w") as f:
+        for i in range(50):
+            f.write(f'Nov 28 11:39:51 10.0.0.1 +01:00 10.0.0.2 k{i}="{i}"\n')
+    plans = []
+
+    def writer(df, path):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        df.write.parquet(path)
+
+    parse_logs(spark, src, out=os.path.join(tmp_dir, "o"), writer=writer)
+    wide = plans[-1]
+    assert wide.index("from_json") < wide.index("Sort [")  # the fill stands above the sort
+
+
+def test_column_limit_keeps_the_records(spark, tmp_dir):
+    from logtab import TooManyColumns, parse_logs
+
+    src = os.path.join(tmp_dir, "w.log")
+    with open(src, "w") as f:
+        f.write("Nov 28 11:39:51 10.0.0.1 +01:00 10.0.0.2 " + " ".join(f'k{i}="{i}"' for i in range(20)) + "\n")
+    with pytest.raises(TooManyColumns) as e:
+        parse_logs(spark, src, out=os.path.join(tmp_dir, "o"), max_columns=10)
+    kept = str(e.value).split("kept at ")[1].split(" (")[0]
+    assert spark.read.parquet(kept).count() == 1
 
 
 def test_glob_source_gets_neutral_names(spark, tmp_dir):
