@@ -49,7 +49,7 @@ def sample_docs():
     rng = random.Random(5)
     vocab = [f"w{i}" for i in range(300)] + ["Été", "ÀB", "x y", "İz", "AKIA"]
     rows = []
-    for i in range(60):
+    for i in range(25):
         words = rng.choices(vocab, k=rng.choice([1, 2, 3, 5, 40, 200]))
         rows.append(" ".join(words))
         for _ in range(rng.choice([0, 0, 1, 4])):
