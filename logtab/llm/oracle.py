@@ -5,6 +5,7 @@ from __future__ import annotations
 import string
 
 from logtab.llm.chat import MAX_TURNS
+from logtab.llm.embeddings import THRESHOLD
 from logtab.llm.urls import HOST_RULES, PATTERN_RULES, pattern_regex
 
 
@@ -68,4 +69,22 @@ select conv_id, part::bigint as part, speaker, string_agg(head || body || chr(10
 from placed group by conv_id, part, speaker"""
 
 
-SQL: dict[str, str] = {"op6_urls": urls(), "op8_chat": chat()}
+def embeddings() -> str:
+    return f"""
+with recursive vectors as (
+  select vec_id, list_transform(embedding, lambda x: x::double) as v from embeddings),
+good as (
+  select vec_id, v from vectors
+  where v is not null and len(v) > 0 and len(list_filter(v, lambda x: x is null or not isfinite(x))) = 0
+    and len(list_filter(v, lambda x: x <> 0)) > 0),
+links as (
+  select a.vec_id as a, b.vec_id as b from good a join good b
+    on a.vec_id <> b.vec_id and len(a.v) = len(b.v) and list_cosine_similarity(a.v, b.v) >= {THRESHOLD}),
+reach(a, b) as (
+  select vec_id, vec_id from vectors union select r.a, l.b from reach r join links l on r.b = l.a)
+select vec_id, (select count(*) from links where a = vec_id)::bigint as n_links, c.component_id,
+       vec_id = c.component_id as kept
+from vectors join (select a, min(b) as component_id from reach group by a) c on c.a = vec_id"""
+
+
+SQL: dict[str, str] = {"op10_embeddings": embeddings(), "op6_urls": urls(), "op8_chat": chat()}
