@@ -127,26 +127,35 @@ def slot_names(spark: SparkSession, keys: Sequence[str]) -> list[str]:
     return [s for _, s in sorted(rows)]
 
 
+def quoted(name: str) -> str:
+    """A column name in SQL."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def literal(text: str) -> str:
+    """A string in SQL."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def wide_columns(parser: LogParser, header: Sequence[str], slots: Sequence[str], record: str = ""
-                 ) -> tuple[list[Column], Column | None]:
+                 ) -> tuple[list[str], Column | None]:
     """One string column per header key over the flat record columns
     (base fields + ``params``), ``record`` optionally naming the struct
     that holds them.  A parameter overrides a base field of the same name.
 
-    Returns the columns and the expression they read from: parameter
-    columns are filled in one pass, by serialising the row's (small) map
-    once with ``to_json`` and parsing it with ``from_json`` into a struct of
-    all header keys - a hash lookup per key present in the row, where looking
-    every header key up in the map would scan the map once per column.
-    Field names are the keys' ``slots`` (see ``slot_name``), values may have
-    any length, and a row that cannot be read fails the job.  Keys whose
-    slots coincide are looked up in the map instead.  Materialise the
+    Returns the columns as SQL (for ``selectExpr``: thousands of ``Column``
+    objects would take minutes to build) and the expression they read from:
+    parameter columns are filled in one pass, by serialising the row's
+    (small) map once with ``to_json`` and parsing it with ``from_json`` into
+    a struct of all header keys - a hash lookup per key present in the row,
+    where looking every header key up in the map would scan the map once per
+    column.  Field names are the keys' ``slots`` (see ``slot_name``), values
+    may have any length, and a row that cannot be read fails the job.  Keys
+    whose slots coincide are looked up in the map instead.  Materialise the
     expression as column ``WIDE`` before selecting the columns.
     """
-    def c(name: str) -> Column:
-        return F.col(record).getField(name) if record else F.col(name)
-
-    params = c("params")
+    inside = f"{quoted(record)}." if record else ""
+    params = F.col(f"{inside}params")
     base = set(parser.base_names)
     slot_of = dict(zip(header, slots))
     shared = {s for s, n in Counter(slots).items() if n > 1}
@@ -163,13 +172,13 @@ def wide_columns(parser: LogParser, header: Sequence[str], slots: Sequence[str],
     place = {k: i for i, k in enumerate(extra)}
     cols = []
     for k in header:
-        if k in base:
-            v = F.when(F.map_contains_key(params, F.lit(k)), params[F.lit(k)]).otherwise(c(k).cast("string"))
-        elif k in place:
-            v = F.col(WIDE).getField(f"c{place[k]}")
+        if k in place:
+            v = f"{WIDE}.c{place[k]}"
         else:
-            v = params[F.lit(k)]
-        cols.append(v.alias(k))
+            v = f"{inside}params[{literal(k)}]"
+            if k in base:
+                v = f"CASE WHEN map_contains_key({inside}params, {literal(k)}) THEN {v} ELSE CAST({inside}{quoted(k)} AS STRING) END"
+        cols.append(f"{v} AS {quoted(k)}")
     return cols, filled
 
 
@@ -192,18 +201,18 @@ def tabularize(narrow: DataFrame, parser: LogParser, header: Sequence[str] | Non
     cols, filled = wide_columns(parser, header, slot_names(narrow.sparkSession, header), record=parser.name)
     if new_keys != "ignore":
         params = F.col(parser.name).getField("params")
-        known = F.array(*[F.lit(k) for k in ["", *header]])
-        new = F.array_except(F.map_keys(params), known)
+        new = F.array_except(F.map_keys(params), F.lit(["", *header]))
         if new_keys == "fail":
             message = F.concat(F.lit(f"{parser.name}: keys outside the header: "), F.array_join(new, ", "))
             rows = rows.where(F.when(F.size(new) > 0, F.raise_error(message).cast("boolean")).otherwise(F.lit(True)))
         else:
             rest = F.map_filter(params, lambda k, _: F.array_contains(new, k))
-            cols.append(F.when(F.size(new) > 0, F.to_json(rest)).alias(EXTRA))
+            rows = rows.withColumn("__new", F.when(F.size(new) > 0, F.to_json(rest)))
+            cols.append(f"__new AS {EXTRA}")
     if filled is not None:
         # materialised once; each column then reads one struct field
         rows = rows.withColumn(WIDE, filled)
-    return rows.select(*keep, *cols)
+    return rows.selectExpr(*map(quoted, keep), *cols)
 
 
 def dedupe_names(names: Sequence[str]) -> list[str]:

@@ -214,7 +214,9 @@ SELECT eid, CAST(5 + 2 * (SELECT count(DISTINCT eid % 5250) FROM e) AS INTEGER)
 FROM e""",
 
     "wide_hostile_keys": f"""WITH {E}
-SELECT eid, CAST(eid AS VARCHAR) AS a, 'c' || eid AS "_corrupt_record", 'v' || eid AS long_key FROM e""",
+SELECT eid, CAST(eid AS VARCHAR) AS a, 'c' || eid AS "_corrupt_record",
+       CASE WHEN eid % 100 = 0 THEN 'v' || eid END AS long_key
+FROM e""",
 
     "python_parser_raw_keys": f"""WITH {E}
 SELECT eid, ' id' AS key, CAST(eid AS VARCHAR) AS val FROM e WHERE shape = 9
