@@ -131,15 +131,36 @@ def assign_cells(stats: DataFrame, min_group: int) -> DataFrame:
     """Add each row's cell: its language and source; where fewer than
     ``min_group`` rows pass the fixed rules there, all such small groups of
     the language together; where they too are few, the rest of all
-    languages."""
-    group = (stats.groupBy("lang", "source").agg(F.sum((~F.col("base_failed")).cast("long")).alias("n")))
-    by_lang = group.where(F.col("n") < min_group).groupBy("lang").agg(F.sum("n").alias("pooled"))
-    sized = (group.join(by_lang.withColumnRenamed("lang", "p_lang"), F.col("lang").eqNullSafe(F.col("p_lang")), "left").drop("p_lang"))
-    level = F.when(F.col("n") >= min_group, 0).when(F.col("pooled") >= min_group, 1).otherwise(2)
+    languages.  Where even that rest is too small, the cell is the row's
+    whole language (level 3) or, if that is small as well, the whole table
+    (level 4): such cells are fitted on rows of other cells too
+    (``fitted_rows``)."""
+    group = materialise(stats.groupBy("lang", "source").agg(F.sum((~F.col("base_failed")).cast("long")).alias("n")), "quality-groups")
+    small = F.when(F.col("n") < min_group, F.col("n"))
+    by_lang = group.groupBy(F.col("lang").alias("p_lang")).agg(F.sum(small).alias("pooled"), F.sum("n").alias("of_lang"))
+    rest = by_lang.where(F.col("pooled") < min_group).agg(F.sum("pooled").alias("left"))
+    sized = group.join(by_lang, F.col("lang").eqNullSafe(F.col("p_lang"))).join(rest)
+    level = (F.when(F.col("n") >= min_group, 0).when(F.col("pooled") >= min_group, 1).when(F.col("left") >= min_group, 2)
+             .when(F.col("of_lang") >= min_group, 3).otherwise(4))
     cells = materialise(sized.select(F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), level.alias("level")), "quality-cells")
     met = stats.join(cells, same((F.col("lang"), F.col("g_lang")), (F.col("source"), F.col("g_source"))))
     return met.drop("g_lang", "g_source").withColumn(
-        "c_lang", F.when(F.col("level") < 2, F.col("lang"))).withColumn("c_source", F.when(F.col("level") < 1, F.col("source")))
+        "c_lang", F.when(F.col("level").isin(0, 1, 3), F.col("lang"))).withColumn("c_source", F.when(F.col("level") < 1, F.col("source")))
+
+
+def fitted_rows(placed: DataFrame) -> DataFrame:
+    """``(cell, f0...)``: the rows that each cell's model is fitted on, all
+    that pass the fixed rules.  Cells of levels 0 to 2 have rows of their
+    own; those of levels 3 and 4 take every row of the language or table."""
+    good = placed.where(~F.col("base_failed"))
+    values = [f"f{i}" for i in range(P)]
+    wide = placed.where(F.col("level") > 2).select(*[F.col(c).alias(f"__{c}") for c in CELL]).distinct()
+    none = F.lit(None).cast("string")
+    either = F.explode(F.array(F.struct(F.lit(3).alias("level"), F.col("lang").alias("c_lang"), none.alias("c_source")),
+                               F.struct(F.lit(4).alias("level"), none.alias("c_lang"), none.alias("c_source"))))
+    lent = good.select(either.alias("cell"), *values).select("cell.*", *values).join(
+        wide, same(*[(F.col(c), F.col(f"__{c}")) for c in CELL]), "left_semi")
+    return good.where(F.col("level") < 3).select(*CELL, *values).union(lent)
 
 
 def first_models(rows: DataFrame) -> DataFrame:
@@ -244,13 +265,16 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     more than long ones.
 
     Every row counts; rows reach the driver or a single task nowhere.  Small
-    groups are pooled (``assign_cells``); a cell where fewer than
-    ``min_group`` rows pass the fixed rules is not judged further (distance
-    null, kept).  Null languages and sources are groups of their own.
+    groups are pooled (``assign_cells``); what is left over and still small
+    gets the model of all rows of its language or of the table, so every row
+    that passes the fixed rules has a distance.  Only in a table where fewer
+    than ``min_group`` rows pass them in all there is nothing to fit on: its
+    rows are not judged further (distance null, kept).  Null languages and
+    sources are groups of their own.
     """
     stats = materialise(statistics(docs, id_col, text_col, lang_col, source_col), "quality-stats")
     placed = materialise(assign_cells(stats, min_group).select("*", *transformed()), "quality-rows")
-    fit = placed.where(~F.col("base_failed"))
+    fit = materialise(fitted_rows(placed), "quality-fit")
     many = fit.groupBy(*CELL).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_group).drop("n")
     models = materialise(first_models(fit).alias("m").join(
         many.withColumnsRenamed({c: f"__{c}" for c in CELL}), same(*[(F.col(c), F.col(f"__{c}")) for c in CELL]), "left_semi"), "quality-model")

@@ -128,3 +128,39 @@ def test_empty_table(spark):
     assert one.count() == 1 and not ql.judged(one).first().kept  # repeats alone
     few = one.withColumn("text", F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(80)), lambda i: F.concat(F.lit("w"), i))))
     assert ql.judged(few).first().kept and ql.judged(few).first().distance is None
+
+
+def test_small_left_over_groups_are_judged(spark):
+    rng = random.Random(11)
+    vocab = ["".join(rng.choices("abcdefghij", k=rng.randrange(2, 9))) for _ in range(400)]
+    rows = []
+
+    def add(n, lang, source, mark=""):
+        for _ in range(n):
+            text = " ".join(w + mark for w in rng.choices(vocab, k=rng.randrange(80, 300)))
+            rows.append((len(rows), text, lang, source))
+
+    add(150, "en", "s1")
+    add(20, "en", "s2")  # left over, of a large language
+    add(15, None, "s1")  # left over, of small ones
+    add(4, "es", None)
+    add(3, "en", "s2", "%%%")
+    add(3, "es", None, "%%%")
+    add(1, None, "s1", "%%%")
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)
+    values = {r.id: r for r in ql.statistics(df).select("id", "lang", "base_failed", *ql.transformed()).collect()}
+    assert not any(r.base_failed for r in values.values())
+    got = {r.id: r for r in ql.judged(df, min_group=100).collect()}
+    assert len(got) == len(rows)
+
+    def expect(among):
+        ids = [i for i in values if among(values[i])]
+        return dict(zip(ids, fit(np.array([[values[i][f"f{k}"] for k in range(ql.P)] for i in ids]))))
+
+    table, en = expect(lambda r: True), expect(lambda r: r.lang == "en")
+    first = expect(lambda r: r.id < 150)
+    for i, text, lang, source in rows:
+        d = (first if i < 150 else en if lang == "en" else table)[i]
+        assert abs(got[i].distance - d) < 1e-3 * max(1, d)
+        assert got[i].kept == (d <= ql.chi2_point(ql.TAIL, ql.P))
+    assert not any(got[i].kept for i, text, _, _ in rows if "%" in text)
