@@ -120,11 +120,19 @@ def calibrate(cells: DataFrame, keep: float) -> float:
         factor = max(factor, (keep * total - row.fixed) / row.free)
 
 
-def probabilities(rows: DataFrame, targets: Mapping[str, DataFrame], keep: float = KEEP, tokens: str = "tokens", **options) -> DataFrame:
-    """``(dims..., probability)`` of every cell: see ``rake``, ``calibrate``."""
+def probabilities(rows: DataFrame, targets: Mapping[str, DataFrame], keep: float = KEEP, tokens: str = "tokens",
+                  repeats: bool = False, **options) -> DataFrame:
+    """``(dims..., probability)`` of every cell: see ``rake``, ``calibrate``.
+
+    With ``repeats``, the expected number of copies of each row instead, above
+    1 where the targets ask for more than there is; as the weights sum to the
+    tokens there are, they hold the share ``keep`` of them.
+    """
     if not 0 < keep <= 1:
         raise ValueError("keep must lie in (0, 1]")
     cells = rake(rows, targets, tokens, **options)
+    if repeats:
+        return cells.select(*targets, (F.col("weight") * F.lit(keep)).alias("probability"))
     factor = calibrate(cells, keep)
     return cells.select(*targets, F.least(F.col("weight") * F.lit(factor), F.lit(1.0)).alias("probability"))
 
@@ -135,29 +143,39 @@ def draw(seed: int, *parts: str) -> Column:
 
 
 def mixed(rows: DataFrame, exponents: Mapping[str, float] = EXPONENTS, keep: float = KEEP, seed: int = 42,
-          targets: Mapping[str, DataFrame] | None = None, **options) -> DataFrame:
+          targets: Mapping[str, DataFrame] | None = None, repeats: bool = False, **options) -> DataFrame:
     """``rows`` (a ``profile``, or any table with ``id``, ``key``, ``tokens``
-    and the dimensions) with ``probability`` and ``kept``.
+    and the dimensions) with ``probability`` and ``kept``, the number of
+    copies drawn (0: the row goes).
 
     Targets are tempered token shares unless given.  Each row is drawn by a
     hash of its id and text, so the draw depends neither on the layout nor
-    on a retried task; rows that repeat both share one draw.  Rows without
+    on a retried task; rows that repeat both share one draw.  With
+    ``repeats``, ``probability`` is the expected number of copies: its whole
+    part is certain, the fraction is drawn, and the expected tokens have the
+    marginals that ``rake`` reached.  Without, no row is drawn twice, and
+    categories of which there is too little stay below their targets.  Rows without
     tokens weigh nothing in any marginal: they are kept with the share
     ``keep``.
     """
     targets = targets or {d: tempered(rows, d, e) for d, e in exponents.items()}
-    p = materialise(probabilities(rows, targets, keep, **options), "mix-probability")
+    p = materialise(probabilities(rows, targets, keep, repeats=repeats, **options), "mix-probability")
     renamed = p.withColumnsRenamed({d: f"__{d}" for d in targets})
     met = rows.join(renamed, same(*[(F.col(d), F.col(f"__{d}")) for d in targets]), "left")
     chance = F.when(F.col("tokens") > 0, F.coalesce("probability", F.lit(0.0))).otherwise(F.lit(keep))
+    sure = F.floor("probability")
     return (met.select(*rows.columns, chance.alias("probability"))
-            .withColumn("kept", draw(seed, "id", "key") < F.col("probability")))
+            .withColumn("kept", (sure + (draw(seed, "id", "key") < F.col("probability") - sure).cast("int")).cast("int")))
 
 
 def sample_mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: float = KEEP, **options) -> DataFrame:
-    """The rows of ``docs`` that ``mixed`` draws, unchanged."""
+    """The rows of ``docs`` that ``mixed`` draws, unchanged, each as often as
+    it is drawn (more than once only with the option ``repeats``)."""
     rows = materialise(profile(docs, id_col, text_col), "mix-profile")
-    kept = (mixed(rows, keep=keep, **options).where("kept")
-            .select(F.col("id").alias("__id"), F.col("key").alias("__key")).distinct())
-    return docs.join(materialise(kept, "mix-kept"), same(
-        (docs[id_col].cast("long"), F.col("__id")), (row_key(docs[text_col].cast("string")), F.col("__key"))), "left_semi")
+    kept = (mixed(rows, keep=keep, **options).where("kept > 0")
+            .select(*[F.col(c).alias(f"__{c}") for c in ("id", "key", "lang", "source", "kept")]).distinct())
+    met = docs.join(materialise(kept, "mix-kept"), same(
+        (docs[id_col].cast("long"), F.col("__id")), (row_key(docs[text_col].cast("string")), F.col("__key")),
+        (docs["lang"].cast("string"), F.col("__lang")), (docs["source"].cast("string"), F.col("__source"))))
+    return (met.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("__kept"))))
+            .drop("__id", "__key", "__lang", "__source", "__kept", "__copy"))

@@ -53,9 +53,9 @@ def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's topic, probability and draw."""
+    """Every document's topic, expected copies and copies drawn."""
     rows = materialise(profile(table(spark, sf_dir, "documents")), "mix-profile")
-    return mixed(rows).withColumnRenamed("id", "doc_id").drop("key")
+    return mixed(rows, repeats=True).withColumnRenamed("id", "doc_id").drop("key")
 
 
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

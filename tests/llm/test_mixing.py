@@ -77,3 +77,31 @@ def test_profile_and_sample(spark):
     assert out.columns == df.columns
     none = mx.sample_mixture(df.limit(0))
     assert none.columns == df.columns and none.count() == 0
+
+
+def test_drawn_marginals_meet_targets(spark):
+    """Also where the targets ask for more of a category than there is."""
+    rng = random.Random(8)
+    rows = [(i, i * 7, rng.choice(["hot"] * 8 + ["a", "b"]), rng.choice(["en"] * 6 + ["de"]), rng.randrange(3), rng.randrange(1, 9))
+            for i in range(20000)]
+    df = spark.createDataFrame(rows, "id long, key long, source string, lang string, topic int, tokens long")
+    goal = {"source": {"hot": 0.4, "a": 0.35, "b": 0.25}, "lang": {"en": 0.6, "de": 0.4}}
+    targets = {d: spark.createDataFrame(list(g.items()), "value string, target double") for d, g in goal.items()}
+    drawn = mx.mixed(df, targets=targets, repeats=True).collect()
+    assert max(r.kept for r in drawn) > 1
+    assert all(r.kept in (int(r.probability), int(r.probability) + 1) for r in drawn)
+    for number, within in (("probability", 1e-3), ("kept", 0.03)):
+        total = sum(r[number] * r.tokens for r in drawn)
+        assert abs(total / sum(r.tokens for r in drawn) - mx.KEEP) < within
+        for d, g in goal.items():
+            for value, share in g.items():
+                assert abs(sum(r[number] * r.tokens for r in drawn if r[d] == value) / total - share) < within * share, (number, value)
+
+
+def test_sample_repeats_rows(spark):
+    docs = spark.createDataFrame([(i, f"word{i} " * 10, "en", "big" if i % 10 else "rare") for i in range(200)],
+                                 "doc_id long, text string, lang string, source string")
+    goal = {"source": spark.createDataFrame([("big", 1.0), ("rare", 1.0)], "value string, target double")}
+    want = {r.id: r.kept for r in mx.mixed(mx.profile(docs), targets=goal, repeats=True).collect()}
+    got = {r.doc_id: r["count"] for r in mx.sample_mixture(docs, targets=goal, repeats=True).groupBy("doc_id").count().collect()}
+    assert got == {i: n for i, n in want.items() if n} and all(want[i] >= 4 for i in range(0, 200, 10))
