@@ -87,4 +87,98 @@ select vec_id, (select count(*) from links where a = vec_id)::bigint as n_links,
 from vectors join (select a, min(b) as component_id from reach group by a) c on c.a = vec_id"""
 
 
-SQL: dict[str, str] = {"op10_embeddings": embeddings(), "op6_urls": urls(), "op8_chat": chat()}
+def divergence() -> str:
+    def share(c: str, n: str) -> str:
+        return f"1 + (1000000000::hugeint * ({c} + 5)) // ({n} + 5 * v)"
+
+    return f"""
+with docs as (
+  select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source, coalesce(text, '') as text
+  from documents),
+groups as (select distinct lang, source from docs),
+words as (select r, lang, source, unnest(regexp_extract_all({lower('text')}, '[a-z\\x{{80}}-\\x{{10FFFF}}]+')) as term from docs),
+kept as (select lang, term, count(*) as n_lang from words group by lang, term having count(distinct r) >= 30),
+sizes as (select lang, count(*) as v, sum(n_lang) as n_all from kept group by lang),
+counts as (select lang, source, term, count(*) as c from words group by lang, source, term),
+dense as (
+  select g.lang, g.source, k.term, k.n_lang, coalesce(c.c, 0) as c
+  from groups g join kept k on g.lang = k.lang
+  left join counts c on c.lang = g.lang and c.source = g.source and c.term = k.term),
+summed as (select *, sum(c) over (partition by lang, source) as n from dense),
+shares as (
+  select lang, source, term, c, {share('c', 'n')} as p, {share('n_lang', 'n_all')} as q from summed join sizes using (lang)),
+apart as (
+  select a.lang, a.source, b.source as item, sum(abs(a.p - b.p)) as value
+  from shares a join shares b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+parts as (
+  select a.lang, a.source, 'pair' as part, b.source as item, coalesce(f.value, 0) as value
+  from groups a join groups b on a.lang = b.lang and a.source <> b.source
+  left join apart f on f.lang = a.lang and f.source = a.source and f.item = b.source
+  union all
+  select lang, source, 'term', term, p - q from shares where c > 0 and p > q),
+ranked as (
+  select lang, source, part, item, value::bigint as value,
+         (row_number() over (partition by lang, source, part order by value desc, item))::int as rank
+  from parts)
+select * from ranked where part = 'pair' or rank <= 50"""
+
+
+def merkle() -> str:
+    def field(c: str) -> str:
+        return f"coalesce(strlen({c}::varchar)::varchar || ':' || {c}::varchar, '-')"
+
+    def tree(name: str, group: str, rows: str) -> str:
+        return f"""
+{name}({group}, level, pos, n, digest) as (
+  {rows}
+  union all
+  select {group}, level + 1, pos // 3, (n + 2) // 3, sha256(string_agg(digest, '' order by pos))
+  from {name} where n > 1 group by {group}, level, pos // 3, n),
+{name}_runs as (
+  select a.{group}, a.level, a.pos, coalesce(string_agg(b.digest, '' order by b.pos) filter (where b.pos < a.pos), '') as before,
+         coalesce(string_agg(b.digest, '' order by b.pos) filter (where b.pos > a.pos), '') as after
+  from {name} a join {name} b
+    on a.{group} is not distinct from b.{group} and a.level = b.level and a.pos // 3 = b.pos // 3
+  where a.n > 1 group by a.{group}, a.level, a.pos)"""
+
+    def walk(name: str, of: str, group: str, start: str) -> str:
+        return f"""
+{name}(r, {group}, level, pos, acc, proof) as (
+  {start}
+  union all
+  select w.r, w.{group}, w.level + 1, w.pos // 3, sha256(s.before || w.acc || s.after), w.proof || s.before || s.after
+  from {name} w join {of}_runs s on w.{group} is not distinct from s.{group} and w.level = s.level and w.pos = s.pos)"""
+
+    rest = " || ".join(field(c) for c in ("doc_id", "source", "lang", "n_chars"))
+    bit = "case when a & 1 = 1 then xor(a >> 1, 3988292384) else a >> 1 end"
+    byte = f"list_reduce([xor(crc, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda a, z: {bit})"
+    crc = (f"xor(list_reduce(list_concat([4294967295], list_transform(string_split(doc_id::varchar, ''), lambda c: ord(c)::bigint)), "
+           f"lambda crc, b: {byte}), 4294967295)")
+    return f"""
+with recursive docs as (
+  select row_number() over () as r, doc_id, source, sha256({rest} || {field('text')}) as leaf,
+         sha256({rest} || case when coalesce({crc} % 2 = 0, false) then {field("replace(text, chr(10), '')")} else {field('text')} end)
+           as candidate
+  from documents),
+placed as (
+  select *, row_number() over (partition by source order by doc_id nulls first, leaf, candidate) - 1 as pos,
+         count(*) over (partition by source) as n from docs),
+{tree('low', 'source', 'select source, 0, pos, n, leaf from placed')},
+tops as (
+  select source, digest, row_number() over (order by source nulls first) - 1 as pos, count(*) over () as n, 0 as one
+  from low where n = 1),
+{tree('high', 'one', 'select one, 0, pos, n, digest from tops')},
+{walk('inner_walk', 'low', 'source', "select r, source, 0, pos, candidate, '' from placed")},
+ends as (
+  select w.r, t.pos, t.digest as subroot, w.acc, w.proof, t.one
+  from inner_walk w join low l on w.source is not distinct from l.source and w.level = l.level and w.pos = l.pos and l.n = 1
+  join tops t on t.source is not distinct from w.source),
+{walk('outer_walk', 'high', 'one', 'select r, one, 0, pos, acc, proof from ends')},
+root as (select level, digest from high where n = 1)
+select d.doc_id, d.leaf, e.subroot, root.digest as root, sha256(w.proof) as proof_sha256, w.acc as folded_root,
+       w.acc = root.digest as verified
+from outer_walk w join root on w.level = root.level join docs d using (r) join ends e using (r)"""
+
+
+SQL: dict[str, str] = {"op10_embeddings": embeddings(), "op6_urls": urls(), "op8_chat": chat(), "op12_divergence": divergence(),
+                       "op13_merkle": merkle()}

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logtab.llm import pii, secrets
+from logtab.llm import merkle, pii, secrets, tokens
 from logtab.llm.chat import perspectives
 from logtab.llm.common import materialise
+from logtab.llm.divergence import divergence
 from logtab.llm.embeddings import near_vectors
 from logtab.llm.linededup import dedup_lines
 from logtab.llm.mixing import mixed, profile
@@ -74,9 +76,32 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op11_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place and checksum, from the files read back."""
+    path = tokens.write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return tokens.read_tokens(spark, path).select(
+        F.col("id").alias("doc_id"), "start", F.col("n").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence(table(spark, sf_dir, "documents"))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's proof; some documents have lost their line feeds."""
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.crc32(docs["doc_id"].cast("string")) % 2 == 0
+    changed = F.when(tampered, F.replace(docs["text"], F.lit("\n"), F.lit(""))).otherwise(docs["text"])
+    done = merkle.manifest(docs, changed)
+    hexed = [merkle.hexed(F.col(c)).alias(c) for c in ("leaf", "subroot", "root")]
+    return done.select(
+        F.col("id").alias("doc_id"), *hexed, F.sha2(merkle.siblings(F.col("proof")), 256).alias("proof_sha256"),
+        merkle.hexed(F.col("folded_root")).alias("folded_root"), (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_secrets, op2_pii, op3_simhash, op4_quality, op5_packing, op6_urls, op7_mixing, op8_chat,
-                            op9_line_dedup, op10_embeddings)
+                            op9_line_dedup, op10_embeddings, op11_tokens, op12_divergence, op13_merkle)
 }
 
 __all__ = ["QUERIES", "SQL"]
