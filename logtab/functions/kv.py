@@ -14,7 +14,7 @@ re-keyed by ``str.strip()``:
 Both steps are built from array functions only, so they stay in the JVM and
 need no session configuration (``mapKeyDedupPolicy``).  ``record_map`` is the
 exact single-expression form; ``with_record_maps`` adds a generated-code fast
-path for rows whose keys need no dedupe.
+path for rows whose keys need no dedupe, and sorts each line's pairs once.
 """
 
 from __future__ import annotations
@@ -41,9 +41,27 @@ def _with_base(keys: Column, vals: Column, base_names: list[str] | None):
             F.concat(F.array(*[F.lit(None).cast("string") for _ in base_names]), vals))
 
 
-def _pick_last(distinct: Column, rkeys: Column, rvals: Column) -> Column:
-    # array_position on the reversed keys finds each key's last occurrence
-    return F.transform(distinct, lambda k: F.element_at(rvals, F.array_position(rkeys, k).cast("int")))
+def _runs(keys: Column, vals: Column) -> Column:
+    """(key, position, value) entries sorted by key, then position."""
+    entries = F.transform(F.arrays_zip(keys.alias("k"), vals.alias("v")),
+                          lambda e, i: F.struct(e["k"].alias("k"), i.alias("i"), e["v"].alias("v")))
+    return F.sort_array(entries)
+
+
+def _last_of_runs(runs: Column) -> Column:
+    """One (first position, key, last value) entry per key, by position:
+    among entries sorted by key and position, a run of equal keys starts
+    where the key before differs and ends where the key after does."""
+    def edge(step: int) -> Column:
+        return F.filter(runs, lambda e, i: ~e["k"].eqNullSafe(F.get(runs, i + step)["k"]))
+
+    ends = F.arrays_zip(edge(-1).alias("first"), edge(1).alias("last"))
+    return F.sort_array(F.transform(ends, lambda r: F.struct(r["first"]["i"].alias("i"), r["first"]["k"].alias("k"), r["last"]["v"].alias("v"))))
+
+
+def _mapped(entries: Column) -> Column:
+    """Entries of ``_last_of_runs`` as a map in their order."""
+    return F.map_from_arrays(entries["k"], entries["v"])
 
 
 def record_map(keys: Column, vals: Column, base_names: list[str] | None = None) -> Column:
@@ -53,12 +71,12 @@ def record_map(keys: Column, vals: Column, base_names: list[str] | None = None)
     in the ordering (a parameter named like a base field keeps the base
     field's early position) and are dropped again afterwards, so the map only
     holds entries whose final value came from the parameter text.
+
+    As one expression this is for few pairs: Spark evaluates the sorted
+    arrays anew where they are used.  ``with_record_maps`` computes each once.
     """
-    keys, vals = _with_base(keys, vals, base_names)
-    dk = F.array_distinct(keys)
-    dv = _pick_last(dk, F.reverse(keys), F.reverse(vals))
-    sk = F.transform(dk, strip)
-    m = F.map_from_arrays(F.array_distinct(sk), _pick_last(F.array_distinct(sk), F.reverse(sk), F.reverse(dv)))
+    once = _last_of_runs(_runs(*_with_base(keys, vals, base_names)))
+    m = _mapped(_last_of_runs(_runs(F.transform(once["k"], strip), once["v"])))
     return F.map_filter(m, lambda k, v: v.isNotNull()) if base_names else m
 
 
@@ -83,10 +101,9 @@ def record_map_stages(specs: dict[str, tuple[Column, Column, list[str] | None]],
 
     When the stripped keys are distinct and name no base field (the common
     case) the map is simply ``map_from_arrays(stripped keys, values)``, all in
-    generated code.  Only other rows feed the exact dedupe, whose arrays are
-    materialised by generated-code projections (computed for those rows
-    only) so that the two lambda steps only read columns and no array is
-    rebuilt per element.
+    generated code.  Only other rows are deduped exactly: their entries are
+    sorted by key and position, and each run of a key gives its first position
+    and last value, so the work grows with ``n log n`` of a line's pairs.
     """
     t = {out: f"{out}__" for out in specs}
     base = {out: spec[2] for out, spec in specs.items()}
@@ -101,31 +118,24 @@ def record_map_stages(specs: dict[str, tuple[Column, Column, list[str] | None]],
         return F.coalesce(ok, F.lit(True))  # null keys (rows of another grammar) count as simple
 
     stages.append({t[o] + "ok": simple(o) for o in specs})
-    cols = {}
+    # each sorted array is a column of its own: the next step reads it at
+    # neighbouring places, which must not compute it again
+    steps: dict[str, list] = {}
     for o in specs:
-        slow = ~F.col(t[o] + "ok")
         kb, vb = _with_base(F.col(t[o] + "k0"), F.col(t[o] + "v0"), base[o])
-        cols.update({t[o] + "dk": F.when(slow, F.array_distinct(kb)),
-                     t[o] + "rk": F.when(slow, F.reverse(kb)),
-                     t[o] + "rv": F.when(slow, F.reverse(vb))})
-    stages.append(cols)
-    stages.append({t[o] + n: c for o in specs for n, c in (
-        ("dv", _pick_last(F.col(t[o] + "dk"), F.col(t[o] + "rk"), F.col(t[o] + "rv"))),
-        ("sk", F.col(t[o] + "dk") if o in raw else F.transform(F.col(t[o] + "dk"), strip)))})
-    stages.append({t[o] + n: c for o in specs for n, c in (
-        ("dsk", F.array_distinct(F.col(t[o] + "sk"))),
-        ("rsk", F.reverse(F.col(t[o] + "sk"))),
-        ("rdv", F.reverse(F.col(t[o] + "dv"))))})
+        once = F.col(t[o] + "d")
+        names = F.col(t[o] + "d")["k"] if o in raw else F.transform(once["k"], strip)
+        steps[o] = [("r", F.when(~F.col(t[o] + "ok"), _runs(kb, vb))), ("d", _last_of_runs(F.col(t[o] + "r"))),
+                    ("q", _runs(names, once["v"])), ("e", _last_of_runs(F.col(t[o] + "q")))]
+    stages += [{t[o] + n: c for o in specs for n, c in [steps[o][i]]} for i in range(4)]
     maps = {}
     for o in specs:
-        dsk = F.col(t[o] + "dsk")
-        m = F.map_from_arrays(dsk, _pick_last(dsk, F.col(t[o] + "rsk"), F.col(t[o] + "rdv")))
+        m = _mapped(F.col(t[o] + "e"))
         if base[o]:
             m = F.map_filter(m, lambda k, v: v.isNotNull())
         fast = F.map_from_arrays(F.col(t[o] + "s0"), F.col(t[o] + "v0"))
         maps[o] = F.when(F.col(t[o] + "ok"), fast).otherwise(m)
-    drop = [t[o] + n for o in specs for n in (
-        "k0", "v0", "s0", "ok", "dk", "rk", "rv", "dv", "sk", "dsk", "rsk", "rdv")]
+    drop = [t[o] + n for o in specs for n in ("k0", "v0", "s0", "ok", "r", "d", "q", "e")]
     return stages, maps, drop
 
 

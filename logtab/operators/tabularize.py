@@ -154,32 +154,55 @@ def wide_columns(parser: LogParser, header: Sequence[str], slots: Sequence[str],
     whose slots coincide are looked up in the map instead.  Materialise the
     expression as column ``WIDE`` before selecting the columns.
     """
+    cols, packed, filled = _filled(parser, header, slots, record, max(1, len(header)))
+    return cols, _unpacked(packed, filled[WIDE]) if filled else None
+
+
+# Columns of one fill: a caller that selects few columns of a table pays for
+# the fills they are in, as Spark prunes the others.
+GROUP = 256
+PACKED = "__packed"
+
+
+def _unpacked(packed: Column, schemas: tuple[T.StructType, T.StructType]) -> Column:
+    schema, places = schemas
+    return F.from_json(packed, schema, FILL_OPTIONS).cast(places)
+
+
+def _filled(parser: LogParser, header: Sequence[str], slots: Sequence[str], record: str, group: int
+            ) -> tuple[list[str], Column | None, dict[str, tuple[T.StructType, T.StructType]]]:
+    """Columns as SQL, the serialised map, and per fill column of ``group``
+    keys (``WIDE``, and the same with a number) what it is read as."""
     inside = f"{quoted(record)}." if record else ""
     params = F.col(f"{inside}params")
     base = set(parser.base_names)
     slot_of = dict(zip(header, slots))
     shared = {s for s, n in Counter(slots).items() if n > 1}
     extra = [k for k in header if k not in base and slot_of[k] not in shared]
-    filled = None
-    if extra:
-        schema = T.StructType([T.StructField(slot_of[k], T.StringType()) for k in extra])
+    fills: dict[str, tuple[T.StructType, T.StructType]] = {}
+    place = {}
+    for at in range(0, len(extra), group):
+        some, name = extra[at:at + group], WIDE if not at else f"{WIDE}{at // group}"
         # a struct-to-struct cast renames fields by position
-        places = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(extra))])
+        fills[name] = (T.StructType([T.StructField(slot_of[k], T.StringType()) for k in some]),
+                       T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(some))]))
+        place.update({k: f"{name}.c{i}" for i, k in enumerate(some)})
+    packed = None
+    if extra:
         named = F.transform_keys(params, lambda k, _: slot_name(k))
         if shared:  # colliding names would not make a map
             named = F.transform_keys(F.map_filter(params, lambda k, _: ~slot_name(k).isin(*shared)), lambda k, _: slot_name(k))
-        filled = F.from_json(F.to_json(named), schema, FILL_OPTIONS).cast(places)
-    place = {k: i for i, k in enumerate(extra)}
+        packed = F.to_json(named)
     cols = []
     for k in header:
         if k in place:
-            v = f"{WIDE}.c{place[k]}"
+            v = place[k]
         else:
             v = f"{inside}params[{literal(k)}]"
             if k in base:
                 v = f"CASE WHEN map_contains_key({inside}params, {literal(k)}) THEN {v} ELSE CAST({inside}{quoted(k)} AS STRING) END"
         cols.append(f"{v} AS {quoted(k)}")
-    return cols, filled
+    return cols, packed, fills
 
 
 def tabularize(narrow: DataFrame, parser: LogParser, header: Sequence[str] | None = None,
@@ -198,7 +221,7 @@ def tabularize(narrow: DataFrame, parser: LogParser, header: Sequence[str] | Non
     if new_keys == "keep" and EXTRA in header:
         raise ValueError(f"the header has a column {EXTRA!r} of its own")
     rows = narrow.where(F.col("parser") == parser.name)
-    cols, filled = wide_columns(parser, header, slot_names(narrow.sparkSession, header), record=parser.name)
+    cols, packed, fills = _filled(parser, header, slot_names(narrow.sparkSession, header), parser.name, GROUP)
     if new_keys != "ignore":
         params = F.col(parser.name).getField("params")
         new = F.array_except(F.map_keys(params), F.lit(["", *header]))
@@ -209,9 +232,10 @@ def tabularize(narrow: DataFrame, parser: LogParser, header: Sequence[str] | Non
             rest = F.map_filter(params, lambda k, _: F.array_contains(new, k))
             rows = rows.withColumn("__new", F.when(F.size(new) > 0, F.to_json(rest)))
             cols.append(f"__new AS {EXTRA}")
-    if filled is not None:
+    if fills:
         # materialised once; each column then reads one struct field
-        rows = rows.withColumn(WIDE, filled)
+        rows = rows.withColumn(PACKED, packed)
+        rows = rows.withColumns({name: _unpacked(F.col(PACKED), schemas) for name, schemas in fills.items()})
     return rows.selectExpr(*map(quoted, keep), *cols)
 
 

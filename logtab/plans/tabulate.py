@@ -9,16 +9,20 @@ Stages (each a Spark job; only key names ever reach the driver):
    re-read Parquet instead of re-running the regexes.
 2. **keys** - distinct parameter keys per grammar from the staged records
    (map-side partial aggregate; reads only ``parser`` and the params maps).
-3. **tables** - per grammar, the narrow records sorted back into source
-   order (range-partitioned, so the part files concatenate in input order)
-   and only then projected into the ordered header, so the shuffle carries
-   each record's own entries whatever the header's width; written with
-   ``writer``.
+3. **tables** - per grammar, each staged record rendered as its TSV line
+   from its own entries.  A parse task reads one split of one source file, so
+   the staged files keep the lines' order and every table task writes one
+   part; parts are numbered in source order when the job has ended
+   (``logtab.sinks.parts``).  No row is moved.  Records that have lost their
+   splits (dealt lines, very many tiny files, streams), and other ``writer``
+   functions, get the narrow records range-sorted instead.
 4. **rejects** - unrecognised lines, stripped, in source order, as text.
 
 Output layout: ``<out>/<base>.<parser>.tsv/`` per grammar (always, even when
 empty) and ``<out>/<base>.na<ext>/`` for the rejects; ``<out>`` defaults to
-``<source dir>/<base>_<YYYYmmdd_HHMMSS>`` and must not exist yet.
+``<source dir>/<base>_<YYYYmmdd_HHMMSS>`` and must not exist yet.  A run
+writes to a folder beside it that is renamed last, so a failed run leaves
+nothing there and can be repeated.
 """
 
 from __future__ import annotations
@@ -27,6 +31,7 @@ import contextlib
 import datetime
 import os
 import posixpath
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -37,7 +42,9 @@ from logtab.operators.parsers import DEFAULT_PARSERS, LogParser
 from logtab.operators.route import REJECT, check_parsers, parse, rejects
 from logtab.operators.tabularize import KEYS, TooManyColumns, grammar_columns, headers, param_keys, tabularize
 from logtab.plans import storage
-from logtab.sinks.tsv import Writer, write_lines, write_tsv
+from logtab.sinks.parts import ROW, SPLIT, has_many_small_files, one_split_per_task, publish, split_order, with_split, write_parts
+from logtab.sinks.sparse import header_line, render
+from logtab.sinks.tsv import Writer, write_tsv
 from logtab.sources.lines import ORDER_COLS, in_order, read_lines
 
 
@@ -114,7 +121,7 @@ def parse_logs(spark: SparkSession, src: str | Sequence[str], out: str | None =
     if not srcs:
         raise ValueError("no source given")
     _, base, ext = output_names(srcs)
-    out = out or default_out_dir(srcs)
+    out = (out or default_out_dir(srcs)).rstrip("/")
     if storage.exists(spark, out):
         raise FileExistsError(f"output directory already exists: {out}")
 
@@ -162,40 +169,60 @@ def codegen_method_limit(spark: SparkSession):
 
 def _run(spark, srcs, out, base, ext, parsers, year, on_bad_date, writer, keep_records,
          preserve_order, single_file, natural_order, max_columns, min_partitions, sort_partitions) -> ParseResult:
+    # everything goes to a folder of this run, which gets its name last: a
+    # failed run leaves no output, and the next one can have the same name
+    running = f"{out}.running-{uuid.uuid4().hex}"
+    staging = posixpath.join(running, ".records") if keep_records else storage.scratch_dir(spark, "logtab-stage")
+    # dealt lines have left their splits; very many small files are better sorted
+    by_split = preserve_order and not min_partitions and not has_many_small_files(spark, srcs)
     lines = read_lines(spark, srcs, natural_order=natural_order)
     obs = Observation("logtab_parse")
     narrow = parse(lines, parsers=parsers, year=year, on_bad_date=on_bad_date, observation=obs, min_partitions=min_partitions)
-
-    staging = posixpath.join(out, ".records") if keep_records else storage.scratch_dir(spark, "logtab-stage")
-    keep = keep_records
+    kept: set[str] = set()
     try:
         # the raw line is not staged (rejects carry their stripped text); the
         # key list is, for a cheap key discovery
-        (narrow.drop("value").withColumn(KEYS, param_keys(narrow))
-         .write.mode("errorifexists").parquet(staging))
+        with one_split_per_task(spark, srcs) if by_split else contextlib.nullcontext():
+            (narrow.drop("value").withColumn(KEYS, param_keys(narrow))
+             .write.mode("errorifexists").option("maxRecordsPerFile", 0).parquet(staging))
         counts = {k: int(v) for k, v in obs.get.items()}
-        res = tabulate_records(spark, spark.read.parquet(staging), out, base, ext, parsers, writer,
+        res = tabulate_records(spark, spark.read.parquet(staging), running, base, ext, parsers, writer,
                                keep_keys=keep_records, preserve_order=preserve_order, single_file=single_file,
-                               max_columns=max_columns, sort_partitions=sort_partitions)
+                               max_columns=max_columns, sort_partitions=sort_partitions,
+                               staged_by_split=staging if by_split else None)
+        storage.mkdirs(spark, posixpath.dirname(out) or ".")
+        if storage.exists(spark, out):
+            raise FileExistsError(f"output directory already exists: {out}")
+        storage.rename(spark, running, out)
     except TooManyColumns as e:
-        keep = True
+        kept = {staging, running} if keep_records else {staging}
         raise TooManyColumns(f"{e}; the parsed records are kept at {staging} (see tabulate_records)") from e
     finally:
-        if not keep:  # scratch records do not outlive the job
-            storage.delete(spark, staging)
-    res.counts = counts
-    res.records = staging if keep_records else None
-    return res
+        for path in {staging, running} - kept:  # nothing else outlives the job
+            if storage.exists(spark, path):
+                storage.delete(spark, path)
+
+    def final(path: str) -> str:
+        return out + path[len(running):]
+
+    return ParseResult(out, {n: final(p) for n, p in res.tables.items()}, final(res.rejects), res.headers, counts,
+                       final(staging) if keep_records else None)
 
 
 def tabulate_records(spark: SparkSession, staged: DataFrame, out: str, base: str, ext: str = ".log",
                      parsers: Sequence[LogParser] = DEFAULT_PARSERS, writer: Writer = write_tsv,
                      keep_keys: bool = False, preserve_order: bool = True, single_file: bool = False,
-                     max_columns: int | None = None, sort_partitions: int | None = None) -> ParseResult:
+                     max_columns: int | None = None, sort_partitions: int | None = None,
+                     staged_by_split: str | None = None) -> ParseResult:
     """Stages 2-4 over narrow records already stored (by ``parse_logs`` or a
     streaming sink): discover headers, write one table per grammar and the
     rejects under ``out``.  ``preserve_order`` needs the rows' whole order
-    key, which both stores have."""
+    key, which both stores have.
+
+    ``staged_by_split`` is the path of records whose files hold one source
+    split each; their outputs need no sort.  Tables of the default writer are
+    rendered straight from the records (``logtab.sinks.sparse``); any other
+    ``writer`` gets the wide table, sorted."""
     if preserve_order and "_src_row" not in staged.columns:
         raise ValueError("the records have no order within a split (_src_row): pass preserve_order=False")
     hdrs = headers(staged, parsers, max_columns)
@@ -204,7 +231,9 @@ def tabulate_records(spark: SparkSession, staged: DataFrame, out: str, base: str
         (spark.createDataFrame(keys, "parser string, position int, key string")
          .coalesce(1).write.parquet(posixpath.join(out, ".keys")))
 
+    files = split_order(staged) if preserve_order and staged_by_split else None
     order = []
+    placed = with_split(staged) if files is not None else None
     if preserve_order:
         # reserved names, so a log key such as ``_src_row`` cannot collide
         # with the order key in the wide table
@@ -214,19 +243,48 @@ def tabulate_records(spark: SparkSession, staged: DataFrame, out: str, base: str
             staged = staged.withColumnRenamed(c, o)
     tables = {}
     for p in parsers:
-        # sorted while narrow: the wide projection stands above the shuffle
-        rows = in_order(staged.where(F.col("parser") == p.name).select(*order, "parser", p.name), order, sort_partitions)
         path = posixpath.join(out, f"{base}.{p.name}.tsv")
-        table = tabularize(rows, p, hdrs[p.name])
-        writer(table.coalesce(1) if single_file else table, path)
         tables[p.name] = path
+        if writer is not write_tsv:
+            # sorted while narrow: the wide projection stands above the shuffle
+            table = tabularize(_sorted(staged, p, order, sort_partitions), p, hdrs[p.name])
+            writer(table.coalesce(1) if single_file else table, path)
+            continue
+
+        def lines(rows: DataFrame, keep: Sequence[str] = (), p: LogParser = p) -> DataFrame:
+            return render(rows, p, hdrs[p.name], keep)
+
+        ours = None if placed is None else lines(placed.where(F.col("parser") == p.name).select(SPLIT, ROW, p.name), [SPLIT, ROW])
+        _write_lines(spark, ours, lines(_sorted(staged, p, order, sort_partitions)), path, header_line(hdrs[p.name]), files,
+                     staged_by_split, ".csv", single_file)
 
     na_path = posixpath.join(out, f"{base}.{REJECT}{ext}")
-    write_lines(in_order(rejects(staged, keep=order), order, sort_partitions), na_path,
-                single_file=single_file)
+    ours = None if placed is None else rejects(placed, keep=[SPLIT, ROW])
+    _write_lines(spark, ours, in_order(rejects(staged, keep=order), order, sort_partitions), na_path, None, files,
+                 staged_by_split, ".txt", single_file)
     return ParseResult(out, tables, na_path, hdrs)
 
 
+def _sorted(staged: DataFrame, parser: LogParser, order: Sequence[str], partitions: int | None) -> DataFrame:
+    return in_order(staged.where(F.col("parser") == parser.name).select(*order, "parser", parser.name), order, partitions)
+
+
+def _write_lines(spark: SparkSession, by_split: DataFrame | None, in_sorted_order: DataFrame, path: str, head: str | None,
+                 files: dict[str, str] | None, staged: str | None, suffix: str, single: bool) -> None:
+    """Write one output: a part per split where the records have kept them,
+    else a part per sorted range.  Parts are made beside ``path`` first."""
+    parts, making = None, f"{path}.making"
+    if by_split is not None:
+        with one_split_per_task(spark, [staged]):
+            parts = write_parts(by_split, making, head, files, heads=not single)
+        if parts is None:
+            storage.delete(spark, making)
+    if parts is None:
+        parts = write_parts(in_sorted_order, making, head, None, heads=not single)
+    publish(spark, parts, path, head, suffix, single)
+    storage.delete(spark, making)
+
+
 def stage(narrow: DataFrame, path: str | None = None) -> DataFrame:
     """Write narrow records once as Parquet (default: a new folder under the
     session's checkpoint directory) and return them read back.

@@ -4,9 +4,8 @@ import tempfile
 
 import pytest
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-
-SF = "/root/testdata/sf0.001"
+HERE = os.path.dirname(os.path.abspath(__file__))
+sys.path[:0] = [os.path.dirname(HERE), HERE]
 
 
 @pytest.fixture(scope="session")
@@ -27,15 +26,3 @@ def spark():
 @pytest.fixture
 def tmp_dir():
     return tempfile.mkdtemp(prefix="logtab-test-")
-
-
-def one(spark, line, **kw):
-    """Parse a single line; return (parser, record dict or reject value)."""
-    from logtab import parse
-
-    rows = parse(spark.createDataFrame([(line,)], "value string"), **kw).collect()
-    r = rows[0]
-    if r.parser == "na":
-        return "na", r.reject
-    rec = r[r.parser].asDict()
-    return r.parser, rec

@@ -5,7 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF
+from base_helpers import SF
 
 CP_LINE = 'Nov 28 11:39:51 10.0.0.1 +01:00 10.0.0.2 '
 

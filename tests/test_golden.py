@@ -2,7 +2,7 @@
 
 import pytest
 
-from conftest import one
+from base_helpers import one
 
 H = "Nov 28 11:39:51 10.0.0.1 +01:00 10.0.0.2 "  # cp header
 

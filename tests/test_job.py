@@ -6,7 +6,7 @@ import os
 
 import pytest
 
-from conftest import SF
+from base_helpers import SF
 
 
 def _log_file(spark, tmp_dir, name="central.log", newline="\n"):
