@@ -1,11 +1,13 @@
 """Source divergence audit by single-pass in-memory indexing.
 
-Each task reads its documents once and keeps postings (term, source, how often
-and in how many documents) in memory.  When they fill the block, the run goes
-out sorted by term, one segment per hash shard of the terms.  A shard's
-segments are then merged with a heap into frequencies, and the terms that are
-frequent enough leave in blocks.  A last pass over those blocks streams each
-term's corrections to the differences of sources that have it.
+Each task reads its documents once.  Texts are held until they fill a block;
+the block's words then go through a hash dictionary, and one sort of (term,
+document) pairs inverts them into postings: per term and source, how often and
+in how many documents.  The run goes out sorted by term, one segment per
+language and hash shard of the terms.  A shard's segments are merged with a
+heap into frequencies, and the terms that are frequent enough leave in blocks.
+A last pass over those streams each term's corrections to the differences of
+the sources that have it.
 """
 
 from __future__ import annotations
@@ -14,11 +16,10 @@ import heapq
 import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from itertools import groupby
-from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,153 +29,221 @@ MIN_DOCS = 30
 SMOOTH = 5
 SCALE = 1000
 TOP = 50
-BLOCK_POSTINGS = 400_000
-MERGE_POSTINGS = 400_000
+BLOCK_BYTES = 16 << 20
+MERGE_TERMS = 300_000
 OUT_TERMS = 1024
 TILE_CELLS = 1 << 20
-LONG_BYTES = 1 << 20
+PIECE_BYTES = 1 << 20
 
 # Terms are runs of ASCII letters and of bytes of other characters; only A-Z
 # are lower-cased.  Every other byte becomes a blank.
 BLANKED = bytes(c if c >= 0x80 or chr(c).isalpha() else 0x20 for c in bytes(range(256)).lower())
 
 
-def terms(text: bytes) -> Iterator[list[bytes]]:
-    """The terms of a text in order, in lists of bounded size."""
-    clean = text.translate(BLANKED)
-    at = 0
-    while at < len(clean):
-        end = clean.find(b" ", at + LONG_BYTES)
-        end = len(clean) if end < 0 else end
-        yield clean[at:end].split()
-        at = end
-
-
 # ------------------------------------------------------------------------ runs
 
-class Block:
-    """Postings of one in-memory block: per group the occurrences and the
-    documents of each term."""
-
-    def __init__(self):
-        self.groups: dict[tuple, tuple[Counter, Counter]] = {}
-        self.size = 0
-
-    def add(self, lang: bytes, source: bytes, text: bytes) -> None:
-        counts, docs = self.groups.setdefault((lang, source), (Counter(), Counter()))
-        before, own = len(counts), set()
-        for words in terms(text):
-            counts.update(words)
-            own.update(words)
-        docs.update(own)
-        self.size += len(counts) - before
-
-    def run(self, shards: int) -> Iterator[pa.RecordBatch]:
-        """The block as sorted segments, one per shard that has any."""
-        held: dict[int, list[tuple]] = {}
-        for (lang, source), (counts, docs) in self.groups.items():
-            for term, n in counts.items():
-                held.setdefault(zlib.crc32(term) % shards, []).append((lang, term, source, n, docs[term]))
-        for shard in sorted(held):
-            yield segment(shard, sorted(held.pop(shard)))
-        self.__init__()
-
-
-SEGMENT = "shard int, langs array<binary>, terms array<binary>, sources array<binary>, counts array<long>, docs array<long>"
-SEGMENT_KINDS = [pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
-
-
-def segment(shard: int, postings: list[tuple]) -> pa.RecordBatch:
-    arrays = [pa.array([list(c)], pa.list_(k)) for c, k in zip(zip(*postings), SEGMENT_KINDS)]
-    return pa.record_batch([pa.array([shard], pa.int32()), *arrays],
-                           names=["shard", "langs", "terms", "sources", "counts", "docs"])
-
-
-def runs(docs: DataFrame, shards: int, block_postings: int) -> DataFrame:
+SEGMENT = "lang binary, shard int, terms array<binary>, docs array<long>, sizes array<int>, names array<binary>, sources array<int>, counts array<long>"
+
+
+def inverted(texts: list[bytes], groups: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Postings of a block: the distinct terms, and per posting the term's
+    place among them, the group, the occurrences and the documents; sorted by
+    place and group.  ``groups`` (one per text) must not descend."""
+    lists = pc.ascii_split_whitespace(pa.array(texts, pa.binary()).view(pa.string()))
+    words = lists.flatten().dictionary_encode()
+    doc = np.repeat(np.arange(len(texts), dtype=np.int64), np.diff(np.asarray(lists.offsets)))
+    met = np.asarray(words.indices).astype(np.int64) << 32 | doc
+    blank = pc.index(words.dictionary, pa.scalar("", pa.string())).as_py()
+    if blank >= 0:  # texts that begin or end with a separator
+        met = met[met >> 32 != blank]
+    met.sort()
+    fresh = np.concatenate(([True], met[1:] != met[:-1])) if len(met) else np.zeros(0, bool)
+    starts = np.flatnonzero(fresh)  # of a term in a document
+    times = np.diff(np.append(starts, len(met)))
+    term, group = met[starts] >> 32, groups[met[starts] & 0xFFFFFFFF]
+    edge = np.flatnonzero(np.concatenate(([True], (term[1:] != term[:-1]) | (group[1:] != group[:-1])))) if len(term) else starts
+    return (words.dictionary, term[edge], group[edge], np.add.reduceat(times, edge) if len(edge) else times,
+            np.diff(np.append(edge, len(term))))
+
+
+def counted(text: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``inverted`` of one text that is larger than a block, whose words are
+    only held piece by piece."""
+    found: Counter = Counter()
+    at = 0
+    while at < len(text):
+        end = text.find(b" ", at + PIECE_BYTES)
+        end = len(text) if end < 0 else end
+        found.update(text[at:end].split())
+        at = end
+    n = len(found)
+    return (pa.array(list(found), pa.binary()).view(pa.string()), np.arange(n), np.zeros(n, np.int64),
+            np.fromiter(found.values(), np.int64, n), np.ones(n, np.int64))
+
+
+def segments(lang: bytes, names: list[bytes], postings: tuple, shards: int) -> pa.RecordBatch | None:
+    """The postings of one language as sorted segments, a row per shard."""
+    terms, term, source, counts, docs = postings
+    if not len(term):
+        return None
+    raw = terms.view(pa.binary())
+    shard = np.fromiter((zlib.crc32(t) % shards for t in raw.to_pylist()), np.int64, len(raw))
+    order = np.asarray(pc.sort_indices(raw))
+    order = order[np.argsort(shard[order], kind="stable")]  # by shard, then term
+    rank = np.empty(len(raw), np.int64)
+    rank[order] = np.arange(len(raw))
+    by = np.argsort(rank[term], kind="stable")  # stays by source within a term
+    rank, source, counts, docs = rank[term][by], source[by], counts[by], docs[by]
+    first = np.flatnonzero(np.concatenate(([True], rank[1:] != rank[:-1])))
+    present = order[rank[first]]
+    sizes = np.diff(np.append(first, len(rank)))
+    of = shard[present]
+    cut = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
+    rows = np.append(cut, len(present)).astype(np.int32)
+    postings_at = np.append(first, len(rank))[rows].astype(np.int32)
+
+    def lists(values: pa.Array, offsets: np.ndarray) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
+
+    return pa.record_batch(
+        [pa.array([lang] * len(cut), pa.binary()), pa.array(of[cut], pa.int32()), lists(raw.take(pa.array(present)), rows),
+         lists(pa.array(np.add.reduceat(docs, first), pa.int64()), rows), lists(pa.array(sizes, pa.int32()), rows),
+         pa.array([names] * len(cut), pa.list_(pa.binary())), lists(pa.array(source, pa.int32()), postings_at),
+         lists(pa.array(counts, pa.int64()), postings_at)],
+        names=["lang", "shard", "terms", "docs", "sizes", "names", "sources", "counts"])
+
+
+def runs(docs: DataFrame, shards: int, block_bytes: int) -> DataFrame:
     """Segments of all runs over ``docs`` (lang, source, text)."""
 
+    def spill(held: dict[bytes, list[tuple[bytes, bytes]]]) -> Iterator[pa.RecordBatch]:
+        for lang, pairs in held.items():
+            pairs.sort(key=lambda p: p[0])
+            names = sorted({p[0] for p in pairs})
+            place = {s: i for i, s in enumerate(names)}
+            groups = np.array([place[s] for s, _ in pairs], np.int64)
+            made = segments(lang, names, inverted([t for _, t in pairs], groups), shards)
+            if made is not None:
+                yield made
+        held.clear()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = Block()
-        for b in small_batches(batches):
-            for row in zip(*[c.cast(pa.binary()).to_pylist() for c in b.columns]):
-                block.add(*row)
-                if block.size >= block_postings:
-                    yield from block.run(shards)
-        yield from block.run(shards)
+        held: dict[bytes, list[tuple[bytes, bytes]]] = {}
+        size = 0
+        for b in small_batches(batches, block_bytes):
+            for lang, source, text in zip(*[c.cast(pa.binary()).to_pylist() for c in b.columns]):
+                clean = text.translate(BLANKED)
+                if len(clean) > block_bytes:
+                    alone = segments(lang, [source], counted(clean), shards)
+                    if alone is not None:
+                        yield alone
+                    continue
+                held.setdefault(lang, []).append((source, clean))
+                size += len(clean)
+                if size >= block_bytes:
+                    yield from spill(held)
+                    size = 0
+        yield from spill(held)
 
     return docs.mapInArrow(run, SEGMENT)
 
 
 # ----------------------------------------------------------------------- merge
 
-def merged(segments: Iterable[Iterable[tuple]]) -> Iterator[tuple]:
-    """Heap-merge sorted segments; equal (lang, term, source) add up."""
-    last = None
-    n = docs = 0
-    for p in heapq.merge(*segments):
-        key = p[:3]
-        if key != last:
-            if last is not None:
-                yield (*last, n, docs)
-            last, n, docs = key, 0, 0
-        n, docs = n + p[3], docs + p[4]
-    if last is not None:
-        yield (*last, n, docs)
-
-
+POSTING = np.dtype([("source", "<i4"), ("n", "<i8")])
 KEPT = "lang binary, terms array<binary>, sizes array<int>, sources array<binary>, counts array<long>"
 KEPT_KINDS = [pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.list_(pa.binary()), pa.list_(pa.int64())]
 
 
-def kept_terms(postings: Iterable[tuple], min_docs: int) -> Iterator[pa.RecordBatch]:
-    """Blocks of the terms found in enough documents of a language, each with
-    its sources and counts."""
-    names: list[bytes] = []
-    sizes: list[int] = []
-    sources: list[bytes] = []
-    counts: list[int] = []
-    of = None
+def entries(terms: list[bytes], docs: list[int], sizes: np.ndarray, sources: np.ndarray, counts: np.ndarray) -> list[tuple]:
+    """(term, documents, postings as bytes) of a segment."""
+    packed = np.empty(len(sources), POSTING)
+    packed["source"], packed["n"] = sources, counts
+    raw, stops = packed.tobytes(), (np.cumsum(sizes, dtype=np.int64) * POSTING.itemsize).tolist()
+    return [(t, d, raw[a:b]) for t, d, a, b in zip(terms, docs, [0, *stops], stops)]
+
+
+def summed(raw: bytes) -> np.ndarray:
+    """Postings with each source once."""
+    found = np.frombuffer(raw, POSTING)
+    source, at = np.unique(found["source"], return_inverse=True)
+    out = np.zeros(len(source), POSTING)
+    out["source"] = source
+    np.add.at(out["n"], at, found["n"])
+    return out
+
+
+def merged(sorted_segments: Iterable[Iterable[tuple]], most: int = 4096) -> Iterator[tuple]:
+    """Heap-merge segments; entries of one term are joined, documents added.
+    Postings are folded to one a source where they have grown long."""
+    term, docs, parts, size = None, 0, [], 0
+    for t, d, raw in heapq.merge(*sorted_segments):
+        if t != term:
+            if term is not None:
+                yield term, docs, b"".join(parts)
+            term, docs, parts, size = t, 0, [], 0
+        docs += d
+        parts.append(raw)
+        size += len(raw)
+        if size > most * POSTING.itemsize:
+            parts = [summed(b"".join(parts)).tobytes()]
+            size = len(parts[0]) // 2  # as long again before the next fold
+    if term is not None:
+        yield term, docs, b"".join(parts)
+
+
+def kept_terms(lang: bytes, found: Iterable[tuple], min_docs: int, names: list[bytes]) -> Iterator[pa.RecordBatch]:
+    """Blocks of the terms found in enough documents, each with its sources
+    and counts."""
+    held: list[tuple[bytes, np.ndarray]] = []
 
     def block() -> pa.RecordBatch:
-        values = [[of], [names], [sizes], [sources], [counts]]
+        flat = np.concatenate([p for _, p in held])
+        values = [[lang], [[t for t, _ in held]], [[len(p) for _, p in held]], [[names[i] for i in flat["source"].tolist()]],
+                  [flat["n"].tolist()]]
+        held.clear()
         return pa.record_batch([pa.array(v, k) for v, k in zip(values, KEPT_KINDS)], names=["lang", "terms", "sizes", "sources", "counts"])
 
-    for (lang, term), group in groupby(postings, itemgetter(0, 1)):
-        found = list(group)
-        if sum(p[4] for p in found) < min_docs:
-            continue
-        if names and (lang != of or len(names) >= OUT_TERMS):
-            yield block()
-            names, sizes, sources, counts = [], [], [], []
-        of = lang
-        names.append(term)
-        sizes.append(len(found))
-        sources += [p[2] for p in found]
-        counts += [p[3] for p in found]
-    if names:
+    for term, docs, raw in found:
+        if docs >= min_docs:
+            held.append((term, summed(raw)))
+            if len(held) >= OUT_TERMS:
+                yield block()
+    if held:
         yield block()
 
 
-def frequencies(segments: DataFrame, min_docs: int, merge_postings: int) -> DataFrame:
-    """Kept terms of all shards.  Segments are merged whenever as many
-    postings wait as ``merge_postings`` or have been merged already, so a
-    task holds a few times the different postings of one shard, however many
-    runs there are."""
+def frequencies(runs_: DataFrame, min_docs: int, merge_terms: int) -> DataFrame:
+    """Kept terms of all shards.  Segments are merged whenever as many terms
+    wait as ``merge_terms`` or have been merged already, so a task holds a
+    few times the different terms of one shard, however many runs there
+    are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, whole, waiting, size = None, [], [], 0
+        place: dict[bytes, int] = {}
+        names: list[bytes] = []
+        key, whole, waiting, size = None, [], [], 0
         for b in small_batches(batches):
-            for s, *columns in zip(*[c.to_pylist() for c in b.columns]):
-                if s != shard:
-                    yield from kept_terms(merged([whole, *waiting]), min_docs)
-                    shard, whole, waiting, size = s, [], [], 0
-                waiting.append(list(zip(*columns)))
-                size += len(waiting[-1])
-                if size >= max(merge_postings, len(whole)):
+            for i, (lang, shard) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
+                if (lang, shard) != key:
+                    if key is not None:
+                        yield from kept_terms(key[0], merged([whole, *waiting]), min_docs, names)
+                    key, whole, waiting, size = (lang, shard), [], [], 0
+                terms, docs, sizes, own, sources, counts = (b.column(c)[i].values for c in range(2, 8))
+                mine = own.to_pylist()
+                for name in mine:
+                    if name not in place:
+                        place[name] = len(names)
+                        names.append(name)
+                known = np.array([place[n] for n in mine], np.int32)
+                waiting.append(entries(terms.to_pylist(), docs.to_pylist(), np.asarray(sizes), known[np.asarray(sources)], np.asarray(counts)))
+                size += len(terms)
+                if size >= max(merge_terms, len(whole)):
                     whole, waiting, size = list(merged([whole, *waiting])), [], 0
-        yield from kept_terms(merged([whole, *waiting]), min_docs)
+        if key is not None:
+            yield from kept_terms(key[0], merged([whole, *waiting]), min_docs, names)
 
-    return segments.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, KEPT)
+    return runs_.repartition("lang", "shard").sortWithinPartitions("lang", "shard").mapInArrow(run, KEPT)
 
 
 # ----------------------------------------------------------------- differences
@@ -283,8 +352,8 @@ def differences(blocks: DataFrame, cells: int) -> DataFrame:
 
 
 def divergence(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", text_col: str = "text",
-               min_docs: int = MIN_DOCS, top: int = TOP, shards: int | None = None, block_postings: int = BLOCK_POSTINGS,
-               merge_postings: int = MERGE_POSTINGS, cells: int = TILE_CELLS) -> DataFrame:
+               min_docs: int = MIN_DOCS, top: int = TOP, shards: int | None = None, block_bytes: int = BLOCK_BYTES,
+               merge_terms: int = MERGE_TERMS, cells: int = TILE_CELLS) -> DataFrame:
     """How the sources of each language differ: ``(lang, source, part, item,
     value, rank)``.
 
@@ -299,13 +368,15 @@ def divergence(docs: DataFrame, lang_col: str = "lang", source_col: str = "sourc
     Null languages, sources and texts count as empty strings.  Every group
     that occurs takes part, also without a term; where a language keeps no
     term its pairs have value 0.  A source alone in its language has no pair.
-    Repeated rows count each time; an empty table gives no row.  Long texts
-    are read in pieces, and other columns play no part.
-
-    A task holds ``block_postings`` postings and the terms of one document at
-    a time.  ``shards`` (default: ``spark.sql.shuffle.partitions``) should
-    grow with the corpus.  A language's sources stand in one row, as each of
-    them is in the result with every other.
+    Repeated rows count each time; an empty table gives no row.  A text of
+    more than ``block_bytes`` is a run of its own, read in pieces; other
+    columns play no part.
+
+    A task holds a block of texts with its words, or the different terms of
+    one long text.  ``shards`` per language (default:
+    ``spark.sql.shuffle.partitions``) should grow with the corpus.  A
+    language's sources stand in one row, as each of them is in the result with
+    every other.
     """
     spark = docs.sparkSession
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -314,8 +385,8 @@ def divergence(docs: DataFrame, lang_col: str = "lang", source_col: str = "sourc
         return F.coalesce(docs[name].cast("string"), F.lit("")).cast("binary")
 
     rows = docs.select(text(lang_col).alias("lang"), text(source_col).alias("source"), text(text_col).alias("text"))
-    segments = materialise(runs(rows, shards, block_postings), "spimi-runs")
-    kept = materialise(frequencies(segments, min_docs, merge_postings), "spimi-terms")
+    spilled = materialise(runs(rows, shards, block_bytes), "spimi-runs")
+    kept = materialise(frequencies(spilled, min_docs, merge_terms), "spimi-terms")
 
     groups = rows.select("lang", "source").distinct()
     totals = (kept.select("lang", F.explode(F.arrays_zip("sources", "counts")).alias("p"))

@@ -61,7 +61,7 @@ def sample():
 def test_against_brute_force(spark, small):
     rows = sample()
     docs = spark.createDataFrame(rows, SCHEMA).repartition(4)
-    bounds = {"block_postings": 7, "merge_postings": 5, "cells": 4, "shards": 3} if small else {}
+    bounds = {"block_bytes": 90, "merge_terms": 5, "cells": 4, "shards": 3} if small else {}
     assert result(dv.divergence(docs, min_docs=4, top=5, **bounds)) == brute(rows, 4, 5)
 
 
@@ -72,17 +72,23 @@ def test_extra_columns_and_empty_table(spark):
     assert dv.divergence(docs.limit(0)).collect() == []
 
 
-def test_long_text_is_read_in_pieces(monkeypatch):
-    text = ("Abc1déf " * 500).encode()
-    whole = [w for words in dv.terms(text) for w in words]
-    monkeypatch.setattr(dv, "LONG_BYTES", 10)
-    assert [w for words in dv.terms(text) for w in words] == whole == ["abc".encode(), "déf".encode()] * 500
+def test_long_text_is_counted_in_pieces(monkeypatch):
+    monkeypatch.setattr(dv, "PIECE_BYTES", 10)
+    text = ("Abc1déf " * 500).encode().translate(dv.BLANKED)
+    terms, term, _, counts, docs = dv.counted(text)
+    whole = dv.inverted([text], np.zeros(1, np.int64))
+    assert dict(zip(terms.take(term).to_pylist(), counts)) == {"abc": 500, "déf": 500} and docs.tolist() == [1, 1]
+    assert dict(zip(whole[0].take(whole[1]).to_pylist(), whole[3])) == {"abc": 500, "déf": 500} and whole[4].tolist() == [1, 1]
 
 
-def test_merge_adds_equal_postings():
-    a = [(b"en", b"a", b"s", 1, 1), (b"en", b"b", b"s", 2, 1)]
-    b = [(b"en", b"a", b"s", 5, 2), (b"en", b"a", b"t", 1, 1)]
-    assert list(dv.merged([a, b, []])) == [(b"en", b"a", b"s", 6, 3), (b"en", b"a", b"t", 1, 1), (b"en", b"b", b"s", 2, 1)]
+def test_merge_joins_equal_terms():
+    def one(term, docs, *pairs):
+        return (term, docs, np.array(list(pairs), dv.POSTING).tobytes())
+
+    a, b = [one(b"a", 1, (0, 1)), one(b"b", 1, (0, 2))], [one(b"a", 3, (1, 1), (0, 5))]
+    for most in (0, 100):
+        got = [(t, d, dv.summed(raw).tolist()) for t, d, raw in dv.merged([a, b, []], most)]
+        assert got == [(b"a", 4, [(0, 6), (1, 1)]), (b"b", 1, [(0, 2)])]
     assert list(dv.merged([])) == []
 
 
