@@ -14,6 +14,7 @@ from logtab.llm.common import SPACE, materialise, row_key, same, sieve
 
 MAX_EDITS = 2
 MIN_CHARS = 24
+CROWD = 8
 
 
 def trimmed(line: Column) -> Column:
@@ -40,6 +41,15 @@ def place() -> Column:
 
 # --- candidates: segments indexed by length, substrings probed -------------
 
+CODE = 4  # bytes of a character
+
+
+def coded(line: Column) -> Column:
+    """The line with every character in four bytes, so that lengths and
+    substrings take no walk over its characters."""
+    return F.encode(line, "UTF-32")
+
+
 def segment(length: Column, i: int, edits: int) -> tuple[Column, Column]:
     """Start (from 0) and length of segment ``i`` of a line of ``length``
     characters cut into ``edits + 1`` parts, the longer ones last."""
@@ -50,13 +60,12 @@ def segment(length: Column, i: int, edits: int) -> tuple[Column, Column]:
             size + (F.lit(i) >= first_long).cast("int"))
 
 
-def part_key(line: Column, length: Column, i: int, start: Column, size: Column) -> Column:
-    return F.xxhash64(length, F.lit(i), line.substr(start + 1, size))
+def part_key(code: Column, length: Column, i: int, start: Column, size: Column) -> Column:
+    return F.xxhash64(length, F.lit(i), F.substring(code, start * CODE + 1, size * CODE))
 
 
-def index_keys(line: Column, edits: int) -> list[Column]:
-    n = F.char_length(line)
-    return [part_key(line, n, i, *segment(n, i, edits)) for i in range(edits + 1)]
+def index_keys(code: Column, n: Column, edits: int) -> list[Column]:
+    return [part_key(code, n, i, *segment(n, i, edits)) for i in range(edits + 1)]
 
 
 def probe_shifts(shorter: int, i: int, edits: int) -> range:
@@ -66,16 +75,66 @@ def probe_shifts(shorter: int, i: int, edits: int) -> range:
     return range(max(-i, shorter - (edits - i)), min(i, shorter + (edits - i)) + 1)
 
 
-def probe_keys(line: Column, edits: int) -> list[Column]:
+def probe_keys(code: Column, n: Column, edits: int) -> list[Column]:
     keys = []
     for shorter in range(edits + 1):
-        n = F.char_length(line) - shorter
         for i in range(edits + 1):
-            start, size = segment(n, i, edits)
-            keys += [part_key(line, n, i, start + shift, size) for shift in probe_shifts(shorter, i, edits)]
+            start, size = segment(n - shorter, i, edits)
+            keys += [part_key(code, n - shorter, i, start + shift, size) for shift in probe_shifts(shorter, i, edits)]
     return keys
 
 
+def keyed(lines: DataFrame, name: str, keys, edits: int) -> DataFrame:
+    """``(name, part)`` for every key of every line."""
+    sized = lines.select(F.col("h1").alias(name), coded(F.col("line")).alias("code"))
+    sized = sized.select(name, "code", F.expr(f"octet_length(code) div {CODE}").cast("int").alias("n"))
+    return sized.select(name, F.explode(F.array(*keys(F.col("code"), F.col("n"), edits))).alias("part"))
+
+
+def letter_counts(line: Column) -> Column:
+    """How often each letter a-z stands in the line."""
+    n = F.char_length(line)
+    return F.array(*[n - F.char_length(F.replace(line, F.lit(c), F.lit(""))) for c in string.ascii_lowercase])
+
+
+def candidates(lines: DataFrame, edits: int, crowd: int) -> DataFrame:
+    """Distinct pairs of line hashes ``(a, b)``, ``a < b``, that share a
+    segment and may be within ``edits``.
+
+    A segment in more than ``crowd`` index lines (a phrase that begins very
+    many lines of one length) is crowded.  Its lines meet under a second key:
+    within that many edits the counts of the letters differ by ``2 * edits``
+    in all, so of one more group of letters than that one has the same counts
+    on both sides.  Lines that meet there must also agree in all letters but
+    so many, or they are no candidates.
+    """
+    index = materialise(keyed(lines, "a", index_keys, edits), "line-index")
+    full = materialise(index.groupBy("part").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowd).select("part"), "line-crowds")
+    # a crowded segment stands in the index once: who probes it is noted, not paired
+    few = index.join(full, "part", "left_anti").unionByName(full.withColumn("a", F.lit(None).cast("long")))
+    met = few.join(keyed(lines, "b", probe_keys, edits), "part").where("a is null or a <> b")
+    met = materialise(met.select("a", "b", F.when(F.col("a").isNull(), F.col("part")).alias("part")), "line-met")
+
+    many_index, many_probe = index.join(full, "part", "left_semi"), met.where("a is null").select("part", "b")
+    met = met.where("a is not null").select("a", "b")
+    ids = materialise(many_index.select(F.col("a").alias("h1")).union(many_probe.select("b")).distinct(), "line-crowd-ids")
+    marked, maybe = sieve(lines, F.col("h1"), ids)
+    counted = (marked.where(maybe).select("h1", "line").join(ids, "h1", "left_semi")
+               .select("h1", letter_counts(F.col("line")).alias("letters")))
+    counted = materialise(counted, "line-letters")
+    groups = 2 * edits + 1
+
+    def by_letters(rows: DataFrame, name: str) -> DataFrame:
+        keys = F.array(*[F.xxhash64(F.lit(g), *[F.get("letters", F.lit(i)) for i in range(g, 26, groups)]) for g in range(groups)])
+        return (rows.join(counted.withColumnRenamed("h1", name), name)
+                .select("part", name, F.col("letters").alias(f"{name}_letters"), F.explode(keys).alias("same")))
+
+    apart = F.aggregate(F.zip_with("a_letters", "b_letters", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, d: s + d)
+    dense = (by_letters(many_index, "a").join(by_letters(many_probe, "b"), ["part", "same"])
+             .where((F.col("a") != F.col("b")) & (apart <= 2 * edits)).select("a", "b"))
+    return met.union(dense).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 # --- verification ------------------------------------------------------------
 
 def common_run(a: Column, b: Column, most: Column, from_end: bool) -> Column:
@@ -192,32 +251,29 @@ def repeated_lines(occurrences: DataFrame) -> DataFrame:
             .where("n > 1").select("h1", "h2", "first"))
 
 
-def near_lines(docs: DataFrame, repeated: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-               max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def near_lines(lines: DataFrame, repeated: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS,
+               crowd: int = CROWD) -> DataFrame:
     """``(h1, h2, to_h1, to_h2, distance)``: every pair of different lines of
     at least ``min_chars`` characters within ``max_edits`` edits, the later
-    line first.
+    line first.  ``lines`` are those of ``lines_of``, ``repeated`` those of
+    ``repeated_lines``.
 
     Lines are cut into ``max_edits + 1`` segments: within that many edits
     one segment survives whole, near its old place.  Each distinct line
     enters the index under its segments (with its length) and probes with
     its own substrings where a segment of an equal or shorter line can lie;
-    equal hashes make candidates.  Only hashes are shuffled.  The texts of
-    candidate lines alone are then fetched and verified.
+    equal hashes make candidates (see ``candidates``).  Only hashes are
+    shuffled.  The texts of candidate lines alone are then fetched and
+    verified.
     """
     if min_chars < (max_edits + 1) * (2 * max_edits + 1):
         raise ValueError("min_chars must leave each segment more than twice max_edits characters")
-    every = lines_of(docs, id_col, text_col).where(F.char_length("line") >= min_chars)
+    every = lines.where(F.char_length("line") >= min_chars)
     marked, maybe = sieve(every, F.col("h1"), repeated.select("h1"))
     single = marked.where(~maybe).select("h1", "line")
     # one copy each of the lines that (may) repeat
     folded = materialise(marked.where(maybe).groupBy("h1", "h2").agg(F.first("line").alias("line")).select("h1", "line"), "lines-folded")
-    distinct = single.union(folded)
-
-    index = distinct.select(F.col("h1").alias("a"), F.explode(F.array(*index_keys(F.col("line"), max_edits))).alias("part"))
-    probe = distinct.select(F.col("h1").alias("b"), F.explode(F.array(*probe_keys(F.col("line"), max_edits))).alias("part"))
-    met = index.join(probe, "part").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = materialise(met.distinct(), "line-pairs")
+    pairs = materialise(candidates(single.union(folded), max_edits, crowd), "line-pairs")
 
     wanted = materialise(pairs.select(F.explode(F.array("a", "b")).alias("h1")).distinct(), "line-ids")
     marked, maybe = sieve(every, F.col("h1"), wanted)
@@ -235,13 +291,14 @@ def near_lines(docs: DataFrame, repeated: DataFrame, id_col: str = "doc_id", tex
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                  max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+                  max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, crowd: int = CROWD) -> DataFrame:
     """``(id, key, removed)`` of every document that loses lines; ``removed``
     is an array of (position, near, links), ``links`` the number of earlier
     lines within ``max_edits``."""
-    occurrences = materialise(lines_of(docs, id_col, text_col).drop("line"), "lines")
+    lines = materialise(lines_of(docs, id_col, text_col), "lines")
+    occurrences = lines.drop("line")
     repeated = materialise(repeated_lines(occurrences), "lines-repeated")
-    near = materialise(near_lines(docs, repeated, id_col, text_col, max_edits, min_chars)
+    near = materialise(near_lines(lines, repeated, max_edits, min_chars, crowd)
                        .groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("links")), "lines-near")
     judged = materialise(
         repeated.join(near, ["h1", "h2"], "full").select("h1", "h2", "first", F.coalesce("links", F.lit(0)).alias("links")), "lines-judged")
@@ -254,7 +311,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_edits: int = MAX_EDITS,
-                min_chars: int = MIN_CHARS, counts: bool = False) -> DataFrame:
+                min_chars: int = MIN_CHARS, counts: bool = False, crowd: int = CROWD) -> DataFrame:
     """``docs`` with repeated lines taken out of ``text_col``.
 
     A line is a part between ``\\n``; lines compare without white space at
@@ -272,7 +329,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     that repeat both id and text are one document: each keeps the same
     lines.  Other columns pass through whatever their names.
     """
-    removed = removed_lines(docs, id_col, text_col, max_edits, min_chars)
+    removed = removed_lines(docs, id_col, text_col, max_edits, min_chars, crowd)
     names = [f"c{i}" for i in range(len(docs.columns))]
     at_id, at_text = (names[docs.columns.index(c)] for c in (id_col, text_col))
     rows = docs.toDF(*names).withColumn("__id", F.col(at_id).cast("long"))

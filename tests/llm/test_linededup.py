@@ -132,6 +132,33 @@ def test_matches_brute_force(spark):
     assert sum(r[4] for r in want) > 10
 
 
+@pytest.mark.parametrize("crowd", [0, 3])
+def test_crowded_segments(spark, crowd):
+    """Many lines of one length with the same beginning: only those within
+    the edits are linked, whatever is crowded."""
+    rng = random.Random(5)
+    head = "".join(rng.choices("abcdef ", k=40)).strip()
+    lines = []
+    for _ in range(60):
+        tail = "".join(rng.choices("abcdefghijkl", k=25))
+        lines += [head + tail, mutate(rng, head + tail, rng.choice([1, 2, 3]))]
+    rows = [(i, "\n".join(lines[i::12])) for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    hashes = {r.doc_id: r.h for r in df.select("doc_id", ld.row_key(F.col("text")).alias("h")).collect()}
+    got = sorted(tuple(r) for r in ld.dedup_lines(df, counts=True, crowd=crowd).collect())
+    assert got == sorted(brute([(i, hashes[i], t) for i, t in rows]))
+    assert sum(r[4] for r in got) > 30
+
+
+def test_letter_counts_bound_the_edits(spark):
+    rng = random.Random(8)
+    pairs = [(a, mutate(rng, a, 2)) for a in ("".join(rng.choices("abczé ", k=30)) for _ in range(50))]
+    counted = spark.createDataFrame(pairs, "a string, b string").select(
+        ld.letter_counts(F.col("a")).alias("x"), ld.letter_counts(F.col("b")).alias("y")).collect()
+    assert all(sum(abs(i - j) for i, j in zip(r.x, r.y)) <= 4 for r in counted)
+    assert [r.x[0] for r in counted] == [a.count("a") for a, _ in pairs]
+
+
 def test_long_lines(spark):
     long = "".join(random.Random(4).choices("abcd ef", k=60_000)).strip()
     rows = [(1, long), (2, long[:20_000] + "Q" + long[20_001:]), (3, long[:9] + "QRS" + long[9:]), (4, "z" + long[:-1])]
