@@ -19,6 +19,8 @@ path for rows whose keys need no dedupe, and sorts each line's pairs once.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -90,14 +92,15 @@ def stripped_keys(keys: Column) -> Column:
     return F.when(F.size(keys) == 0, keys).otherwise(F.split(inner, _SEP))
 
 
-def record_map_stages(specs: dict[str, tuple[Column, Column, list[str] | None]], raw: frozenset[str] = frozenset()
-                      ) -> tuple[list[dict[str, Column]], dict[str, Column], list[str]]:
+def record_map_stages(specs: dict[str, tuple[Column, Column, list[str] | None]], raw: frozenset[str] = frozenset(),
+                      ref: Callable[[str], Column] = F.col) -> Iterator[dict[str, Column]]:
     """Build one ``record_map`` per ``{out: (keys, vals, base_names)}``; the
     outs in ``raw`` keep their keys as they are.
 
-    Returns the projections that materialise the inputs, the final map
-    expression per ``out`` (to be used in a later projection, e.g. inside a
-    struct), and the helper columns to drop afterwards.
+    Yields one projection after the other, ``{name: Column}``, the last one
+    holding the map expression per ``out``; a step reads the columns of those
+    before it through ``ref``, so it must be taken when they are there.
+    ``map_helpers`` names what can be dropped afterwards.
 
     When the stripped keys are distinct and name no base field (the common
     case) the map is simply ``map_from_arrays(stripped keys, values)``, all in
@@ -107,41 +110,41 @@ def record_map_stages(specs: dict[str, tuple[Column, Column, list[str] | None]],
     """
     t = {out: f"{out}__" for out in specs}
     base = {out: spec[2] for out, spec in specs.items()}
-    stages = [{t[o] + n: c for o, (k, v, _) in specs.items() for n, c in (("k0", k), ("v0", v))},
-              {t[o] + "s0": F.col(t[o] + "k0") if o in raw else stripped_keys(F.col(t[o] + "k0")) for o in specs}]
+    yield {t[o] + n: c for o, (k, v, _) in specs.items() for n, c in (("k0", k), ("v0", v))}
+    yield {t[o] + "s0": ref(t[o] + "k0") if o in raw else stripped_keys(ref(t[o] + "k0")) for o in specs}
 
     def simple(o: str) -> Column:
-        k0, s0 = F.col(t[o] + "k0"), F.col(t[o] + "s0")
+        k0, s0 = ref(t[o] + "k0"), ref(t[o] + "s0")
         ok = (F.size(s0) == F.size(k0)) & (F.size(F.array_distinct(s0)) == F.size(k0))
         if base[o]:
             ok = ok & ~F.arrays_overlap(s0, F.array(*[F.lit(n) for n in base[o]]))
         return F.coalesce(ok, F.lit(True))  # null keys (rows of another grammar) count as simple
 
-    stages.append({t[o] + "ok": simple(o) for o in specs})
+    yield {t[o] + "ok": simple(o) for o in specs}
     # each sorted array is a column of its own: the next step reads it at
     # neighbouring places, which must not compute it again
-    steps: dict[str, list] = {}
-    for o in specs:
-        kb, vb = _with_base(F.col(t[o] + "k0"), F.col(t[o] + "v0"), base[o])
-        once = F.col(t[o] + "d")
-        names = F.col(t[o] + "d")["k"] if o in raw else F.transform(once["k"], strip)
-        steps[o] = [("r", F.when(~F.col(t[o] + "ok"), _runs(kb, vb))), ("d", _last_of_runs(F.col(t[o] + "r"))),
-                    ("q", _runs(names, once["v"])), ("e", _last_of_runs(F.col(t[o] + "q")))]
-    stages += [{t[o] + n: c for o in specs for n, c in [steps[o][i]]} for i in range(4)]
+    yield {t[o] + "r": F.when(~ref(t[o] + "ok"), _runs(*_with_base(ref(t[o] + "k0"), ref(t[o] + "v0"), base[o]))) for o in specs}
+    yield {t[o] + "d": _last_of_runs(ref(t[o] + "r")) for o in specs}
+    yield {t[o] + "q": _runs(ref(t[o] + "d")["k"] if o in raw else F.transform(ref(t[o] + "d")["k"], strip), ref(t[o] + "d")["v"])
+           for o in specs}
+    yield {t[o] + "e": _last_of_runs(ref(t[o] + "q")) for o in specs}
     maps = {}
     for o in specs:
-        m = _mapped(F.col(t[o] + "e"))
+        m = _mapped(ref(t[o] + "e"))
         if base[o]:
             m = F.map_filter(m, lambda k, v: v.isNotNull())
-        fast = F.map_from_arrays(F.col(t[o] + "s0"), F.col(t[o] + "v0"))
-        maps[o] = F.when(F.col(t[o] + "ok"), fast).otherwise(m)
-    drop = [t[o] + n for o in specs for n in ("k0", "v0", "s0", "ok", "r", "d", "q", "e")]
-    return stages, maps, drop
+        fast = F.map_from_arrays(ref(t[o] + "s0"), ref(t[o] + "v0"))
+        maps[o] = F.when(ref(t[o] + "ok"), fast).otherwise(m)
+    yield maps
+
+
+def map_helpers(outs: Iterable[str]) -> list[str]:
+    """Names of the columns that ``record_map_stages`` adds on its way."""
+    return [f"{o}__{n}" for o in outs for n in ("k0", "v0", "s0", "ok", "r", "d", "q", "e")]
 
 
 def with_record_maps(df: DataFrame, specs: dict[str, tuple[Column, Column, list[str] | None]]) -> DataFrame:
     """Apply ``record_map_stages`` to ``df``, adding one map column per spec."""
-    stages, maps, drop = record_map_stages(specs)
-    for cols in stages:
+    for cols in record_map_stages(specs):
         df = df.withColumns(cols)
-    return df.withColumns(maps).drop(*drop)
+    return df.drop(*map_helpers(specs))

@@ -46,6 +46,10 @@ class LogParser(ABC):
     base_fields: Sequence[tuple[str, str]] = ()
     # whether parameter keys lose the white space around them
     strip_keys: bool = True
+    # whether lines carry parameters at all
+    has_pairs: bool = True
+    # a literal token that every line of the grammar holds; see ``route.line_tokens``
+    token: str | None = None
 
     def scan(self, line: Column) -> Column:
         """The one expensive pass over a candidate line (materialised once)."""
@@ -256,13 +260,16 @@ class RegexParser(_HeaderRegexParser):
     be able to contain a newline.  A ``date_groups`` 5-tuple (month, day,
     hour, minute, second group numbers) adds ``_a_timestamp`` and
     ``_b_datetime`` from a syslog stamp.  ``strip_keys=False`` keeps the
-    white space around parameter keys.
+    white space around parameter keys.  ``token`` is a word that every line of
+    the grammar holds (letters, digits, ``_``, ``%`` and ``-``, between other
+    characters): among many grammars, only lines with it run the regexes.
     """
 
     def __init__(self, name: str, header: str, fields: Sequence[str], pair_pattern: str | None = None,
                  pair_prefix: str = "", params_group: int | None = None, prefilter: str | None = None,
-                 date_groups: tuple[int, int, int, int, int] | None = None, strip_keys: bool = True):
+                 date_groups: tuple[int, int, int, int, int] | None = None, strip_keys: bool = True, token: str | None = None):
         self.name = name
+        self.token = token
         self.strip_keys = strip_keys
         self.header_pattern = header
         self.prefilter = prefilter
@@ -271,6 +278,7 @@ class RegexParser(_HeaderRegexParser):
         self.n_groups = len(self.field_names) + (1 if pair_pattern else 0) + (5 if date_groups else 0)
         self.params_group = params_group or self.n_groups
         self.pair_pattern = pair_pattern
+        self.has_pairs = pair_pattern is not None
         self.pair_prefix = pair_prefix
         skip = set(date_groups or ()) | ({self.params_group} if pair_pattern else set())
         self.field_groups = [i for i in range(1, self.n_groups + 1) if i not in skip]

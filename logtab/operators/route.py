@@ -19,15 +19,15 @@ from __future__ import annotations
 import functools
 import itertools
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from logtab.functions.dates import BAD_DATE_MODES
-from logtab.functions.kv import record_map_stages
+from logtab.functions.kv import map_helpers, record_map_stages
 from logtab.functions.text import strip
-from logtab.operators.parsers import DEFAULT_PARSERS, LogParser
+from logtab.operators.parsers import DEFAULT_PARSERS, LogParser, PythonLogParser
 
 REJECT = "na"
 _ids = itertools.count()
@@ -50,7 +50,8 @@ def check_parsers(parsers: Sequence[LogParser]) -> list[LogParser]:
 
 def parse(df: DataFrame, col: str = "value", parsers: Sequence[LogParser] = DEFAULT_PARSERS,
           year: int = 2020, on_bad_date: str = "fail", observation: Observation | None = None,
-          min_partitions: int | None = None, params: bool | Sequence[LogParser | str] = True) -> DataFrame:
+          min_partitions: int | None = None, params: bool | Sequence[LogParser | str] = True,
+          bad: str | None = None) -> DataFrame:
     """Route and parse the lines in ``df[col]`` (see module doc).
 
     ``on_bad_date``: a header that matches but names an impossible date
@@ -72,6 +73,12 @@ def parse(df: DataFrame, col: str = "value", parsers: Sequence[LogParser] = DEFA
     none, ``True``: all); the others' ``params`` are null.  Callers that need
     only routes and header fields, or one grammar, save the others' pair
     regexes: the observe node keeps Catalyst from pruning them by itself.
+
+    ``bad`` names a boolean column of lines that no grammar may take (see
+    ``read_lines``); they are rejects.
+
+    Grammars that name a ``token`` are only tried on lines that hold it: each
+    line is cut into tokens once, however many grammars there are.
     """
     parsers = check_parsers(parsers)
     if on_bad_date not in BAD_DATE_MODES:
@@ -88,8 +95,7 @@ def parse(df: DataFrame, col: str = "value", parsers: Sequence[LogParser] = DEFA
     if unknown:
         raise ValueError(f"params of grammars that are not parsed: {sorted(unknown)}")
     app = df.sparkSession.sparkContext.applicationId
-    routing, building = _stages(tuple(parsers), col, year, on_bad_date, app, frozenset(named))
-    for stage in routing + building:
+    for stage in _column_stages(tuple(parsers), col, year, on_bad_date, app, frozenset(named), bad):
         df = df.withColumns(stage) if isinstance(stage, dict) else df.drop(*stage)
     df = df.select(*keep, "parser", *[p.name for p in parsers], "reject")
     # The observe node closes the parse: any filter a caller puts on the
@@ -102,40 +108,62 @@ def parse(df: DataFrame, col: str = "value", parsers: Sequence[LogParser] = DEFA
 
 
 @functools.lru_cache(maxsize=64)
-def _stages(parsers: tuple[LogParser, ...], col: str, year: int, on_bad_date: str,
-            app: str, with_params: frozenset[str]) -> tuple[list[dict[str, Column] | list[str]], list[dict[str, Column] | list[str]]]:
-    """The projection chain of ``parse`` in two parts (routing, then
-    records): lists of ``{name: Column}`` to add (each one projection) or of
-    names to drop.
-
-    Column expressions are unresolved and reusable, so the chain is built
-    once per grammar list and settings (per application) rather than with
-    thousands of JVM calls on every ``parse``.
-    """
-    line = F.col(col)
-    route = F.col("__route")
-    stages: list[dict[str, Column] | list[str]] = []
+def _column_stages(parsers: tuple[LogParser, ...], col: str, year: int, on_bad_date: str, app: str, with_params: frozenset[str],
+                   bad: str | None) -> list[dict[str, Column] | list[str]]:
+    """``_stages`` over columns.  Column expressions are unresolved and
+    reusable, so the chain is built once per grammar list and settings (per
+    application) rather than with thousands of JVM calls on every ``parse``."""
+    many = bool(indexed_tokens(parsers))  # a projection per grammar would make a plan of hundreds
+    return list(_stages(parsers, F.col(col), year, on_bad_date, with_params, F.col, None if bad is None else F.col(bad), many))
+
+
+def _stages(parsers: Sequence[LogParser], line: Column, year: int, on_bad_date: str, with_params: frozenset[str],
+            ref: Callable[[str], Column], bad: Column | None = None, together: bool = False
+            ) -> Iterator[dict[str, Column] | list[str]]:
+    """The projection chain of ``parse``: ``{name: Column}`` to add (each one
+    projection) or names to drop.  A step reads the columns of those before
+    it through ``ref``, so it must be taken when they are there.  With
+    ``together``, all grammars are tried in the same few steps, however many
+    they are, instead of each on what the ones before it left."""
     dates: list[tuple[Column, Column]] = []
     steps: list[Column] = []
-    taken: Column | None = None  # true once an earlier grammar took the line
+    taken = bad  # true once an earlier grammar took the line
+    tokens = indexed_tokens(parsers)
+    if tokens:
+        yield {"__tokens": line_tokens(line, tokens)}
+
+    def scan(p: LogParser) -> Column:
+        # the scan sees null for lines an earlier grammar took, or that lack
+        # its token (cheap for regexes, and keeps Python parsers from doing
+        # the work at all)
+        tried = None if taken is None else ~taken
+        if tokens and p.token:
+            has = F.array_contains(ref("__tokens"), p.token)
+            tried = has if tried is None else tried & has
+        return p.scan(line if tried is None else F.when(tried, line))
+
+    if together:
+        yield {f"__s{i}": scan(p) for i, p in enumerate(parsers)}
+        yield {f"__f{i}": p.fields(line, ref(f"__s{i}")) for i, p in enumerate(parsers)}
+        yield {f"__ok{i}": F.when(ref(f"__f{i}").isNotNull(), p.date(ref(f"__f{i}"), year)[0]) for i, p in enumerate(parsers)}
     for i, p in enumerate(parsers):
         s, f, ok = f"__s{i}", f"__f{i}", f"__ok{i}"
-        # the scan sees null for lines an earlier grammar took (cheap for
-        # regexes, and keeps Python parsers from doing the work at all)
-        stages.append({s: p.scan(line if taken is None else F.when(~taken, line))})
-        stages.append({f: p.fields(line, F.col(s))})
-        stages.append([s])
-        d_ok, compact, iso = p.date(F.col(f), year)
-        stages.append({ok: F.when(F.col(f).isNotNull(), d_ok)})
+        if not together:
+            yield {s: scan(p)}
+            yield {f: p.fields(line, ref(s))}
+            yield [s]
+        d_ok, compact, iso = p.date(ref(f), year)
+        if not together:
+            yield {ok: F.when(ref(f).isNotNull(), d_ok)}
         if compact is not None:
-            compact, iso = F.when(F.col(ok), compact), F.when(F.col(ok), iso)
+            compact, iso = F.when(ref(ok), compact), F.when(ref(ok), iso)
         dates.append((compact, iso))
-        hit = F.col(f).isNotNull()
+        hit = ref(f).isNotNull()
         if on_bad_date == "fail":
             msg = F.concat(F.lit(f"{p.name}: impossible date in line: "), line)
-            steps.append(F.when(hit & ~F.col(ok), F.raise_error(msg).cast("int")).when(hit, F.lit(i)))
+            steps.append(F.when(hit & ~ref(ok), F.raise_error(msg).cast("int")).when(hit, F.lit(i)))
         elif on_bad_date == "reject":
-            hit = hit & F.col(ok)
+            hit = hit & ref(ok)
             steps.append(F.when(hit, F.lit(i)))
         else:
             steps.append(F.when(hit, F.lit(i)))
@@ -146,35 +174,102 @@ def _stages(parsers: tuple[LogParser, ...], col: str, year: int, on_bad_date: st
     # raw line, Catalyst can prune it from every later projection
     decided = F.coalesce(*steps) if len(steps) > 1 else steps[0]
     names = F.array(*[F.lit(p.name) for p in parsers], F.lit(REJECT))
-    stages.append({"__route": decided,
-                   "parser": F.element_at(names, F.coalesce(decided, F.lit(len(parsers))) + 1),
-                   "reject": F.when(decided.isNull(), strip(line))})
-    routing, stages = stages, []
+    yield {"__route": decided,
+           "parser": F.element_at(names, F.coalesce(decided, F.lit(len(parsers))) + 1),
+           "reject": F.when(decided.isNull(), strip(line))}
 
+    route = ref("__route")
     specs, raw = {}, set()
     for i, p in enumerate(parsers):
-        if p.name in with_params:
-            keys, vals = p.pairs(F.col(f"__f{i}"))
+        if p.name in with_params and p.has_pairs:
+            keys, vals = p.pairs(ref(f"__f{i}"))
             mine = route == i
             specs[f"__m{i}"] = (F.when(mine, keys), F.when(mine, vals), p.base_names)
             if not p.strip_keys:
                 raw.add(f"__m{i}")
-    maps = {f"__m{i}": F.lit(None).cast("map<string,string>") for i in range(len(parsers))}
-    drop: list[str] = []
     if specs:
-        map_stages, made, drop = record_map_stages(specs, frozenset(raw))
-        stages += map_stages
-        maps |= made
+        yield from record_map_stages(specs, frozenset(raw), ref)
+    none, empty = F.lit(None).cast("map<string,string>"), F.create_map().cast("map<string,string>")
     structs = {}
     for i, p in enumerate(parsers):
         compact, iso = dates[i]
-        values = p.base(F.col(f"__f{i}"), compact, iso)
-        struct = F.struct(*[v.cast(t).alias(n) for v, (n, t) in zip(values, p.base_fields)],
-                          maps[f"__m{i}"].alias("params"))
+        values = p.base(ref(f"__f{i}"), compact, iso)
+        params = ref(f"__m{i}") if f"__m{i}" in specs else empty if p.name in with_params else none
+        struct = F.struct(*[v.cast(t).alias(n) for v, (n, t) in zip(values, p.base_fields)], params.alias("params"))
         structs[p.name] = F.when(route == i, struct)
-    stages.append(structs)
-    stages.append(drop)
-    return routing, stages
+    yield structs
+    yield [*specs, *map_helpers(specs)]
+
+
+# --- which grammars a line can be --------------------------------------------
+
+# From this many grammars with a token on, lines are cut into tokens once.
+INDEX_FROM = 4
+TOKEN_CHARS = "A-Za-z0-9_%-"
+
+
+def indexed_tokens(parsers: Sequence[LogParser]) -> list[str]:
+    """The literal tokens by which grammars are looked up (none for a short
+    list, where cutting lines into tokens would cost more than it saves)."""
+    tokens = sorted({p.token for p in parsers if p.token})
+    bad = [t for t in tokens if not re.fullmatch(f"[{TOKEN_CHARS}]+", t)]
+    if bad:
+        raise ValueError(f"a grammar's token must consist of letters, digits, '_', '%' and '-': {bad}")
+    return tokens if sum(bool(p.token) for p in parsers) >= INDEX_FROM else []
+
+
+def line_tokens(line: Column, tokens: Sequence[str]) -> Column:
+    """Those of ``tokens`` that stand in the line as whole tokens."""
+    return F.array_intersect(F.split(line, f"[^{TOKEN_CHARS}]+"), F.lit(list(tokens)))
+
+
+def candidate_parsers(line: Column, parsers: Sequence[LogParser]) -> Column:
+    """Names of the grammars whose header is tried on a line that no earlier
+    grammar takes: those whose token it has, and those that name none."""
+    found = line_tokens(line, sorted({p.token for p in parsers if p.token}))
+    return F.filter(F.array(*[F.when(F.lit(True) if not p.token else F.array_contains(found, p.token), F.lit(p.name)) for p in parsers]),
+                    lambda n: n.isNotNull())
+
+
+# --- a whole parse as one expression ------------------------------------------
+
+def parse_column(line: Column | str, parsers: Sequence[LogParser] = DEFAULT_PARSERS, year: int = 2020,
+                 on_bad_date: str = "fail", params: bool = True) -> Column:
+    """The parse of one line as a single expression, for ``select``, views
+    and SQL over them: a struct of ``parser``, one struct per grammar, and
+    ``reject``, as the columns of ``parse``.
+
+    Every step is bound once, as the variable of a one-element transform;
+    there are as many steps whatever the number of grammars.  They are
+    interpreted rather than compiled, and each grammar scans every line that
+    has its token: whole tables are parsed faster by ``parse``.  Grammars in
+    Python cannot be part of an expression.
+    """
+    parsers = check_parsers(parsers)
+    if on_bad_date not in BAD_DATE_MODES:
+        raise ValueError(f"on_bad_date must be one of {BAD_DATE_MODES}")
+    python = [p.name for p in parsers if isinstance(p, PythonLogParser)]
+    if python:
+        raise ValueError(f"grammars in Python cannot be part of an expression: {python}")
+    known: dict[str, Column] = {}
+    names = ["parser", *[p.name for p in parsers], "reject"]
+
+    def rest(steps: Iterator) -> Column:
+        step = next((s for s in steps if isinstance(s, dict)), None)
+        if step is None:
+            return F.struct(*[known[n].alias(n) for n in names])
+
+        def bound(s: Column) -> Column:
+            known.update({n: s[n] for n in step})
+            return rest(steps)
+
+        return F.get(F.transform(F.array(F.struct(*[c.alias(n) for n, c in step.items()])), bound), F.lit(0))
+
+    def start(s: Column) -> Column:
+        chosen = frozenset(p.name for p in parsers) if params else frozenset()
+        return rest(_stages(parsers, s, year, on_bad_date, chosen, known.__getitem__, together=True))
+
+    return F.get(F.transform(F.array(F.col(line) if isinstance(line, str) else line), start), F.lit(0))
 
 
 def records(narrow: DataFrame, parser: LogParser | str, keep: Sequence[str] = ()) -> DataFrame:

@@ -33,12 +33,14 @@ def arg_parser() -> argparse.ArgumentParser:
                     help="keep the narrow records and key lists under <out>/.records and <out>/.keys")
     ap.add_argument("--year", type=int, default=2020, help="year for stamps that carry none")
     ap.add_argument("--on-bad-date", choices=["fail", "reject", "null"], default="fail")
-    ap.add_argument("--no-order", action="store_true", help="skip the sort back into source order")
-    ap.add_argument("--single-file", action="store_true", help="one part file per output (small data)")
+    ap.add_argument("--no-order", action="store_true", help="parts in no particular order")
+    ap.add_argument("--single-file", action="store_true", help="one file per output, joined from its parts")
     ap.add_argument("--max-columns", type=int, default=None, metavar="<num>",
                     help="stop if a table would get more columns (default: no limit)")
     ap.add_argument("--min-partitions", type=int, default=None, metavar="<num>",
                     help="deal the lines over so many tasks before parsing (gzip logs, small files)")
+    ap.add_argument("--encoding", default="UTF-8", metavar="<name>", help="charset of the logs (UTF-8 or a one-byte charset)")
+    ap.add_argument("--on-bad-bytes", choices=["replace", "fail", "reject"], default="replace")
     ap.add_argument("--natural-order", action="store_true",
                     help="order several sources by the number at the end of their names")
     return ap
@@ -59,7 +61,7 @@ def main(argv: list[str] | None = None) -> int:
                      on_bad_date=args.on_bad_date, keep_records=args.preserve_intermediate_results,
                      preserve_order=not args.no_order, single_file=args.single_file,
                      natural_order=args.natural_order, max_columns=args.max_columns,
-                     min_partitions=args.min_partitions)
+                     min_partitions=args.min_partitions, encoding=args.encoding, on_bad_bytes=args.on_bad_bytes)
     print(f"output: {res.out_dir}")
     for name, n in res.counts.items():
         print(f"  {name}: {n} lines")

@@ -83,14 +83,19 @@ def render_many_keys(events: DataFrame, keys: int) -> DataFrame:
 
 
 def render_hostile_keys(events: DataFrame, length: int) -> DataFrame:
-    """``(eid, value)``: one cp line per event with a key whose name has a
-    meaning to JSON readers and, where ``event_id % 100 = 0``, a key of
-    ``length`` characters."""
+    """``(eid, value)``: one cp line per event with a key of ``length``
+    characters and one whose name has a meaning to JSON readers."""
     eid = _s(F.col("event_id"))
     return events.select(F.col("event_id").alias("eid"), F.concat(
-        stamp(F.col("ts")), F.lit(' 10.1.0.1 +01:00 192.168.0.1 a="'), eid, F.lit('" _corrupt_record="c'), eid, F.lit('"'),
-        F.when(F.col("event_id") % 100 == 0, F.concat(F.lit(" "), F.repeat(F.lit("k"), length), F.lit('="v'), eid, F.lit('"')))
-        .otherwise("")).alias("value"))
+        stamp(F.col("ts")), F.lit(' 10.1.0.1 +01:00 192.168.0.1 a="'), eid, F.lit('" _corrupt_record="c'), eid, F.lit('" '),
+        F.repeat(F.lit("k"), length), F.lit('="v'), eid, F.lit('"')).alias("value"))
+
+
+def render_devices(events: DataFrame, kinds: int) -> DataFrame:
+    """``(eid, value)``: one short line per event that names one of ``kinds``
+    devices."""
+    eid = F.col("event_id")
+    return events.select(eid.alias("eid"), F.concat(_s(F.col("user_id")), F.lit(" dev"), _s(eid % kinds), F.lit(" n="), _s(eid)).alias("value"))
 
 
 def document_lines(documents: DataFrame) -> DataFrame:

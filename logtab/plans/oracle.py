@@ -215,7 +215,7 @@ FROM e""",
 
     "wide_hostile_keys": f"""WITH {E}
 SELECT eid, CAST(eid AS VARCHAR) AS a, 'c' || eid AS "_corrupt_record",
-       CASE WHEN eid % 100 = 0 THEN 'v' || eid END AS long_key
+       'v' || eid AS long_key
 FROM e""",
 
     "python_parser_raw_keys": f"""WITH {E}
@@ -243,4 +243,51 @@ SELECT a_ts AS "_a_timestamp", b_dt AS "_b_datetime", concat('10.1.', user_id, '
        '{{"Note":"k ' || k || '"}}' AS "_extra"
 FROM e WHERE shape IN (7, 8)""",
 }
+CP_FIELDS = """concat('"', a_ts, '"', chr(9), '"', b_dt, '"', chr(9), '"10.1.', user_id, '.1"', chr(9), '"192.168.0.', eid % 256, '"',"""
+
+SQL["single_file_rejects"] = SQL["job_rejects_in_order"]
+
+SQL["single_file_table"] = f"""WITH {E}
+SELECT 1 AS pos, concat_ws(chr(9), {", ".join(f"""'"{c}"'""" for c in [*CP_BASE, "Action", "Note", "UserId"])}) AS value
+UNION ALL
+SELECT 1 + row_number() OVER (ORDER BY eid), {CP_FIELDS}
+       chr(9), '"', CASE WHEN eid % 20 = 7 THEN 'final' ELSE event_type END, '"', chr(9), '"k ', k, '"', chr(9), '"', user_id, '"')
+FROM e WHERE shape IN (7, 8)"""
+
+SQL["wide_many_columns_tsv"] = f"""WITH {E},
+used AS (SELECT DISTINCT eid % 5250 AS slot FROM e),
+names AS (
+  SELECT name, 4 + row_number() OVER (ORDER BY lower(name), name) AS place
+  FROM (SELECT 'alt' || slot AS name FROM used UNION ALL SELECT 'key' || slot FROM used)),
+sizes AS (SELECT 4 + 2 * count(*) AS width FROM used)
+SELECT eid, md5(concat('"', a_ts, '"', chr(9), '"', b_dt, '"', chr(9), '"10.1.0.1"', chr(9), '"192.168.0.1"',
+       repeat(chr(9) || '""', CAST(a.place AS INTEGER) - 5), chr(9), '"', eid, '"',
+       repeat(chr(9) || '""', CAST(b.place - a.place AS INTEGER) - 1), chr(9), '"', eid, '"',
+       repeat(chr(9) || '""', CAST(width - b.place AS INTEGER)))) AS line_md5
+FROM e JOIN names a ON a.name = 'alt' || (eid % 5250) JOIN names b ON b.name = 'key' || (eid % 5250) CROSS JOIN sizes"""
+
+SQL["rerun_after_failure"] = f"""WITH r AS ({SQL["bad_date_reject"]}) SELECT *, true AS failed, 0 AS left_behind FROM r"""
+
+SQL["refusals"] = """
+SELECT what, error, (SELECT count(*) FROM events) AS n_lines
+FROM (VALUES ('missing source', 'AnalysisException'), ('existing output', 'FileExistsError'), ('duplicate names', 'ValueError')) v(what, error)"""
+
+SQL["tsv_linebreaks_split"] = SQL["tsv_linebreaks"]
+
+SQL["many_grammars"] = """
+SELECT CASE WHEN event_id % 120 < 100 THEN 'g' || (event_id % 120) ELSE 'na' END AS parser, count(*) AS n,
+       CAST(sum(CASE WHEN event_id % 120 < 100 THEN 1 ELSE 0 END) AS BIGINT) AS tried
+FROM events GROUP BY 1"""
+
+SQL["latin1_lines"] = "SELECT event_type || ' é ß ÿ ' || event_id AS value FROM events"
+
+SQL["bad_bytes_rejected"] = f"""WITH {E}
+SELECT CASE WHEN eid % 7 = 0 THEN 'na' ELSE {ROUTE} END AS parser, eid % 7 = 0 AS bad, count(*) AS n FROM e GROUP BY 1, 2"""
+
+SQL["parse_expression"] = f"""WITH {E}
+SELECT eid, {ROUTE} AS parser, CASE WHEN shape < 9 THEN b_dt END AS b_datetime,
+       CASE WHEN shape < 9 THEN CAST(user_id AS VARCHAR) END AS "user",
+       CASE WHEN shape = 9 THEN concat('junk ', eid, ' ', event_type) END AS reject
+FROM e"""
+
 SQL["kept_keys"] = SQL["header_keys"]

@@ -14,14 +14,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logtab.operators.parsers import CP, HW, PythonLogParser, RegexParser, UnparsableLogError
-from logtab.operators.route import parse, records, rejects
-from logtab.operators.tabularize import discover_headers, tabularize
+from logtab.operators.route import candidate_parsers, parse, parse_column, records, rejects
+from logtab.operators.tabularize import discover_headers, headers, tabularize
 from logtab.plans import storage
-from logtab.plans.fixtures import (document_lines, render_empty_keys, render_hostile_keys, render_lines, render_many_keys,
+from logtab.plans.fixtures import (document_lines, render_devices, render_empty_keys, render_hostile_keys, render_lines, render_many_keys,
                                    render_mixed_pairs, table)
 from logtab.plans.tabulate import stage
+from logtab.sinks.parts import settings
+from logtab.sinks.sparse import render
 from logtab.sinks.tsv import PANDAS_NA_VALUES, read_tsv, write_lines, write_parquet, write_tsv
-from logtab.sources.lines import natural_key, number_lines, read_lines
+from logtab.sources.lines import number_lines, read_lines
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -138,13 +140,16 @@ def line_order(spark, sf_dir):
 
 
 def natural_order(spark, sf_dir):
-    """Rendered lines as if they stood in files ``chunk_1.hw.log`` to
-    ``chunk_997.hw.log`` (event ``e`` in ``chunk_<e % 997 + 1>``), in the
-    natural order of the names, which puts ``chunk_2`` before ``chunk_10``."""
-    name = F.concat(F.lit("chunk_"), (F.col("eid") % 997 + 1).cast("string"), F.lit(".hw.log"))
-    named = render_lines(table(spark, sf_dir, "events")).select(
-        "value", natural_key(name).alias("_src_seq"), name.alias("_src_file"), F.col("eid").alias("_src_row"))
-    return number_lines(named).select(F.col("line_no").alias("pos"), "value")
+    """Lines read back from numbered files (``...-c000.txt`` and on, over a
+    thousand of them but in the smallest table), in the natural order of the
+    numbers, which puts ``c999`` before ``c1000``."""
+    path = posixpath.join(storage.scratch_dir(spark, "logtab-q"), "lines")
+    lines = render_lines(table(spark, sf_dir, "events"))
+    per_file = max(1, lines.count() // 1100)
+    # one task numbers the files it writes
+    (lines.repartitionByRange(1, "eid").sortWithinPartitions(F.col("eid") % 997, "eid")
+     .select("value").write.option("maxRecordsPerFile", per_file).text(path))
+    return number_lines(read_lines(spark, path, natural_order=True)).select(F.col("line_no").alias("pos"), "value")
 
 
 def _junk(line: str) -> dict:
@@ -387,6 +392,125 @@ def tsv_case_twins(spark, sf_dir):
     return back.toDF(*[f"c{i}_{c}" for i, c in enumerate(back.columns)])
 
 
+def _in_one_file(spark, path):
+    """The single part of an output, line by line."""
+    parts = [f for f in storage.list_files(spark, path) if posixpath.basename(f).startswith("part-")]
+    if len(parts) != 1:
+        raise AssertionError(f"{len(parts)} parts in {path}")
+    return _positions(spark, parts[0])
+
+
+def single_file_rejects(spark, sf_dir):
+    """The rejects as one file, joined from the parts of many tasks."""
+    with settings(spark, {"spark.sql.files.maxPartitionBytes": "64k"}):
+        return _in_one_file(spark, _job_output(spark, sf_dir, single_file=True).rejects)
+
+
+def single_file_table(spark, sf_dir):
+    """The cp table as one file: its header, then its lines in source order."""
+    with settings(spark, {"spark.sql.files.maxPartitionBytes": "64k"}):
+        return _in_one_file(spark, _job_output(spark, sf_dir, single_file=True).tables["cp"])
+
+
+def wide_many_columns_tsv(spark, sf_dir):
+    """TSV lines of a table of thousands of columns, rendered from each
+    record's own entries."""
+    staged = _staged(spark, sf_dir, CP, render_many_keys(_events(spark, sf_dir), MANY_KEYS))
+    return render(staged, CP, headers(staged, [CP])["cp"], ["eid"]).select("eid", F.md5("value").alias("line_md5"))
+
+
+def rerun_after_failure(spark, sf_dir):
+    """A run that fails on a bad date, then the same output made again."""
+    from logtab.plans.tabulate import parse_logs
+
+    root = storage.scratch_dir(spark, "logtab-q")
+    src, out = posixpath.join(root, "lines"), posixpath.join(root, "out")
+    write_lines(render_lines(_events(spark, sf_dir), bad_dates=True), src)
+    try:
+        parse_logs(spark, src, out=out, keep_records=True)
+        failed = False
+    except Exception as e:
+        failed = "impossible date" in str(e)
+    left = len(storage.list_names(spark, root)) - 1  # beside the lines
+    res = parse_logs(spark, src, out=out, keep_records=True, on_bad_date="reject")
+    return (spark.read.parquet(res.records).groupBy("parser").agg(F.count(F.lit(1)).alias("n"))
+            .withColumn("failed", F.lit(failed)).withColumn("left_behind", F.lit(left)))
+
+
+def refusals(spark, sf_dir):
+    """What the job refuses, next to what it has done: a source that is not
+    there, an output that is, two grammars of one name."""
+    from logtab.plans.tabulate import parse_logs
+
+    root = storage.scratch_dir(spark, "logtab-q")
+    src, out = posixpath.join(root, "lines"), posixpath.join(root, "out")
+    write_lines(render_lines(_events(spark, sf_dir)), src)
+    parse_logs(spark, src, out=out)
+    cases = {"missing source": lambda: read_lines(spark, posixpath.join(root, "absent")).count(),
+             "existing output": lambda: parse_logs(spark, src, out=out),
+             "duplicate names": lambda: parse(read_lines(spark, src), parsers=[HW, CP, HW])}
+    found = []
+    for name, attempt in cases.items():
+        try:
+            attempt()
+        except Exception as e:
+            found.append((name, type(e).__name__))
+    lines = read_lines(spark, src).groupBy().agg(F.count(F.lit(1)).alias("n_lines"))
+    return spark.createDataFrame(found, "what string, error string").join(lines)
+
+
+def tsv_linebreaks_split(spark, sf_dir):
+    """One file whose values hold line breaks, read by several tasks."""
+    e = _events(spark, sf_dir)
+    kind = F.col("event_type")
+    path = _tsv_of(spark, e.select(
+        F.col("event_id").cast("string").alias("eid"), F.concat(kind, F.lit('\n"x"\t'), kind).alias("lf"),
+        F.concat(kind, F.lit("\r\ny\r")).alias("cr")).coalesce(1))
+    with settings(spark, {"spark.sql.files.maxPartitionBytes": "32k"}):
+        return read_tsv(spark, path, split_files=True)
+
+
+DEVICES, DEVICE_GRAMMARS = 120, 100
+
+
+def many_grammars(spark, sf_dir):
+    """A hundred grammars over one table: lines per grammar, and how many
+    headers were tried on them."""
+    grammars = [RegexParser(f"g{i}", header=rf"(?d)^(\S+) dev{i} n=(\d+)$\n?", fields=["user", "n"], token=f"dev{i}")
+                for i in range(DEVICE_GRAMMARS)]
+    lines = render_devices(_events(spark, sf_dir), DEVICES)
+    lines = lines.withColumn("tried", F.size(candidate_parsers(F.col("value"), grammars)))
+    return parse(lines, parsers=grammars, params=False).groupBy("parser").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("tried").alias("tried"))
+
+
+def latin1_lines(spark, sf_dir):
+    """Lines in ISO 8859-1 with letters beyond ASCII, read back as text."""
+    path = posixpath.join(storage.scratch_dir(spark, "logtab-q"), "latin1")
+    text = F.concat(F.col("event_type"), F.lit(" é ß ÿ "), F.col("event_id").cast("string"))
+    write_lines(table(spark, sf_dir, "events").select(F.encode(text, "ISO-8859-1").cast("string").alias("value")), path)
+    return read_lines(spark, path, encoding="ISO-8859-1", on_bad_bytes="fail").select("value")
+
+
+def bad_bytes_rejected(spark, sf_dir):
+    """Lines with a byte that is not UTF-8 go to the rejects, whatever they
+    hold."""
+    path = posixpath.join(storage.scratch_dir(spark, "logtab-q"), "bytes")
+    odd = F.concat(F.encode(F.col("value"), "UTF-8"), F.unhex(F.lit("E9"))).cast("string")
+    write_lines(render_lines(_events(spark, sf_dir)).select(F.when(F.col("eid") % 7 == 0, odd).otherwise(F.col("value")).alias("value")), path)
+    marked = parse(read_lines(spark, path, on_bad_bytes="mark"), params=False, bad="_src_bad")
+    return marked.groupBy("parser", F.col("_src_bad").alias("bad")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def parse_expression(spark, sf_dir):
+    """The whole parse as one expression in a ``select``."""
+    p = F.col("p")
+    return render_lines(_events(spark, sf_dir)).select("eid", parse_column("value").alias("p")).select(
+        "eid", p["parser"].alias("parser"), F.coalesce(p["hw"]["_b_datetime"], p["cp"]["_b_datetime"]).alias("b_datetime"),
+        F.coalesce(p["hw"]["params"]["user"], p["hw"]["params"]["Src User"], p["cp"]["params"]["UserId"]).alias("user"),
+        p["reject"].alias("reject"))
+
+
 def job_hw_table(spark, sf_dir):
     """The hw TSV written by ``parse_logs``, read back (all strings)."""
     return read_tsv(spark, _job_output(spark, sf_dir).tables["hw"])
@@ -427,4 +551,5 @@ QUERIES: dict[str, Query] = {
 } | {f.__name__: f for f in (
     job_rejects_in_order, kept_records, kept_keys, parquet_tables, cli_table, pair_kinds_merge, param_overrides_base,
     empty_keys, wide_many_columns, wide_hostile_keys, python_parser_raw_keys, tsv_linebreaks, tsv_infer_na, tsv_case_twins,
-    stream_new_keys, stream_ordered_rejects)}
+    stream_new_keys, stream_ordered_rejects, single_file_rejects, single_file_table, wide_many_columns_tsv,
+    rerun_after_failure, refusals, tsv_linebreaks_split, many_grammars, latin1_lines, bad_bytes_rejected, parse_expression)}

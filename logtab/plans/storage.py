@@ -111,6 +111,18 @@ def file_stats(spark: SparkSession, paths: Sequence[str]) -> tuple[int, int]:
     return files, size
 
 
+def largest_file(spark: SparkSession, paths: str | Sequence[str]) -> int:
+    """Bytes of the largest file below paths or globs (metadata only)."""
+    most = 0
+    for path in [paths] if isinstance(paths, str) else paths:
+        fs, p = _fs_path(spark, path)
+        for status in fs.globStatus(p) or []:
+            found = fs.listFiles(status.getPath(), True)
+            while found.hasNext():
+                most = max(most, int(found.next().getLen()))
+    return most
+
+
 def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
     """A small file, written by the driver."""
     fs, p = _fs_path(spark, path)

@@ -45,7 +45,7 @@ from logtab.plans import storage
 from logtab.sinks.parts import ROW, SPLIT, has_many_small_files, one_split_per_task, publish, split_order, with_split, write_parts
 from logtab.sinks.sparse import header_line, render
 from logtab.sinks.tsv import Writer, write_tsv
-from logtab.sources.lines import ORDER_COLS, in_order, read_lines
+from logtab.sources.lines import BAD, ORDER_COLS, in_order, read_lines
 
 
 @dataclass
@@ -101,7 +101,7 @@ def parse_logs(spark: SparkSession, src: str | Sequence[str], out: str | None =
                on_bad_date: str = "fail", writer: Writer = write_tsv, keep_records: bool = False,
                preserve_order: bool = True, single_file: bool = False, natural_order: bool = False,
                max_columns: int | None = None, min_partitions: int | None = None,
-               sort_partitions: int | None = None) -> ParseResult:
+               sort_partitions: int | None = None, encoding: str = "UTF-8", on_bad_bytes: str = "replace") -> ParseResult:
     """Run the whole job (see module doc) and return where everything went.
 
     ``src`` may be one file, a glob, or several files (rotated logs: set
@@ -114,7 +114,9 @@ def parse_logs(spark: SparkSession, src: str | Sequence[str], out: str | None =
     says where.  ``min_partitions`` deals the lines over that many tasks
     before parsing (for gzip logs and other inputs in few splits);
     ``sort_partitions`` sets the range partitions of the ordered outputs
-    (default: ``spark.sql.shuffle.partitions``).
+    (default: ``spark.sql.shuffle.partitions``).  ``encoding`` and
+    ``on_bad_bytes`` are those of ``read_lines``, with ``"reject"`` for lines
+    of bad bytes to go to the rejects.
     """
     parsers = check_parsers(parsers)
     srcs = [src] if isinstance(src, str) else list(src)
@@ -127,7 +129,7 @@ def parse_logs(spark: SparkSession, src: str | Sequence[str], out: str | None =
 
     with codegen_method_limit(spark):
         return _run(spark, srcs, out, base, ext, parsers, year, on_bad_date, writer, keep_records,
-                    preserve_order, single_file, natural_order, max_columns, min_partitions, sort_partitions)
+                    preserve_order, single_file, natural_order, max_columns, min_partitions, sort_partitions, encoding, on_bad_bytes)
 
 
 # HotSpot does not JIT-compile methods over 8000 bytes of bytecode; the
@@ -168,22 +170,25 @@ def codegen_method_limit(spark: SparkSession):
 
 
 def _run(spark, srcs, out, base, ext, parsers, year, on_bad_date, writer, keep_records,
-         preserve_order, single_file, natural_order, max_columns, min_partitions, sort_partitions) -> ParseResult:
+         preserve_order, single_file, natural_order, max_columns, min_partitions, sort_partitions, encoding,
+         on_bad_bytes) -> ParseResult:
     # everything goes to a folder of this run, which gets its name last: a
     # failed run leaves no output, and the next one can have the same name
     running = f"{out}.running-{uuid.uuid4().hex}"
     staging = posixpath.join(running, ".records") if keep_records else storage.scratch_dir(spark, "logtab-stage")
     # dealt lines have left their splits; very many small files are better sorted
     by_split = preserve_order and not min_partitions and not has_many_small_files(spark, srcs)
-    lines = read_lines(spark, srcs, natural_order=natural_order)
+    marked = on_bad_bytes == "reject"
+    lines = read_lines(spark, srcs, natural_order=natural_order, encoding=encoding, on_bad_bytes="mark" if marked else on_bad_bytes)
     obs = Observation("logtab_parse")
-    narrow = parse(lines, parsers=parsers, year=year, on_bad_date=on_bad_date, observation=obs, min_partitions=min_partitions)
+    narrow = parse(lines, parsers=parsers, year=year, on_bad_date=on_bad_date, observation=obs, min_partitions=min_partitions,
+                   bad=BAD if marked else None)
     kept: set[str] = set()
     try:
         # the raw line is not staged (rejects carry their stripped text); the
         # key list is, for a cheap key discovery
         with one_split_per_task(spark, srcs) if by_split else contextlib.nullcontext():
-            (narrow.drop("value").withColumn(KEYS, param_keys(narrow))
+            (narrow.drop("value", BAD).withColumn(KEYS, param_keys(narrow))
              .write.mode("errorifexists").option("maxRecordsPerFile", 0).parquet(staging))
         counts = {k: int(v) for k, v in obs.get.items()}
         res = tabulate_records(spark, spark.read.parquet(staging), running, base, ext, parsers, writer,

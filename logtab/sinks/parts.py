@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import contextlib
 import posixpath
-import re
 from collections.abc import Sequence
 from urllib.parse import unquote
 
@@ -23,11 +22,11 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from logtab.plans import storage
+from logtab.sinks.tsv import byte_count
 from logtab.sources.lines import ORDER_COLS
 
 PART_BYTES = "spark.sql.files.maxPartitionBytes"
 OPEN_COST = "spark.sql.files.openCostInBytes"
-UNITS = {"b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}
 # A part per split would make too many small parts of more files than this
 # that hold less than SMALL_FILE bytes on average; those are sorted instead.
 MANY_FILES, SMALL_FILE = 1000, 1 << 20
@@ -37,12 +36,6 @@ ROW = f"__logtab{ORDER_COLS[-1]}"
 IN_TASK = (1 << 33) - 1  # monotonically_increasing_id: the low 33 bits count within a task
 
 
-def byte_count(text: str) -> int:
-    """Bytes of a Spark size setting (``64m``, ``4194304b``, ``1024``)."""
-    number, unit = re.fullmatch(r"\s*(\d+)\s*([a-zA-Z]*)\s*", text).groups()
-    return int(number) * UNITS[(unit.lower() or "b")[0]]
-
-
 def has_many_small_files(spark: SparkSession, paths: Sequence[str]) -> bool:
     files, size = storage.file_stats(spark, paths)
     return files > MANY_FILES and size < files * SMALL_FILE

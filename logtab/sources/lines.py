@@ -20,6 +20,7 @@ order without a driver-side merge:
 
 from __future__ import annotations
 
+import codecs
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -39,24 +40,69 @@ def natural_key(name: Column) -> Column:
         F.raise_error(F.concat(F.lit("file name has no numeric id: "), name)).cast("bigint"))
 
 
+BAD_BYTES = ("replace", "fail", "mark")
+BAD = "_src_bad"
+
+
+def charset_table(encoding: str) -> tuple[str, str, str]:
+    """How a one-byte charset differs from ISO 8859-1 above 0x7F: characters,
+    what they stand for, and those that stand for nothing (by Python's codec,
+    which must agree with ASCII below)."""
+    low, high = bytes(range(0x80)), bytes(range(0x80, 0x100))
+    text = high.decode(encoding, "replace")
+    if low.decode(encoding, "replace") != low.decode("ascii") or len(text) != len(high):
+        raise ValueError(f"{encoding}: lines can be read in UTF-8 and in one-byte charsets that hold ASCII")
+    plain = high.decode("latin-1")
+    pairs = [(a, b) for a, b in zip(plain, text) if a != b]
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs), "".join(a for a, b in pairs if b == "\ufffd")
+
+
+def decoded(raw: Column, encoding: str = "UTF-8", on_bad_bytes: str = "replace") -> tuple[Column, Column]:
+    """Text of a line whose bytes are in ``encoding``, and whether it had
+    bytes that stand for nothing there (they become U+FFFD, or fail the job
+    with ``on_bad_bytes="fail"``)."""
+    if on_bad_bytes not in BAD_BYTES:
+        raise ValueError(f"on_bad_bytes must be one of {BAD_BYTES}")
+    if codecs.lookup(encoding).name == "utf-8":
+        bad, text = ~F.is_valid_utf8(raw), F.make_valid_utf8(raw)
+    else:
+        chars, meant, none = charset_table(encoding)
+        plain = F.decode(raw.cast("binary"), "ISO-8859-1")
+        text = F.translate(plain, chars, meant) if chars else plain
+        bad = F.length(F.translate(plain, none, "")) != F.length(plain) if none else F.lit(False)
+    if on_bad_bytes == "fail":
+        shown = F.concat(F.lit(f"bytes that are not {encoding} in line: "), F.hex(raw.cast("binary")))
+        text = F.when(bad, F.raise_error(shown).cast("string")).otherwise(text)
+    return text, bad
+
+
 def read_lines(spark: SparkSession, paths: str | Sequence[str], natural_order: bool = False,
-               with_order: bool = True) -> DataFrame:
+               with_order: bool = True, encoding: str = "UTF-8", on_bad_bytes: str = "replace") -> DataFrame:
     """Read text files as ``value`` lines plus the order key (see module doc).
 
     A missing path raises Spark's ``PATH_NOT_FOUND`` error before any job runs.
+
+    ``encoding`` is UTF-8 or a one-byte charset that holds ASCII (Latin-1,
+    Windows code pages...); their line ends are the same bytes, so files are
+    split as ever.  Bytes that stand for nothing there become U+FFFD
+    (``on_bad_bytes="replace"``), fail the job (``"fail"``), or also set the
+    column ``_src_bad``, for ``parse(bad="_src_bad")`` to reject the line
+    (``"mark"``).
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     df = spark.read.text(paths)
-    if not with_order:
-        return df
     seq = natural_key(F.col("_metadata.file_name")) if natural_order else F.lit(0).cast("bigint")
-    return df.select(
-        "value",
-        seq.alias("_src_seq"),
-        F.col("_metadata.file_path").alias("_src_file"),
-        F.col("_metadata.file_block_start").alias("_src_block"),
-        F.monotonically_increasing_id().alias("_src_row"),
-    )
+    text, bad = decoded(F.col("value"), encoding, on_bad_bytes)
+    plain = codecs.lookup(encoding).name == "utf-8" and on_bad_bytes == "replace"
+    cols = [F.col("value") if plain else text.alias("value")]  # Spark itself shows bad UTF-8 as U+FFFD
+    if with_order:
+        cols += [seq.alias("_src_seq"),
+                 F.col("_metadata.file_path").alias("_src_file"),
+                 F.col("_metadata.file_block_start").alias("_src_block"),
+                 F.monotonically_increasing_id().alias("_src_row")]
+    if on_bad_bytes == "mark":
+        cols.append(bad.alias(BAD))
+    return df.select(*cols)
 
 
 def lines(df: DataFrame, col: str, order_by: Sequence[str] = ()) -> DataFrame:
