@@ -30,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -43,7 +44,7 @@ HEADER_BYTES = struct.calcsize(HEADER)
 MAGIC = b"SVB1"
 BLOCK_BYTES = 8 << 20
 CACHE_WORDS = 1_000_000
-PIECE_CHARS = 1 << 20
+PIECE_CHARS = 1 << 22
 END_ID = 2
 
 # Texts of these characters only are unchanged by NFC and lower-cased letter
@@ -54,6 +55,8 @@ SIMPLE = re.compile(r"[\x09-\x0D\x20-\x7EÀ-ÖØ-öø-ÿ]*")
 RULE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\x09-\x0D\x20a-zß-öø-ÿ0-9]+")
 BLANK = re.compile(r"[\x09-\x0D\x20]")
+# Every piece but runs of letters, for setting them apart by blanks.
+MARKS = r"'s|'t|'re|'ve|'m|'ll|'d|[0-9]|[^\x09-\x0D\x20a-zß-öø-ÿ0-9]+"
 
 
 # ------------------------------------------------------------------ tokenizing
@@ -65,8 +68,9 @@ class Words:
     text's ids are those of its pieces in order.  The ids of pieces already
     met are kept, up to ``CACHE_WORDS`` of them, and new pieces are encoded
     together: each one ends with the only id that stands for a word's end.
-    Texts with other characters are split at blanks, and what is not simple
-    there goes to the tokenizer whole.  Any other tokenizer gets whole texts.
+    Texts with other characters than ``SIMPLE`` are split at blanks, and what
+    is not simple there goes to the tokenizer whole.  Any other tokenizer
+    gets whole texts.
     """
 
     def __init__(self, path: str):
@@ -87,33 +91,38 @@ class Words:
         self.ends = np.zeros(self.size, bool)
         if self.by_piece:
             self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
+            # the same model for simple pieces, which need no normalizing and are split already
+            rules["normalizer"] = None
+            rules["pre_tokenizer"]["pretokenizers"][0] = {"type": "WhitespaceSplit"}
+            self.simple = Tokenizer.from_str(json.dumps(rules))
+            self.marked = re.compile("|".join(map(re.escape, self.special)) or r"(?!)")
 
-    def ids(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def ids(self, texts: list[str], tokenizer=None) -> list[np.ndarray]:
+        found = (tokenizer or self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(e.ids, "<u4") for e in found]
 
     def learn(self, pieces: list[str]) -> None:
-        """Make the pieces known."""
+        """Make the distinct ``pieces`` known."""
         known = self.known
-        new = list(set(pieces).difference(known))
+        new = [p for p in pieces if p not in known]
         if len(known) + len(new) > CACHE_WORDS:
             known.clear()
-            new = list(set(pieces))
-        for i in range(0, len(new), 4096):
-            some = new[i:i + 4096]
-            simple = [p for p in some if BLANK.search(p) is None and self.plain(p)]
-            if simple:
-                together = self.ids(["\n".join(simple)])[0]
-                stops = np.flatnonzero(self.ends[together]) + 1
-                if len(stops) != len(simple):
-                    raise ValueError("the tokenizer does not end every word with an id of its own")
-                raw, at = together.tobytes(), 0
-                for piece, stop in zip(simple, (4 * stops).tolist()):
-                    known[piece], at = raw[at:stop], stop
-            other = [p for p in some if p not in known]
-            known.update(zip(other, (e.tobytes() for e in self.ids(other))))
+            new = pieces
+        simple = [p for p in new if self.plain(p)]
+        for i in range(0, len(simple), 1024):
+            some = simple[i:i + 1024]
+            together = self.ids(["\n".join(some)], self.simple)[0]
+            stops = np.flatnonzero(self.ends[together]) + 1
+            if len(stops) != len(some):
+                raise ValueError("the tokenizer does not end every word with an id of its own")
+            raw, at = together.tobytes(), 0
+            for piece, stop in zip(some, (4 * stops).tolist()):
+                known[piece], at = raw[at:stop], stop
+        other = [p for p in new if p not in known] if len(simple) < len(new) else []
+        known.update(zip(other, (e.tobytes() for e in self.ids(other))))
 
     def plain(self, text: str) -> bool:
-        return SIMPLE.fullmatch(text) is not None and not any(s in text for s in self.special)
+        return SIMPLE.fullmatch(text) is not None and self.marked.search(text) is None
 
     def pieces(self, text: str) -> list[str]:
         if self.plain(text):
@@ -131,25 +140,41 @@ class Words:
         if not self.by_piece:
             return [e.tobytes() for e in self.ids(texts)]
         out: list[list[bytes]] = [[] for _ in texts]
-        held: list[tuple[int, list[str]]] = []
+        held: list[tuple[int, str]] = []
         size = 0
-
-        def flush() -> None:
-            self.learn([p for _, pieces in held for p in pieces])
-            for i, pieces in held:
-                out[i].append(b"".join(map(self.known.__getitem__, pieces)))
-            held.clear()
-
         for i, text in enumerate(texts):
             for stretch in stretches(text):
-                held.append((i, self.pieces(stretch)))
+                held.append((i, stretch))
                 size += len(stretch)
                 if size >= PIECE_CHARS:
-                    flush()
-                    size = 0
-        flush()
+                    self.encode_some(held, out)
+                    held, size = [], 0
+        self.encode_some(held, out)
         return [b"".join(o) for o in out]
 
+    def encode_some(self, cuts: list[tuple[int, str]], out: list[list[bytes]]) -> None:
+        """Append the ids of each stretch to ``out``: the distinct pieces of
+        all are looked up once, and their ids gathered in order."""
+        apart = [self.plain(t) for _, t in cuts]
+        marked = iter(pc.replace_substring_regex(pa.array([t.lower() for (_, t), p in zip(cuts, apart) if p], pa.string()),
+                                                 MARKS, r" \0 ").to_pylist())
+        spaced = [next(marked) if p else " ".join(self.pieces(t)) for (_, t), p in zip(cuts, apart)]
+        lists = pc.ascii_split_whitespace(pa.array(spaced, pa.string()))
+        coded = lists.flatten().dictionary_encode()
+        pieces = coded.dictionary.to_pylist()
+        self.learn([p for p in pieces if p])
+        blobs = [self.known[p] if p else b"" for p in pieces]  # a text may begin or end with a blank
+        flat = np.frombuffer(b"".join(blobs), "<u4")
+        lengths = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
+        starts = np.cumsum(lengths) - lengths
+        at = np.asarray(coded.indices)
+        sizes = lengths[at]
+        ends = np.cumsum(sizes)
+        ids = flat[np.repeat(starts[at] - ends + sizes, sizes) + np.arange(sizes.sum())].tobytes()
+        stops = np.concatenate(([0], 4 * ends))[np.asarray(lists.offsets)].tolist()
+        for (i, _), a, b in zip(cuts, stops, stops[1:]):
+            out[i].append(ids[a:b])
+
 
 def stretches(text: str) -> Iterator[str]:
     """The text cut at blanks, which no id spans, after ``PIECE_CHARS``."""
@@ -178,7 +203,7 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int | None, id_col: str,
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         encoder = words(tokenizer)
         end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
-        for b in small_batches(batches, 2 << 20):
+        for b in small_batches(batches, 8 << 20):
             ids = [narrow(e + end, wide) for e in encoder.encode([t or "" for t in b.column(1).to_pylist()])]
             yield pa.record_batch([b.column(0), pa.array(ids, pa.binary())], names=["id", "ids"])
 
