@@ -48,22 +48,31 @@ LEET = str.maketrans("0134578@$!", "oleastbasi")
 
 YEAR = re.compile(r"(?:19|20)\d\d")
 DATES = (
-    re.compile(r"(?:19|20)\d\d([-/._]?)(?:0?[1-9]|1[0-2])\1(?:0?[1-9]|[12]\d|3[01])"),
-    re.compile(r"(?:0?[1-9]|[12]\d|3[01])([-/._]?)(?:0?[1-9]|1[0-2])\1(?:(?:19|20)\d\d|\d\d)"),
-    re.compile(r"(?:0?[1-9]|1[0-2])([-/._]?)(?:0?[1-9]|[12]\d|3[01])\1(?:(?:19|20)\d\d|\d\d)"),
+    re.compile(r"(?:19|20)\d\d([-/._]?)(?:1[0-2]|0?[1-9])\1(?:3[01]|[12]\d|0?[1-9])"),
+    re.compile(r"(?:3[01]|[12]\d|0?[1-9])([-/._]?)(?:1[0-2]|0?[1-9])\1(?:(?:19|20)\d\d|\d\d)"),
+    re.compile(r"(?:1[0-2]|0?[1-9])([-/._]?)(?:3[01]|[12]\d|0?[1-9])\1(?:(?:19|20)\d\d|\d\d)"),
 )
 
 
-def _neighbours() -> dict[str, str]:
-    out: dict[str, set[str]] = {}
+# Directions on the keyboard, whose rows are each shifted half a key.
+MOVES = ((0, -1), (0, 1), (-1, 0), (-1, 1), (1, -1), (1, 0))
+
+
+def _neighbours() -> dict[str, dict[str, int]]:
+    """Per key its neighbours, with the direction in which they lie."""
+    out: dict[str, dict[str, int]] = {}
     for r, row in enumerate(ROWS):
         for c, key in enumerate(row):
-            near = [(r, c - 1), (r, c + 1), (r - 1, c), (r - 1, c + 1), (r + 1, c - 1), (r + 1, c)]
-            out[key] = {ROWS[y][x] for y, x in near if 0 <= y < len(ROWS) and 0 <= x < len(ROWS[y])}
-    return {k: "".join(sorted(v)) for k, v in out.items()}
+            near = ((d, r + dr, c + dc) for d, (dr, dc) in enumerate(MOVES))
+            out[key] = {ROWS[y][x]: d for d, y, x in near if 0 <= y < len(ROWS) and 0 <= x < len(ROWS[y])}
+    return out
 
 
 NEAR = _neighbours()
+WALK_BITS = math.log2(sum(map(len, ROWS)))  # where a walk starts
+STEP_BITS, TURN_BITS, SHIFT_BITS = 0.5, 2.5, 1.0  # each further key; a new direction; a change between small and capital
+WALK_KEYS = 3
+UNITS = {1: 3, 2: 2, 3: 2, 4: 2}  # characters of a repeated unit, and how often it must stand
 
 
 def case_bits(part: str) -> float:
@@ -88,15 +97,13 @@ def char_bits(value: str) -> float:
 
 
 def segments(value: str, words: Mapping[str, float]) -> dict[int, list[tuple[int, float]]]:
-    """Guessable segments by end: ``{end: [(start, bits)]}``.
-
-    ``words`` maps lower-case words to the bits of their rank.  Each kind is
-    found in time linear in the value: words up to ``WORD_BYTES`` long,
-    dates, keyboard walks, and repeats of units of up to four characters.
-    """
+    """Words and dates by their end: ``{end: [(start, bits)]}``, found in time
+    linear in the value.  ``words`` maps lower-case words to the bits of their
+    rank; they may have up to ``WORD_BYTES`` letters, as those taken from a
+    text have."""
     found: dict[int, list[tuple[int, float]]] = {}
     low = value.lower() if len(value.lower()) == len(value) else value
-    plain, n, each = low.translate(LEET), len(value), char_bits(value)
+    plain, n = low.translate(LEET), len(value)
 
     def add(start: int, end: int, bits: float) -> None:
         found.setdefault(end, []).append((start, bits))
@@ -113,43 +120,73 @@ def segments(value: str, words: Mapping[str, float]) -> dict[int, list[tuple[int
         for form in DATES:
             if m := form.match(low, i):
                 add(i, m.end(), math.log2(365 * 60) + (2.0 if m.group(1) else 0.0))
-    # walks: runs where each key lies next to the one before
-    i = 0
-    while i < n:
-        j, turns, step = i + 1, 0, None
-        while j < n and low[j] in NEAR.get(low[j - 1], ""):
-            move = NEAR[low[j - 1]].index(low[j])
-            turns, step = turns + (move != step), move
-            j += 1
-            if j - i >= 3:
-                add(i, j, math.log2(37 * (j - i)) + 2.5 * turns + case_bits(value[i:j]))
-        i = max(j - 1, i + 1)
-    for unit in (1, 2, 3, 4):
-        i = 0
-        while i + 2 * unit <= n:
-            j = i + unit
-            while j < n and low[j] == low[j - unit]:
-                j += 1
-                times, left = divmod(j - i, unit)
-                if not left and times >= 2 and j - i >= 3:
-                    add(i, j, unit * each + math.log2(times))
-            i = max(j - 2 * unit + 1, i + 1)
     return found
 
 
 def guess_bits(value: str, words: Mapping[str, float]) -> float:
     """log2 of the guesses for ``value``: the cheapest way to cut it into
-    guessable segments and brute-force spans, by dynamic programming over
-    its prefixes.  Each segment after the first adds ``SEGMENT_BITS``; a
-    brute-force span costs its characters."""
+    words, dates, keyboard walks, repeats and brute-force spans, by dynamic
+    programming over its prefixes.
+
+    Each segment after the first adds ``SEGMENT_BITS``.  A brute-force span
+    costs its characters.  A walk of ``WALK_KEYS`` keys or more costs its
+    first key, ``STEP_BITS`` a further key, ``TURN_BITS`` each time its
+    direction changes and ``SHIFT_BITS`` each time the case does.  A unit of
+    up to four characters that repeats costs its characters and the log2 of
+    how often.  Walks and repeats may begin at any character: those still
+    open are states of the program.  Of the walks it keeps the cheapest by
+    direction; of the repeats, those that are cheaper than every one begun
+    before, as a later one only loses ground.  So the work is linear in the
+    value however long its runs are.
+    """
     n, each = len(value), char_bits(value)
+    if not n:
+        return 0.0
     found = segments(value, words)
-    known, brute = [0.0] + [math.inf] * n, [math.inf] * (n + 1)  # best cost of a prefix that ends in a segment, or in a span
+    low = value.lower() if len(value.lower()) == n else value
+    best, brute, closed = [0.0] + [math.inf] * n, [math.inf] * (n + 1), [0.0] + [math.inf] * n
+
+    def begun(i: int) -> float:
+        """A prefix of ``i`` characters with the price of one more segment."""
+        return best[i] + (SEGMENT_BITS if i else 0.0)
+
+    walks: dict[tuple[int, int], float] = {}  # (keys up to WALK_KEYS, direction): cheapest open walk ending here
+    again: dict[int, dict[int, list[tuple[int, float]]]] = {u: {} for u in UNITS}  # open repeats (start, price) by unit and end's place
+    same = dict.fromkeys(UNITS, 0)
     for j in range(1, n + 1):
-        brute[j] = each + min(brute[j - 1], known[j - 1] + (SEGMENT_BITS if j > 1 else 0.0))
-        for i, bits in found.get(j, ()):
-            known[j] = min(known[j], bits + min(known[i], brute[i]) + (SEGMENT_BITS if i else 0.0))
-    return min(known[n], brute[n]) if n else 0.0
+        i, key = j - 1, low[j - 1]
+        ends = [bits + begun(start) for start, bits in found.get(j, ())]
+        # walks: one key more, or a first key
+        move = NEAR.get(low[i - 1], {}).get(key) if i else None
+        step: dict[tuple[int, int], float] = {}
+        if move is not None:
+            shift = SHIFT_BITS if value[i - 1].isupper() != value[i].isupper() and key.isalpha() and low[i - 1].isalpha() else 0.0
+            for (keys, way), cost in walks.items():
+                more = cost + STEP_BITS + shift + (TURN_BITS if way not in (-1, move) else 0.0)
+                state = (min(keys + 1, WALK_KEYS), move)
+                step[state] = min(step.get(state, math.inf), more)
+        if key in NEAR:
+            step[1, -1] = begun(i) + WALK_BITS
+        walks = step
+        ends += [cost for (keys, _), cost in walks.items() if keys == WALK_KEYS]
+        # repeats: as long as the characters one unit back are the same
+        for u, least in UNITS.items():
+            same[u] = same[u] + 1 if j > u and key == low[i - u] else 0
+            if not same[u]:
+                again[u].clear()
+            elif same[u] >= u * (least - 1):
+                open_ = again[u].setdefault(j % u, [])
+                start = j - least * u
+                prices = [price + math.log2((j - at) / u) for at, price in open_]
+                fresh = begun(start) + u * each
+                if fresh + math.log2(least) < min(prices, default=math.inf):
+                    open_.append((start, fresh))
+                    prices.append(fresh + math.log2(least))
+                ends += prices
+        closed[j] = min(ends, default=math.inf)
+        brute[j] = each + min(brute[i], closed[i] + (SEGMENT_BITS if i else 0.0))
+        best[j] = min(closed[j], brute[j])
+    return best[n]
 
 
 COMMON_BITS = {w: math.log2(r + 1) + 1 for r, w in enumerate(COMMON)}

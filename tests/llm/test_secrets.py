@@ -1,6 +1,7 @@
 """Secret scan against the patterns as stated and all segmentations."""
 
 import hashlib
+import math
 import random
 import re
 
@@ -43,18 +44,53 @@ def test_base_spans(spark):
     assert rows[TEXTS.index("the passphrase is correct horse")].spans == ""
 
 
+ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm")
+
+
+def walk_bits(part):
+    """Cost of a part as a keyboard walk, from the keys' places alone."""
+    at = {k: (r, c) for r, row in enumerate(ROWS) for c, k in enumerate(row)}
+    low = part.lower()
+    if len(part) < 3 or any(k not in at for k in low):
+        return None
+    ways = [(at[b][0] - at[a][0], at[b][1] - at[a][1]) for a, b in zip(low, low[1:])]
+    if any(w not in {(0, -1), (0, 1), (-1, 0), (-1, 1), (1, -1), (1, 0)} for w in ways):
+        return None
+    turns = sum(a != b for a, b in zip(ways, ways[1:]))
+    shifts = sum(a.isalpha() and b.isalpha() and a.isupper() != b.isupper() for a, b in zip(part, part[1:]))
+    return math.log2(36) + 0.5 * (len(part) - 1) + 2.5 * turns + shifts
+
+
+def repeat_bits(part, each):
+    low, costs = part.lower(), []
+    for u in (1, 2, 3, 4):
+        times, left = divmod(len(low), u)
+        if not left and times >= 2 and len(low) >= 3 and low == low[:u] * times:
+            costs.append(u * each + math.log2(times))
+    return min(costs, default=None)
+
+
 def cheapest(value, words):
-    found = {}
-    for end, items in sc.segments(value, words).items():
-        for start, bits in items:
-            found[start, end] = min(bits, found.get((start, end), 1e9))
+    """All ways to cut the value, each part priced on its own."""
     each = sc.char_bits(value)
 
+    def price(i, j):
+        part, low = value[i:j], value[i:j].lower()
+        options = [walk_bits(part), repeat_bits(part, each)]
+        leet = low.translate(str.maketrans("0134578@$!", "oleastbasi"))
+        if len(part) >= 3 and (low in words or leet in words):
+            options.append((words[low] if low in words else words[leet] + 1) + sc.case_bits(part))
+        if re.fullmatch(r"(19|20)\d\d", low):
+            options.append(math.log2(119))
+        for end, items in sc.segments(value, {}).items():  # dates, tested below
+            options += [bits for start, bits in items if (start, end) == (i, j)]
+        return min((o for o in options if o is not None), default=None)
+
     def best(i, brute_before):
         if i == len(value):
             return 0.0
         more = sc.SEGMENT_BITS if i else 0.0
-        options = [found[i, j] + more + best(j, False) for j in range(i + 1, len(value) + 1) if (i, j) in found]
+        options = [bits + more + best(j, False) for j in range(i + 1, len(value) + 1) if (bits := price(i, j)) is not None]
         if not brute_before:
             options += [each * (j - i) + more + best(j, True) for j in range(i + 1, len(value) + 1)]
         return min(options, default=float("inf"))
@@ -65,11 +101,35 @@ def cheapest(value, words):
 def test_cheapest_segmentation():
     rng = random.Random(8)
     words = {"pass": 2.0, "word": 3.0, "password": 1.0, "cat": 4.0}
-    for _ in range(120):
-        v = "".join(rng.choices(["pass", "word", "Cat", "2019", "12", "aaa", "qwe", "xy", "P@ss", "!", "abab"], k=rng.randrange(1, 5)))[:14]
+    parts = ["pass", "word", "Cat", "2019", "12", "aaa", "qwe", "xy", "P@ss", "!", "abab", "uiop", "Asdf", "lkj", "zz"]
+    for _ in range(150):
+        v = "".join(rng.choices(parts, k=rng.randrange(1, 5)))[:11]
         assert abs(sc.guess_bits(v, words) - cheapest(v, words)) < 1e-9, v
 
 
+def test_walks_have_directions_and_begin_anywhere():
+    bits = lambda v: sc.guess_bits(v, sc.COMMON_BITS)
+    assert abs(bits("asdfghjkl") - bits("lkjhgfdsa")) < 1e-9
+    assert bits("asdfghjkl") < bits("asdfredcv") < 25
+    assert bits("Monkeyuiop1990#") < sc.MIN_BITS
+    assert bits("qqqwertyuiop") < 20 and bits("xababababab") < 25
+    assert bits("qwerty" * 5000) < 60_000
+
+
+def test_dates():
+    for date in ("2019-05-17", "20190517", "17.05.2019", "12/31/99", "1999"):
+        assert any(start == 0 for start, _ in sc.segments(date, {})[len(date)]), date
+    assert (0, 10) not in {(i, j) for j, found in sc.segments("2019-15-57", {}).items() for i, _ in found}
+
+
+def test_edge_cases(spark):
+    rows = [(1, "secret=abcdef12", 5, 6), (1, "secret=abcdef12", 5, 6), (None, None, 7, 8), (2, "", 7, 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, id long, spans long")
+    out = [(r.doc_id, r.n_assign) for r in digest(sc.find_secrets(df), "doc_id", sc.BASE).collect()]
+    assert sorted(out, key=str) == sorted([(1, 1), (1, 1), (None, 0), (2, 0)], key=str)
+    assert sc.find_secrets(df.limit(0)).collect() == []
+
+
 def test_what_is_easy_to_guess():
     bits = lambda v: sc.guess_bits(v, sc.COMMON_BITS)
     for weak in ("password", "Password1", "qwertyuiop", "aaaaaaaaaaaaaaaa", "12/31/1999", "20190517", "abcabcabcabc", "P@ssw0rd", "changeme"):
