@@ -56,19 +56,43 @@ def perspectives(conversations: DataFrame, conv_col: str = "conv_id", turn_col:
     tokens within turns and names are broken up by a space.
 
     Dialogues of more than ``max_turns`` turns are rendered in parts of that
-    many, each for the participants who speak in it, so no row grows without
-    bound and no turn is lost.  A null speaker is ``unknown``, a null text
-    empty, a null turn comes first, and rows without a conversation id make
-    up one dialogue of their own.  Repeated rows are repeated turns.
+    many, so no row grows without bound and no turn is lost.  Every
+    participant of the dialogue has every part, and each later part begins
+    with the system turns that opened the dialogue, which ``n_turns`` does not
+    count again.  A dialogue of system turns alone has no participant and no
+    row.
+
+    A null speaker is ``unknown``, a null text empty, a null turn comes
+    first, and rows without a conversation id make up one dialogue of their
+    own.  Repeated rows are repeated turns; an empty table has no row; other
+    columns play no part.
     """
     turns = conversations.select(
         F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"),
         plain(F.coalesce(F.col(speaker_col).cast("string"), F.lit(UNKNOWN))).alias("speaker"),
         plain(F.col(text_col).cast("string")).alias("text"))
-    parts = (ranked(turns).groupBy("conv", F.floor(F.col("rank") / max_turns).cast("long").alias("part"))
-             .agg(F.sort_array(F.collect_list(F.struct("rank", "speaker", "text"))).alias("turns")))
-    speakers = F.array_except(F.transform("turns", lambda t: t["speaker"]), F.array(F.lit(SYSTEM)))
-    each = parts.select("conv", "part", "turns", F.explode(speakers).alias("me"))
+    placed = ranked(turns)
+    turn = F.struct("rank", "speaker", "text")
+    parts = placed.groupBy("conv", F.floor(F.col("rank") / max_turns).cast("long").alias("part")).agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    parts = materialise(parts, "chat-parts")
+    spoken = F.array_except(F.transform("turns", lambda t: t["speaker"]), F.array(F.lit(SYSTEM)))
+    none = F.array().cast(parts.schema["turns"].dataType)
+    long = parts.where("part > 0").select(F.col("conv").alias("__conv")).distinct()
+    each = parts.select("conv", "part", "turns", none.alias("opening"), F.explode(spoken).alias("me"))
+    if not long.isEmpty():
+        long = materialise(long, "chat-long")
+        cut = same((F.col("conv"), F.col("__conv")))
+        whole, split = each.join(long, cut, "left_anti"), parts.join(long, cut, "left_semi")
+        people = split.select(F.col("conv").alias("__conv"), F.explode(spoken).alias("me")).distinct()
+        # the system turns before anyone else's
+        others = F.transform("turns", lambda t: F.when(t["speaker"] != SYSTEM, t["rank"]))
+        first = split.groupBy(F.col("conv").alias("__conv")).agg(F.min(F.array_min(others)).alias("first"))
+        opening = (split.join(first, cut).where(F.col("part") * max_turns < F.col("first"))
+                   .select("__conv", F.explode(F.filter("turns", lambda t: t["rank"] < F.col("first"))).alias("t"))
+                   .groupBy("__conv").agg(F.sort_array(F.collect_list("t")).alias("opening")))
+        heads = people.join(opening.withColumnRenamed("__conv", "__of"), same((F.col("__conv"), F.col("__of"))), "left")
+        later = F.when(F.col("part") > 0, F.filter(F.coalesce("opening", none), lambda t: t["rank"] < F.col("part") * max_turns)).otherwise(none)
+        each = whole.unionByName(split.join(heads, cut).select("conv", "part", "turns", later.alias("opening"), "me"))
 
     def message(t: Column, me: Column) -> Column:
         head = (F.when(t["speaker"] == SYSTEM, F.lit(SYSTEM)).when(t["speaker"] == me, F.lit("assistant"))
@@ -77,7 +101,7 @@ def perspectives(conversations: DataFrame, conv_col: str = "conv_id", turn_col:
         body = F.concat(t["text"], F.lit(END))
         return F.struct(head.alias("head"), body.alias("body"), (t["speaker"] == me).alias("mine"))
 
-    rendered = each.withColumn("messages", F.transform("turns", lambda t: message(t, F.col("me"))))
+    rendered = each.withColumn("messages", F.transform(F.concat("opening", "turns"), lambda t: message(t, F.col("me"))))
     text = F.array_join(F.transform("messages", lambda m: F.concat(m["head"], m["body"], F.lit("\n"))), "")
 
     def walk(acc: Column, m: Column) -> Column:

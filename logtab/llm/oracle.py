@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import string
 
-from logtab.llm.chat import MAX_TURNS
 from logtab.llm.embeddings import THRESHOLD
 from logtab.llm.urls import HOST_RULES, PATTERN_RULES, pattern_regex
 
@@ -52,20 +51,27 @@ with turns as (
          replace(coalesce(text, ''), '<|im_', '<| im_') as said, turn from conversations),
 ranked as (
   select *, row_number() over (partition by conv_id order by turn nulls first, who, said) - 1 as n from turns),
-parts as (select *, n // {MAX_TURNS} as part from ranked),
-speakers as (select distinct conv_id, part, who as speaker from parts where who <> 'system'),
+speakers as (select distinct conv_id, who as speaker from ranked where who <> 'system'),
+openings as (select conv_id, min(n) as upto from ranked where who <> 'system' group by conv_id),
+heads as (
+  -- every part of 256 turns, and in later ones the system turns that opened the dialogue
+  select r.conv_id, r.n, r.who, r.said, n // 256 as part, true as own from ranked r
+  union all
+  select r.conv_id, r.n, r.who, r.said, p.part, false
+  from ranked r join openings o on r.conv_id is not distinct from o.conv_id and r.n < o.upto
+  join (select distinct conv_id, n // 256 as part from ranked) p on p.conv_id is not distinct from r.conv_id and r.n // 256 < p.part),
 messages as (
-  select s.conv_id, s.part, s.speaker, p.n, p.who = s.speaker as mine, said || '<|im_end|>' as body,
+  select s.conv_id, p.part, s.speaker, p.n, p.own, p.who = s.speaker as mine, said || '<|im_end|>' as body,
          '<|im_start|>' || case when who = 'system' then 'system' when who = s.speaker then 'assistant'
                                 else 'user name=' || who end || chr(10) as head
-  from speakers s join parts p on p.conv_id is not distinct from s.conv_id and p.part = s.part),
+  from speakers s join heads p on p.conv_id is not distinct from s.conv_id),
 placed as (
   select *, coalesce(sum(length(head) + length(body) + 1) over (
       partition by conv_id, part, speaker order by n rows between unbounded preceding and 1 preceding), 0) + length(head) as begins
   from messages)
 select conv_id, part::bigint as part, speaker, string_agg(head || body || chr(10), '' order by n) as text,
        coalesce(string_agg(begins::bigint::varchar || ':' || (begins + length(body))::bigint::varchar, ',' order by n) filter (where mine), '') as spans,
-       count(*)::int as n_turns
+       (count(*) filter (where own))::int as n_turns
 from placed group by conv_id, part, speaker"""
 
 

@@ -97,6 +97,25 @@ def test_chat_cases(spark):
     assert chat.perspectives(df.limit(0)).count() == 0
 
 
+def test_long_dialogues_keep_their_system_turns_and_people(spark):
+    rows = [(1, 0, "system", "rules"), (1, 1, "system", "more rules"), (1, 2, "early", "hello")]
+    rows += [(1, 3 + i, "late", f"t{i}") for i in range(600)] + [(1, 400, "system", "mid")]
+    rows += [(None, i, "system", f"s{i}") for i in range(300)] + [(None, 300, "only", "x")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4)
+    got = chat.perspectives(df)
+    spans = chat.F.transform("spans", lambda s: chat.F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string")))
+    table = got.withColumn("spans", chat.F.array_join(spans, ","))
+    assert rows_of(table) == oracle("op8_chat", conversations=("conv_id bigint, turn bigint, role varchar, text varchar", rows))
+    out = {(r.conv_id, r.part, r.speaker): r for r in got.collect()}
+    assert len(out) == 3 * 2 + 2
+    for part in (1, 2):
+        text = out[1, part, "early"].text
+        assert text.startswith("<|im_start|>system\nrules<|im_end|>\n<|im_start|>system\nmore rules<|im_end|>\n<|im_start|>user name=late")
+        assert out[1, part, "early"].spans == []
+    assert sum(out[1, part, "late"].n_turns for part in range(3)) == 604
+    assert out[None, 1, "only"].text.startswith("<|im_start|>system\ns0<|im_end|>")
+
+
 def test_extra_columns(spark):
     df = spark.createDataFrame([(1, 0, "a", "t", 5, 6)], "conv_id long, turn long, role string, text string, rank long, speaker long")
     assert chat.perspectives(df).count() == 1
