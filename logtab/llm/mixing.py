@@ -172,10 +172,13 @@ def sample_mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """The rows of ``docs`` that ``mixed`` draws, unchanged, each as often as
     it is drawn (more than once only with the option ``repeats``)."""
     rows = materialise(profile(docs, id_col, text_col), "mix-profile")
-    kept = (mixed(rows, keep=keep, **options).where("kept > 0")
-            .select(*[F.col(c).alias(f"__{c}") for c in ("id", "key", "lang", "source", "kept")]).distinct())
-    met = docs.join(materialise(kept, "mix-kept"), same(
-        (docs[id_col].cast("long"), F.col("__id")), (row_key(docs[text_col].cast("string")), F.col("__key")),
-        (docs["lang"].cast("string"), F.col("__lang")), (docs["source"].cast("string"), F.col("__source"))))
+    kept = materialise(mixed(rows, keep=keep, **options).where("kept > 0")
+                       .select(*[F.col(c).alias(f"__{c}") for c in ("id", "key", "lang", "source", "kept")]).distinct(), "mix-kept")
+    # names by place: those of ``docs`` may be any
+    named = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    own = {c: F.col(f"c{docs.columns.index(c)}") for c in (id_col, text_col, "lang", "source")}
+    met = named.join(kept, same(
+        (own[id_col].cast("long"), F.col("__id")), (row_key(own[text_col].cast("string")), F.col("__key")),
+        (own["lang"].cast("string"), F.col("__lang")), (own["source"].cast("string"), F.col("__source"))))
     return (met.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("__kept"))))
-            .drop("__id", "__key", "__lang", "__source", "__kept", "__copy"))
+            .select(*named.columns).toDF(*docs.columns))
