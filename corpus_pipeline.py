@@ -26,13 +26,16 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated and nearly repeated lines go.  ``n_chars`` follows a changed
     text; a document that loses all its words goes with them."""
-    done = dedup_lines(docs, counts=True)
+    # names by place: those of ``docs`` may be any
+    place = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    done = dedup_lines(docs.toDF(*place.values()), place["doc_id"], place["text"], counts=True)
     changed = F.col("n_repeats") + F.col("n_near") > 0
-    left = done.where(~changed | F.col("text").rlike(WORD))
-    if "n_chars" in docs.columns:
-        length = F.when(changed, F.char_length("text")).otherwise(F.col("n_chars"))
-        left = left.withColumn("n_chars", length.cast(docs.schema["n_chars"].dataType))
-    return left.select(*docs.columns)
+    left = done.where(~changed | F.col(place["text"]).rlike(WORD))
+    if "n_chars" in place:
+        n = place["n_chars"]
+        length = F.when(changed, F.char_length(place["text"])).otherwise(F.col(n))
+        left = left.withColumn(n, length.cast(docs.schema["n_chars"].dataType))
+    return left.select(*place.values()).toDF(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
