@@ -122,28 +122,77 @@ class Graph:
     ends: list[int]
     free: list[int]
     chain: np.ndarray  # pairs of places in ``free`` that are neighbours
-    skip: np.ndarray  # pairs of places in ``free`` that repeat one another
+    skip: np.ndarray  # pairs of places in ``free`` that repeat one another, each with the one before
+    hubs: list[tuple[list[int], bool]]  # places that share a key, and whether the key tells much
 
 
-def graph(raw: bytes) -> Graph | None:
+# What a number in several tokens consists of.
+PIECE = re.compile(rb"[0-9().+,;:-]+")
+JOINED = range(7, 20)
+
+
+def strong(key: bytes) -> bool:
+    """Whether tokens hardly share the key by chance: an address, its local
+    part, or as many digits as a number that is called."""
+    return b"@" in key or key[:1] == b"l" or sum(map(len, DIGITS.findall(key))) >= JOINED[0]
+
+
+def token_keys(tokens: list[bytes], spans: list[tuple[int, int]], free: list[int], found: list[Span]) -> list[list[bytes]]:
+    """Skip keys of the free tokens: their own, and the joined digits of the
+    fixed span, or of the run of bare pieces, that they are part of."""
+    keys = [skip_keys(tokens[i]) for i in free]
+
+    def join(places: list[int]) -> None:
+        digits = b"".join(d for k in places for d in DIGITS.findall(tokens[free[k]]))
+        for k in places if len(digits) in JOINED else ():
+            if b"d" + digits not in keys[k]:
+                keys[k].append(b"d" + digits)
+
+    at = 0
+    for a, b, kind, _ in sorted(found):
+        while at < len(free) and spans[free[at]][1] <= a:
+            at += 1
+        if kind != "email":
+            inside = at
+            while inside < len(free) and spans[free[inside]][0] < b:
+                inside += 1
+            join(list(range(at, inside)))
+    run: list[int] = []
+    for k, i in enumerate([*free, -1]):
+        bare = i >= 0 and PIECE.fullmatch(tokens[i]) is not None
+        if run and not (bare and i == free[run[-1]] + 1):
+            if len(run) > 1:
+                join(run)
+            run = []
+        if bare:
+            run.append(k)
+    return keys
+
+
+def graph(raw: bytes, found: list[Span] = ()) -> Graph | None:
     if not EVIDENCE.search(raw):
         return None
     spans = [m.span() for m in TOKEN.finditer(raw)]
     tokens = [raw[a:b] for a, b in spans]
     free = [i for i, t in enumerate(tokens) if EVIDENCE.search(t)]
-    chain, skip, last = [], [], {}
-    for k, i in enumerate(free):
+    chain, skip = [], []
+    members: dict[bytes, list[int]] = {}
+    for k, (i, keys) in enumerate(zip(free, token_keys(tokens, spans, free, list(found)))):
         if k and free[k - 1] == i - 1:
             chain.append((k - 1, k))
         linked = set()
-        for key in skip_keys(tokens[i]):
-            before = last.get(key)
-            if before is not None and before != k and before not in linked:
-                skip.append((before, k))
-                linked.add(before)
-            last[key] = k
+        for key in keys:
+            before = members.setdefault(key, [])
+            if before and before[-1] not in linked:
+                skip.append((before[-1], k))
+                linked.add(before[-1])
+            before.append(k)
+    hubs: dict[tuple[int, ...], bool] = {}
+    for key, places in members.items():  # keys of the same tokens make one hub
+        if len(places) > 1:
+            hubs[tuple(places)] = hubs.get(tuple(places), False) or strong(key)
     pairs = [np.array(e, np.int64).reshape(-1, 2) for e in (chain, skip)]
-    return Graph(tokens, [s[0] for s in spans], [s[1] for s in spans], free, *pairs)
+    return Graph(tokens, [s[0] for s in spans], [s[1] for s in spans], free, *pairs, [(list(p), s) for p, s in hubs.items()])
 
 
 def silver_labels(g: Graph, spans: list[Span]) -> list[int]:
@@ -170,6 +219,11 @@ def doubtful(labels: list[int], skip: np.ndarray) -> list[int]:
     return out
 
 
+# Pull of a skip edge whose tokens hardly share the key by chance, and the most
+# that is learned for one whose tokens may.
+STRONG_SKIP, WEAK_SKIP = 8.0, 4.0
+
+
 # --- the model -------------------------------------------------------------------
 
 @dataclass
@@ -195,15 +249,22 @@ def logsumexp(x: np.ndarray) -> np.ndarray:
     return (top + np.log(np.exp(x - top).sum(axis=-1, keepdims=True)))[..., 0]
 
 
-def marginals(unary: np.ndarray, chain: np.ndarray, skip: np.ndarray, chain_pair: np.ndarray, skip_weight: float,
-              rounds: int = 30, damping: float = 0.3, tolerance: float = 1e-4) -> np.ndarray:
+def marginals(unary: np.ndarray, chain: np.ndarray, skip: np.ndarray, chain_pair: np.ndarray, skip_weight: float | np.ndarray,
+              share: np.ndarray | None = None, rounds: int = 200, damping: float = 0.3, tolerance: float = 1e-4) -> np.ndarray:
     """Label probabilities of every node by loopy sum-product message
-    passing over chain and skip edges (exact where these form a forest)."""
+    passing over chain and skip edges (exact where these form a forest).
+    ``skip_weight`` is one for all skip edges or one for each; ``share``
+    tempers what the first end of each skip edge tells the second.  Hubs keep
+    every repeat two steps from the others, so ``rounds`` bounds what
+    neighbours along the chain tell one another, not how far repeats reach."""
     nodes, edges = len(unary), np.concatenate([chain, skip])
     if not len(edges):
         return np.exp(unary - logsumexp(unary)[:, None])
-    same = skip_weight * np.eye(L)
-    pair = np.concatenate([np.broadcast_to(chain_pair, (len(chain), L, L)), np.broadcast_to(same, (len(skip), L, L))])
+    same = np.broadcast_to(skip_weight, len(skip))[:, None, None] * np.eye(L)
+    pair = np.concatenate([np.broadcast_to(chain_pair, (len(chain), L, L)), same])
+    part = np.ones(2 * len(edges))
+    if share is not None:
+        part[len(chain):len(edges)] = share
     # messages both ways: the first half runs along each edge, the second back
     src, dst = np.concatenate([edges[:, 0], edges[:, 1]]), np.concatenate([edges[:, 1], edges[:, 0]])
     pair = np.concatenate([pair, pair.transpose(0, 2, 1)])
@@ -212,7 +273,7 @@ def marginals(unary: np.ndarray, chain: np.ndarray, skip: np.ndarray, chain_pair
     for _ in range(rounds):
         belief = unary.copy()
         np.add.at(belief, dst, msg)
-        out = logsumexp((belief[src] - msg[back])[:, None, :] + pair.transpose(0, 2, 1))
+        out = logsumexp((belief[src] - msg[back])[:, None, :] + pair.transpose(0, 2, 1)) * part[:, None]
         out -= logsumexp(out)[:, None]
         moved = np.abs(out - msg).max()
         msg = damping * msg + (1 - damping) * out
@@ -256,7 +317,7 @@ def train(examples: list[tuple[list[list[bytes]], list[int], list[tuple[int, int
             if labels[a] >= 0 and labels[b] >= 0:
                 skips[int(labels[a] == labels[b])] += 1
     agree = float((share ** 2).sum())
-    skip_weight = float(np.clip(np.log(skips[1] / skips[0]) - np.log(agree / max(1 - agree, 1e-9)), 0.5, 4.0))
+    skip_weight = float(np.clip(np.log(skips[1] / skips[0]) - np.log(agree / max(1 - agree, 1e-9)), 0.5, WEAK_SKIP))
     pair = np.clip(np.log(meet / meet.sum()) - np.log(meet.sum(1, keepdims=True) / meet.sum()) - np.log(meet.sum(0) / meet.sum()), -4, 4)
     w = np.zeros((len(index), L))
     if y:
@@ -274,18 +335,38 @@ def train(examples: list[tuple[list[list[bytes]], list[int], list[tuple[int, int
     return Model({f: w[i] for f, i in index.items()}, np.round(pair, 6), round(skip_weight, 6))
 
 
+def labelled(g: Graph, model: Model, settled: list[int]) -> np.ndarray:
+    """Label probabilities of the free tokens.
+
+    All tokens that share a key meet in one hub, a node without evidence of
+    its own, so a repeat lies two steps from every other however many there
+    are.  Both steps together weigh as much as one skip edge between two
+    tokens.  Settled tokens tell their hub all they know; the others, which
+    mostly repeat one and the same evidence, tell it their mean.
+    """
+    unary = np.concatenate([model.unary(g), np.zeros((len(g.hubs), L))])
+    for k, label in enumerate(settled):
+        if label:  # fixed spans are settled and speak for their repeats
+            unary[k] = np.where(np.arange(L) == label, 0.0, -30.0)
+    skip, weight, share = [], [], []
+    for h, (places, tells) in enumerate(g.hubs):
+        open_ = sum(not settled[k] for k in places)
+        pull = STRONG_SKIP if tells else min(model.skip, WEAK_SKIP)
+        skip += [(k, len(g.free) + h) for k in places]
+        weight += [pull + np.log(2.0)] * len(places)
+        share += [1.0 if settled[k] else 1.0 / open_ for k in places]
+    edges = np.array(skip, np.int64).reshape(-1, 2)
+    return marginals(unary, g.chain, edges, model.chain, np.array(weight), np.array(share))[:len(g.free)]
+
+
 def scan(raw: bytes, model: Model, confidence: float) -> list[Span]:
     """Fixed spans, and runs of tokens that the field labels alike with at
     least ``confidence`` and that touch no fixed span."""
     found = base_spans(raw)
-    g = graph(raw)
+    g = graph(raw, found)
     if g is None:
         return found
-    unary = model.unary(g)
-    for k, label in enumerate(silver_labels(g, found)):
-        if label:  # fixed spans are settled and speak for their repeats
-            unary[k] = np.where(np.arange(L) == label, 0.0, -30.0)
-    p = marginals(unary, g.chain, g.skip, model.chain, model.skip)
+    p = labelled(g, model, silver_labels(g, found))
     best = p.argmax(axis=1)
     taken, out, at = sorted(found), [], 0
     for k, i in enumerate(g.free):
@@ -326,10 +407,11 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_doc
         for b in small_batches(batches):
             out = []
             for doc, raw in zip(b.column(0).to_pylist(), byte_texts(b.column(1))):
-                g = graph(raw)
+                spans = base_spans(raw)
+                g = graph(raw, spans)
                 if g is None:
                     continue
-                labels = doubtful(silver_labels(g, base_spans(raw)), g.skip)[:fit_tokens]
+                labels = doubtful(silver_labels(g, spans), g.skip)[:fit_tokens]
                 pairs = [[p for p in e.tolist() if max(p) < fit_tokens] for e in (g.chain, g.skip)]
                 out.append((doc, [features(g.tokens, i) for i in g.free[:fit_tokens]], labels, *pairs))
             columns = list(zip(*out)) if out else [()] * 5
@@ -352,13 +434,17 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     leftmost and non-overlapping per kind over the whole text.  ``crf_...``
     spans are tokens that a skip-chain conditional random field labels with
     at least ``confidence``: neighbouring tokens and tokens that repeat one
-    another (however far apart) share potentials, and message passing over
-    each document makes the labels agree, so a bare repeat of a found number
-    is found as well.  Tokens without a digit or ``@`` are taken as settled.
+    another (however far apart, and also where a number is written in groups
+    in one place and in one piece in another) share potentials, and message
+    passing over each document makes the labels agree, so bare repeats of a
+    found number are found as well, be it one or hundreds.  Repeats of a
+    number that nothing found do not count as evidence for one another beyond
+    their mean.  Tokens without a digit or ``@`` are taken as settled.
 
     The model is trained here on a bounded sample (``fit``) unless given.
     Null and empty texts have no spans; rows that repeat are scanned as often
-    as they occur; other columns do not matter.  No shuffle of texts.
+    as they occur; an empty table has no rows; other columns do not matter.
+    No shuffle of texts.
     """
     model = model or fit(docs, id_col, text_col)
     return scan_texts(docs, id_col, text_col, lambda raw: scan(raw, model, confidence), KINDS)

@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 
 from logtab.llm import pii
 from logtab.llm.spans import digest, to_code_points
@@ -105,6 +106,41 @@ def test_field_finds_repeats(spark):
     assert all(np.array_equal(again.weights[k], model.weights[k]) for k in model.weights)
 
 
+@pytest.fixture(scope="module")
+def real_model(spark):
+    return pii.fit(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+
+
+FILLER = " and then we went on to speak of other things for a while "
+
+
+@pytest.mark.parametrize("times", [1, 3, 10, 40, 100])
+def test_every_bare_repeat_is_found(real_model, times):
+    raw = ("Call +493012345678 today." + (FILLER + "493012345678") * times + FILLER).encode()
+    kinds = [k for *_, k, _ in pii.scan(raw, real_model, pii.CONFIDENCE)]
+    assert kinds.count("phone") == 1 and kinds.count("crf_phone") == times
+
+
+def test_numbers_in_groups_and_in_one_piece(real_model):
+    for first, again in (("+1 (415) 555-2671", "14155552671"), ("+1 (415) 555-2671", "1 415 555 2671")):
+        raw = f"Call {first} today.{FILLER}{again}{FILLER}".encode()
+        found = pii.scan(raw, real_model, pii.CONFIDENCE)
+        at = raw.index(again.encode(), 30)
+        assert any(k == "crf_phone" and a <= at and b >= at + len(again) for a, b, k, _ in found), (again, found)
+
+
+@pytest.mark.parametrize("times", [1, 3, 10, 40])
+def test_unrelated_repeats_are_no_evidence(real_model, times):
+    """A number that no pattern accepts does not become one by repeating."""
+    raw = (("The part 4929348385146307" + FILLER) * times).encode()
+    assert pii.scan(raw, real_model, pii.CONFIDENCE) == []
+
+
+def test_hubs_are_linear():
+    g = pii.graph(b" ".join([b"x 493012345678"] * 5000))
+    assert len(g.hubs) == 1 and len(g.hubs[0][0]) == 5000 and len(g.skip) == 4999
+
+
 def test_edge_rows(spark):
     df = spark.createDataFrame([(None, "a@b.co", 1), (1, None, 2), (1, "", 3), (2, "a@b.co", 4), (2, "a@b.co", 4)], "doc_id long, text string, spans int")
     out = digest(pii.find_personal_data(df), "doc_id", pii.BASE)
