@@ -289,37 +289,27 @@ def opened(path: str) -> tuple[fs.FileSystem, str]:
 MANIFEST = "file string, part int, block int, offset long, bytes long, documents long, ids long, first long"
 
 
-def coded(tokens: DataFrame, ids_by_rank: np.ndarray, wide: bool) -> DataFrame:
-    """``(id, n, control, data, tie)`` per document."""
-    kind = "<u4" if wide else "<u2"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = np.zeros(int(ids_by_rank.max(initial=0)) + 1, np.uint32)
-        ranks[ids_by_rank] = np.arange(len(ids_by_rank), dtype=np.uint32)
-        step = 4 if wide else 2
-        for b in small_batches(batches, 4 << 20):
-            raw = b.column(1).to_pylist()
-            counts = np.fromiter(map(len, raw), np.int64, len(raw)) // step
-            control, data, sizes = encoded(ranks[np.frombuffer(b"".join(raw), kind)], counts)
-
-            def cut(all_bytes: np.ndarray, lengths: np.ndarray) -> pa.Array:
-                offsets = np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)
-                return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(all_bytes.tobytes())])
+def coded(batch: pa.RecordBatch, ranks: np.ndarray, wide: bool) -> Iterator[tuple]:
+    """(id, number of ids, control bytes, data bytes) of each row (id, ids)."""
+    raw = batch.column(1).to_pylist()
+    counts = np.fromiter(map(len, raw), np.int64, len(raw)) // (4 if wide else 2)
+    control, data, sizes = encoded(ranks[np.frombuffer(b"".join(raw), "<u4" if wide else "<u2")], counts)
+    stops, ends = np.cumsum(-(-counts // 4)).tolist(), np.cumsum(sizes).tolist()
+    control, data = control.tobytes(), data.tobytes()
+    for doc, n, a, b, c, d in zip(batch.column(0).to_pylist(), counts.tolist(), [0, *stops], stops, [0, *ends], ends):
+        yield doc, n, control[a:b], data[c:d]
 
-            yield pa.record_batch([b.column(0), pa.array(counts), cut(control, -(-counts // 4)), cut(data, sizes)],
-                                  names=["id", "n", "control", "data"])
 
-    return (tokens.mapInArrow(run, "id long, n long, control binary, data binary")
-            .withColumn("tie", F.xxhash64("control", "data")))
-
-
-def write_blocks(rows: DataFrame, path: str, block_bytes: int) -> DataFrame:
-    """Write sorted partitions as part files; one row per block."""
+def write_blocks(tokens: DataFrame, path: str, ids_by_rank: np.ndarray, wide: bool, block_bytes: int) -> DataFrame:
+    """Code sorted partitions of (id, ids) and write them as part files; one
+    row per block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         name = f"part-{part:06d}-{uuid.uuid4().hex}.svb"  # of this attempt alone
         store, root = opened(path)
+        ranks = np.zeros(int(ids_by_rank.max(initial=0)) + 1, np.uint32)
+        ranks[ids_by_rank] = np.arange(len(ids_by_rank), dtype=np.uint32)
         held: list[tuple] = []
         made: list[tuple] = []
         size = first = offset = 0
@@ -338,8 +328,8 @@ def write_blocks(rows: DataFrame, path: str, block_bytes: int) -> DataFrame:
             held, size = [], 0
 
         out = None
-        for b in small_batches(batches):
-            for row in zip(*[b.column(c).to_pylist() for c in ("id", "n", "control", "data")]):
+        for b in small_batches(batches, 4 << 20):
+            for row in coded(b, ranks, wide):
                 held.append(row)
                 size += len(row[2]) + len(row[3]) + 17
                 if size >= block_bytes:
@@ -355,7 +345,7 @@ def write_blocks(rows: DataFrame, path: str, block_bytes: int) -> DataFrame:
         columns = list(zip(*made)) or [()] * len(names)
         yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
-    return rows.select("id", "n", "control", "data").mapInArrow(run, MANIFEST)
+    return tokens.select("id", "ids").mapInArrow(run, MANIFEST)
 
 
 def write_tokens(docs: DataFrame, tokenizer: str, path: str | None = None, end_id: int | None = END_ID, id_col: str = "doc_id",
@@ -372,8 +362,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str | None = None, end_i
     gives a dataset without parts.  Other columns play no part.
 
     Texts are tokenized once, into a table of ids.  Their counts, one row per
-    id of the vocabulary, reach the driver; documents are coded before they
-    are shuffled into order.
+    id of the vocabulary, reach the driver; documents are shuffled into order
+    as ids and coded where they are written.
     """
     spark = docs.sparkSession
     path = path or scratch_dir(spark, "tokens")
@@ -388,8 +378,9 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str | None = None, end_i
     with store.open_output_stream(f"{root}/ids.u32", compression=None) as out:
         out.write(by_rank.tobytes())
     order = ["id", "n", "tie"]
-    rows = coded(tokens, by_rank, wide).repartitionByRange(*order).sortWithinPartitions(*order)
-    write_blocks(rows, path, block_bytes).write.parquet(f"{path}/manifest.parquet")
+    rows = tokens.withColumns({"n": F.octet_length("ids"), "tie": F.xxhash64("ids")})
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    write_blocks(rows, path, by_rank, wide, block_bytes).write.parquet(f"{path}/manifest.parquet")
     return path
 
 
