@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logtab.plans.storage import scratch_dir
+from logtab.plans.storage import delete, scratch_dir
 
 # A word is a run of characters other than space and \x09-\x0D.  Python's
 # bytes.split() without arguments breaks at exactly these six bytes, and no
@@ -17,15 +17,31 @@ SPACE = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+_written: list[str] = []
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet under the cluster's shared checkpoint folder
     and read it back: cuts the lineage, survives the loss of any executor,
     and lets several jobs use the rows without computing them again."""
     path = scratch_dir(df.sparkSession, label)
     df.write.parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settled(build: Callable[[], DataFrame]) -> DataFrame:
+    """The table that ``build`` ends in.  It must return one that it has
+    just materialised; all others it has written on the way are deleted, as
+    nothing reads them any more."""
+    start = len(_written)
+    out = build()
+    for path in _written[start:-1]:
+        delete(out.sparkSession, path)
+    del _written[start:]
+    return out
+
+
 def small_batches(batches: Iterable[pa.RecordBatch], max_bytes: int = 32 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that no slice holds more than about ``max_bytes``
     (a single larger row stays whole): Python objects are made per slice."""
@@ -84,3 +100,20 @@ def sieve(rows: DataFrame, value: Column, wanted: DataFrame, bits: int = SIEVE_B
 
 
 SIEVE_COLUMNS = ("__cell", "__bitmap")
+
+
+def without(docs: DataFrame, keys: Callable[[Callable[[str], Column]], Sequence[Column]], gone: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose ``keys`` (made from its columns, whatever
+    their names) are those of no row of ``gone``, unchanged.
+
+    Only rows that the bitmap of ``gone`` lets through are shuffled for the
+    exact join; the others' texts stay where they are."""
+    named = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    made = keys(lambda c: F.col(f"c{docs.columns.index(c)}"))
+    own = [f"__k{i}" for i in range(len(made))]
+    rows = named.withColumns(dict(zip(own, made))).withColumn("__hash", F.xxhash64(*own))
+    marked, maybe = sieve(rows, F.col("__hash"), gone.select(F.xxhash64(*gone.columns).alias("__hash")))
+    marked = marked.withColumn("__maybe", maybe).drop(*SIEVE_COLUMNS, "__hash")
+    away = gone.toDF(*[f"__g{i}" for i in range(len(made))])
+    left = marked.where("__maybe").join(away, same(*[(F.col(k), F.col(f"__g{i}")) for i, k in enumerate(own)]), "left_anti")
+    return left.unionByName(marked.where("not __maybe")).select(*named.columns).toDF(*docs.columns)

@@ -10,7 +10,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logtab.llm.common import SPACE, materialise, row_key, same, sieve
+from logtab.llm.common import SPACE, materialise, row_key, same, settled, sieve
 
 MAX_EDITS = 2
 MIN_CHARS = 24
@@ -329,7 +329,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     that repeat both id and text are one document: each keeps the same
     lines.  Other columns pass through whatever their names.
     """
-    removed = removed_lines(docs, id_col, text_col, max_edits, min_chars, crowd)
+    removed = settled(lambda: removed_lines(docs, id_col, text_col, max_edits, min_chars, crowd))
     names = [f"c{i}" for i in range(len(docs.columns))]
     at_id, at_text = (names[docs.columns.index(c)] for c in (id_col, text_col))
     rows = docs.toDF(*names).withColumn("__id", F.col(at_id).cast("long"))

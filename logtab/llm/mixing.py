@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logtab.llm.common import byte_texts, materialise, row_key, same, small_batches
+from logtab.llm.common import byte_texts, materialise, row_key, same, settled, small_batches, without
 
 TOPICS = 8
 TOPIC_LETTERS = 6
@@ -171,14 +171,24 @@ def mixed(rows: DataFrame, exponents: Mapping[str, float] = EXPONENTS, keep: flo
 def sample_mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: float = KEEP, **options) -> DataFrame:
     """The rows of ``docs`` that ``mixed`` draws, unchanged, each as often as
     it is drawn (more than once only with the option ``repeats``)."""
-    rows = materialise(profile(docs, id_col, text_col), "mix-profile")
-    kept = materialise(mixed(rows, keep=keep, **options).where("kept > 0")
-                       .select(*[F.col(c).alias(f"__{c}") for c in ("id", "key", "lang", "source", "kept")]).distinct(), "mix-kept")
-    # names by place: those of ``docs`` may be any
+    names = ["id", "key", "lang", "source"]
+
+    def drawn() -> DataFrame:
+        rows = materialise(profile(docs, id_col, text_col), "mix-profile")
+        copies = mixed(rows, keep=keep, **options).select(*names, "kept").where("kept <> 1").distinct()
+        return materialise(copies, "mix-drawn")
+
+    def keys(c) -> list[Column]:
+        return [c(id_col).cast("long"), row_key(c(text_col).cast("string")), c("lang").cast("string"), c("source").cast("string")]
+
+    # most rows are drawn once and stay where they are
+    other = settled(drawn)
+    once = without(docs, keys, other.select(*names))
+    if other.where("kept > 1").isEmpty():
+        return once
     named = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
-    own = {c: F.col(f"c{docs.columns.index(c)}") for c in (id_col, text_col, "lang", "source")}
-    met = named.join(kept, same(
-        (own[id_col].cast("long"), F.col("__id")), (row_key(own[text_col].cast("string")), F.col("__key")),
-        (own["lang"].cast("string"), F.col("__lang")), (own["source"].cast("string"), F.col("__source"))))
-    return (met.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("__kept"))))
-            .select(*named.columns).toDF(*docs.columns))
+    own = keys(lambda c: F.col(f"c{docs.columns.index(c)}"))
+    often = other.where("kept > 1").withColumnsRenamed({n: f"__{n}" for n in [*names, "kept"]})
+    met = named.join(often, same(*[(k, F.col(f"__{n}")) for k, n in zip(own, names)]))
+    met = met.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("__kept")))).select(*named.columns)
+    return once.union(met.toDF(*docs.columns))

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logtab.llm.common import SPACE, byte_texts, materialise, row_key, same, small_batches
+from logtab.llm.common import SPACE, byte_texts, materialise, row_key, same, settled, small_batches, without
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -291,6 +291,6 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that ``judged`` keeps, unchanged.  Rows are told
     apart by id and text; rows that repeat both share one verdict."""
-    bad = materialise(judged(docs, id_col, text_col, **options).where("not kept")
-                      .select(F.col("id").alias("__id"), F.col("key").alias("__key")).distinct(), "quality-bad")
-    return docs.join(bad, same((docs[id_col].cast("long"), bad["__id"]), (row_key(docs[text_col].cast("string")), bad["__key"])), "left_anti")
+    bad = settled(lambda: materialise(
+        judged(docs, id_col, text_col, **options).where("not kept").select("id", "key").distinct(), "quality-bad"))
+    return without(docs, lambda c: [c(id_col).cast("long"), row_key(c(text_col).cast("string"))], bad)

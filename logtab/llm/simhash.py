@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logtab.llm.common import byte_texts, materialise, small_batches
+from logtab.llm.common import byte_texts, materialise, settled, small_batches, without
 from logtab.llm.components import components
 
 SHINGLE = 3
@@ -201,7 +201,9 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of their near-duplicate
     group (all columns, unchanged).  Rows with a null id stay."""
-    groups = simhash_groups(docs, id_col, text_col, **options)
-    gone = (groups.where(F.col("component_id") < F.col(id_col))
-            .select(F.col(id_col).cast("long").alias("__gone")).distinct())
-    return docs.join(gone, docs[id_col].cast("long") == gone["__gone"], "left_anti")
+    def repeats() -> DataFrame:
+        groups = simhash_groups(docs, id_col, text_col, **options)
+        gone = groups.where(F.col("component_id") < F.col(id_col)).select(F.col(id_col).cast("long").alias("id"))
+        return materialise(gone.distinct(), "simhash-gone")
+
+    return without(docs, lambda c: [c(id_col).cast("long")], settled(repeats))
