@@ -42,7 +42,7 @@ def settled(build: Callable[[], DataFrame]) -> DataFrame:
     return out
 
 
-def small_batches(batches: Iterable[pa.RecordBatch], max_bytes: int = 32 << 20) -> Iterator[pa.RecordBatch]:
+def small_batches(batches: Iterable[pa.RecordBatch], max_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that no slice holds more than about ``max_bytes``
     (a single larger row stays whole): Python objects are made per slice."""
     for b in batches:
