@@ -161,6 +161,21 @@ def test_candidates_are_few(spark):
     assert got == [["hw", "g7"], ["hw"], ["hw", "g1", "g2"]]
 
 
+def _optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_candidates_cut_a_line_once(spark):
+    from logtab import HW, RegexParser, candidate_parsers
+
+    twin = RegexParser("twin", header=r"(?d)^(\S+)$", fields=["a"], token="dev2")
+    df = spark.createDataFrame([("dev2 dev1 dev2",), (None,), ("",)], "value string")
+    found = df.select(candidate_parsers(F.col("value"), [twin, *_grammars(100, True), HW]).alias("c"))
+    assert [r.c for r in found.collect()] == [["twin", "g1", "g2", "hw"], ["hw"], ["hw"]]
+    assert _optimized(found).count("split(") == 1
+    assert df.select(candidate_parsers(F.col("value"), [HW])).first()[0] == ["hw"]
+
+
 def test_tokens_are_checked(spark):
     from logtab import RegexParser, parse
 
