@@ -199,6 +199,14 @@ def test_parse_column_is_the_parse(spark, mode):
     assert got.columns == want.columns and got.collect() == want.collect()
 
 
+def test_parse_column_asks_for_no_types_on_a_line(spark):
+    from logtab import parse_column
+
+    plan = _optimized(spark.createDataFrame([("x",)], "value string").select(parse_column("value").alias("p")))
+    # an index into a transform would walk its type, all steps of it, on every line
+    assert plan.count("element_at(transform(array(") > 5 and "transform(array(" not in plan.replace("element_at(transform(array(", "")
+
+
 def test_parse_column_in_sql_and_its_limits(spark):
     from logtab import PythonLogParser, parse_column
 
