@@ -4,6 +4,7 @@ and a parse as one expression."""
 import csv
 import os
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -184,6 +185,42 @@ def test_tokens_are_checked(spark):
         parse(spark.createDataFrame([("x",)], "value string"), parsers=odd)
 
 
+# --- very long keys ---------------------------------------------------------------
+
+ORIGINAL_CP_PAIRS = r'(?dU)((?<=" ).*?):?="(.*?)"'
+
+
+def test_cp_pairs_are_the_original_pattern_s(spark):
+    from logtab.operators.parsers import CP_PAIRS
+
+    rng = random.Random(7)
+    texts = ['" ' + "".join(rng.choice('a=":  \n' if i % 2 else '=": k') for _ in range(rng.randrange(24))) for i in range(4000)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    found = df.select(*[F.regexp_extract_all("t", F.lit(p), g).alias(f"c{i}") for g in (0, 1, 2)
+                        for i, p in enumerate((CP_PAIRS, ORIGINAL_CP_PAIRS))]).collect()
+    assert all(tuple(r)[::2] == tuple(r)[1::2] for r in found)
+
+
+def test_long_keys_are_not_walked_by_slow_patterns(spark):
+    from logtab.functions.kv import stripped_keys
+    from logtab.operators.parsers import CP_PAIRS
+
+    def seconds(column):
+        times = []
+        for _ in range(3):
+            start = time.perf_counter()
+            df.select(column.alias("x")).write.format("noop").mode("overwrite").save()
+            times.append(time.perf_counter() - start)
+        return min(times)
+
+    df = spark.range(0, 1500, 1, 4).select(F.concat(F.lit('" '), F.repeat(F.lit("k"), 60_000), F.lit('="v'), "id", F.lit('"')).alias("t"))
+    assert seconds(F.regexp_extract_all("t", F.lit(CP_PAIRS), 1)) < 0.7 * seconds(F.regexp_extract_all("t", F.lit(ORIGINAL_CP_PAIRS), 1))
+    long, spaced = "k" * 3000, "\u2003" + "k" * 3000 + " \x1f"
+    keys = spark.createDataFrame([([spaced, " a", long],), ([" a ", "b\t"],), ([],), (None,)], "k array<string>").select(stripped_keys(F.col("k")).alias("s"))
+    assert [r.s for r in keys.collect()] == [[long, "a", long], ["a", "b"], [], None]
+    assert "transform(" in _optimized(keys)
+
+
 # --- one expression -----------------------------------------------------------------
 
 @pytest.mark.parametrize("mode", ["null", "reject"])
