@@ -127,6 +127,25 @@ def test_single_file_is_joined_in_order(spark, tmp_dir, small_splits, options):
     assert got == want and rejected == junk
 
 
+def test_single_file_takes_few_tasks_and_parts_for_many_splits(spark, tmp_dir, small_splits, monkeypatch):
+    from logtab import parse_logs
+    from logtab.plans import tabulate
+    from logtab.sinks import parts
+
+    monkeypatch.setattr(parts, "TASKS_PER_CORE", 1)
+    joined, staged = [], []
+    publish, tabulated = tabulate.publish, tabulate.tabulate_records
+    monkeypatch.setattr(tabulate, "publish", lambda s, found, *a: (joined.append(len(found)), publish(s, found, *a)))
+    monkeypatch.setattr(tabulate, "tabulate_records", lambda s, df, *a, **k: (staged.append(len(df.inputFiles())), tabulated(s, df, *a, **k))[1])
+    lines = [CP_LINE + f'n="{i}"' if i % 3 else f"junk {i}" for i in range(30_000)]
+    res = parse_logs(spark, _log(os.path.join(tmp_dir, "a.log"), lines), out=os.path.join(tmp_dir, "o"), single_file=True)
+    cores = spark.sparkContext.defaultParallelism
+    assert staged[0] <= cores and max(joined) <= 2 * cores
+    body = _text(res.tables["cp"]).splitlines()[1:]
+    assert [int(r.split("\t")[-1].strip('"')) for r in body] == [i for i in range(30_000) if i % 3]
+    assert _text(res.rejects).splitlines() == [x for x in lines if x.startswith("junk")]
+
+
 def test_tasks_with_several_splits_are_sorted_instead(spark, tmp_dir, small_splits, monkeypatch):
     """Should Spark put two splits in a task, no part may hold both."""
     import contextlib
