@@ -5,6 +5,7 @@ import glob
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from base_helpers import SF
 
@@ -136,6 +137,25 @@ def test_natural_order_of_files(spark, tmp_dir):
     assert got == ["line 1a", "line 1b", "line 2a", "line 2b", "line 10a", "line 10b", "line 11a", "line 11b"]
 
 
+def test_natural_order_query_writes_by_many_tasks(spark, tmp_dir, monkeypatch):
+    from logtab.plans import queries
+    from logtab.plans.fixtures import render_lines
+
+    events = spark.range(2500).select(
+        F.col("id").alias("event_id"), F.lit("2020-03-01 10:00:00").cast("timestamp").alias("ts"), F.col("id").alias("user_id"),
+        F.lit("view").alias("event_type"), F.lit(1.5).alias("value"), F.lit('{"k": 3}').alias("props"))
+    events.write.parquet(os.path.join(tmp_dir, "events.parquet"))
+    read, made = queries.read_lines, []
+    monkeypatch.setattr(queries, "read_lines", lambda s, path, **kw: (made.extend(queries.storage.list_files(s, path)), read(s, path, **kw))[1])
+    ranged = []
+    monkeypatch.setattr(queries, "_task_and_number", lambda path, was=queries._task_and_number: (ranged.append(was(path)[0]), was(path))[1])
+    got = [(r.pos, r.value) for r in queries.natural_order(spark, tmp_dir).orderBy("pos").collect()]
+    want = render_lines(events).orderBy(F.col("eid") % 997, "eid").collect()
+    assert got == list(enumerate((r.value for r in want), start=1))
+    names = sorted(int(os.path.basename(f)[len("lines-c"):-len(".txt")]) for f in made)
+    assert len(set(ranged)) > 1 and names == list(range(len(names))) and len(names) > 1000
+
+
 def test_natural_order_requires_numbered_names(spark, tmp_dir):
     from logtab import read_lines
 
