@@ -1,6 +1,7 @@
 """Line deduplication against a brute-force version."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -178,3 +179,25 @@ def test_no_python_in_plan(spark):
     df = spark.createDataFrame([(1, "a\nb")], "doc_id long, text string")
     plan = ld.dedup_lines(df)._jdf.queryExecution().toString()
     assert not any(w in plan for w in ("Python", "Pandas", "Arrow"))
+
+
+def test_generated_methods_are_compiled(spark, monkeypatch):
+    """The JVM interprets methods of more than 8,000 bytes for ever: no step
+    may generate one (the probes' keys did, with 11,638)."""
+    sizes = {}
+    write = ld.materialise
+
+    def noted(df, label):
+        debug = getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$")
+        code = getattr(debug, "MODULE$").codegenString(df._jdf.queryExecution().executedPlan())
+        sizes[label] = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", code)]
+        return write(df, label)
+
+    monkeypatch.setattr(ld, "materialise", noted)
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # else the plan has no code before it runs
+    try:
+        noted(ld.dedup_lines(spark.createDataFrame([(1, "a\nb")], "doc_id long, text string"), counts=True), "out")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert sizes["line-met"] and max(max(s) for s in sizes.values() if s) <= 8000, sizes
