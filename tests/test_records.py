@@ -224,6 +224,94 @@ def test_long_keys_are_not_walked_by_slow_patterns(spark):
     assert seconds(stripped_keys(F.array("t"))) < 0.7 * seconds(stripped_keys(F.array(F.concat("t", F.lit(" ")))))
 
 
+def _by_length(monkeypatch, bytes_, df, parsers):
+    """The parse with texts from this many bytes on read as long ones."""
+    from logtab.operators import parsers as grammars, route
+
+    monkeypatch.setattr(grammars, "LONG_TEXT", bytes_)
+    route._column_stages.cache_clear()
+    n = route.parse(df, parsers=parsers)
+    return [r.asDict(recursive=True) for r in n.orderBy("i").collect()]
+
+
+def test_long_lines_are_read_as_short_ones(spark, monkeypatch):
+    from logtab import CP, HW
+    from logtab.operators import route
+    from logtab.operators.parsers import CP_HEADER, CP_PAIRS
+
+    rng = random.Random(11)
+    keys = ["a", "b", " a", "a\u2003", "", "x=y", "c:", "_a_timestamp", "_c_interface_1 ", "\u00e9", "k" * 50, '" q', "\x1f", "\u3000z"]
+    ends = ["", "\n", "\n\n", " ", "\u3000", " tail", ' "open', " \nmore", '" odd="1', " last=", "\u00a0\n"]
+
+    def text():
+        if rng.random() < 0.3:
+            return "".join(rng.choice('a=": \u2003') for _ in range(rng.randrange(20)))
+        gaps = [" "] * 9 + ["", "  ", ", "]
+        return "".join((rng.choice(gaps) if i else "") + rng.choice(keys) + rng.choice(["=", ":=", "="]) + f'"{rng.choice("vw ")}{i}"'
+                       for i in range(rng.randrange(6)))
+
+    heads = ["Jan  1 00:00:0%d 10.1.0.1 +01:00 192.168.0.1 ", "Feb 12 10:00:0%d 10.1.0.1 -01:00 1 ", "Mar 3 01:02:0%d 10.1.0.1 01:00 1 ",
+             "Apr  4 04:04:0%d FW-A %%%%01X/4/Y(l)[3]:k=v, ", "\u0001Jan  1 00:00:0%d 10.1.0.1 +01:00 1 "]
+    lines = [rng.choice(heads) % rng.randrange(10) + text() + rng.choice(ends) for _ in range(3000)] + [None, ""]
+    df = spark.createDataFrame(list(enumerate(lines)), "i int, value string").repartition(4)
+    short = _by_length(monkeypatch, 1 << 30, df, [HW, CP])
+    long = _by_length(monkeypatch, 0, df, [HW, CP])
+    route._column_stages.cache_clear()
+    assert long == short
+    # the header's regex, and pairs by the regex alone where they need no more than a dict
+    groups = df.select("i", *[F.regexp_extract("value", CP_HEADER, g).alias(f"g{g}") for g in (6, 7, 8)]).orderBy("i").collect()
+    texts = spark.createDataFrame([(r.i, '" ' + (r.g8 or "").strip()) for r in groups], "i int, t string")
+    found = [list(zip(r.k, r.v)) for r in texts.select("i", F.regexp_extract_all("t", F.lit(CP_PAIRS), 1).alias("k"),
+                                                       F.regexp_extract_all("t", F.lit(CP_PAIRS), 2).alias("v")).orderBy("i").collect()]
+    cut = 0
+    for r, g, pairs in zip(long, groups, found):
+        assert (r["parser"] == "cp") == bool(g.g6)
+        if g.g6:
+            assert (r["cp"]["_c_interface_1"], r["cp"]["_d_interface_2"]) == (g.g6, g.g7)
+            record, bare = {}, {}
+            for k, v in [(n, None) for n in CP.base_names] + pairs:
+                record[k] = v
+            for k, v in record.items():
+                bare[k.strip()] = v
+            assert r["cp"]["params"] == {k: v for k, v in bare.items() if v is not None}
+            cut += bool(pairs)
+    assert cut > 500
+
+
+def test_long_lines_are_not_walked_by_regexes(spark):
+    from logtab import CP, HW, parse
+    from logtab.operators.parsers import CP_PAIRS
+
+    def seconds(df):
+        times = []
+        for _ in range(3):
+            start = time.perf_counter()
+            df.write.format("noop").mode("overwrite").save()
+            times.append(time.perf_counter() - start)
+        return min(times)
+
+    rest = F.concat(F.lit('" a="'), "id", F.lit('" '), F.repeat(F.lit("k"), 60_000), F.lit('="v'), "id", F.lit('"'))
+    df = spark.range(0, 12_000, 1, 4).select(rest.alias("t"))
+    lines = df.select(F.concat(F.lit("Jan 12 00:00:00 10.1.0.1 +01:00 192.168.0.1"), F.substring("t", 2, 1 << 30)).alias("value"))
+    n = parse(lines, parsers=[HW, CP])
+    assert n.where("parser = 'cp'").select(F.size("cp.params").alias("n")).distinct().collect() == [(2,)]
+    # the whole parse takes less time than one of the regexes it had
+    assert seconds(n.drop("value")) < seconds(df.select(F.regexp_extract_all("t", F.lit(CP_PAIRS), 1)))
+
+
+def test_staged_keys_have_no_bounds(spark, tmp_dir):
+    import pyarrow.dataset as ds
+
+    from logtab import CP, headers, parse, stage
+
+    line = 'Jan 12 00:00:00 10.1.0.1 +01:00 192.168.0.1 b="1" ' + "k" * 5000 + '="2"'
+    staged = stage(parse(spark.createDataFrame([(line,)], "value string").coalesce(1)), f"{tmp_dir}/s")
+    group = next(ds.dataset(f"{tmp_dir}/s", format="parquet").get_fragments()).metadata.row_group(0)
+    bounds = {(c := group.column(i)).path_in_schema: c.is_stats_set for i in range(group.num_columns)}
+    assert bounds["parser"] and not bounds["_param_keys.list.element"] and not bounds["cp.params.key_value.key"]
+    assert headers(staged, [CP])["cp"] == [*CP.base_names, "b", "k" * 5000]
+
+
 # --- one expression -----------------------------------------------------------------
 
 @pytest.mark.parametrize("mode", ["null", "reject"])
