@@ -278,25 +278,17 @@ def test_long_lines_are_read_as_short_ones(spark, monkeypatch):
     assert cut > 500
 
 
-def test_long_lines_are_not_walked_by_regexes(spark):
-    from logtab import CP, HW, parse
-    from logtab.operators.parsers import CP_PAIRS
-
-    def seconds(df):
-        times = []
-        for _ in range(3):
-            start = time.perf_counter()
-            df.write.format("noop").mode("overwrite").save()
-            times.append(time.perf_counter() - start)
-        return min(times)
-
-    rest = F.concat(F.lit('" a="'), "id", F.lit('" '), F.repeat(F.lit("k"), 60_000), F.lit('="v'), "id", F.lit('"'))
-    df = spark.range(0, 12_000, 1, 4).select(rest.alias("t"))
-    lines = df.select(F.concat(F.lit("Jan 12 00:00:00 10.1.0.1 +01:00 192.168.0.1"), F.substring("t", 2, 1 << 30)).alias("value"))
-    n = parse(lines, parsers=[HW, CP])
-    assert n.where("parser = 'cp'").select(F.size("cp.params").alias("n")).distinct().collect() == [(2,)]
-    # the whole parse takes less time than one of the regexes it had
-    assert seconds(n.drop("value")) < seconds(df.select(F.regexp_extract_all("t", F.lit(CP_PAIRS), 1)))
+def test_long_texts_are_cut(spark):
+    from logtab import CP
+
+    key = "k" * 60_000
+    texts = [f'a="1" {key}:="2" rest', f'a="1", {key}="2"', 'a="1"']
+    f = F.array(*[F.lit("x")] * 7, "t")
+    cut = spark.createDataFrame([(t,) for t in texts], "t string").select(CP.cut(f).alias("c"))
+    keys, values = CP.cut_pairs(F.col("c"))
+    rows = cut.select(F.col("c").isNotNull().alias("is_cut"), keys.alias("k"), values.alias("v")).collect()
+    # whole pairs are found in the pieces; other long texts and short ones are left to the regex
+    assert [tuple(r) for r in rows] == [(True, ["a", key], ["1", "2"]), (True, None, None), (False, None, None)]
 
 
 def test_staged_keys_have_no_bounds(spark, tmp_dir):
